@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import langid, quality, repair, simhash, substring
 
 QUERIES = {
+    "op1_rule_ensemble_quality": quality.op1,
     "op2_simhash_near_dedup": simhash.op2,
+    "op3_repair_token_files": repair.op3,
+    "op7_substring_dedup": substring.op7,
+    "op8_language_id": langid.op8,
 }
 ORACLES: dict[str, str] = {}

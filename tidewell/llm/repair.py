@@ -2,7 +2,7 @@
 
 Documents in ascending doc_id order are cut into shards. In a shard the frequent pairs of
 neighbouring symbols are replaced by nonterminals, again and again: each round takes the pairs
-that occur at least half as often as the most frequent one, down to ``MIN_COUNT``, and
+that occur at least a quarter as often as the most frequent one, down to ``MIN_COUNT``, and
 replaces occurrences that do not overlap. Pairs never cross a document's end. A shard keeps
 its rules with the length of each rule's expansion, so ``token_at`` finds any token and
 ``decode_document`` any document without expanding the rest.
@@ -28,8 +28,8 @@ from .common import batch_rows, documents, scratch
 from .tokens import encoder, tokenizer_path
 
 END_ID = 2
-SHARD_TOKENS = 1 << 20
-MIN_COUNT = 8
+SHARD_TOKENS = 1 << 18
+MIN_COUNT = 12
 BASE = 1 << 20  # first nonterminal: above the ids of any vocabulary in use
 SHARDS = T.StructType(
     [
@@ -66,50 +66,59 @@ def unplanes(raw: bytes) -> np.ndarray:
 
 def compress(ids: np.ndarray, ends: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, ends of documents among them, rules as pairs, expansion lengths) of the ids of a shard."""
-    bits = 20
-    seq = ids.astype(np.int64)
+    bits = max(10, min(20, int(len(ids)).bit_length() - 1))
+    seq = ids.astype(np.int32)
     last = np.zeros(len(seq), bool)
     last[ends - 1] = True
-    rules, lengths = [], []
-    n_rules, bound = 0, None
-    while len(seq) > 1 and n_rules < BASE:
-        pair = (seq[:-1] << 32) | seq[1:]
-        slot = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-        holder = np.zeros(1 << bits, np.int64)
-        holder[slot] = pair  # of the pairs in a slot one stands for it this round
-        good = (holder[slot] == pair) & ~last[:-1]
-        count = np.bincount(slot[good], minlength=1 << bits)
-        most = int(count.max())
+    known = np.zeros(0, np.int64)
+    rules, n_rules, bound = [], 0, None
+    while len(seq) > 1:
+        left, right = seq[:-1], seq[1:]
+        slot = left.view(np.uint32) * np.uint32(0x9E3779B1)
+        slot ^= slot >> np.uint32(15)
+        slot += right.view(np.uint32) * np.uint32(0x85EBCA77)
+        slot ^= slot >> np.uint32(13)
+        slot *= np.uint32(0xC2B2AE3D)
+        slot >>= np.uint32(32 - bits)
+        slot = slot.view(np.int32)
+        first, second = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+        first[slot], second[slot] = left, right  # of the pairs in a slot one stands for it this round
+        good = first[slot] == left
+        good &= second[slot] == right
+        good &= ~last[:-1]
+        place = np.flatnonzero(good)
+        slot = slot[place]
+        count = np.bincount(slot, minlength=1 << bits)
+        most = int(count.max(initial=0))
         if most < min_count:
             break
-        bound = max(min_count, most // 2 if bound is None else min(most // 2, bound))
+        bound = max(min_count, most // 4 if bound is None else min(most // 2, bound // 4))
         chosen = np.flatnonzero(count >= bound)
-        order = np.full(1 << bits, len(chosen), np.int64)
         chosen = chosen[np.argsort(-count[chosen], kind="stable")]
-        order[chosen] = np.arange(len(chosen))
-        rank = np.where(good, order[slot], len(chosen))
+        order = np.full(1 << bits, -1, np.int32)
+        order[chosen] = np.arange(len(chosen), dtype=np.int32)
+        rank = order[slot]
+        place, rank = place[rank >= 0], rank[rank >= 0]
         # of overlapping occurrences the one of the more frequent pair stays; in runs, every other
-        key = np.append(rank * 2 + (np.arange(len(rank)) & 1), 1 << 62)
-        key[:-1][rank == len(chosen)] = 1 << 61
-        take = (key[:-1] < (1 << 61)) & (key[:-1] < key[1:])
-        take[1:] &= key[1:-1] < key[:-2]
-        at = np.flatnonzero(take)
-        if not len(at):
-            break
-        left, right = (holder[chosen] >> 32), (holder[chosen] & 0xFFFFFFFF)
-        known = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
-        size = lambda s, known=known: np.where(s >= BASE, known[np.clip(s - BASE, 0, max(len(known) - 1, 0))] if len(known) else 1, 1)
-        rules.append(np.stack([left, right], 1))
-        lengths.append(size(left) + size(right))
-        seq[at] = BASE + n_rules + rank[at]
+        key = rank.astype(np.int64) * 2 + (place & 1)
+        near = np.diff(place) == 1
+        take = np.ones(len(place), bool)
+        take[:-1] &= ~near | (key[:-1] < key[1:])
+        take[1:] &= ~near | (key[1:] < key[:-1])
+        at, rank = place[take], rank[take]
+        two = np.stack([first[chosen], second[chosen]], 1).astype(np.int64)
+        rules.append(two)
+        size = np.ones(two.shape, np.int64)
+        size[two >= BASE] = known[two[two >= BASE] - BASE]
+        seq[at] = BASE + n_rules + rank
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, last = seq[keep], last[keep]
+        known = np.append(known, size.sum(axis=1))
         n_rules += len(chosen)
     rules = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    lengths = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
-    return seq, np.flatnonzero(last) + 1, rules, lengths
+    return seq, np.flatnonzero(last) + 1, rules, known
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:

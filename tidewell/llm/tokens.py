@@ -8,7 +8,7 @@ from pathlib import Path
 
 import numpy as np
 
-CACHE = 400_000
+CACHE = 1_000_000
 _LOADED: dict[tuple[str, int], "Encoder"] = {}
 
 
@@ -48,14 +48,21 @@ class Encoder:
         self.added = [x["content"] for x in kind.get("added_tokens", [])]
         self.by_piece = kind.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and kind["model"]["type"] == "BPE"
         self.cache, self.heads, self.rest = cache, {}, {}
+        self.older: dict[int, dict[str, bytes]] = {}
         self.line = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def _learn(self, known: dict[str, bytes], new: list[str], before: str) -> None:
-        if len(known) + len(new) > self.cache:
+        older = self.older.setdefault(len(before), {})
+        if 2 * (len(known) + len(new)) > self.cache:  # two generations: what is still in use moves on
+            self.older[len(before)] = older = dict(known)
             known.clear()
+        if older:
+            used = {w: older[w] for w in new if w in older}
+            known.update(used)
+            new = [w for w in new if w not in used]
         plain = [w for w in new if "\n" not in w]
         if plain and len(self.line) == 4:
             ids = np.array(self.library.encode_batch_fast(["\n".join([before + w for w in plain])], add_special_tokens=False)[0].ids, "<u4")
@@ -65,8 +72,9 @@ class Encoder:
                 ends = [*(4 * cuts).tolist(), len(raw)]
                 known.update(zip(plain, [raw[a:b] for a, b in zip(bounds, ends, strict=True)], strict=True))
                 new = [w for w in new if "\n" in w]
-        for w, x in zip(new, self.library.encode_batch_fast([before + w for w in new], add_special_tokens=False), strict=True):
-            known[w] = np.array(x.ids, "<u4").tobytes()
+        if new:
+            for w, x in zip(new, self.library.encode_batch_fast([before + w for w in new], add_special_tokens=False), strict=True):
+                known[w] = np.array(x.ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, quality, repair, rollup, simhash, substring, topk
+from . import decontaminate, langid, mixing, pii, quality, repair, rollup, simhash, substring, topk
 
 QUERIES = {
     "op1_rule_ensemble_quality": quality.op1,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_substring_dedup": substring.op7,
     "op8_language_id": langid.op8,
     "op9_token_rollups": rollup.op9,
+    "op10_pii_surrogates": pii.op10,
 }
 ORACLES: dict[str, str] = {"op6_dual_tree_top_k": topk.ORACLE6}

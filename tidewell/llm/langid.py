@@ -116,10 +116,10 @@ def fit(train: DataFrame, max_train: int = MAX_TRAIN, centroids: int = CENTROIDS
     return {"langs": langs, "centroids": np.concatenate(groups).astype(np.float32), "own": own, "idf": idf, "least": least}
 
 
-def _predict(model):
-    def run(batches):
-        import pyarrow as pa
+def _judged(model):
+    """Parts of batches with language, score and rejection of every row."""
 
+    def run(batches):
         m = model.value
         for batch in batches:
             for part in pieces(batch, 1 << 21):
@@ -149,7 +149,27 @@ def _predict(model):
                         pred[lo + i] = m["langs"][k]
                         score[lo + i] = min(1.0, max(0.0, float(cosine[i, best[i]])))
                         rejected[lo + i] = score[lo + i] < m["least"][k]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pred, pa.string()), pa.array(score), pa.array(rejected)], names=PREDICTED.names)
+                yield part, pred, score, rejected
+
+    return run
+
+
+def _predict(model):
+    def run(batches):
+        import pyarrow as pa
+
+        for part, pred, score, rejected in _judged(model)(batches):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pred, pa.string()), pa.array(score), pa.array(rejected)], names=PREDICTED.names)
+
+    return run
+
+
+def _accept(model):
+    def run(batches):
+        import pyarrow as pa
+
+        for part, _, _, rejected in _judged(model)(batches):
+            yield part.filter(pa.array(~rejected))
 
     return run
 
@@ -161,6 +181,13 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_predict(spark.sparkContext.broadcast(model)), PREDICTED)
 
 
+def accepted(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of docs that are not rejected, with all their columns."""
+    spark = docs.sparkSession
+    batch_rows(spark)
+    return docs.mapInArrow(_accept(spark.sparkContext.broadcast(model)), docs.schema)
+
+
 def held_out(folds: int, fold: int):
     return F.crc32(F.col("doc_id").cast("string")) % folds == fold
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, written
 
 BLOCK_ROWS = 64
 CELL_ROWS = 1024
@@ -51,11 +51,13 @@ def pfair(weights: dict[str, int], blocks: dict[str, int], exhausted: str = "con
         keys = sorted(left)
         total = sum(weights[k] for k in keys)
         waiting = [(0, i) for i in range(len(keys))]
-        placed, ready, slot, over = [0] * len(keys), [], 0, False
-        while not over:
+        placed, ready, slot, end = [0] * len(keys), [], 0, None
+        while end is None or slot < end:
             while waiting and waiting[0][0] <= slot:
                 release, i = heapq.heappop(waiting)
                 heapq.heappush(ready, (-(-(placed[i] + 1) * total // weights[keys[i]]), i, release))
+            if not ready:  # only after a source has ended: the rest is ahead of its share
+                break
             deadline, i, release = heapq.heappop(ready)
             key = keys[i]
             for name, value in zip(SLOTS.names, (key, done[key], start + release, start + deadline, start + slot, phase), strict=True):
@@ -68,7 +70,8 @@ def pfair(weights: dict[str, int], blocks: dict[str, int], exhausted: str = "con
                 heapq.heappush(waiting, (placed[i] * total // weights[key], i))
             else:
                 del left[key]
-                over = True
+                missing = -(-(placed[i] + 1) * total // weights[key]) if exhausted == "stop" else slot
+                end = missing if end is None else min(end, missing)
         start, phase = start + slot, phase + 1
         if exhausted == "stop":
             break
@@ -79,7 +82,7 @@ def source_key(column="source"):
     return F.when(F.col(column).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(column).cast("string")))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, exhausted: str = "continue", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, exhausted: str = "continue", block_rows: int = BLOCK_ROWS, power: float = POWER) -> DataFrame:
     """(doc_id, source, block, place, release, deadline, slot, phase) of the rows of docs that are mixed.
 
     weights: by source; without them, a power of the counts.
@@ -88,7 +91,7 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, exhausted
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string").alias("source"), source_key().alias("key"))
     counts = dict(rows.groupBy("key").count().collect())
     if weights is None:
-        own = target_weights(counts)
+        own = target_weights(counts, power)
     else:
         own = {"-" if k is None else f"+{k}": w for k, w in weights.items()}
     schedule = pfair(own, {k: -(-n // block_rows) for k, n in counts.items()}, exhausted)
@@ -106,5 +109,18 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, exhausted
     return placed.join(slots, ["key", "block"]).select("doc_id", "source", "block", "place", "release", "deadline", "slot", "phase")
 
 
+def mixed(docs: DataFrame, weights: dict[str | None, int] | None = None, block_rows: int = BLOCK_ROWS, power: float = POWER) -> DataFrame:
+    """The rows of docs that fit the target weights before a source ends, in the order of the mix, with all columns.
+
+    Rows that share a doc_id stay or go together.
+    """
+    spark = docs.sparkSession
+    placed = mix(docs, weights, "stop", block_rows, power).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("mix_at"))
+    placed, _ = written(placed.select(F.col("doc_id").alias("mix_id"), F.col("mix_at.slot").alias("mix_slot"), F.col("mix_at.place").alias("mix_place")), "mix")
+    joined = docs.join(placed, F.col("doc_id").eqNullSafe(F.col("mix_id")))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return joined.repartitionByRange(n, "mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select(*(joined[x] for x in docs.columns))
+
+
 def op4(spark, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))

@@ -211,6 +211,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, b
     return all_fps.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
+def deduplicated(docs: DataFrame, **how) -> DataFrame:
+    """One row of docs for each group of near-duplicates, that of the smallest doc_id, with all columns.
+
+    Of rows that share a doc_id one stays. Rows without a doc_id are kept: nothing can name them.
+    """
+    known = docs.where("doc_id IS NOT NULL")
+    found, _ = written(near_duplicates(known, **how), "simhash-found")
+    repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = known.join(gone.select(F.col("doc_id").alias("gone_id")), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    if repeated:
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL"))
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     from .common import documents
 

@@ -198,12 +198,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
     found, _ = written(marked.mapInArrow(_paths(window, gram), PATHS), "substring-paths")
     release(spark, once_at)
     collect_garbage(spark)
-    classes = (
-        found.where("pos IS NOT NULL")
-        .groupBy("gram", F.element_at("windows", 1).alias("head"), F.element_at("windows", -1).alias("tail"), F.size("windows").alias("n"))
-        .agg(F.min(F.struct("doc_id", "pos", "windows")).alias("at"))
-    )
-    edges = classes.select("gram", "at.doc_id", "at.pos", F.posexplode("at.windows").alias("k", "edge"))
+    classes = found.where("pos IS NOT NULL").groupBy("gram", "windows").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
+    edges = classes.select("gram", "at.doc_id", "at.pos", F.posexplode("windows").alias("k", "edge"))
     firsts = edges.groupBy("gram", "edge").agg(F.min(F.struct("doc_id", (F.col("pos") + F.col("k")).alias("pos"))).alias("at"))
     firsts = firsts.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list("at.pos").alias("firsts"))
     firsts, _ = written(firsts, "substring-firsts")

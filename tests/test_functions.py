@@ -19,7 +19,7 @@ def check(spark, column, table):
 
 
 def test_amounts(spark):
-    check(spark, amounts.cleaned(F.col("a")), {"£ 5000 read more": "£5000", "varies": "", "n/a": "", "EUR130,000": "EUR 130,000", "other": "", None: "", "US$ 7 for small bodies": "US$ 7"})
+    check(spark, amounts.cleaned(F.col("a")), {"£ 5000 read more": "£5000", "varies": "", "n/a": "", "EUR130,000": "EUR 130,000", "other": "", None: "", "US$ 7 for small bodies": "US$7"})
     check(
         spark,
         amounts.extracted(F.col("a")),

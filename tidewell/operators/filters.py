@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..config import CATEGORIES, MAX_PAGE_SIZE, PAGE_SIZE
 
-TRUE = F.lit(True)
 
 # The scripts that an English title may not hold.
 FOREIGN_SCRIPTS = r"[֐-׿؀-ۿЀ-ӿऀ-ॿ฀-๿一-鿿぀-ヿ가-힯]"
@@ -101,7 +100,7 @@ def search(text: str) -> Column:
     """Each of the first six words begins a word of a column; a quote falls back to substrings."""
     words = text.split()[:6]
     if not words:
-        return TRUE
+        return F.lit(True)
     if any('"' in w for w in words):
         low = text.strip().lower()
         return reduce(lambda a, b: a | b, [F.lower(c).contains(low) for c in ("title", "organization", "summary", "vertical")])
@@ -149,7 +148,7 @@ def predicates(q: Listing, as_of: datetime.date) -> dict[str, Column]:
 
 
 def all_of(tests) -> Column:
-    return reduce(lambda a, b: a & b, tests, TRUE)
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
 def filtered(opps: DataFrame, q: Listing, as_of: datetime.date) -> DataFrame:

@@ -29,7 +29,7 @@ from .tokens import encoder, tokenizer_path
 
 END_ID = 2
 SHARD_TOKENS = 1 << 18
-MIN_COUNT = 12
+MIN_COUNT = 24
 BASE = 1 << 20  # first nonterminal: above the ids of any vocabulary in use
 SHARDS = T.StructType(
     [
@@ -122,18 +122,22 @@ def compress(ids: np.ndarray, ends: np.ndarray, min_count: int = MIN_COUNT) -> t
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    """The ids that symbols stand for."""
-    seq = symbols.astype(np.int64)
-    while (nonterminal := seq >= BASE).any():
-        size = 1 + nonterminal
-        to = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.int64)
-        rule = seq[nonterminal] - BASE
-        out[to[~nonterminal]] = seq[~nonterminal]
-        out[to[nonterminal]] = rules[rule, 0]
-        out[to[nonterminal] + 1] = rules[rule, 1]
-        seq = out
-    return seq
+    """The ids that symbols stand for: rules are written out once, then copied to their places."""
+    if not len(rules):
+        return symbols.astype(np.int64)
+    flat: list[list[int]] = []
+    for left, right in rules.tolist():  # a rule only uses earlier ones
+        flat.append((flat[left - BASE] if left >= BASE else [left]) + (flat[right - BASE] if right >= BASE else [right]))
+    size = np.array([1, *map(len, flat)])
+    table = np.array([0, *(x for one in flat for x in one)])
+    begin = np.cumsum(size) - size
+    which = np.where(symbols >= BASE, symbols - BASE + 1, 0)
+    sizes = size[which]
+    ends = np.cumsum(sizes)
+    out = table[np.repeat(begin[which] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    plain = which == 0
+    out[(ends - sizes)[plain]] = symbols[plain]
+    return out
 
 
 class Shard:
@@ -194,9 +198,9 @@ def _encode(path: str, end_id: int, shard_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5), strict=True)], names=SHARDS.names)
 
         for batch in batches:
-            texts = batch.column("text")
-            for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                raw.append(own.encode(texts[i].as_py()) + end)
+            encoded = own.encode_many(batch.column("text").to_pylist())
+            for doc_id, one in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
+                raw.append(one + end)
                 ids.append(doc_id)
                 held += len(raw[-1]) // 4
                 if held >= shard_tokens:

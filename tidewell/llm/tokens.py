@@ -8,7 +8,7 @@ from pathlib import Path
 
 import numpy as np
 
-CACHE = 1_000_000
+CACHE = 2_000_000
 _LOADED: dict[tuple[str, int], "Encoder"] = {}
 
 
@@ -37,7 +37,9 @@ class Encoder:
     """
 
     #: White space beside a space, or what libraries disagree on.
-    UNEVEN = re.compile(r" \s|\s |[\x1c-\x1f᠎]|^ | $")
+    UNEVEN = re.compile(r" \s|\s |[\x1c-\x1f\u180e]|^ | $")
+    #: White space other than space and line feed; a text without it needs no regular expression.
+    RARE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
@@ -48,49 +50,76 @@ class Encoder:
         self.added = [x["content"] for x in kind.get("added_tokens", [])]
         self.by_piece = kind.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and kind["model"]["type"] == "BPE"
         self.cache, self.heads, self.rest = cache, {}, {}
-        self.older: dict[int, dict[str, bytes]] = {}
+        self.older: dict[str, dict[str, bytes]] = {}
         self.line = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _learn(self, known: dict[str, bytes], new: list[str], before: str) -> None:
-        older = self.older.setdefault(len(before), {})
-        if 2 * (len(known) + len(new)) > self.cache:  # two generations: what is still in use moves on
-            self.older[len(before)] = older = dict(known)
-            known.clear()
-        if older:
-            used = {w: older[w] for w in new if w in older}
-            known.update(used)
-            new = [w for w in new if w not in used]
+    def _learn(self, known: dict[str, bytes], new: list[str], before: str) -> dict[str, bytes]:
+        """The ids of pieces that known doesn't hold."""
+        older = self.older.get(before, {})
+        found = {w: older[w] for w in new if w in older}
+        new = [w for w in new if w not in found]
+        for k in range(0, len(new), 20_000):
+            self._ask(found, new[k : k + 20_000], before)
+        return found
+
+    def _ask(self, found: dict[str, bytes], new: list[str], before: str) -> None:
         plain = [w for w in new if "\n" not in w]
-        if plain and len(self.line) == 4:
+        if plain and len(self.line) == 4:  # one text, a piece a line: a line feed is a token of its own there
             ids = np.array(self.library.encode_batch_fast(["\n".join([before + w for w in plain])], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0])
             if len(cuts) == len(plain) - 1:
                 raw, bounds = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
                 ends = [*(4 * cuts).tolist(), len(raw)]
-                known.update(zip(plain, [raw[a:b] for a, b in zip(bounds, ends, strict=True)], strict=True))
+                found.update(zip(plain, [raw[a:b] for a, b in zip(bounds, ends, strict=True)], strict=True))
                 new = [w for w in new if "\n" in w]
-        if new:
-            for w, x in zip(new, self.library.encode_batch_fast([before + w for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(x.ids, "<u4").tobytes()
+        for w, x in zip(new, self.library.encode_batch_fast([before + w for w in new], add_special_tokens=False) if new else [], strict=True):
+            found[w] = np.array(x.ids, "<u4").tobytes()
+
+    def _uneven(self, text: str) -> bool:
+        if text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text:
+            return True
+        rare = self.RARE[:9] if text.isascii() else self.RARE
+        return any(c in text for c in rare) and self.UNEVEN.search(text) is not None
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if not self.by_piece or self.UNEVEN.search(text) or any(x in text for x in self.added):
-            return self._whole(text)
-        head, *rest = text.split(" ")
-        out = list(map(self.rest.get, rest))
-        if None in out:
-            new = list(dict.fromkeys([w for w, x in zip(rest, out, strict=True) if x is None]))
-            self._learn(self.rest, new, " ")
-            fresh = self.rest
-            out = [fresh[w] if x is None else x for w, x in zip(rest, out, strict=True)]
-        first = self.heads.get(head)
-        if first is None:
-            self._learn(self.heads, [head], "")
-            first = self.heads[head]
-        return first + b"".join(out)
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """The same for many texts; new pieces go to the library together. Null counts as empty."""
+        out: list[bytes] = [b""] * len(texts)
+        split, new, heads = [], set(), set()
+        get = self.rest.get
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.by_piece or self._uneven(text) or any(x in text for x in self.added):
+                out[i] = self._whole(text)
+                continue
+            head, *rest = text.split(" ")
+            ids = list(map(get, rest))
+            if None in ids:
+                new.update([w for w, x in zip(rest, ids, strict=True) if x is None])
+            if head not in self.heads:
+                heads.add(head)
+            split.append((i, head, rest, ids))
+        kept = (self.rest, self.heads)
+        fresh, fresh_heads = self._learn(self.rest, list(new), " "), self._learn(self.heads, list(heads), "")
+        for i, head, rest, ids in split:
+            if None in ids:
+                ids = [fresh[w] if x is None else x for w, x in zip(rest, ids, strict=True)]
+            first = fresh_heads.get(head)
+            out[i] = (kept[1][head] if first is None else first) + b"".join(ids)
+        self.rest, self.heads = self._kept(self.rest, fresh, " "), self._kept(self.heads, fresh_heads, "")
+        return out
+
+    def _kept(self, known: dict[str, bytes], fresh: dict[str, bytes], before: str) -> dict[str, bytes]:
+        """known with fresh; when it is full it becomes the older generation and what is in use moves on."""
+        if 2 * (len(known) + len(fresh)) > self.cache:
+            self.older[before] = known
+            known = {}
+        known.update(fresh)
+        return known

@@ -70,7 +70,7 @@ def pfair(weights: dict[str, int], blocks: dict[str, int], exhausted: str = "con
                 heapq.heappush(waiting, (placed[i] * total // weights[key], i))
             else:
                 del left[key]
-                missing = -(-(placed[i] + 1) * total // weights[key]) if exhausted == "stop" else slot
+                missing = -(-(placed[i] + 1) * total // weights[key]) - 1 if exhausted == "stop" else slot
                 end = missing if end is None else min(end, missing)
         start, phase = start + slot, phase + 1
         if exhausted == "stop":

@@ -9,7 +9,7 @@ bit masked out finds; the chain of two is tested next, and only what is left get
 Hamming test.
 
 Equal fingerprints are one node, so exact copies cost one row each. Within a bucket links are
-reduced to a spanning forest before they leave the task: large buckets are searched breadth
+reduced to a star for each component before they leave the task: large buckets are searched breadth
 first against the fingerprints not yet reached, so no task emits all pairs. Buckets beyond
 ``BLOCK_ROWS`` are cut into blocks, and every pair of blocks is its own bucket (exact).
 
@@ -112,7 +112,7 @@ def _linked(x: np.ndarray, mask) -> np.ndarray:
 
 
 def bucket_forest(fps: np.ndarray, mask) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of one bucket's links."""
+    """For each component of one bucket's links, edges from its first fingerprint to all others."""
     left, a, b = fps, [], []
     while len(left) > 1:
         frontier, left = left[:1], left[1:]
@@ -132,7 +132,7 @@ def bucket_forest(fps: np.ndarray, mask) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _forests(batches):
-    """Spanning edges of each bucket, from rows sorted by bucket."""
+    """Connecting edges of each bucket, from rows sorted by bucket."""
     import pyarrow as pa
 
     masks, _ = _chain_masks()
@@ -181,7 +181,7 @@ def _forests(batches):
 
 
 def links(fps: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
-    """Spanning edges (a, b) between distinct fingerprints fps (fp) within the limit."""
+    """Edges (a, b) that connect the distinct fingerprints fps (fp) just as their links do, without all pairs."""
     rows = _index(fps).withColumn("block", F.lit(0))
     hot = _hot(fps, block)
     if not hot.isEmpty():

@@ -198,9 +198,10 @@ def _encode(path: str, end_id: int, shard_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5), strict=True)], names=SHARDS.names)
 
         for batch in batches:
-            encoded = own.encode_many(batch.column("text").to_pylist())
-            for doc_id, one in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
-                raw.append(one + end)
+            tokens, ends = own.encode_column(batch.column("text"))
+            whole, ends = tokens.astype("<u4").tobytes(), (4 * ends).tolist()
+            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), [0, *ends[:-1]], ends, strict=True):
+                raw.append(whole[a:b] + end)
                 ids.append(doc_id)
                 held += len(raw[-1]) // 4
                 if held >= shard_tokens:

@@ -8,8 +8,21 @@ from pathlib import Path
 
 import numpy as np
 
-CACHE = 2_000_000
+from .common import mixed, powers, text_buffer
+
+CACHE = 1_500_000
 _LOADED: dict[tuple[str, int], "Encoder"] = {}
+_RNG = np.random.default_rng(20250101)
+_TABLES = _RNG.integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TABLES[:, 0x20] = 0
+_TABLES[:, 0x0A] = 0
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+#: First bytes of white space beyond ASCII.
+_WIDE = np.zeros(256, bool)
+_WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+START, SPACE, LINE = 0, 1, 2
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -29,17 +42,17 @@ def encoder(path: str, cache: int = CACHE) -> "Encoder":
 class Encoder:
     """Ids of a text as the library gives them for the whole text, without special tokens added.
 
-    A byte-level tokenizer of the usual pattern never joins a space that stands between two
-    other characters to what precedes it, so a text is cut before such spaces and the ids of
-    each piece are remembered (up to ``cache`` pieces). Texts with any other white space beside
-    a space, or with an added token, go to the library whole; so does every text when the file
-    holds another kind of tokenizer.
+    A byte-level tokenizer of the usual pattern never joins a space or line feed that stands
+    between two other characters to what precedes it, nor a line feed to what follows. So a
+    text is cut there; each distinct piece of a batch is looked up once, by 128 bits of hash,
+    and new ones go to the library together. Up to ``cache`` pieces are remembered; a full cache
+    is cut back to the pieces of the present batch. Texts with any other white space beside
+    such a cut, or with an added token, go to the library whole; so does every text when the
+    file holds another kind of tokenizer.
     """
 
-    #: White space beside a space, or what libraries disagree on.
-    UNEVEN = re.compile(r" \s|\s |[\x1c-\x1f\u180e]|^ | $")
-    #: White space other than space and line feed; a text without it needs no regular expression.
-    RARE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+    #: White space beside a cut, or what libraries disagree on.
+    UNEVEN = re.compile(r"[ \n]\s|\s[ \n]|[\x1c-\x1f\u180e]|^[ \n]|[ \n]$")
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
@@ -47,79 +60,148 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         kind = json.loads(Path(path).read_text())
         before = kind.get("pre_tokenizer") or {}
-        self.added = [x["content"] for x in kind.get("added_tokens", [])]
+        self.added = [x["content"] for x in kind.get("added_tokens", []) if x["content"]]
         self.by_piece = kind.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and kind["model"]["type"] == "BPE"
-        self.cache, self.heads, self.rest = cache, {}, {}
-        self.older: dict[str, dict[str, bytes]] = {}
-        self.line = self._whole("\n")
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def _learn(self, known: dict[str, bytes], new: list[str], before: str) -> dict[str, bytes]:
-        """The ids of pieces that known doesn't hold."""
-        older = self.older.get(before, {})
-        found = {w: older[w] for w in new if w in older}
-        new = [w for w in new if w not in found]
-        for k in range(0, len(new), 20_000):
-            self._ask(found, new[k : k + 20_000], before)
-        return found
-
-    def _ask(self, found: dict[str, bytes], new: list[str], before: str) -> None:
-        plain = [w for w in new if "\n" not in w]
-        if plain and len(self.line) == 4:  # one text, a piece a line: a line feed is a token of its own there
-            ids = np.array(self.library.encode_batch_fast(["\n".join([before + w for w in plain])], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0])
-            if len(cuts) == len(plain) - 1:
-                raw, bounds = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
-                ends = [*(4 * cuts).tolist(), len(raw)]
-                found.update(zip(plain, [raw[a:b] for a, b in zip(bounds, ends, strict=True)], strict=True))
-                new = [w for w in new if "\n" in w]
-        for w, x in zip(new, self.library.encode_batch_fast([before + w for w in new], add_special_tokens=False) if new else [], strict=True):
-            found[w] = np.array(x.ids, "<u4").tobytes()
-
-    def _uneven(self, text: str) -> bool:
-        if text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text:
-            return True
-        rare = self.RARE[:9] if text.isascii() else self.RARE
-        return any(c in text for c in rare) and self.UNEVEN.search(text) is not None
+        line = self._whole("\n")
+        self.by_piece = self.by_piece and len(line) == 1
+        self.line = line[:1]
+        self.cache = cache
+        self._forget()
+
+    def _forget(self) -> None:
+        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
+        import pyarrow as pa
+
+        ids, ends = self.encode_column(pa.array(texts, pa.large_string()))
+        raw, ends = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
         return self.encode_many([text])[0]
 
-    def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        """The same for many texts; new pieces go to the library together. Null counts as empty."""
-        out: list[bytes] = [b""] * len(texts)
-        split, new, heads = [], set(), set()
-        get = self.rest.get
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if not self.by_piece or self._uneven(text) or any(x in text for x in self.added):
-                out[i] = self._whole(text)
-                continue
-            head, *rest = text.split(" ")
-            ids = list(map(get, rest))
-            if None in ids:
-                new.update([w for w, x in zip(rest, ids, strict=True) if x is None])
-            if head not in self.heads:
-                heads.add(head)
-            split.append((i, head, rest, ids))
-        kept = (self.rest, self.heads)
-        fresh, fresh_heads = self._learn(self.rest, list(new), " "), self._learn(self.heads, list(heads), "")
-        for i, head, rest, ids in split:
-            if None in ids:
-                ids = [fresh[w] if x is None else x for w, x in zip(rest, ids, strict=True)]
-            first = fresh_heads.get(head)
-            out[i] = (kept[1][head] if first is None else first) + b"".join(ids)
-        self.rest, self.heads = self._kept(self.rest, fresh, " "), self._kept(self.heads, fresh_heads, "")
-        return out
-
-    def _kept(self, known: dict[str, bytes], fresh: dict[str, bytes], before: str) -> dict[str, bytes]:
-        """known with fresh; when it is full it becomes the older generation and what is in use moves on."""
-        if 2 * (len(known) + len(fresh)) > self.cache:
-            self.older[before] = known
-            known = {}
-        known.update(fresh)
-        return known
+    def encode_column(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an Arrow text column, and where those of each row end."""
+        import pyarrow as pa
+
+        data, offsets = text_buffer(column)
+        odd = self._odd(column, data, offsets)
+        if not odd.any():
+            return self._even(data, offsets)
+        ids, ends = self._even(*text_buffer(column.filter(pa.array(~odd))))
+        parts, begin, k = [], 0, 0
+        for i, whole in enumerate(odd.tolist()):
+            if whole:
+                parts.append(self._whole(column[i].as_py()))
+            else:
+                parts.append(ids[begin : ends[k]])
+                begin, k = ends[k], k + 1
+        return np.concatenate(parts), np.cumsum([len(p) for p in parts])
+
+    def _odd(self, column, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows that can't be cut."""
+        n = len(offsets) - 1
+        odd = np.zeros(n, bool)
+        full = np.flatnonzero(np.diff(offsets))
+        if not self.by_piece:
+            odd[full] = True
+            return odd
+        if not len(data):
+            return odd
+        cut = (data == 0x20) | (data == 0x0A)
+        blank = _BLANK[data]
+        bad = np.zeros(len(data), bool)
+        bad[1:] = (cut[1:] & blank[:-1]) | (blank[1:] & cut[:-1])
+        bad |= (data >= 0x1C) & (data <= 0x1F)
+        bad[offsets[:-1][full]] |= cut[offsets[:-1][full]]
+        bad[offsets[1:][full] - 1] |= cut[offsets[1:][full] - 1]
+        row = lambda at: np.searchsorted(offsets, at, "right") - 1
+        odd[row(np.flatnonzero(bad))] = True
+        ask = np.zeros(n, bool)  # wide white space and added tokens: look closer
+        ask[row(np.flatnonzero(_WIDE[data]))] = True
+        for token in self.added:
+            first = token.encode()[:2]
+            hits = np.flatnonzero(data[:-1] == first[0]) if len(data) > 1 else np.zeros(0, np.int64)
+            ask[row(hits[data[hits + 1] == first[-1]] if len(first) > 1 else hits)] = True
+        for i in np.flatnonzero(ask & ~odd):
+            text = column[int(i)].as_py()
+            odd[i] = self.UNEVEN.search(text) is not None or any(x in text for x in self.added)
+        return odd
+
+    def _even(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        kind = np.full(len(data), -1, np.int8)
+        gaps = np.flatnonzero((data == 0x20) | (data == 0x0A))
+        kind[gaps + 1] = np.where(data[gaps] == 0x20, SPACE, LINE)
+        kind[offsets[:-1][np.diff(offsets) > 0]] = START
+        starts = np.flatnonzero(kind >= 0)
+        kind = kind[starts]
+        ends = np.append(starts[1:] - (kind[1:] != START), len(data))
+        at = np.arange(len(data), dtype=np.int64)
+        at -= np.repeat(starts, np.diff(np.append(starts, len(data))))
+        longest, hashes = int(at.max()) + 1, []
+        for table, base in zip(_TABLES, _BASES, strict=True):
+            value = table[data]
+            value *= powers(base, longest)[at]
+            hashes.append(mixed(np.add.reduceat(value, starts) + kind.astype(np.uint64)))
+        key, check = hashes
+        unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        checks = check[first]
+        if (checks[inverse] != check).any():  # two pieces with one hash: as good as never
+            parts = [self._whole(data[a:b].tobytes().decode()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            return np.concatenate(parts), np.cumsum([len(p) for p in parts])
+        place, hit = self._find(unique, checks)
+        if not hit.all():
+            new = np.flatnonzero(~hit)
+            self._learn(unique[new], checks[new], kind[first[new]], [data[starts[i] : ends[i]].tobytes() for i in first[new]])
+            place, hit = self._find(unique, checks)
+        size, begin = self.size[place][inverse], self.at[place][inverse]
+        done = np.cumsum(size)
+        ids = self.flat[np.repeat(begin - (done - size), size) + np.arange(int(done[-1]))]
+        if len(self.key) > self.cache:
+            self._keep(place)
+        pieces = np.searchsorted(starts, offsets[1:], "left")
+        return ids, np.append(0, done)[pieces]
+
+    def _find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.key):
+            return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        place = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return place, (self.key[place] == key) & (self.check[place] == check)
+
+    def _keep(self, place: np.ndarray) -> None:
+        size = self.size[place]
+        done = np.cumsum(size)
+        self.flat = self.flat[np.repeat(self.at[place] - (done - size), size) + np.arange(int(done[-1]) if len(done) else 0)]
+        self.key, self.check, self.at, self.size = self.key[place], self.check[place], done - size, size
+
+    def _learn(self, key: np.ndarray, check: np.ndarray, kind: np.ndarray, pieces: list[bytes]) -> None:
+        """Adds new pieces: a text with a piece a line, for a line feed is a token of its own there."""
+        for one, before in ((SPACE, " "), (START, ""), (LINE, "")):
+            own = np.flatnonzero(kind == one)
+            for lo in range(0, len(own), 20_000):
+                part = own[lo : lo + 20_000]
+                ids = self._whole(before + ("\n" + before).join([pieces[i].decode() for i in part]))
+                cuts = np.flatnonzero(ids == self.line[0])
+                if len(cuts) == len(part) - 1:
+                    bounds = np.concatenate(([-1], cuts, [len(ids)]))
+                    size, ids = np.diff(bounds) - 1, np.delete(ids, cuts)
+                else:
+                    each = [self._whole(before + pieces[i].decode()) for i in part]
+                    size, ids = np.array([len(x) for x in each]), np.concatenate(each)
+                if one == LINE:
+                    ids = np.insert(ids, np.cumsum(size) - size, self.line[0])
+                    size = size + 1
+                at = len(self.flat) + np.cumsum(size) - size
+                self.flat = np.concatenate((self.flat, ids.astype(np.uint32)))
+                joined = np.concatenate((self.key, key[part]))
+                order = np.argsort(joined, kind="stable")
+                self.key, self.check = joined[order], np.concatenate((self.check, check[part]))[order]
+                self.at, self.size = np.concatenate((self.at, at))[order], np.concatenate((self.size, size))[order]

@@ -31,6 +31,7 @@ from .common import documents, written
 BLOCK_ROWS = 64
 CELL_ROWS = 1024
 POWER = 0.7
+MAX_BROADCAST_SOURCES = 50_000
 UNIT = 1_000_000
 SLOTS = T.StructType([T.StructField(x, T.StringType() if x == "key" else T.LongType()) for x in ("key", "block", "release", "deadline", "slot", "phase")])
 
@@ -99,6 +100,8 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, exhausted
 
     slots = spark.createDataFrame(pa.table({x: pa.array(v.tolist(), pa.string() if x == "key" else pa.int64()) for x, v in schedule.items()})) if len(schedule["key"]) else spark.createDataFrame([], SLOTS)
     sizes = spark.createDataFrame([(k, -(-n // CELL_ROWS)) for k, n in sorted(counts.items())], "key string, cells long")
+    if len(counts) <= MAX_BROADCAST_SOURCES:  # a row for each source: else a join that splits skew
+        sizes = F.broadcast(sizes)
     h = F.xxhash64("doc_id")
     celled = rows.join(sizes, "key").withColumn("h", h).withColumn("cell", F.floor((F.shiftrightunsigned("h", 32) * F.col("cells")) / F.lit(1 << 32)).cast("long")).drop("cells")
     within = celled.groupBy("key", "cell").count()

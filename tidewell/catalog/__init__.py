@@ -1,6 +1,6 @@
 """All queries, registered by importing their modules."""
 
 from ..registry import ORACLES, QUERIES
-from . import aggregates, filters, functions, joins, pipelines, sources, streams
+from . import aggregates, connectors, filters, functions, joins, pipelines, sources, streams
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "filters", "functions", "joins", "pipelines", "sources", "streams"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "connectors", "filters", "functions", "joins", "pipelines", "sources", "streams"]

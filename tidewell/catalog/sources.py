@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -177,13 +175,9 @@ def adaptive_ranges(spark, d):
 @query("src_03_paged_crawl")
 def paged_crawl(spark, d):
     """The data source over saved pages: a partition for each page range."""
-    folder = os.path.join(tempfile.gettempdir(), "tidewell-pages")
-    os.makedirs(folder, exist_ok=True)
-    for n in range(1, 6):
-        with open(os.path.join(folder, f"{n}.html"), "w", encoding="utf-8") as f:
-            f.write(f"<html><body><a href='/calls/{n}'>Call number {n} for proposals</a></body></html>")
+    bodies = [f"<html><body><a href='/calls/{n}'>Call number {n} for proposals</a></body></html>" for n in range(1, 6)]
     spark.dataSource.register(paged.PagedSource)
-    options = {"template": "https://example.org/list?page={page}", "pages": "8", "pages_per_partition": "2", "folder": folder, "source": "saved"}
+    options = {"template": "https://example.org/list?page={page}", "pages": "8", "pages_per_partition": "2", "inline": json.dumps(bodies), "source": "saved"}
     return spark.read.format("paged").options(**options).load()
 
 

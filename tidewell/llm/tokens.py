@@ -16,7 +16,7 @@ _RNG = np.random.default_rng(20250101)
 _TABLES = _RNG.integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TABLES[:, 0x20] = 0
 _TABLES[:, 0x0A] = 0
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_BASE = 0x9E3779B97F4A7C15
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
 #: First bytes of white space beyond ASCII.
@@ -146,12 +146,8 @@ class Encoder:
         ends = np.append(starts[1:] - (kind[1:] != START), len(data))
         at = np.arange(len(data), dtype=np.int64)
         at -= np.repeat(starts, np.diff(np.append(starts, len(data))))
-        longest, hashes = int(at.max()) + 1, []
-        for table, base in zip(_TABLES, _BASES, strict=True):
-            value = table[data]
-            value *= powers(base, longest)[at]
-            hashes.append(mixed(np.add.reduceat(value, starts) + kind.astype(np.uint64)))
-        key, check = hashes
+        weight = powers(_BASE, int(at.max()) + 1)[at]
+        key, check = (mixed(np.add.reduceat(table[data] * weight, starts) + kind.astype(np.uint64)) for table in _TABLES)
         unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         checks = check[first]
         if (checks[inverse] != check).any():  # two pieces with one hash: as good as never
@@ -184,6 +180,7 @@ class Encoder:
 
     def _learn(self, key: np.ndarray, check: np.ndarray, kind: np.ndarray, pieces: list[bytes]) -> None:
         """Adds new pieces: a text with a piece a line, for a line feed is a token of its own there."""
+        parts, sizes, order = [], [], []
         for one, before in ((SPACE, " "), (START, ""), (LINE, "")):
             own = np.flatnonzero(kind == one)
             for lo in range(0, len(own), 20_000):
@@ -191,17 +188,22 @@ class Encoder:
                 ids = self._whole(before + ("\n" + before).join([pieces[i].decode() for i in part]))
                 cuts = np.flatnonzero(ids == self.line[0])
                 if len(cuts) == len(part) - 1:
-                    bounds = np.concatenate(([-1], cuts, [len(ids)]))
-                    size, ids = np.diff(bounds) - 1, np.delete(ids, cuts)
+                    size = np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1
+                    ids = np.delete(ids, cuts)
                 else:
                     each = [self._whole(before + pieces[i].decode()) for i in part]
                     size, ids = np.array([len(x) for x in each]), np.concatenate(each)
                 if one == LINE:
                     ids = np.insert(ids, np.cumsum(size) - size, self.line[0])
                     size = size + 1
-                at = len(self.flat) + np.cumsum(size) - size
-                self.flat = np.concatenate((self.flat, ids.astype(np.uint32)))
-                joined = np.concatenate((self.key, key[part]))
-                order = np.argsort(joined, kind="stable")
-                self.key, self.check = joined[order], np.concatenate((self.check, check[part]))[order]
-                self.at, self.size = np.concatenate((self.at, at))[order], np.concatenate((self.size, size))[order]
+                parts.append(ids)
+                sizes.append(size)
+                order.append(part)
+        size, order = np.concatenate(sizes), np.concatenate(order)
+        at = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate((self.flat, *parts)).astype(np.uint32, copy=False)
+        ranked = np.argsort(key[order], kind="stable")  # merged into the sorted keys without sorting those again
+        order, size, at = order[ranked], size[ranked], at[ranked]
+        place = np.searchsorted(self.key, key[order])
+        self.key, self.check = np.insert(self.key, place, key[order]), np.insert(self.check, place, check[order])
+        self.at, self.size = np.insert(self.at, place, at), np.insert(self.size, place, size)

@@ -137,3 +137,56 @@ def test_repeated_ids(spark, docs, rows):
     assert simhash.near_duplicates(twice).count() == len(rows) + 5
     assert simhash.deduplicated(twice).groupBy("doc_id").count().where("count > 1").count() == 0
     assert substring.remove_repeats(twice).count() == len(rows) + 5
+
+
+def plain_similar(rows):
+    sets = []
+    for _, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)} - {()})
+    near = np.array([[x == y or 5 * len(x & y) >= 4 * len(x | y) for y in sets] for x in sets])
+    label = np.array([r[0] for r in rows])
+    while True:
+        new = np.array([label[n].min() for n in near])
+        if (new == label).all():
+            return label.tolist()
+        label = new
+
+
+def test_pipeline_drops_near_copies_of_similarity_0_8(spark, docs, rows):
+    import corpus_pipeline
+    from tidewell.llm import similar
+
+    rng = np.random.default_rng(11)
+    planted = [(r[0], r[1]) for r in rows]
+    for k in range(40):
+        words = [f"v{x}" for x in rng.integers(0, 3000, int(rng.integers(40, 300)))]
+        for j in range(4):
+            edited = list(words)
+            for at in rng.choice(len(words), int(rng.integers(0, max(2, len(words) // 35))), replace=False):
+                edited[at] = f"e{at}"
+            planted.append((1000 + 10 * k + j, " ".join(edited)))
+    base = [f"u{x}" for x in rng.integers(0, 3000, 120)]
+    for k in range(150):  # a large group
+        planted.append((5000 + k, " ".join(base[:k % 90] + ["other"] + base[k % 90 + 1 :]) + f" t{k}"))
+    planted.append((planted[5][0], "another text beside a doc_id that is taken"))
+    frame = spark.createDataFrame(planted, "doc_id long, text string")
+    want = plain_similar(planted)
+    for size in (16, 10_000):
+        got = sorted(map(tuple, similar.components(frame, bucket=size, group=size).collect()))
+        assert got == sorted(zip([r[0] for r in planted], want, strict=True))
+    kept = corpus_pipeline.drop_near_duplicates(spark, frame.where("doc_id >= 1000"), "")
+    ids = [r[0] for r in planted]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({w for i, w in zip(ids, want, strict=True) if i >= 1000})
+    assert kept.count() < simhash.deduplicated(frame.where("doc_id >= 1000")).count()
+
+
+def test_shingles_of_a_slice_are_its_own():
+    import pyarrow as pa
+
+    from tidewell.llm import similar
+
+    texts = pa.array(["One two three four five six", None, "a b", "", "Straße two three four five Six seven"])
+    whole = [x.tolist() for x in similar.shingle_sets(texts)]
+    assert [len(x) for x in whole] == [2, 0, 1, 0, 3]
+    assert [x.tolist() for x in similar.shingle_sets(texts.slice(2))] == whole[2:]

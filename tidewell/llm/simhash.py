@@ -216,8 +216,13 @@ def deduplicated(docs: DataFrame, **how) -> DataFrame:
 
     Of rows that share a doc_id one stays. Rows without a doc_id are kept: nothing can name them.
     """
+    return one_of_each(docs, lambda known: near_duplicates(known, **how))
+
+
+def one_of_each(docs: DataFrame, grouped) -> DataFrame:
+    """One row of docs for each component that grouped(rows) gives as (doc_id, component_id)."""
     known = docs.where("doc_id IS NOT NULL")
-    found, _ = written(near_duplicates(known, **how), "simhash-found")
+    found, _ = written(grouped(known), "simhash-found")
     repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = known.join(gone.select(F.col("doc_id").alias("gone_id")), F.col("doc_id") == F.col("gone_id"), "left_anti")

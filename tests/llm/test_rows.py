@@ -206,3 +206,12 @@ def test_surrogates_stay_distinct(spark):
     made = pii.surrogates(known).collect()
     assert len(made) == known.count() and len({(r.kind, r.made) for r in made}) == len(made)
     assert not {(r.kind, r.made) for r in made} & {(r.kind, r.canon) for r in known.collect()}
+
+
+def test_pipeline_mix_keeps_every_document_beside_a_small_source(spark):
+    import corpus_pipeline
+
+    sources = ["small"] * 640 + ["large"] * 20_000 + [None] * 900
+    docs = spark.createDataFrame([(i, f"text {i}", s) for i, s in enumerate(sources)], "doc_id long, text string, source string")
+    kept = corpus_pipeline.mix_sources(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(len(sources)))

@@ -112,13 +112,13 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, exhausted
     return placed.join(slots, ["key", "block"]).select("doc_id", "source", "block", "place", "release", "deadline", "slot", "phase")
 
 
-def mixed(docs: DataFrame, weights: dict[str | None, int] | None = None, block_rows: int = BLOCK_ROWS, power: float = POWER) -> DataFrame:
-    """The rows of docs that fit the target weights before a source ends, in the order of the mix, with all columns.
+def mixed(docs: DataFrame, weights: dict[str | None, int] | None = None, block_rows: int = BLOCK_ROWS, power: float = POWER, exhausted: str = "stop") -> DataFrame:
+    """The rows of docs in the order of the mix, with all columns; with "stop" those that fit the target weights before a source ends.
 
     Rows that share a doc_id stay or go together.
     """
     spark = docs.sparkSession
-    placed = mix(docs, weights, "stop", block_rows, power).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("mix_at"))
+    placed = mix(docs, weights, exhausted, block_rows, power).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("mix_at"))
     placed, _ = written(placed.select(F.col("doc_id").alias("mix_id"), F.col("mix_at.slot").alias("mix_slot"), F.col("mix_at.place").alias("mix_place")), "mix")
     joined = docs.join(placed, F.col("doc_id").eqNullSafe(F.col("mix_id")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

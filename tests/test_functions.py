@@ -102,3 +102,12 @@ def test_paged_stream(spark, tmp_path):
     spark.dataSource.register(paged.PagedSource)
     options = {"template": "https://x.org/?page={page}", "pages": "9", "pages_per_partition": "2", "folder": str(tmp_path)}
     assert sorted(r.page for r in spark.read.format("paged").options(**options).load().collect()) == [1, 2, 3]
+
+
+def test_places_are_never_cut(spark):
+    from tidewell.functions import geo
+
+    rows = spark.range(10_001).selectExpr("concat('Land ', id) AS country", "'Region' AS region")
+    with pytest.raises(ValueError, match="more than 10000 pairs"):
+        geo.places_of(rows)
+    assert len(geo.places_of(rows.where("id < 10000")).country) == 10_000

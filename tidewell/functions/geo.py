@@ -22,6 +22,7 @@ NOT_PLACES = (
     r"|^\d{4}(\s*[-–/]\s*\d{2,4})?$|^\d+\s*(k|m|bn|million|billion|lakh|crore)\b|^up\s+to\b|^from\b|^under\b|^over\b"
 )
 SEPARATORS = r"(?i)\s*(?:,|;|/|\||&|–|—|\band\b|\bwith\b|\bor\b)\s*"
+MAX_PAIRS = 10_000
 
 
 @dataclass
@@ -34,8 +35,10 @@ class Places:
 
 
 def places_of(rows: DataFrame, aliases: dict[str, str] | None = None, scopes: dict[str, str] | None = None) -> Places:
-    """Places from a small table (country, region): a dimension of some hundred rows."""
-    pairs = rows.select("country", "region").distinct().limit(10_000).collect()
+    """Places from a small table (country, region): a dimension of some hundred rows, an error beyond MAX_PAIRS."""
+    pairs = rows.select("country", "region").distinct().limit(MAX_PAIRS + 1).collect()
+    if len(pairs) > MAX_PAIRS:
+        raise ValueError(f"more than {MAX_PAIRS} pairs of country and region: no dimension of places")
     names = {c.lower(): c for c, _ in pairs} | {k.lower(): v for k, v in (aliases or {}).items()}
     return Places(names, {c.lower(): r for c, r in pairs}, {r.lower(): r for _, r in pairs} | {k.lower(): v for k, v in (scopes or {}).items()})
 

@@ -123,7 +123,7 @@ def test_grammar_round_trip():
         symbols, symbol_ends, rules, lengths = repair.compress(ids, ends, 2)
         assert (repair.expand(symbols, rules) == ids).all() and len(symbol_ends) == len(ends)
         sizes = np.diff(ends, prepend=0)
-        raw = (np.arange(len(ends)).astype("<i8").tobytes(), repair.planes(np.diff(symbol_ends, prepend=0)), repair.planes(symbols), repair.planes(rules.ravel()), repair.planes(lengths))
+        raw = (list(range(len(ends))), repair.planes(np.diff(symbol_ends, prepend=0)), repair.planes(symbols), repair.planes(rules.ravel()), repair.planes(lengths))
         shard = repair.Shard(*raw)
         assert [shard.token_at(i) for i in range(0, len(ids), 7)] == ids[::7].tolist()
         for k, (end, size) in enumerate(zip(ends, sizes, strict=True)):
@@ -147,6 +147,45 @@ def test_token_files(spark, docs, no_docs, rows):
     assert repair.read_tokens(spark, empty).count() == 0
 
 
+def test_encoder_windows_and_long_texts(monkeypatch):
+    import random
+
+    from tokenizers import Tokenizer
+
+    path, rng = tokens.tokenizer_path(), random.Random(3)
+    plain = Tokenizer.from_file(path)
+    parts = ["a", "b", "the", "Zoo", "é", "ŋ", "я", "数", "42", "'", "'s", "'ll", ".", ",", "!!", "…", "-", "_", " ", "  ", "\n", "\t", "\x85", "　", "<|endoftext|>", "ª", "x's", "d.o"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(60))) for _ in range(300)]
+    texts += [" ".join(rng.choice(["alpha", "beta.", "x1", "é-é", "don't", "数字"]) for _ in range(rng.randrange(300))) for _ in range(60)]
+    want = [x.ids for x in plain.encode_batch_fast(texts, add_special_tokens=False)]
+    for window in (64, 1000, 1 << 21):
+        monkeypatch.setattr(tokens, "WINDOW", window)
+        assert [np.frombuffer(x, "<u4").tolist() for x in tokens.Encoder(path, 500).encode_many(texts)] == want
+
+
+def test_token_files_of_odd_ids(spark):
+    rows = [(None, "a b"), (None, None), (5, "x y z"), (5, "w"), (5, "w"), (3, "")]
+    to = scratch(spark, "test-tokens")
+    repair.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), to, tokens.tokenizer_path())
+    got = repair.read_tokens(spark, to).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, 3, 5, 5, 5]
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+    assert [r.n_tokens for r in got[:3]] == [1, 3, 1] and got[3].ids_crc32 == got[4].ids_crc32 != got[5].ids_crc32
+
+
+def test_every_frequent_pair_is_replaced():
+    rng = np.random.default_rng(4)
+    ids = np.append(rng.integers(0, 30, 3000), 2)
+    ends = np.array([1000, 1001, len(ids)])
+    for least in (2, 4, 9):
+        symbols, symbol_ends, rules, lengths = repair.compress(ids, ends, least)
+        inner = np.ones(len(symbols) - 1, bool)
+        inner[symbol_ends[:-1] - 1] = False
+        left = [p for p, ok in zip(zip(symbols.tolist(), symbols[1:].tolist(), strict=False), inner, strict=True) if ok]
+        assert max(left.count(p) for p in set(left)) < least
+        assert [len(repair.expand(np.array([repair.BASE + i]), rules)) for i in range(len(rules))] == lengths.tolist()
+
+
 def test_rollup_commits_once_and_follows_changes(spark, docs, no_docs):
     store = rollup.Rollup(spark, scratch(spark, "test-rollup"))
     words = rollup.word_counts(docs)

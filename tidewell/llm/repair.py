@@ -1,18 +1,21 @@
 """Token ids in files, compressed by Re-Pair grammars.
 
-Documents in ascending doc_id order are cut into shards. In a shard the frequent pairs of
-neighbouring symbols are replaced by nonterminals, again and again: each round takes the pairs
-that occur at least a quarter as often as the most frequent one, down to ``MIN_COUNT``, and
-replaces occurrences that do not overlap. Pairs never cross a document's end. A shard keeps
-its rules with the length of each rule's expansion, so ``token_at`` finds any token and
-``decode_document`` any document without expanding the rest.
+Documents in ascending doc_id order are cut into shards of about ``SHARD_TOKENS`` ids. In a
+shard the frequent pairs of neighbouring symbols are replaced by nonterminals, again and again:
+each round takes the pairs that occur at least half as often as the most frequent one, down to
+``MIN_COUNT`` occurrences, and replaces occurrences that do not overlap. As in the original
+algorithm only pairs that a replacement made are counted anew; a pair waits at the level of its
+count, a power of two, until the rounds come down to it. Pairs never cross a document's end. A
+shard keeps its rules with the length of each rule's expansion, so ``token_at`` finds any token
+and ``decode_document`` any document with the rules that they use alone.
 
 A file is a Parquet file with one row a shard: partition, seq, the ids and sizes of its
 documents, and the grammar as byte planes. Spark's writer commits it, so a lost executor
 leaves no half file.
 
-Null and empty texts are a document of the end id alone. Rows that share a doc_id stay rows of
-their own, in one partition. An empty table gives no shard. Extra columns are ignored.
+Null and empty texts are a document of the end id alone. Rows without a doc_id come first and
+keep a null. Rows that share a doc_id stay rows of their own, in one partition, in the order of
+their texts. An empty table gives no shard. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,19 +27,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_rows, documents, scratch
+from .common import documents, pieces, scratch
 from .tokens import encoder, tokenizer_path
 
 END_ID = 2
-SHARD_TOKENS = 1 << 18
-MIN_COUNT = 24
+SHARD_TOKENS = 1 << 20
+MIN_COUNT = 4
 BASE = 1 << 20  # first nonterminal: above the ids of any vocabulary in use
 SHARDS = T.StructType(
     [
         T.StructField("partition", T.IntegerType()),
         T.StructField("seq", T.IntegerType()),
         T.StructField("n_tokens", T.LongType()),
-        T.StructField("doc_ids", T.BinaryType()),
+        T.StructField("doc_ids", T.ArrayType(T.LongType())),
         T.StructField("doc_symbols", T.BinaryType()),
         T.StructField("symbols", T.BinaryType()),
         T.StructField("rules", T.BinaryType()),
@@ -64,16 +67,27 @@ def unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+UNCOUNTED = 100  # level of pairs that have not been counted yet
+GONE = -1  # level of positions that start no pair, or none that is frequent
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, ends of documents among them, rules as pairs, expansion lengths) of the ids of a shard."""
-    bits = max(10, min(20, int(len(ids)).bit_length() - 1))
-    seq = ids.astype(np.int32)
-    last = np.zeros(len(seq), bool)
-    last[ends - 1] = True
-    known = np.zeros(0, np.int64)
-    rules, n_rules, bound = [], 0, None
-    while len(seq) > 1:
-        left, right = seq[:-1], seq[1:]
+    n = len(ids)
+    seq = np.append(ids.astype(np.int32), np.int32(-1))
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    after[ends - 1] = after[n] = n  # n stands for the end of a document on either side
+    before[0] = before[ends] = n
+    level = np.full(n + 1, UNCOUNTED, np.int8)
+    level[ends - 1] = level[n] = GONE
+    lengths, rules, n_rules, now = np.zeros(0, np.int64), [], 0, UNCOUNTED
+    while now > GONE:
+        at = np.flatnonzero(level >= now)
+        if not len(at):
+            now = int(level.max())
+            continue
+        left, right = seq[at], seq[after[at]]
+        bits = max(8, min(20, len(at).bit_length()))
         slot = left.view(np.uint32) * np.uint32(0x9E3779B1)
         slot ^= slot >> np.uint32(15)
         slot += right.view(np.uint32) * np.uint32(0x85EBCA77)
@@ -81,70 +95,107 @@ def compress(ids: np.ndarray, ends: np.ndarray, min_count: int = MIN_COUNT) -> t
         slot *= np.uint32(0xC2B2AE3D)
         slot >>= np.uint32(32 - bits)
         slot = slot.view(np.int32)
-        first, second = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
-        first[slot], second[slot] = left, right  # of the pairs in a slot one stands for it this round
-        good = first[slot] == left
-        good &= second[slot] == right
-        good &= ~last[:-1]
-        place = np.flatnonzero(good)
-        slot = slot[place]
+        pair = left.astype(np.int64) << 32 | right
+        owner = np.empty(1 << bits, np.int64)
+        owner[slot] = pair  # of the pairs in a slot one is counted, the others wait for the next round
+        mine = owner[slot] == pair
+        at, slot = at[mine], slot[mine]
         count = np.bincount(slot, minlength=1 << bits)
-        most = int(count.max(initial=0))
-        if most < min_count:
-            break
-        bound = max(min_count, most // 4 if bound is None else min(most // 2, bound // 4))
-        chosen = np.flatnonzero(count >= bound)
+        own = (np.frexp(count)[1] - 1).astype(np.int8)
+        own[count < min_count] = GONE
+        level[at] = own[slot]
+        now = int(own.max())
+        if now <= GONE:
+            now = UNCOUNTED
+            continue
+        chosen = np.flatnonzero(own == now)
         chosen = chosen[np.argsort(-count[chosen], kind="stable")]
         order = np.full(1 << bits, -1, np.int32)
         order[chosen] = np.arange(len(chosen), dtype=np.int32)
         rank = order[slot]
-        place, rank = place[rank >= 0], rank[rank >= 0]
+        at, rank = at[rank >= 0], rank[rank >= 0]
         # of overlapping occurrences the one of the more frequent pair stays; in runs, every other
-        key = rank.astype(np.int64) * 2 + (place & 1)
-        near = np.diff(place) == 1
-        take = np.ones(len(place), bool)
+        key = rank.astype(np.int64) * 2 + (np.arange(len(at)) & 1)
+        near = after[at[:-1]] == at[1:]
+        take = np.ones(len(at), bool)
         take[:-1] &= ~near | (key[:-1] < key[1:])
         take[1:] &= ~near | (key[1:] < key[:-1])
-        at, rank = place[take], rank[take]
-        two = np.stack([first[chosen], second[chosen]], 1).astype(np.int64)
-        rules.append(two)
+        at, rank = at[take], rank[take]
+        used = np.bincount(rank, minlength=len(chosen)) > 0
+        two = owner[chosen[used]]
+        two = np.stack([two >> 32, two & 0xFFFFFFFF], 1)
         size = np.ones(two.shape, np.int64)
-        size[two >= BASE] = known[two[two >= BASE] - BASE]
-        seq[at] = BASE + n_rules + rank
-        last[at] = last[at + 1]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
-        known = np.append(known, size.sum(axis=1))
-        n_rules += len(chosen)
+        size[two >= BASE] = lengths[two[two >= BASE] - BASE]
+        lengths = np.append(lengths, size.sum(axis=1))
+        rules.append(two)
+        merged = after[at]
+        far = after[merged]
+        seq[at] = BASE + n_rules + (np.cumsum(used) - 1)[rank]
+        seq[merged] = level[merged] = GONE
+        after[at], before[far] = far, at
+        level[at] = level[before[at]] = UNCOUNTED
+        level[at[far == n]] = level[n] = GONE
+        n_rules += len(two)
+    left = seq[:n] >= 0
     rules = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return seq, np.flatnonzero(last) + 1, rules, known
+    return seq[:n][left], np.cumsum(left)[ends - 1], rules, lengths
+
+
+def _copied(table: np.ndarray, to: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+    """Copies runs of table to other places of it."""
+    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    table[np.repeat(to, size) + within] = table[np.repeat(begin, size) + within]
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    """The ids that symbols stand for: rules are written out once, then copied to their places."""
-    if not len(rules):
-        return symbols.astype(np.int64)
-    flat: list[list[int]] = []
-    for left, right in rules.tolist():  # a rule only uses earlier ones
-        flat.append((flat[left - BASE] if left >= BASE else [left]) + (flat[right - BASE] if right >= BASE else [right]))
-    size = np.array([1, *map(len, flat)])
-    table = np.array([0, *(x for one in flat for x in one)])
-    begin = np.cumsum(size) - size
-    which = np.where(symbols >= BASE, symbols - BASE + 1, 0)
-    sizes = size[which]
+    """The ids that symbols stand for: the rules that they use are written out once, then copied to their places."""
+    symbols = symbols.astype(np.int64)
+    wanted, fresh = np.zeros(len(rules), bool), np.unique(symbols[symbols >= BASE]) - BASE
+    while len(fresh):
+        wanted[fresh] = True
+        below = rules[fresh].ravel()
+        below = below[below >= BASE] - BASE
+        fresh = np.unique(below[~wanted[below]])
+    rule = np.flatnonzero(wanted)
+    place = np.cumsum(wanted) - 1
+    sides = rules[rule].astype(np.int64)
+    non = sides >= BASE
+    child = np.where(non, place[np.where(non, sides - BASE, 0)], 0) if len(rule) else np.zeros((0, 2), np.int64)
+    depth = np.zeros(len(rule), np.int64)
+    while True:
+        deeper = np.where(non, depth[child] + 1, 0).max(axis=1, initial=0)
+        if (deeper == depth).all():
+            break
+        depth = deeper
+    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=-1)) + 1)]
+    size = np.ones((len(rule), 2), np.int64)
+    for own in levels:
+        size[own] = np.where(non[own], size[child[own]].sum(axis=2), 1)
+    whole = size.sum(axis=1)
+    begin = np.cumsum(whole) - whole
+    table = np.zeros(int(whole.sum()), np.int64)
+    for own in levels:
+        for k, to in ((0, begin[own]), (1, begin[own] + size[own, 0])):
+            down = non[own, k]
+            table[to[~down]] = sides[own[~down], k]
+            _copied(table, to[down], begin[child[own[down], k]], size[own[down], k])
+    plain = symbols < BASE
+    which = np.where(plain, 0, place[np.where(plain, 0, symbols - BASE)]) if len(rule) else np.zeros(len(symbols), np.int64)
+    sizes = np.where(plain, 1, whole[which]) if len(rule) else np.ones(len(symbols), np.int64)
     ends = np.cumsum(sizes)
-    out = table[np.repeat(begin[which] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-    plain = which == 0
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
     out[(ends - sizes)[plain]] = symbols[plain]
+    which, to, sizes = which[~plain], (ends - sizes)[~plain], sizes[~plain]
+    within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(to, sizes) + within] = table[np.repeat(begin[which], sizes) + within]
     return out
 
 
 class Shard:
     """Random access to one shard as read from a file."""
 
-    def __init__(self, doc_ids: bytes, doc_symbols: bytes, symbols: bytes, rules: bytes, rule_lengths: bytes):
-        self.doc_ids = np.frombuffer(doc_ids, "<i8")
+    def __init__(self, doc_ids: list[int | None], doc_symbols: bytes, symbols: bytes, rules: bytes, rule_lengths: bytes):
+        self.doc_ids = doc_ids
         self.symbols = unplanes(symbols).astype(np.int64)
         self.rules = unplanes(rules).astype(np.int64).reshape(-1, 2)
         self.rule_lengths = unplanes(rule_lengths).astype(np.int64)
@@ -176,38 +227,53 @@ class Shard:
         ids = expand(self.symbols, self.rules)
         token_ends = np.cumsum(self.sizes())[self.ends - 1]
         start = 0
-        for doc_id, end in zip(self.doc_ids.tolist(), token_ends.tolist(), strict=True):
+        for doc_id, end in zip(self.doc_ids, token_ends.tolist(), strict=True):
             yield doc_id, start, ids[start:end]
             start = end
 
 
+def _ended(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids with the end id behind each document, and the documents' sizes."""
+    out = np.empty(len(ids) + len(ends), np.uint32)
+    last = ends + np.arange(len(ends))
+    own = np.ones(len(out), bool)
+    own[last] = False
+    out[last], out[own] = end_id, ids
+    return out, np.diff(last, prepend=-1)
+
+
 def _encode(path: str, end_id: int, shard_tokens: int):
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        own, end = encoder(path), np.array([end_id], "<u4").tobytes()
-        ids, raw, held, seq = [], [], 0, 0
+        part, own = TaskContext.get().partitionId(), encoder(path)
+        doc_ids, sizes, tokens, held, seq = [], [], [], 0, 0
 
         def shard():
-            sizes = np.array([len(x) // 4 for x in raw], np.int64)
-            tokens = np.frombuffer(b"".join(raw), "<u4")
-            symbols, ends, rules, lengths = compress(tokens, np.cumsum(sizes))
-            row = [part, seq, len(tokens), np.array(ids, "<i8").tobytes(), planes(np.diff(ends, prepend=0)), planes(symbols), planes(rules.ravel()), planes(lengths)]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5), strict=True)], names=SHARDS.names)
+            ids, each = np.concatenate(tokens), np.concatenate(sizes)
+            symbols, ends, rules, lengths = compress(ids, np.cumsum(each))
+            row = [part, seq, len(ids), pa.concat_arrays(doc_ids).to_pylist(), planes(np.diff(ends, prepend=0)), planes(symbols), planes(rules.ravel()), planes(lengths)]
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=SHARDS.names)
 
         for batch in batches:
-            tokens, ends = own.encode_column(batch.column("text"))
-            whole, ends = tokens.astype("<u4").tobytes(), (4 * ends).tolist()
-            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), [0, *ends[:-1]], ends, strict=True):
-                raw.append(whole[a:b] + end)
-                ids.append(doc_id)
-                held += len(raw[-1]) // 4
-                if held >= shard_tokens:
-                    yield shard()
-                    ids, raw, held, seq = [], [], 0, seq + 1
-        if raw:
+            for piece in pieces(batch):
+                ids, each = _ended(*own.encode_column(piece.column("text")), end_id)
+                column = piece.column("doc_id")
+                done = np.cumsum(each)
+                first = begin = 0
+                while first < len(each):  # as many documents as fill the shard
+                    last = min(len(each), int(np.searchsorted(done, begin + shard_tokens - held)) + 1)
+                    doc_ids.append(column.slice(first, last - first))
+                    sizes.append(each[first:last])
+                    tokens.append(ids[begin : done[last - 1]])
+                    held += int(done[last - 1]) - begin
+                    first, begin = last, int(done[last - 1])
+                    if held >= shard_tokens:
+                        yield shard()
+                        doc_ids, sizes, tokens, held, seq = [], [], [], 0, seq + 1
+        if tokens:
             yield shard()
 
     return run
@@ -217,7 +283,8 @@ def _read(batches):
     import pyarrow as pa
 
     for batch in batches:
-        for row in batch.to_pylist():
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
             out = [(doc_id, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for doc_id, at, ids in Shard(*(row[x] for x in SHARDS.names[3:])).documents()]
             n = len(out)
             cols = [pa.array([x[i] for x in out], pa.int64()) for i in range(4)]
@@ -227,15 +294,13 @@ def _read(batches):
 def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> None:
     """Writes docs (doc_id, text) as shards to a folder, in ascending doc_id order over partitions and within them."""
     spark = docs.sparkSession
-    batch_rows(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(_encode(tokenizer, end_id, shard_tokens), SHARDS).write.option("compression", "zstd").parquet(to)
 
 
 def read_tokens(spark, at: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files of a folder."""
-    batch_rows(spark, 4)
     shards = spark.read.schema(SHARDS).parquet(at)
     sizes = shards.select("partition", "seq", "n_tokens")
     whole = sizes.groupBy("partition").agg(F.sum("n_tokens").alias("whole"))

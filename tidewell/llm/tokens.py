@@ -22,7 +22,19 @@ _BLANK[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
 #: First bytes of white space beyond ASCII.
 _WIDE = np.zeros(256, bool)
 _WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: ASCII letters and digits, and the signs that never join them (an apostrophe may).
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[[x for x in range(0x21, 0x7F) if not _ALNUM[x] and x != 0x27]] = True
 START, SPACE, LINE = 0, 1, 2
+WINDOW = 1 << 21
+#: Letters of Latin script, which every version of Unicode agrees on.
+LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: A space that no pattern moves: between ASCII letters or digits.
+PLAIN_SPACE = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+#: How byte-level vocabularies write the bytes that have no sign of their own.
+BYTE_SIGNS = {0x7F + i: 289 + i for i in range(34)} | {0xAD: 323}
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -43,12 +55,16 @@ class Encoder:
     """Ids of a text as the library gives them for the whole text, without special tokens added.
 
     A byte-level tokenizer of the usual pattern never joins a space or line feed that stands
-    between two other characters to what precedes it, nor a line feed to what follows. So a
-    text is cut there; each distinct piece of a batch is looked up once, by 128 bits of hash,
-    and new ones go to the library together. Up to ``cache`` pieces are remembered; a full cache
-    is cut back to the pieces of the present batch. Texts with any other white space beside
-    such a cut, or with an added token, go to the library whole; so does every text when the
-    file holds another kind of tokenizer.
+    between two other characters to what precedes it, nor a line feed to what follows, nor a
+    letter or digit to a sign behind it. So a text is cut there; each distinct piece is looked up
+    once, by 128 bits of hash, and new ones go to the library: to its model where they are plain
+    letters, else to all of it. Up to ``cache`` pieces are remembered; a full cache is cut back to
+    the pieces of the present window. Texts with any other white space beside such a cut, or with
+    an added token, go to the library whole; so does every text when the file holds another kind
+    of tokenizer.
+
+    Work goes on in windows of about ``WINDOW`` bytes, cut at spaces, so memory does not depend on
+    the batch or the longest text.
     """
 
     #: White space beside a cut, or what libraries disagree on.
@@ -75,6 +91,16 @@ class Encoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
+    def _text(self, text: str) -> np.ndarray:
+        """Ids of a text by the library alone; a long one goes in parts, cut at plain spaces."""
+        if not self.by_piece or len(text) <= WINDOW // 4:
+            return self._whole(text)
+        parts, begin = [], 0
+        while len(text) - begin > WINDOW // 4 and (found := PLAIN_SPACE.search(text, begin + WINDOW // 4)):
+            parts.append(self._whole(text[begin : found.start()]))
+            begin = found.start()
+        return np.concatenate([*parts, self._whole(text[begin:])])
+
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
         import pyarrow as pa
@@ -88,9 +114,23 @@ class Encoder:
 
     def encode_column(self, column) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an Arrow text column, and where those of each row end."""
+        parts, ends, done = [], [np.zeros(1, np.int64)], 0
+        data, offsets = text_buffer(column)
+        lo = 0
+        while lo < len(offsets) - 1:  # rows of one window, or one longer row
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + WINDOW, "right")) - 1)
+            ids, own = self._rows(column.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            parts.append(ids)
+            ends.append(own + done)
+            done += len(ids)
+            lo = hi
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.concatenate(ends)[1:]
+
+    def _rows(self, column, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         import pyarrow as pa
 
-        data, offsets = text_buffer(column)
+        if len(offsets) == 2 and len(data) > WINDOW:
+            return self._long(column, data)
         odd = self._odd(column, data, offsets)
         if not odd.any():
             return self._even(data, offsets)
@@ -98,12 +138,42 @@ class Encoder:
         parts, begin, k = [], 0, 0
         for i, whole in enumerate(odd.tolist()):
             if whole:
-                parts.append(self._whole(column[i].as_py()))
+                parts.append(self._text(column[i].as_py()))
             else:
                 parts.append(ids[begin : ends[k]])
                 begin, k = ends[k], k + 1
         return np.concatenate(parts), np.cumsum([len(p) for p in parts])
 
+    def _long(self, column, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A text beyond a window, cut before spaces that stand between ASCII letters or digits."""
+        if not self.by_piece:
+            ids = self._whole(column[0].as_py())
+            return ids, np.array([len(ids)])
+        import pyarrow as pa
+
+        parts, begin = [], 0
+        while begin < len(data):
+            end = len(data)
+            for at in range(begin + WINDOW // 2, len(data), WINDOW // 2):
+                near = data[at - 1 : at + WINDOW // 2 + 1]
+                cuts = np.flatnonzero((near[1:-1] == 0x20) & _ALNUM[near[:-2]] & _ALNUM[near[2:]]) if len(near) > 2 else []
+                if len(cuts):
+                    end = at + int(cuts[0])
+                    break
+            part = data[begin:end]
+            if begin:  # with the letter before the space, whose ids are known and dropped
+                lead = data[begin - 1 : begin]
+                text = pa.array([np.concatenate((lead, part)).tobytes().decode()], pa.large_string())
+                skip = len(self._whole(lead.tobytes().decode()))
+            else:
+                text, skip = pa.array([part.tobytes().decode()], pa.large_string()), 0
+            own, bounds = text_buffer(text)
+            ids = self._text(text[0].as_py()) if self._odd(text, own, bounds)[0] else self._even(own, bounds)[0]
+            parts.append(ids[skip:])
+            begin = end
+        ids = np.concatenate(parts)
+        return ids, np.array([len(ids)])
+
     def _odd(self, column, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Rows that can't be cut."""
         n = len(offsets) - 1
@@ -140,6 +210,7 @@ class Encoder:
         kind = np.full(len(data), -1, np.int8)
         gaps = np.flatnonzero((data == 0x20) | (data == 0x0A))
         kind[gaps + 1] = np.where(data[gaps] == 0x20, SPACE, LINE)
+        kind[np.flatnonzero(_SIGN[data[1:]] & _ALNUM[data[:-1]]) + 1] = START
         kind[offsets[:-1][np.diff(offsets) > 0]] = START
         starts = np.flatnonzero(kind >= 0)
         kind = kind[starts]
@@ -151,7 +222,7 @@ class Encoder:
         unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         checks = check[first]
         if (checks[inverse] != check).any():  # two pieces with one hash: as good as never
-            parts = [self._whole(data[a:b].tobytes().decode()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            parts = [self._text(data[a:b].tobytes().decode()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             return np.concatenate(parts), np.cumsum([len(p) for p in parts])
         place, hit = self._find(unique, checks)
         if not hit.all():
@@ -179,26 +250,43 @@ class Encoder:
         self.key, self.check, self.at, self.size = self.key[place], self.check[place], done - size, size
 
     def _learn(self, key: np.ndarray, check: np.ndarray, kind: np.ndarray, pieces: list[bytes]) -> None:
-        """Adds new pieces: a text with a piece a line, for a line feed is a token of its own there."""
+        """Adds new pieces. What is not plain letters goes to the library a piece a line, for a line feed is a token of its own there."""
         parts, sizes, order = [], [], []
+        texts = [x.decode() for x in pieces]
+        plain = np.array([LETTERS.fullmatch(x) is not None for x in texts], bool)
+        own = np.flatnonzero(plain)
+        if len(own):
+            ask, found, size = self.library.model.tokenize, [], []
+            for text, raw, one in zip((texts[i] for i in own), (pieces[i] for i in own), kind[own].tolist(), strict=True):
+                if len(text) != len(raw):
+                    text = raw.decode("latin-1").translate(BYTE_SIGNS)
+                ids = [x.id for x in ask("\u0120" + text if one == SPACE else text)]
+                found += ids
+                size.append(len(ids))
+            parts.append(np.array(found, np.uint32))
+            sizes.append(np.array(size))
+            order.append(own)
         for one, before in ((SPACE, " "), (START, ""), (LINE, "")):
-            own = np.flatnonzero(kind == one)
+            own = np.flatnonzero((kind == one) & ~plain)
             for lo in range(0, len(own), 20_000):
                 part = own[lo : lo + 20_000]
-                ids = self._whole(before + ("\n" + before).join([pieces[i].decode() for i in part]))
+                ids = self._whole(before + ("\n" + before).join([texts[i] for i in part]))
                 cuts = np.flatnonzero(ids == self.line[0])
                 if len(cuts) == len(part) - 1:
                     size = np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1
                     ids = np.delete(ids, cuts)
                 else:
-                    each = [self._whole(before + pieces[i].decode()) for i in part]
+                    each = [self._whole(before + texts[i]) for i in part]
                     size, ids = np.array([len(x) for x in each]), np.concatenate(each)
-                if one == LINE:
-                    ids = np.insert(ids, np.cumsum(size) - size, self.line[0])
-                    size = size + 1
                 parts.append(ids)
                 sizes.append(size)
                 order.append(part)
+        feeds = np.flatnonzero(kind[np.concatenate(order)] == LINE)
+        if len(feeds):  # a line feed in front
+            size, ids = np.concatenate(sizes), np.concatenate(parts)
+            ids = np.insert(ids, (np.cumsum(size) - size)[feeds], self.line[0])
+            size[feeds] += 1
+            parts, sizes = [ids], [size]
         size, order = np.concatenate(sizes), np.concatenate(order)
         at = len(self.flat) + np.cumsum(size) - size
         self.flat = np.concatenate((self.flat, *parts)).astype(np.uint32, copy=False)

@@ -4,20 +4,16 @@ from __future__ import annotations
 
 import datetime
 import json
-import uuid
 
 from pyspark.sql import functions as F
 
 from ..fixtures import opportunities, sql
 from ..functions import dates
 from ..registry import query
+from ..shared import scratch
 from ..sources import paged, records
 
 
-def _shared(spark, name: str) -> str:
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/tidewell-checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _facts(name: str, oracle: str, rows, schema: str):
     """A query over what a plain function of the source planner returns."""
     query(name, oracle)(lambda spark, d: spark.createDataFrame(rows(), schema))
@@ -83,7 +79,7 @@ def link_pattern(spark, d):
 @query("src_35_foreign_scan", sql("SELECT id, title FROM opportunities WHERE id % 2 = 1"))
 def foreign_scan(spark, d):
     """A second store, read beside the first."""
-    at = _shared(spark, "foreign")
+    at = scratch(spark, "foreign")
     opportunities(spark, d).where("id % 2 = 1").select("id", "title").write.parquet(at)
     return spark.read.parquet(at)
 
@@ -91,7 +87,7 @@ def foreign_scan(spark, d):
 @query("snk_02_csv_export", sql("SELECT CAST(id AS VARCHAR) AS id, title, coalesce(strftime(deadline, '%Y-%m-%d'), '') AS deadline FROM opportunities WHERE id % 3 = 0"))
 def csv_export(spark, d):
     """Written with a header and read back."""
-    at = _shared(spark, "export")
+    at = scratch(spark, "export")
     rows = opportunities(spark, d).where("id % 3 = 0").select("id", "title", F.date_format("deadline", "yyyy-MM-dd").alias("deadline"))
     rows.write.option("header", True).option("emptyValue", "").option("nullValue", "").csv(at)
     return spark.read.option("header", True).csv(at).na.fill("")
@@ -100,7 +96,7 @@ def csv_export(spark, d):
 @query("snk_12_snapshot", sql("SELECT count(*) AS n FROM opportunities WHERE id % 4 = 0"))
 def snapshot(spark, d):
     """A versioned copy taken before rows are dropped: the copy still has them."""
-    at = _shared(spark, "snapshot")
+    at = scratch(spark, "snapshot")
     opportunities(spark, d).where("id % 4 = 0").write.parquet(f"{at}/version=1")
     spark.read.parquet(f"{at}/version=1").where("id % 8 = 0").write.parquet(f"{at}/version=2")
     return spark.read.parquet(f"{at}/version=1").agg(F.count(F.lit(1)).alias("n"))

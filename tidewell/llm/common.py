@@ -3,30 +3,18 @@
 from __future__ import annotations
 
 import gc
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import scratch
+
 #: The bytes that separate words: space and 0x09 to 0x0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "/tmp/tidewell-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidewell-{name}-{uuid.uuid4().hex}"
-
-
 def file_system(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs
     where = hadoop.Path(path)
@@ -61,11 +49,6 @@ def collect_garbage(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def batch_rows(spark: SparkSession, rows: int = 2000) -> None:
-    """Bounds what an Arrow batch of long texts holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -118,6 +101,7 @@ _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64
 _BYTE[SPACE] = 0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: dict[int, np.ndarray] = {}
+WINDOW = 1 << 21
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -150,13 +134,20 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def word_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, np.uint64)
-    data = data[starts[0] :]
-    starts = starts - starts[0]
-    at = np.arange(len(data), dtype=np.int64)
-    at -= np.repeat(starts, np.diff(np.append(starts, len(data))))
-    value = _BYTE[data]
-    value *= powers(int(_BASE), int(at.max()) + 1)[at]
-    return mixed(np.add.reduceat(value, starts))
+    ends = np.append(starts[1:], len(data))
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):  # windows of words, so that memory doesn't depend on the batch
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + WINDOW, "right")))
+        own = starts[lo:hi] - starts[lo]
+        part = data[starts[lo] : ends[hi - 1]]
+        at = np.arange(len(part), dtype=np.int64)
+        at -= np.repeat(own, np.diff(np.append(own, len(part))))
+        value = _BYTE[part]
+        value *= powers(int(_BASE), int(at.max()) + 1)[at]
+        out[lo:hi] = mixed(np.add.reduceat(value, own))
+        lo = hi
+    return out
 
 
 def gram_hashes(h: np.ndarray, n: int, base: int = 0xC2B2AE3D27D4EB4F) -> np.ndarray:

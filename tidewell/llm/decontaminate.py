@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_rows, documents, gram_hashes, pieces, text_buffer, word_hashes, words_of
+from .common import documents, gram_hashes, pieces, text_buffer, word_hashes, words_of
 
 MIN_MATCH = 5
 COVERAGE = 0.8
@@ -195,7 +195,6 @@ def _clean(items, coverage: float):
 def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, k: int = MIN_MATCH) -> DataFrame:
     """A row for every document and item contained in it."""
     spark = docs.sparkSession
-    batch_rows(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = spark.createDataFrame([], FOUND)
     for items in blocks(benchmark, k):
@@ -206,7 +205,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, k: int = MIN_MATCH) -> DataFrame:
     """The rows of docs that contain no item, with all their columns."""
     spark = docs.sparkSession
-    batch_rows(spark)
     for items in blocks(benchmark, k):
         docs = docs.mapInArrow(_clean(spark.sparkContext.broadcast(items), coverage), docs.schema)
     return docs

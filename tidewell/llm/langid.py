@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_rows, documents, pieces, text_buffer
+from .common import documents, pieces, text_buffer
 
 DIMS = 1 << 13
 CENTROIDS = 4
@@ -89,7 +89,6 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 def fit(train: DataFrame, max_train: int = MAX_TRAIN, centroids: int = CENTROIDS) -> dict:
     """A model from rows of train (doc_id, text, lang) with a language."""
-    batch_rows(train.sparkSession)
     train = train.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text", "lang")
     counts = dict(train.groupBy("lang").count().collect())
     if not counts:
@@ -177,14 +176,12 @@ def _accept(model):
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    batch_rows(spark)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_predict(spark.sparkContext.broadcast(model)), PREDICTED)
 
 
 def accepted(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of docs that are not rejected, with all their columns."""
     spark = docs.sparkSession
-    batch_rows(spark)
     return docs.mapInArrow(_accept(spark.sparkContext.broadcast(model)), docs.schema)
 
 

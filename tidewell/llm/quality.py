@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_rows, documents, pieces, text_buffer, word_hashes, words_of, written
+from .common import documents, pieces, text_buffer, word_hashes, words_of, written
 from .langid import held_out
 
 MAX_TRAIN = 20_000
@@ -73,7 +73,6 @@ def _statistics(batches):
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
-    batch_rows(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_statistics, STATISTICS)
 
 

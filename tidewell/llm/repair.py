@@ -71,6 +71,13 @@ UNCOUNTED = 100  # level of pairs that have not been counted yet
 GONE = -1  # level of positions that start no pair, or none that is frequent
 
 
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distinct values of two ascending arrays."""
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")  # merges runs
+    return both[np.append(True, both[1:] != both[:-1])]
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, ends of documents among them, rules as pairs, expansion lengths) of the ids of a shard."""
     n = len(ids)
@@ -80,12 +87,15 @@ def compress(ids: np.ndarray, ends: np.ndarray, min_count: int = MIN_COUNT) -> t
     before[0] = before[ends] = n
     level = np.full(n + 1, UNCOUNTED, np.int8)
     level[ends - 1] = level[n] = GONE
-    lengths, rules, n_rules, now = np.zeros(0, np.int64), [], 0, UNCOUNTED
+    levels = np.frexp(np.arange(min(n, 1 << 16) + 1))[1].astype(np.int8) - np.int8(1)  # by count; larger ones are shifted
+    levels[: min(min_count, len(levels))] = GONE
+    lengths, rules, n_rules, now, at = np.zeros(0, np.int64), [], 0, UNCOUNTED, None
     while now > GONE:
-        at = np.flatnonzero(level >= now)
+        at = np.flatnonzero(level >= now) if at is None else at[level[at] >= now]
         if not len(at):
-            now = int(level.max())
+            now, at = int(level.max()), None
             continue
+        looked = at
         left, right = seq[at], seq[after[at]]
         bits = max(8, min(20, len(at).bit_length()))
         slot = left.view(np.uint32) * np.uint32(0x9E3779B1)
@@ -101,15 +111,16 @@ def compress(ids: np.ndarray, ends: np.ndarray, min_count: int = MIN_COUNT) -> t
         mine = owner[slot] == pair
         at, slot = at[mine], slot[mine]
         count = np.bincount(slot, minlength=1 << bits)
-        own = (np.frexp(count)[1] - 1).astype(np.int8)
-        own[count < min_count] = GONE
+        most = int(count.max())
+        own = levels[count] if most < len(levels) else np.where(count < len(levels), levels[np.minimum(count, len(levels) - 1)], (np.frexp(count)[1] - 1).astype(np.int8))
         level[at] = own[slot]
-        now = int(own.max())
+        now = int(own.max(initial=GONE))
         if now <= GONE:
-            now = UNCOUNTED
+            now, at = UNCOUNTED, looked
             continue
         chosen = np.flatnonzero(own == now)
-        chosen = chosen[np.argsort(-count[chosen], kind="stable")]
+        rarer = (2 << now) - count[chosen]
+        chosen = chosen[np.argsort(rarer.astype(np.uint16) if now < 15 else rarer, kind="stable")]
         order = np.full(1 << bits, -1, np.int32)
         order[chosen] = np.arange(len(chosen), dtype=np.int32)
         rank = order[slot]
@@ -136,59 +147,49 @@ def compress(ids: np.ndarray, ends: np.ndarray, min_count: int = MIN_COUNT) -> t
         level[at] = level[before[at]] = UNCOUNTED
         level[at[far == n]] = level[n] = GONE
         n_rules += len(two)
+        # a few places are followed by themselves, many by looking at all
+        at = _merged(looked, before[at]) if len(looked) < n >> 3 else None
     left = seq[:n] >= 0
     rules = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     return seq[:n][left], np.cumsum(left)[ends - 1], rules, lengths
 
 
-def _copied(table: np.ndarray, to: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
-    """Copies runs of table to other places of it."""
-    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    table[np.repeat(to, size) + within] = table[np.repeat(begin, size) + within]
+def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indexes of runs of those sizes, one after the other."""
+    ends = np.cumsum(size)
+    out = np.repeat((begin - (ends - size)).astype(np.int32), size)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
     """The ids that symbols stand for: the rules that they use are written out once, then copied to their places."""
-    symbols = symbols.astype(np.int64)
-    wanted, fresh = np.zeros(len(rules), bool), np.unique(symbols[symbols >= BASE]) - BASE
-    while len(fresh):
-        wanted[fresh] = True
+    non = symbols >= BASE
+    if not non.any():
+        return symbols.astype(np.int32)
+    wanted = np.zeros(len(rules), bool)
+    wanted[symbols[non] - BASE] = True
+    fresh = np.flatnonzero(wanted)
+    while len(fresh):  # the rules that those rules use
         below = rules[fresh].ravel()
-        below = below[below >= BASE] - BASE
-        fresh = np.unique(below[~wanted[below]])
-    rule = np.flatnonzero(wanted)
-    place = np.cumsum(wanted) - 1
-    sides = rules[rule].astype(np.int64)
-    non = sides >= BASE
-    child = np.where(non, place[np.where(non, sides - BASE, 0)], 0) if len(rule) else np.zeros((0, 2), np.int64)
-    depth = np.zeros(len(rule), np.int64)
-    while True:
-        deeper = np.where(non, depth[child] + 1, 0).max(axis=1, initial=0)
-        if (deeper == depth).all():
-            break
-        depth = deeper
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=-1)) + 1)]
-    size = np.ones((len(rule), 2), np.int64)
-    for own in levels:
-        size[own] = np.where(non[own], size[child[own]].sum(axis=2), 1)
-    whole = size.sum(axis=1)
+        new = np.zeros(len(rules), bool)
+        new[below[below >= BASE] - BASE] = True
+        fresh = np.flatnonzero(new & ~wanted)
+        wanted[fresh] = True
+    rule, place = np.flatnonzero(wanted).tolist(), np.cumsum(wanted) - 1
+    raw, written = rules.astype("<i4").tobytes(), [b""] * len(rules)
+    for r, (left, right) in zip(rule, rules[rule].tolist(), strict=True):  # a rule uses earlier ones
+        written[r] = (written[left - BASE] if left >= BASE else raw[8 * r : 8 * r + 4]) + (written[right - BASE] if right >= BASE else raw[8 * r + 4 : 8 * r + 8])
+    whole = np.array([len(written[r]) // 4 for r in rule])
     begin = np.cumsum(whole) - whole
-    table = np.zeros(int(whole.sum()), np.int64)
-    for own in levels:
-        for k, to in ((0, begin[own]), (1, begin[own] + size[own, 0])):
-            down = non[own, k]
-            table[to[~down]] = sides[own[~down], k]
-            _copied(table, to[down], begin[child[own[down], k]], size[own[down], k])
-    plain = symbols < BASE
-    which = np.where(plain, 0, place[np.where(plain, 0, symbols - BASE)]) if len(rule) else np.zeros(len(symbols), np.int64)
-    sizes = np.where(plain, 1, whole[which]) if len(rule) else np.ones(len(symbols), np.int64)
-    ends = np.cumsum(sizes)
-    out = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
-    out[(ends - sizes)[plain]] = symbols[plain]
-    which, to, sizes = which[~plain], (ends - sizes)[~plain], sizes[~plain]
-    within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out[np.repeat(to, sizes) + within] = table[np.repeat(begin[which], sizes) + within]
-    return out
+    table = np.frombuffer(b"".join(written), "<i4")
+    plain = symbols[~non]
+    table = np.concatenate((table, plain.astype(np.int32)))
+    starts, sizes = np.empty(len(symbols), np.int64), np.ones(len(symbols), np.int64)
+    starts[~non] = np.arange(len(table) - len(plain), len(table))
+    which = place[symbols[non] - BASE]
+    starts[non], sizes[non] = begin[which], whole[which]
+    return table[_runs(starts, sizes)]
 
 
 class Shard:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_rows, documents, exists, file_system, scratch
+from .common import documents, exists, file_system, scratch
 from .tokens import encoder, tokenizer_path
 
 KEYS = ("source", "lang", "tokenizer_version")
@@ -46,7 +46,6 @@ def _counts(path: str):
 
 def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, source, lang, n_tokens) of docs with a tokenizers file."""
-    batch_rows(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), *(F.col(x).cast("string") for x in ("source", "lang", "text")))
     return docs.mapInArrow(_counts(tokenizer), "doc_id long, source string, lang string, n_tokens long")
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_rows, collect_garbage, documents, gram_hashes, pieces, release, text_buffer, word_hashes, words_of, written
+from .common import collect_garbage, documents, gram_hashes, pieces, release, text_buffer, word_hashes, words_of, written
 
 WINDOW = 20
 GRAM = 8
@@ -188,7 +188,6 @@ def _kept(window: int, with_text: bool):
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    batch_rows(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     anchors = docs.mapInArrow(_anchors(window, gram), ANCHORS)
     single = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"), F.min("pos").alias("pos")).where("n = 1")

@@ -34,7 +34,9 @@ LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 #: A space that no pattern moves: between ASCII letters or digits.
 PLAIN_SPACE = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 #: How byte-level vocabularies write the bytes that have no sign of their own.
-BYTE_SIGNS = {0x7F + i: 289 + i for i in range(34)} | {0xAD: 323}
+BYTE_SIGNS = np.arange(256, dtype="<u4")
+BYTE_SIGNS[0x7F:0xA1] = np.arange(289, 323)
+BYTE_SIGNS[0xAD] = 323
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -56,12 +58,11 @@ class Encoder:
 
     A byte-level tokenizer of the usual pattern never joins a space or line feed that stands
     between two other characters to what precedes it, nor a line feed to what follows, nor a
-    letter or digit to a sign behind it. So a text is cut there; each distinct piece is looked up
-    once, by 128 bits of hash, and new ones go to the library: to its model where they are plain
-    letters, else to all of it. Up to ``cache`` pieces are remembered; a full cache is cut back to
-    the pieces of the present window. Texts with any other white space beside such a cut, or with
-    an added token, go to the library whole; so does every text when the file holds another kind
-    of tokenizer.
+    letter or digit to a sign behind it. So a text is cut there; pieces are looked up in a table by
+    their bytes (those beyond 16 bytes by 128 bits of hash), and new ones go to the library: to its
+    model where they are plain letters, else to all of it. A table of more than ``cache`` pieces
+    starts anew. Texts with any other white space beside such a cut, or with an added token, go to
+    the library whole; so does every text when the file holds another kind of tokenizer.
 
     Work goes on in windows of about ``WINDOW`` bytes, cut at spaces, so memory does not depend on
     the batch or the longest text.
@@ -85,8 +86,47 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.n, room = 0, 1 << 12
+        self.low, self.high, self.tag = np.zeros(room, np.uint64), np.zeros(room, np.uint64), np.zeros(room, np.uint8)
+        self.at, self.size = np.zeros(room, np.int32), np.zeros(room, np.int32)
+        self.flat, self.n_flat = np.zeros(room, np.uint32), 0
+        self.slots = np.full(4 * room, -1, np.int32)
+
+    def _add(self, low: np.ndarray, high: np.ndarray, tag: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        """New pieces, distinct and not in the table."""
+        first, self.n = self.n, self.n + len(low)
+        while self.n > len(self.low):
+            for name in ("low", "high", "tag", "at", "size"):
+                own = getattr(self, name)
+                setattr(self, name, np.concatenate((own, np.zeros(len(own), own.dtype))))
+        for name, new in (("low", low), ("high", high), ("tag", tag), ("at", at), ("size", size)):
+            getattr(self, name)[first : self.n] = new
+        if 2 * self.n > len(self.slots):
+            self.slots = np.full(4 * len(self.low), -1, np.int32)
+            first = 0
+        left = np.arange(first, self.n, dtype=np.int32)
+        slot = self._slot(self.low[first : self.n], self.high[first : self.n], self.tag[first : self.n])
+        while len(left):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = left[free]
+            out = self.slots[slot] != left
+            left, slot = left[out], (slot[out] + 1) % len(self.slots)
+
+    def _slot(self, low: np.ndarray, high: np.ndarray, tag: np.ndarray) -> np.ndarray:
+        h = mixed(low * np.uint64(_BASE) + (high ^ tag) * np.uint64(0xC2B2AE3D27D4EB4F) + tag)
+        return (h & np.uint64(len(self.slots) - 1)).astype(np.int64)
+
+    def _find(self, low: np.ndarray, high: np.ndarray, tag: np.ndarray) -> np.ndarray:
+        """The row of each piece in the table, or -1."""
+        slot = self._slot(low, high, tag)
+        found = self.slots[slot]
+        ask = np.flatnonzero((found >= 0) & ((self.low[found] != low) | (self.high[found] != high) | (self.tag[found] != tag)))
+        while len(ask):
+            slot[ask] = (slot[ask] + 1) % len(self.slots)
+            own = self.slots[slot[ask]]
+            found[ask] = own
+            ask = ask[(own >= 0) & ((self.low[own] != low[ask]) | (self.high[own] != high[ask]) | (self.tag[own] != tag[ask]))]
+        return found
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -215,56 +255,45 @@ class Encoder:
         starts = np.flatnonzero(kind >= 0)
         kind = kind[starts]
         ends = np.append(starts[1:] - (kind[1:] != START), len(data))
-        at = np.arange(len(data), dtype=np.int64)
-        at -= np.repeat(starts, np.diff(np.append(starts, len(data))))
-        weight = powers(_BASE, int(at.max()) + 1)[at]
-        key, check = (mixed(np.add.reduceat(table[data] * weight, starts) + kind.astype(np.uint64)) for table in _TABLES)
-        unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        checks = check[first]
-        if (checks[inverse] != check).any():  # two pieces with one hash: as good as never
-            parts = [self._text(data[a:b].tobytes().decode()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            return np.concatenate(parts), np.cumsum([len(p) for p in parts])
-        place, hit = self._find(unique, checks)
-        if not hit.all():
-            new = np.flatnonzero(~hit)
-            self._learn(unique[new], checks[new], kind[first[new]], [data[starts[i] : ends[i]].tobytes() for i in first[new]])
-            place, hit = self._find(unique, checks)
-        size, begin = self.size[place][inverse], self.at[place][inverse]
+        low, high, tag = _names(data, starts, ends, kind)
+        found = self._find(low, high, tag)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            one = new[_distinct(low[new], high[new], tag[new])]
+            at, size = self._learn(kind[one], data, starts[one], ends[one])
+            self._add(low[one], high[one], tag[one], at, size)
+            found[new] = self._find(low[new], high[new], tag[new])
+        size, begin = self.size[found].astype(np.int64), self.at[found]
         done = np.cumsum(size)
         ids = self.flat[np.repeat(begin - (done - size), size) + np.arange(int(done[-1]))]
-        if len(self.key) > self.cache:
-            self._keep(place)
+        if self.n > self.cache:
+            self._forget()
         pieces = np.searchsorted(starts, offsets[1:], "left")
         return ids, np.append(0, done)[pieces]
 
-    def _find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.key):
-            return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-        place = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return place, (self.key[place] == key) & (self.check[place] == check)
-
-    def _keep(self, place: np.ndarray) -> None:
-        size = self.size[place]
-        done = np.cumsum(size)
-        self.flat = self.flat[np.repeat(self.at[place] - (done - size), size) + np.arange(int(done[-1]) if len(done) else 0)]
-        self.key, self.check, self.at, self.size = self.key[place], self.check[place], done - size, size
-
-    def _learn(self, key: np.ndarray, check: np.ndarray, kind: np.ndarray, pieces: list[bytes]) -> None:
-        """Adds new pieces. What is not plain letters goes to the library a piece a line, for a line feed is a token of its own there."""
+    def _learn(self, kind: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of new pieces begin in flat, and how many they are. What is not plain letters goes to the library a piece a line, for a line feed is a token of its own there."""
         parts, sizes, order = [], [], []
-        texts = [x.decode() for x in pieces]
-        plain = np.array([LETTERS.fullmatch(x) is not None for x in texts], bool)
+        size = ends - starts
+        bounds = np.cumsum(size + 1)
+        flat = np.full(int(bounds[-1]), 0x0A, np.uint8)  # a piece a line
+        inside = np.ones(len(flat), bool)
+        inside[bounds - 1] = False
+        flat[inside] = data[np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        texts = flat[:-1].tobytes().decode().split("\n")
+        lines = np.append(0, bounds[:-1])
+        letter = _ALNUM[flat] & (flat >= 0x41)
+        letter[bounds - 1] = True
+        plain = np.logical_and.reduceat(letter, lines) & (size > 0)
+        for i in np.flatnonzero(~plain & np.logical_and.reduceat(letter | (flat >= 0x80), lines) & (size > 0)).tolist():
+            plain[i] = LETTERS.fullmatch(texts[i]) is not None
         own = np.flatnonzero(plain)
         if len(own):
-            ask, found, size = self.library.model.tokenize, [], []
-            for text, raw, one in zip((texts[i] for i in own), (pieces[i] for i in own), kind[own].tolist(), strict=True):
-                if len(text) != len(raw):
-                    text = raw.decode("latin-1").translate(BYTE_SIGNS)
-                ids = [x.id for x in ask("\u0120" + text if one == SPACE else text)]
-                found += ids
-                size.append(len(ids))
-            parts.append(np.array(found, np.uint32))
-            sizes.append(np.array(size))
+            flat = BYTE_SIGNS[flat[:-1]].tobytes().decode("utf-32-le").split("\n")
+            ask = self.library.model.tokenize
+            found = [ask("\u0120" + flat[i] if s else flat[i]) for i, s in zip(own.tolist(), (kind[own] == SPACE).tolist(), strict=True)]
+            parts.append(np.array([x.id for one in found for x in one], np.uint32))
+            sizes.append(np.array([len(one) for one in found]))
             order.append(own)
         for one, before in ((SPACE, " "), (START, ""), (LINE, "")):
             own = np.flatnonzero((kind == one) & ~plain)
@@ -287,11 +316,38 @@ class Encoder:
             ids = np.insert(ids, (np.cumsum(size) - size)[feeds], self.line[0])
             size[feeds] += 1
             parts, sizes = [ids], [size]
-        size, order = np.concatenate(sizes), np.concatenate(order)
-        at = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate((self.flat, *parts)).astype(np.uint32, copy=False)
-        ranked = np.argsort(key[order], kind="stable")  # merged into the sorted keys without sorting those again
-        order, size, at = order[ranked], size[ranked], at[ranked]
-        place = np.searchsorted(self.key, key[order])
-        self.key, self.check = np.insert(self.key, place, key[order]), np.insert(self.check, place, check[order])
-        self.at, self.size = np.insert(self.at, place, at), np.insert(self.size, place, size)
+        size, order, ids = np.concatenate(sizes), np.concatenate(order), np.concatenate(parts)
+        while self.n_flat + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros(len(self.flat), np.uint32)))
+        self.flat[self.n_flat : self.n_flat + len(ids)] = ids
+        at, sizes = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        at[order], sizes[order] = self.n_flat + np.cumsum(size) - size, size
+        self.n_flat += len(ids)
+        return at, sizes
+
+
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What tells a piece: its first and next eight bytes, or two hashes of a longer one, and kind and length."""
+    padded = np.concatenate((data, np.zeros(24, np.uint8)))
+    eight = np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))  # at every byte
+    size = ends - starts
+    low = eight[starts] & _MASK[np.minimum(size, 8)]
+    high = eight[np.minimum(starts + 8, len(data))] & _MASK[np.clip(size - 8, 0, 8)]
+    for i in np.array_split(np.flatnonzero(size > 16), max(1, int((size > 16).sum()) // 100_000)):
+        if len(i):
+            done = np.cumsum(size[i])
+            at = np.arange(int(done[-1])) - np.repeat(done - size[i], size[i])
+            own = data[np.repeat(starts[i], size[i]) + at]
+            weight = powers(_BASE, int(size[i].max()))[at]
+            low[i], high[i] = (mixed(np.add.reduceat(table[own] * weight, done - size[i])) for table in _TABLES)
+    return low, high, (kind * 32 + np.minimum(size, 17)).astype(np.uint8)
+
+
+def _distinct(low: np.ndarray, high: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """Rows with each combination once."""
+    order = np.lexsort((tag, high, low))
+    a, b, c = low[order], high[order], tag[order]
+    return order[np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1]))]

@@ -14,17 +14,18 @@ first against the fingerprints not yet reached, so no task emits all pairs. Buck
 ``BLOCK_ROWS`` are cut into blocks, and every pair of blocks is its own bucket (exact).
 
 Null and empty texts have fingerprint zero and link like any other. Rows that share a doc_id
-are kept; each gets its fingerprint and the component of that fingerprint.
+are kept; each gets its fingerprint and the component of that fingerprint. Rows without a doc_id
+link like others; a component of such rows alone has no component_id.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_rows, collect_garbage, connected_components, written
+from .common import collect_garbage, connected_components, release, written
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit, width
 LIMIT = 4
@@ -73,7 +74,6 @@ def _fingerprints(shingle: int, seed: int):
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fp) of every row of docs (doc_id, text)."""
-    batch_rows(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints(shingle, seed), FINGERPRINTS)
 
 
@@ -192,8 +192,6 @@ def links(fps: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
     rows = rows.select("key", "block", "fp")
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "key", "block").sortWithinPartitions("key", "block")
-    spark = fps.sparkSession
-    batch_rows(spark, 100_000)
     return dealt.mapInArrow(_forests, EDGES)
 
 
@@ -202,19 +200,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, b
     spark = docs.sparkSession
     all_fps, _ = written(fingerprints(docs, shingle, seed), "simhash-fps")
     nodes, _ = written(all_fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
-    edges, _ = written(links(nodes.select("fp"), block).distinct(), "simhash-edges")
+    edges, edges_at = written(links(nodes.select("fp"), block).distinct(), "simhash-edges")
     collect_garbage(spark)
-    a, b = (nodes.select(F.col("fp").alias(x), F.col("rep").alias(y)) for x, y in (("a", "x"), ("b", "y")))
-    by_rep = edges.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    labels = connected_components(by_rep, "simhash-cc")
-    found = nodes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("component_id"))
-    return all_fps.join(found, "fp").select("doc_id", "fp", "component_id")
+    labels = connected_components(edges, "simhash-cc")
+    release(spark, edges_at)
+    found = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
+    least = found.groupBy("label").agg(F.min("rep").alias("component_id"))
+    return all_fps.join(found.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """One row of docs for each group of near-duplicates, that of the smallest doc_id, with all columns.
 
-    Of rows that share a doc_id one stays. Rows without a doc_id are kept: nothing can name them.
+    Of rows that share a doc_id the one whose columns come first in order, written as JSON, stays.
+    Rows without a doc_id are kept: nothing can name them.
     """
     return one_of_each(docs, lambda known: near_duplicates(known, **how))
 
@@ -223,12 +222,15 @@ def one_of_each(docs: DataFrame, grouped) -> DataFrame:
     """One row of docs for each component that grouped(rows) gives as (doc_id, component_id)."""
     known = docs.where("doc_id IS NOT NULL")
     found, _ = written(grouped(known), "simhash-found")
-    repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = known.join(gone.select(F.col("doc_id").alias("gone_id")), F.col("doc_id") == F.col("gone_id"), "left_anti")
-    if repeated:
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    repeated = found.groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id")
+    rows = known.select(F.col("doc_id").cast("long").alias("id"), F.struct(*(known[f"`{x}`"] for x in known.columns)).alias("row"))
+    kept = rows.join(gone, "id", "left_anti")
+    if not repeated.isEmpty():
+        first = Window.partitionBy("id").orderBy(F.to_json("row"))
+        several = kept.join(repeated, "id", "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1")
+        kept = kept.join(repeated, "id", "left_anti").union(several.select("id", "row"))
+    return kept.select("row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

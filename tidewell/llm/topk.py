@@ -8,11 +8,11 @@ the query node's queries. Ties are never dropped, so results are exact.
 
 Data is dealt by a hash of vec_id and indexed in blocks of ``BLOCK`` rows inside the tasks; a
 task keeps the best k of each query over its blocks. Queries are the stated set, sent in
-blocks of at most ``QUERIES`` rows.
+blocks of about ``QUERIES`` rows.
 
 Vectors that are null, empty or hold null or non-finite components take no part. Vectors of
-different lengths are not compared. A repeated vec_id asks once and answers as often as it
-stands; a query never meets rows of its own vec_id. Scores are exact integers and saturate at
+different lengths are not compared. Equal rows ask once, rows of one vec_id with different
+vectors each, and every row answers; a query never meets rows of its own vec_id. Scores are exact integers and saturate at
 the limits of a long. Extra columns are ignored.
 """
 
@@ -23,15 +23,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_rows
-
 K = 10
 BLOCK = 4096
 LEAF = 48
 QUERIES = 20_000
 EVERY = 100
 SCALE = 1024
-HITS = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
+HITS = T.StructType([T.StructField("asked", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
 _LONG = (-(1 << 63), (1 << 63) - 1)
 
 
@@ -110,8 +108,9 @@ def dual_search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, ids:
 
     def bounds(q: int, nodes: np.ndarray) -> np.ndarray:
         rq, nq = queries.radii[q], queries.norms[q]
-        top = data.centres[nodes] @ queries.centres[q] + nq * data.radii[nodes] + data.norms[nodes] * rq + rq * data.radii[nodes]
-        return top + 1e-9 * np.abs(top) + 1e-6
+        slack = nq * data.radii[nodes] + data.norms[nodes] * rq + rq * data.radii[nodes]
+        top = data.centres[nodes] @ queries.centres[q] + slack
+        return top + 1e-9 * (nq * data.norms[nodes] + slack) + 1e-6  # rounding is relative to the lengths
 
     def worst(q: int) -> float:
         return best.score[members[q], -1].min()
@@ -156,7 +155,8 @@ def integers(vectors: list) -> np.ndarray:
 
 
 def _usable(vectors: list) -> list[bool]:
-    return [v is not None and len(v) > 0 and None not in v and bool(np.isfinite(np.asarray(v, np.float64) * SCALE).all()) for v in vectors]
+    with np.errstate(over="ignore"):
+        return [v is not None and len(v) > 0 and None not in v and bool(np.isfinite(np.asarray(v, np.float64) * SCALE).all()) for v in vectors]
 
 
 def _by_length(ids: list, vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -168,11 +168,14 @@ def _by_length(ids: list, vectors: list) -> dict[int, tuple[np.ndarray, np.ndarr
     return {n: (np.array(i, np.int64), integers(v)) for n, (i, v) in found.items()}
 
 
-def _search(queries, k: int):
+def _search(queries, k: int, block: int, block_count: int):
     def run(batches):
         import pyarrow as pa
 
         asked = {n: (ids, x, CoverTree(x), Best(len(ids), k)) for n, (ids, x) in queries.value.items()}
+        number, first = {}, 0  # a row of its own for every query
+        for n, (ids, _) in queries.value.items():
+            number[n], first = first + np.arange(len(ids)), first + len(ids)
         held: tuple[list, list] = ([], [])
 
         def flush():
@@ -188,15 +191,17 @@ def _search(queries, k: int):
             held[1].clear()
 
         for batch in batches:
-            held[0].extend(batch.column(0).to_pylist())
-            held[1].extend(batch.column(1).to_pylist())
-            if len(held[0]) >= BLOCK:
-                flush()
+            for lo in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(lo, BLOCK)
+                held[0].extend(part.column(0).to_pylist())
+                held[1].extend(part.column(1).to_pylist())
+                if len(held[0]) >= BLOCK:
+                    flush()
         flush()
-        for query_ids, _, _, best in asked.values():
+        for n, (query_ids, _, _, best) in asked.items():
             q, r = np.nonzero(np.isfinite(best.score))
             scores = [min(max(int(best.score[a, b]) if best.exact[a, b] is None else best.exact[a, b], _LONG[0]), _LONG[1]) for a, b in zip(q, r, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(best.id[q, r]), pa.array(scores, pa.int64())], names=HITS.names)
+            yield pa.RecordBatch.from_arrays([pa.array(number[n][q] * block_count + block), pa.array(query_ids[q]), pa.array(best.id[q, r]), pa.array(scores, pa.int64())], names=HITS.names)
 
     return run
 
@@ -204,18 +209,18 @@ def _search(queries, k: int):
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score) of vectors (vec_id, embedding) for queries of the same columns."""
     spark = vectors.sparkSession
-    batch_rows(spark, BLOCK)
     pick = (F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    vectors, queries = vectors.select(*pick), queries.select(*pick).where("embedding IS NOT NULL").dropDuplicates(["vec_id"])
+    usable = F.expr(f"vec_id IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) * {SCALE} < double('Infinity'))")
+    vectors, queries = vectors.select(*pick).where(usable), queries.select(*pick).where(usable).distinct()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = -(-queries.count() // QUERIES)
     hits = spark.createDataFrame([], HITS)
-    dealt = vectors.repartition(n, "vec_id")
+    dealt = vectors.repartition(n, F.xxhash64("vec_id", "embedding"))
     for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()
+        rows = queries.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)) == b).orderBy("vec_id", "embedding").collect()
         asked = _by_length([r[0] for r in rows], [r[1] for r in rows])
-        hits = hits.union(dealt.mapInArrow(_search(spark.sparkContext.broadcast(asked), k), HITS))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        hits = hits.union(dealt.mapInArrow(_search(spark.sparkContext.broadcast(asked), k, b, blocks), HITS))
+    order = Window.partitionBy("asked").orderBy(F.col("score").desc(), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 

@@ -78,17 +78,35 @@ def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return both[np.append(True, both[1:] != both[:-1])]
 
 
+def _grouped(left: np.ndarray, right: np.ndarray, at: np.ndarray, width: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places by pair, size of each pair's group, left and right of each pair)."""
+    low = n.bit_length()
+    if 2 * width + low > 64:  # symbols and places don't fit one integer
+        order = np.lexsort((at, right, left))
+        first = np.flatnonzero(np.append(True, (np.diff(left[order]) != 0) | (np.diff(right[order]) != 0)))
+        return at[order], np.diff(np.append(first, len(at))), left[order][first], right[order][first]
+    key = left.astype(np.uint64) << np.uint64(width)
+    key |= right.astype(np.uint64)
+    key <<= np.uint64(low)
+    key |= at.astype(np.uint64)
+    key.sort()
+    place = (key & np.uint64((1 << low) - 1)).astype(np.int64)
+    key >>= np.uint64(low)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    pair = key[first].astype(np.int64)
+    return place, np.diff(np.append(first, len(at))), pair >> width, pair & (1 << width) - 1
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, ends of documents among them, rules as pairs, expansion lengths) of the ids of a shard."""
     n = len(ids)
+    base = int(ids.max(initial=0)) + 1  # nonterminals follow here until they are written
     seq = np.append(ids.astype(np.int32), np.int32(-1))
     after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
     after[ends - 1] = after[n] = n  # n stands for the end of a document on either side
     before[0] = before[ends] = n
     level = np.full(n + 1, UNCOUNTED, np.int8)
     level[ends - 1] = level[n] = GONE
-    levels = np.frexp(np.arange(min(n, 1 << 16) + 1))[1].astype(np.int8) - np.int8(1)  # by count; larger ones are shifted
-    levels[: min(min_count, len(levels))] = GONE
     lengths, rules, n_rules, now, at = np.zeros(0, np.int64), [], 0, UNCOUNTED, None
     while now > GONE:
         at = np.flatnonzero(level >= now) if at is None else at[level[at] >= now]
@@ -96,52 +114,38 @@ def compress(ids: np.ndarray, ends: np.ndarray, min_count: int = MIN_COUNT) -> t
             now, at = int(level.max()), None
             continue
         looked = at
-        left, right = seq[at], seq[after[at]]
-        bits = max(8, min(20, len(at).bit_length()))
-        slot = left.view(np.uint32) * np.uint32(0x9E3779B1)
-        slot ^= slot >> np.uint32(15)
-        slot += right.view(np.uint32) * np.uint32(0x85EBCA77)
-        slot ^= slot >> np.uint32(13)
-        slot *= np.uint32(0xC2B2AE3D)
-        slot >>= np.uint32(32 - bits)
-        slot = slot.view(np.int32)
-        pair = left.astype(np.int64) << 32 | right
-        owner = np.empty(1 << bits, np.int64)
-        owner[slot] = pair  # of the pairs in a slot one is counted, the others wait for the next round
-        mine = owner[slot] == pair
-        at, slot = at[mine], slot[mine]
-        count = np.bincount(slot, minlength=1 << bits)
-        most = int(count.max())
-        own = levels[count] if most < len(levels) else np.where(count < len(levels), levels[np.minimum(count, len(levels) - 1)], (np.frexp(count)[1] - 1).astype(np.int8))
-        level[at] = own[slot]
-        now = int(own.max(initial=GONE))
+        place, count, left, right = _grouped(seq[at], seq[after[at]], at, (base + n_rules).bit_length(), n)
+        own = (np.frexp(count)[1] - 1).astype(np.int8)
+        own[count < min_count] = GONE
+        level[place] = np.repeat(own, count)
+        now = int(own.max())
         if now <= GONE:
             now, at = UNCOUNTED, looked
             continue
         chosen = np.flatnonzero(own == now)
-        rarer = (2 << now) - count[chosen]
-        chosen = chosen[np.argsort(rarer.astype(np.uint16) if now < 15 else rarer, kind="stable")]
-        order = np.full(1 << bits, -1, np.int32)
-        order[chosen] = np.arange(len(chosen), dtype=np.int32)
-        rank = order[slot]
-        at, rank = at[rank >= 0], rank[rank >= 0]
+        rank = np.empty(len(chosen), np.int64)
+        rank[np.argsort(-count[chosen], kind="stable")] = np.arange(len(chosen))
+        key = place[np.repeat(own == now, count)] << 32 | np.repeat(rank, count[chosen])
+        key.sort()
+        at, rank_at = key >> 32, key & 0xFFFFFFFF
         # of overlapping occurrences the one of the more frequent pair stays; in runs, every other
-        key = rank.astype(np.int64) * 2 + (np.arange(len(at)) & 1)
+        key = rank_at * 2 + (np.arange(len(at)) & 1)
         near = after[at[:-1]] == at[1:]
         take = np.ones(len(at), bool)
         take[:-1] &= ~near | (key[:-1] < key[1:])
         take[1:] &= ~near | (key[1:] < key[:-1])
-        at, rank = at[take], rank[take]
-        used = np.bincount(rank, minlength=len(chosen)) > 0
-        two = owner[chosen[used]]
-        two = np.stack([two >> 32, two & 0xFFFFFFFF], 1)
+        at, rank_at = at[take], rank_at[take]
+        used = np.bincount(rank_at, minlength=len(chosen)) > 0
+        two = np.empty((len(chosen), 2), np.int64)
+        two[rank] = np.stack([left[chosen], right[chosen]], 1)
+        two = two[used]
         size = np.ones(two.shape, np.int64)
-        size[two >= BASE] = lengths[two[two >= BASE] - BASE]
+        size[two >= base] = lengths[two[two >= base] - base]
         lengths = np.append(lengths, size.sum(axis=1))
         rules.append(two)
         merged = after[at]
         far = after[merged]
-        seq[at] = BASE + n_rules + (np.cumsum(used) - 1)[rank]
+        seq[at] = base + n_rules + (np.cumsum(used) - 1)[rank_at]
         seq[merged] = level[merged] = GONE
         after[at], before[far] = far, at
         level[at] = level[before[at]] = UNCOUNTED
@@ -151,7 +155,10 @@ def compress(ids: np.ndarray, ends: np.ndarray, min_count: int = MIN_COUNT) -> t
         at = _merged(looked, before[at]) if len(looked) < n >> 3 else None
     left = seq[:n] >= 0
     rules = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return seq[:n][left], np.cumsum(left)[ends - 1], rules, lengths
+    symbols = seq[:n][left]
+    symbols[symbols >= base] += BASE - base
+    rules[rules >= base] += BASE - base
+    return symbols, np.cumsum(left)[ends - 1], rules, lengths
 
 
 def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -4,7 +4,9 @@ A text's lower-cased bytes, with everything but letters blanked, give hashed 2-
 counts are damped by a logarithm, weighted by inverse document frequency and normalised. Each
 language has several centroids from spherical k-means; a text takes the language of the
 centroid with the largest cosine. A text is rejected when it has no letter or when its cosine
-is below ``reject_factor`` times a low quantile of what training texts of that language reach.
+is below ``REJECT_FACTOR`` times a low quantile of what training texts of that language reach
+at its length: short texts have lower cosines, so the quantile is taken of n-grams drawn from
+training texts, for every power of two, and is no more than that of the longer texts themselves.
 
 The model is fitted on a sample of at most about ``MAX_TRAIN`` labelled rows, an equal share
 for each language, chosen by a hash of doc_id. Null, empty and letterless texts get ``und``
@@ -24,8 +26,11 @@ from .common import documents, pieces, text_buffer
 DIMS = 1 << 13
 CENTROIDS = 4
 MAX_TRAIN = 4000
-REJECT_QUANTILE = 0.002
-REJECT_FACTOR = 0.15
+REJECT_QUANTILE = 0.01
+REJECT_FACTOR = 0.5
+REJECT_TEXTS = 50  # training texts of a language that n-grams are drawn from
+LENGTHS = 18  # thresholds for 2 ** 0 .. 2 ** 17 n-grams
+LONG = 256
 UNKNOWN = "und"
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
@@ -87,12 +92,35 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
+def _least(x: np.ndarray, rows: list, idf: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The smallest cosine that is accepted for each power of two of n-grams."""
+    rng = np.random.default_rng(7)
+    sizes = np.array([int(np.frombuffer(r["counts"], "<u4").sum()) for r in rows])
+    long = sizes >= LONG
+    most = np.quantile((x[long if long.any() else slice(None)] @ centres.T).max(axis=1), REJECT_QUANTILE)
+    out = np.zeros(LENGTHS)
+    for k in range(3, LENGTHS):
+        able = np.flatnonzero(sizes >= 1 << k)
+        if not len(able):
+            out[k] = out[k - 1]
+            continue
+        drawn = np.zeros((min(REJECT_TEXTS, len(able)), DIMS), np.float32)
+        for i, j in enumerate(able[np.linspace(0, len(able) - 1, len(drawn)).astype(int)]):
+            counts = np.frombuffer(rows[j]["counts"], "<u4")
+            drawn[i, np.frombuffer(rows[j]["slots"], "<u2")] = np.log1p(rng.multinomial(1 << k, counts / counts.sum()))
+        drawn *= idf
+        drawn /= np.maximum(np.linalg.norm(drawn, axis=1, keepdims=True), 1e-12)
+        out[k] = min(most, np.quantile((drawn @ centres.T).max(axis=1), REJECT_QUANTILE))
+    out[:3] = out[3] * np.arange(3) / 3
+    return REJECT_FACTOR * out
+
+
 def fit(train: DataFrame, max_train: int = MAX_TRAIN, centroids: int = CENTROIDS) -> dict:
     """A model from rows of train (doc_id, text, lang) with a language."""
     train = train.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text", "lang")
     counts = dict(train.groupBy("lang").count().collect())
     if not counts:
-        return {"langs": [], "centroids": np.zeros((0, DIMS), np.float32), "own": np.zeros(0, np.int64), "idf": np.ones(DIMS, np.float32), "least": np.zeros(0)}
+        return {"langs": [], "centroids": np.zeros((0, DIMS), np.float32), "own": np.zeros(0, np.int64), "idf": np.ones(DIMS, np.float32), "least": np.zeros((0, LENGTHS))}
     share = max_train / len(counts)
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     part = F.lit(False)
@@ -110,7 +138,7 @@ def fit(train: DataFrame, max_train: int = MAX_TRAIN, centroids: int = CENTROIDS
     langs = sorted({r["lang"] for r in rows})
     label = np.array([langs.index(r["lang"]) for r in rows])
     groups = [_clusters(x[label == i], centroids) for i in range(len(langs))]
-    least = np.array([REJECT_FACTOR * np.quantile((x[label == i] @ g.T).max(axis=1), REJECT_QUANTILE) for i, g in enumerate(groups)])
+    least = np.array([_least(x[label == i], [rows[j] for j in np.flatnonzero(label == i)], idf, g) for i, g in enumerate(groups)])
     own = np.repeat(np.arange(len(langs)), [len(g) for g in groups])
     return {"langs": langs, "centroids": np.concatenate(groups).astype(np.float32), "own": own, "idf": idf, "least": least}
 
@@ -128,7 +156,7 @@ def _judged(model):
                 for lo in range(0, n, 256):
                     hi = min(n, lo + 256)
                     x = np.zeros((hi - lo, DIMS), np.float32)
-                    lettered = np.zeros(hi - lo, bool)
+                    lettered, length = np.zeros(hi - lo, bool), np.ones(hi - lo)
                     for i in range(lo, hi):
                         own = data[offsets[i] : offsets[i + 1]]
                         if not len(own):
@@ -136,7 +164,8 @@ def _judged(model):
                         if not ((own >= 97) & (own <= 122)).any() and not any(c.isalpha() for c in texts[i].as_py()):
                             continue
                         lettered[i - lo] = True
-                        x[i - lo] = np.log1p(gram_counts(own))
+                        counts = gram_counts(own)
+                        x[i - lo], length[i - lo] = np.log1p(counts), max(1, counts.sum())
                     if not len(m["langs"]) or not lettered.any():
                         continue
                     x *= m["idf"]
@@ -147,7 +176,7 @@ def _judged(model):
                         k = int(m["own"][best[i]])
                         pred[lo + i] = m["langs"][k]
                         score[lo + i] = min(1.0, max(0.0, float(cosine[i, best[i]])))
-                        rejected[lo + i] = score[lo + i] < m["least"][k]
+                        rejected[lo + i] = score[lo + i] < np.interp(np.log2(length[i]), np.arange(LENGTHS), m["least"][k])
                 yield part, pred, score, rejected
 
     return run

@@ -1,18 +1,21 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words are lower-cased runs of letters and digits. Runs of five benchmark words are seeds; a
-rolling hash finds them in every document. For a document and an item that share seeds, seeds
-on one diagonal join to maximal matches; the longest match whose words are still free on both
-sides becomes a tile, again and again, down to five words. An item counts as contained when
-tiles cover at least 0.8 of its words, in whatever order they stand in the document.
+rolling hash finds them in every document. First the seeds that a document has at all tell how
+much of an item tiles could cover; only for the items that could be contained are seeds laid out
+by place. Seeds on one diagonal join to maximal matches; the longest match whose words are still
+free on both sides becomes a tile, again and again, down to five words. An item counts as
+contained when tiles cover at least 0.8 of its words, in whatever order they stand in the
+document. The words of the tiles themselves are compared before it is reported. An item of fewer
+than five words counts when all of it stands in one run.
 
 The benchmark is the stated query set: it is read in blocks of at most ``BLOCK_ITEMS`` items
 (and ``BLOCK_WORDS`` words), each sent to the executors and held against all documents. The
 documents are never shuffled.
 
-Items of fewer than five words, null and empty items take no part; null and empty documents
-hold nothing. Repeated items and repeated documents are judged row by row. Extra columns are
-ignored by ``contamination`` and kept by ``decontaminate``.
+Null, empty and wordless items take no part; null and empty documents hold nothing. Repeated
+items and repeated documents are judged row by row, also without an id. Extra columns are ignored
+by ``contamination`` and kept by ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ MIN_MATCH = 5
 COVERAGE = 0.8
 BLOCK_ITEMS = 50_000
 BLOCK_WORDS = 4_000_000
+SEEDS = 4_000_000  # laid out at a time
+_BASE = 0xA0761D6478BD642F
 _WORD = np.full(256, 0x20, np.uint8)
 for _b in (*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)):
     _WORD[_b] = _b
@@ -45,21 +50,27 @@ FOUND = T.StructType(
 )
 
 
-def hashed_words(column) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of an Arrow text column and the first word of each row."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
+class Words:
+    """The words of an Arrow text column: their hashes, their bytes and the first word of each row."""
 
-    data, offsets = text_buffer(pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), "")))
-    data = _WORD[data]
-    marks = np.flatnonzero(data == 0xC2)  # U+0080 to U+00BF, signs
-    marks = marks[marks + 1 < len(data)]
-    data[marks] = data[marks + 1] = 0x20
-    marks = np.flatnonzero(data[:-2] == 0xE2) if len(data) > 2 else np.zeros(0, np.int64)
-    marks = marks[(data[marks + 1] == 0x80) | (data[marks + 1] == 0x81)]  # U+2000 to U+207F, punctuation
-    data[marks] = data[marks + 1] = data[marks + 2] = 0x20
-    starts, _, first = words_of(data, offsets)
-    return word_hashes(data, starts), first
+    def __init__(self, column):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        data, offsets = text_buffer(pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), "")))
+        data = _WORD[data]
+        marks = np.flatnonzero(data == 0xC2)  # U+0080 to U+00BF, signs
+        marks = marks[marks + 1 < len(data)]
+        data[marks] = data[marks + 1] = 0x20
+        marks = np.flatnonzero(data[:-2] == 0xE2) if len(data) > 2 else np.zeros(0, np.int64)
+        marks = marks[(data[marks + 1] == 0x80) | (data[marks + 1] == 0x81)]  # U+2000 to U+207F, punctuation
+        data[marks] = data[marks + 1] = data[marks + 2] = 0x20
+        self.data = data
+        self.starts, self.ends, self.first = words_of(data, offsets)
+        self.hashes = word_hashes(data, self.starts)
+
+    def run(self, i: int, n: int) -> list[bytes]:
+        return [self.data[s:e].tobytes() for s, e in zip(self.starts[i : i + n].tolist(), self.ends[i : i + n].tolist(), strict=True)]
 
 
 def matches(places: np.ndarray, item_places: np.ndarray, k: int) -> list[tuple[int, int, int]]:
@@ -104,45 +115,94 @@ class Items:
     def __init__(self, ids: list[int], texts: list[str | None], k: int = MIN_MATCH):
         import pyarrow as pa
 
-        hashes, first = hashed_words(pa.array(texts, pa.large_string()))
+        self.words = Words(pa.array(texts, pa.large_string()))
+        first, hashes = self.words.first, self.words.hashes
         self.k, self.ids, self.sizes = k, ids, np.diff(first)
-        grams = gram_hashes(hashes, k, 0xA0761D6478BD642F)
+        grams = gram_hashes(hashes, k, _BASE)
         row = np.repeat(np.arange(len(ids)), np.diff(first))
         own = np.flatnonzero(row[: len(grams)] == row[k - 1 : k - 1 + len(grams)]) if len(grams) else np.zeros(0, np.int64)
-        order = np.argsort(grams[own], kind="stable")
-        self.grams, self.items = grams[own][order], row[own][order]
+        self.by_item = grams[own]  # in the order of items
+        self.bounds = np.searchsorted(row[own], np.arange(len(ids) + 1))
+        order = np.argsort(self.by_item, kind="stable")
+        self.grams, self.items = self.by_item[order], row[own][order]
         self.places = (own - first[row[own]])[order]
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(self.grams & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        self.short = {}  # words -> sorted hashes of whole items, and the items
+        for n in range(1, k):
+            few = np.flatnonzero(self.sizes == n)
+            if len(few):
+                whole = gram_hashes(hashes, n, _BASE)[first[few]]
+                order = np.argsort(whole, kind="stable")
+                self.short[n] = whole[order], few[order]
 
-    def seeds(self, hashes: np.ndarray):
-        """(place in hashes, item, place in the item) of every seed."""
-        grams = gram_hashes(hashes, self.k, 0xA0761D6478BD642F)
+    def contained(self, column, coverage: float):
+        """(row, item, tiles) of every item contained in a row of an Arrow text column."""
+        words = Words(column)
+        for row, item, tiles in (*self._whole(words), *self._tiled(words, coverage)):
+            at, own = words.first[row], self.words.first[item]
+            if all(words.run(at + d, n) == self.words.run(own + i, n) for n, d, i in tiles):
+                yield row, item, tiles
+
+    def _whole(self, words: Words):
+        """Short items that stand in a row: the first place of each."""
+        for n, (whole, few) in self.short.items():
+            grams = gram_hashes(words.hashes, n, _BASE)
+            at = np.flatnonzero(np.isin(grams, whole))
+            row = np.searchsorted(words.first, at, "right") - 1
+            at, row = at[at + n <= words.first[row + 1]], row[at + n <= words.first[row + 1]]
+            _, once = np.unique(np.stack([row.astype(np.uint64), grams[at]], 1), axis=0, return_index=True)
+            for at, row in zip(at[once].tolist(), row[once].tolist(), strict=True):
+                for item in few[np.searchsorted(whole, grams[at], "left") : np.searchsorted(whole, grams[at], "right")].tolist():
+                    yield row, item, [(n, int(at - words.first[row]), 0)]
+
+    def _tiled(self, words: Words, coverage: float):
+        grams = gram_hashes(words.hashes, self.k, _BASE)
         at = np.flatnonzero(self.maybe[(grams & np.uint64((1 << 22) - 1)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.grams, grams[at], "left"), np.searchsorted(self.grams, grams[at], "right")
+        at = at[np.isin(grams[at], self.grams)] if len(at) else at
+        row = np.searchsorted(words.first, at, "right") - 1
+        inside = at + self.k <= words.first[row + 1]
+        at, row = at[inside], row[inside]
+        if not len(at):
+            return
+        order = np.lexsort((at, grams[at], row))
+        at, row, gram = at[order], row[order], grams[at][order]
+        once = np.append(True, (row[1:] != row[:-1]) | (gram[1:] != gram[:-1]))
+        lo, hi = np.searchsorted(self.grams, gram[once], "left"), np.searchsorted(self.grams, gram[once], "right")
+        rows = np.flatnonzero(np.append(True, row[once][1:] != row[once][:-1]))  # a row at a time, or several small ones
+        cost = np.add.reduceat(hi - lo, rows)
+        cut = np.append(rows, len(lo))
+        start = 0
+        while start < len(rows):
+            end = max(start + 1, int(np.searchsorted(np.cumsum(cost[start:]), SEEDS, "right")) + start)
+            part = slice(cut[start], cut[end])
+            for r, item in self._possible(row[once][part], lo[part], hi[part], coverage):
+                s, e = np.searchsorted(row, r, "left"), np.searchsorted(row, r, "right")
+                tiles = self._tiles(item, at[s:e] - words.first[r], gram[s:e])
+                if sum(n for n, _, _ in tiles) >= coverage * self.sizes[item]:
+                    yield r, item, tiles
+            start = end
+
+    def _possible(self, row: np.ndarray, lo: np.ndarray, hi: np.ndarray, coverage: float) -> list[tuple[int, int]]:
+        """(row, item) where all seeds together, wherever they stand in the row, cover enough of the item."""
         times = hi - lo
-        at, lo, times = at[times > 0], lo[times > 0], times[times > 0]
         slot = np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
-        return np.repeat(at, times), self.items[slot], self.places[slot]
-
-    def contained(self, column, coverage: float):
-        """(row, item, tiles) of every item contained in a row of an Arrow text column."""
-        hashes, first = hashed_words(column)
-        place, item, item_place = self.seeds(hashes)
-        row = np.searchsorted(first, place, "right") - 1
-        inside = place + self.k <= first[row + 1]
-        place, item, item_place, row = place[inside], item[inside], item_place[inside], row[inside]
+        row, item, place = np.repeat(row, times), self.items[slot], self.places[slot]
         order = np.lexsort((place, item, row))
-        place, item, item_place, row = place[order], item[order], item_place[order], row[order]
-        cut = np.concatenate(([0], np.flatnonzero((np.diff(row) != 0) | (np.diff(item) != 0)) + 1, [len(row)])) if len(row) else [0]
-        for s, e in zip(cut[:-1], cut[1:], strict=True):
-            size = int(self.sizes[item[s]])
-            seen = np.unique(item_place[s:e])
-            if np.minimum(np.diff(seen), self.k).sum() + self.k < coverage * size:
-                continue  # even all seeds together cover too little
-            tiles = tile(matches(place[s:e] - first[row[s]], item_place[s:e], self.k), size, self.k)
-            if sum(n for n, _, _ in tiles) >= coverage * size:
-                yield int(row[s]), int(item[s]), tiles
+        row, item, place = row[order], item[order], place[order]
+        new = np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]))
+        adds = np.where(new, self.k, np.minimum(np.diff(place, prepend=0), self.k))
+        first = np.flatnonzero(new)
+        ok = np.add.reduceat(adds, first) >= coverage * self.sizes[item[first]]
+        return list(zip(row[first[ok]].tolist(), item[first[ok]].tolist(), strict=True))
+
+    def _tiles(self, item: int, at: np.ndarray, gram: np.ndarray) -> list[tuple[int, int, int]]:
+        """Tiles of an item and a row whose seeds are gram, in ascending order, at places."""
+        own = self.by_item[self.bounds[item] : self.bounds[item + 1]]
+        lo, hi = np.searchsorted(gram, own, "left"), np.searchsorted(gram, own, "right")
+        times = hi - lo
+        slot = np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+        return tile(matches(at[slot], np.repeat(np.arange(len(own)), times), self.k), int(self.sizes[item]), self.k)
 
 
 def blocks(benchmark: DataFrame, k: int = MIN_MATCH):

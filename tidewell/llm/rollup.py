@@ -6,7 +6,8 @@ and tokenizer version and writes those few sums under the batch's name; totals a
 all committed batches. Nothing is ever counted again, and nothing is changed in place.
 
 A batch is committed when its folder is in place: the sums are written beside it first and
-moved by one rename, and a batch whose folder exists is left alone. So a batch that is sent
+moved by one rename that fails where the folder exists, so of two that commit the same batch one
+wins. Names of batches can be any text. So a batch that is sent
 twice, or broke off half way and is sent again, counts once. ``compact`` folds batches into
 one and remembers their names.
 
@@ -18,8 +19,10 @@ its name. Extra columns are ignored.
 from __future__ import annotations
 
 import uuid
+from urllib.parse import quote, unquote
 
 import numpy as np
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +67,10 @@ def changes(counted: DataFrame, version: str, kind: str, new: str = "n_tokens",
     return counted.select("source", "lang", F.lit(version).alias("tokenizer_version"), docs.alias("n_docs"), tokens.cast("long").alias("n_tokens"))
 
 
+def _name(path: str) -> str:
+    return unquote(path.rpartition("batch=")[2])
+
+
 class Rollup:
     """Totals in a folder that driver and executors share."""
 
@@ -71,7 +78,7 @@ class Rollup:
         self.spark, self.path = spark, path.rstrip("/")
 
     def _at(self, batch: str) -> str:
-        return f"{self.path}/batch={batch}"
+        return f"{self.path}/batch={quote(batch, safe='')}"
 
     def committed(self, batch: str) -> bool:
         return exists(self.spark, self._at(batch)) or batch in self._folded()
@@ -80,7 +87,7 @@ class Rollup:
         names = set()
         for at in self._batches():
             if exists(self.spark, f"{at}/_folded"):
-                names |= {x[0] for x in self.spark.read.text(f"{at}/_folded").collect()}
+                names |= {unquote(x[0]) for x in self.spark.read.text(f"{at}/_folded").collect()}
         return names
 
     def _batches(self) -> list[str]:
@@ -100,11 +107,18 @@ class Rollup:
         beside = f"{self.path}/writing-{uuid.uuid4().hex}"
         sums.write.parquet(beside)
         if folded is not None:
-            self.spark.createDataFrame([(x,) for x in folded], "value string").coalesce(1).write.text(f"{beside}/_folded")
+            self.spark.createDataFrame([(quote(x, safe=""),) for x in folded], "value string").coalesce(1).write.text(f"{beside}/_folded")
         fs, source = file_system(self.spark, beside)
         _, target = file_system(self.spark, self._at(batch))
-        if fs.exists(target) or not fs.rename(source, target):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        never_over = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        never_over[0] = getattr(hadoop, "Options$Rename").NONE
+        try:
+            hadoop.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(source, target, never_over)
+        except Py4JJavaError as e:
             fs.delete(source, True)
+            if "FileAlreadyExistsException" not in e.java_exception.getClass().getName():
+                raise
             return False
         return True
 
@@ -126,7 +140,7 @@ class Rollup:
         batches = self._live()
         if len(batches) < 2:
             return
-        names = sorted(self._folded() | {x.rpartition("batch=")[2] for x in batches})
+        names = sorted(self._folded() | {_name(x) for x in batches})
         self._place(f"folded-{uuid.uuid4().hex}", self.totals(), names)
         for at in set(self._batches()) - set(self._live()):
             fs, where = file_system(self.spark, at)
@@ -134,7 +148,7 @@ class Rollup:
 
     def _live(self) -> list[str]:
         folded = self._folded()
-        return [x for x in self._batches() if x.rpartition("batch=")[2] not in folded]
+        return [x for x in self._batches() if _name(x) not in folded]
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

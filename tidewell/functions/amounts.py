@@ -16,7 +16,7 @@ AMOUNT = rf"(?:{CURRENCY}\s?{FIGURE}|{FIGURE}\s?{CURRENCY})"
 NOTHING = ["", "n/a", "na", "none", "not applicable", "not specified", "unspecified", "other", "others", "tbd", "tba", "varies", "various", "unknown", "-", "--", "not disclosed", "confidential", "0"]
 GLUED = r"(?i)\s*(?:add to (?:google )?calendar|deadline\s*:.*|share\b.*|read more.*|apply now.*|view details.*|click here.*)$"
 CODES = "USD|EUR|GBP|INR|CHF|AUD|CAD|NZD|ZAR|SEK|NOK|DKK|JPY|CNY|KES|NGN|PHP|SGD|THB|IDR|BRL|MXN"
-#: (pattern of one or two amounts, text in front); the first that is found counts.
+# Patterns of one or two amounts, and the text in front; the first that is found counts. Words that tell an award.
 PHRASES = [
     (rf"\b(?:ranging\s+)?from\s+({AMOUNT})\s*(?:to|–|—|-|and)\s*({AMOUNT})", ""),
     (rf"\bbetween\s+({AMOUNT})\s*(?:to|and|–|—|-)\s*({AMOUNT})", ""),

@@ -24,8 +24,9 @@ def total(columns: list[Column]) -> Column:
 
 
 def score(title: Column, body: Column, patterns: list[str]) -> Column:
-    """Three for each pattern in the title, one for each in the body."""
-    return total([F.when(hit(title, p), TITLE).otherwise(0) + F.when(hit(body, p), BODY).otherwise(0) for p in patterns])
+    """Three for each pattern in the title, one for each in the body; a field without any costs one look."""
+    any_of = "|".join(f"(?:{p})" for p in patterns)
+    return total([F.when(hit(text, any_of), total([F.when(hit(text, p), points).otherwise(0) for p in patterns])).otherwise(0) for text, points in ((title, TITLE), (body, BODY))])
 
 
 def category(title: Column, body: Column, hint: Column | None = None, lexicon: dict[str, list[str]] = CATEGORY_PATTERNS, enabled: list[str] = ENABLED_CATEGORIES) -> Column:

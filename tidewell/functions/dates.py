@@ -54,17 +54,17 @@ def fuzzy_parser(as_of: datetime.date, dayfirst: bool = True):
                         continue
             return None
 
-        return texts.map(one)
+        known = {text: one(text) for text in texts.dropna().unique()}
+        return texts.map(known.get)
 
     return parse
 
 
 def with_deadline(rows: DataFrame, raw: str, as_of: datetime.date, dayfirst: bool = True, to: str = "deadline") -> DataFrame:
-    """Adds the deadline: common formats in generated code, the distinct rest through the parser."""
+    """Adds the deadline: common formats in generated code; only what is left is handed to the parser, each text once a batch."""
     quick = rows.withColumn("_text", stripped(F.col(raw))).withColumn(to, plain_date(F.col(raw), dayfirst))
-    rest = quick.where(F.col(to).isNull() & F.col("_text").rlike(r"\d|[A-Za-z]{3}")).select("_text").distinct()
-    read = rest.select("_text", fuzzy_parser(as_of, dayfirst)("_text").alias("_fuzzy"))
-    return quick.join(read, "_text", "left").withColumn(to, F.coalesce(to, "_fuzzy")).drop("_text", "_fuzzy")
+    left = F.when(F.col(to).isNull() & F.col("_text").rlike(r"\d|[A-Za-z]{3}"), F.col("_text"))
+    return quick.withColumn(to, F.coalesce(to, fuzzy_parser(as_of, dayfirst)(left))).drop("_text")
 
 
 def ongoing(raw: Column) -> Column:
@@ -109,6 +109,17 @@ def duration(seconds: Column) -> Column:
     return F.when(whole < 60, F.format_string("%ds", whole)).otherwise(F.format_string("%dm %ds", F.floor(whole / 60).cast("int"), (whole % 60).cast("int")))
 
 
+def reminder_date(as_of: datetime.date, days: Column) -> Column:
+    """The deadline that a reminder so many days ahead is about."""
+    return F.date_add(F.lit(as_of), days)
+
+
+def due(kind: Column, last: Column, now: Column) -> Column:
+    """Whether a schedule (manual, daily, weekly on Monday, monthly on the 1st, yearly on 1 January) has a run outstanding."""
+    start = F.when(kind == "daily", F.date_trunc("day", now)).when(kind == "weekly", F.date_trunc("week", now)).when(kind == "monthly", F.date_trunc("month", now)).when(kind == "yearly", F.date_trunc("year", now))
+    return F.coalesce(start.isNotNull() & (last.isNull() | (last < start)), F.lit(False))
+
+
 def reminder_days(days: Column, fallback: tuple[int, ...]) -> Column:
     kept = F.sort_array(F.array_distinct(F.filter(days, lambda d: d.between(1, 90))), asc=False)
     return F.when(F.size(kept) == 0, F.array(*map(F.lit, fallback))).otherwise(kept)

@@ -80,6 +80,12 @@ def normalised(country: Column, region: Column, places: Places) -> Column:
     return F.struct(name.alias("country"), F.when(given != "", given).otherwise(fallback).alias("region"))
 
 
+def looked_up(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """rows with the other columns of the place (country, ...) that their country names; places is a dimension, broadcast when small."""
+    known = places.groupBy(F.upper(F.trim("country")).alias("_key")).agg(*(F.min(c).alias(c) for c in places.columns if c != "country"))
+    return rows.withColumn("_key", F.upper(F.trim(blank(F.col("country"))))).join(known, "_key", "left").drop("_key")
+
+
 def display_case(x: Column) -> Column:
     """Names in title case, small words lower, parts of hyphenated names capitalised."""
     small = ["and", "of", "the", "da", "del", "de", "des", "du"]

@@ -8,22 +8,27 @@ from pyspark.sql import functions as F
 from .text import blank, squeezed
 
 # Words that prove an institution, and names too vague to stand alone.
-MARKERS = r"foundation|trust|council|commission|ministry|agency|association|institute|institution|university|college|society|bank|department|authority|corporation|cent(?:er|re)|network|alliance|federation|consortium|organi[sz]ation|office|secretariat|bureau|charity|endowment|embassy|government|fonds|fonden|stiftung"
+MARKERS = r"foundation|trust|council|commission|ministry|minist[eè]re|agency|association|institute|institution|university|college|society|bank|department|authority|corporation|cent(?:er|re)|network|alliance|federation|consortium|organi[sz]ation|office|secretariat|bureau|charity|charitable|endowment|philanthrop\w*|embassy|government|municipal|united\s+nations|european\s+union|development\s+programme|environment\s+programme|fonds|fonden|stiftung|fundaci[oó]n"
 VAGUE = ["civil society", "society", "government", "the government", "european union", "united nations", "embassy", "council", "foundation", "trust", "network", "commission", "ministry", "agency", "university", "institute", "bank"]
+# Words that begin no name.
+STOP_FIRST = ["the", "a", "an", "this", "it", "they", "we", "applications", "apply", "grants", "grant", "funding", "fund", "program", "programme", "opportunity", "deadline", "eligible", "interested", "organizations", "proposals", "successful", "selected", "all", "each", "ai", "snippet", "summary"]
 SCANNED, LONGEST = 600, 200
+#: A clause between a name and its verb, and one behind a name.
+APPOSITIVE, CLAUSE = r",\s+(?:that|which|who)\s+[^,]{0,80},\s*", r"(?i),\s+(?:ha[sv]e?|is|are|will|which|who|that|and\s+its)\b.*$"
 
 _NAME = r"[A-Z][\w&.'’()\-]*(?:\s+(?:of|for|and|the|de|du|des|on|in|[A-Z(][\w&.'’()\-]*)){0,12}"
-#: (pattern, whether its phrasing alone names an institution)
+# Phrasings that name who gives; each with whether it alone proves an institution.
 PHRASINGS = [
     (rf"\bby\s+(?:the\s+)?({_NAME})\s+(?:provides|offers|supports|aims|seeks|invites)\b", True),
     (rf"\b(?:offered|funded|administered|launched|managed|supported|implemented|run|provided|established|created|sponsored)\s+by\s+(?:the\s+)?({_NAME})", True),
     (rf"(?:^|[.•]\s)\s*(?:The\s+)?({_NAME})\s+(?:is\s+(?:inviting|accepting|seeking|requesting|calling|offering|pleased|now\s+accepting)|invites|announces|announced|has\s+(?:launched|opened|announced)|seeks|offers|provides)\b", False),
 ]
+# Words of schemes behind a name.
 _SCHEME = r"(?i)(?:\s+(?:grants?|programmes?|programs?|funds?|funding|schemes?|fellowships?|scholarships?|awards?|prizes?|competitions?|challenges?|calls?|rounds?|cycles?))+$"
 
 
 def _settled(name: Column, proven: bool) -> Column:
-    n = F.regexp_replace(F.regexp_replace(squeezed(name), r"^(?i:the|a|an)\s+", ""), r"[\s,.;:\-–—]+$", "")
+    n = F.regexp_replace(F.regexp_replace(F.regexp_replace(squeezed(name), CLAUSE, ""), rf"^(?i:(?:{'|'.join(STOP_FIRST)})\b[,.]?\s+)+", ""), r"[\s,.;:\-–—]+$", "")
     n = F.regexp_replace(F.regexp_replace(n, _SCHEME, ""), r"\s+(?:of|for|and|the|de|du|des|on|in)$", "")
     whole = F.regexp_extract(n, rf"(?i)^(.*?\b(?:{MARKERS})\b(?:\s+(?:of|for|de|du|des|and|on|in)\s+\p{{Lu}}.*|\s+\([A-Z]{{2,8}}\)|(?=\s|$)))", 1)
     out = F.when(whole != "", F.trim(whole)).when(F.lit(proven) | n.rlike(r"\([A-Z]{2,8}\)"), n).otherwise("")
@@ -33,6 +38,7 @@ def _settled(name: Column, proven: bool) -> Column:
 def extracted(summary: Column, title: Column) -> Column:
     """The organisation a summary, or else a title, names; blank when none is sure."""
     text = F.substring(squeezed(F.regexp_replace(blank(summary), r"(?i)^\s*(?:deadline\s*:\s*\S+)?\s*(?:ai\s+snippet\s+summary\s*:?\s*)?", "")), 1, SCANNED)
+    text = F.regexp_replace(text, APPOSITIVE, " ")
     found = [F.nullif(_settled(F.regexp_extract(text, pattern, 1), proven), F.lit("")) for pattern, proven in PHRASINGS]
     from_title = F.nullif(_settled(F.regexp_extract(blank(title), rf"({_NAME})", 1), False), F.lit(""))
     return F.coalesce(*found, from_title, F.lit(""))

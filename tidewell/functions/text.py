@@ -83,6 +83,7 @@ def spam(title: Column, summary: Column) -> Column:
 def junk_title(title: Column) -> Column:
     """Rows that look like page furniture, for a report."""
     t = F.trim(blank(title))
+    # Titles of menus.
     menu = ["skip to main content", "read more", "apply now", "click here", "learn more", "subscribe", "menu", "home"]
     return t.rlike(r"(?i)^[^@\s]+@[^@\s]+\.[a-z]{2,}$") | F.lower(t).isin(menu) | (F.length(t) < 8)
 

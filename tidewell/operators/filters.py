@@ -107,16 +107,16 @@ def search(text: str) -> Column:
     import re
     import unicodedata
 
-    def one(word: str) -> Column:
+    def one(whole: Column, word: str) -> Column:
         plain = "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
         parts = [p for p in re.split(r"[\W_]+", plain) if p]
         if not parts:
             return F.lit(False)
-        phrase = r"[^\p{L}\p{N}]+".join(parts)
-        pattern = rf"(^|[^\p{{L}}\p{{N}}]){phrase}"
-        return reduce(lambda a, b: a | b, [F.coalesce(F.lower(fold(F.col(c))).rlike(pattern), F.lit(False)) for c in SEARCHED])
+        phrase = r"[^\p{L}\p{N}\x01]+".join(parts)  # never from one column into the next
+        return whole.rlike(rf"(^|[^\p{{L}}\p{{N}}]){phrase}")
 
-    return reduce(lambda a, b: a & b, map(one, words))
+    folded = F.lower(fold(F.concat_ws("\x01", *SEARCHED)))
+    return F.transform(F.array(folded), lambda whole: reduce(lambda a, b: a & b, [one(whole, w) for w in words]))[0]
 
 
 def predicates(q: Listing, as_of: datetime.date) -> dict[str, Column]:

@@ -1,7 +1,8 @@
 """Who gets what: matching members, ledgers, ranked digests and reminders.
 
-Members are a small table of people; it is broadcast when counted below ``MEMBER_LIMIT`` and
-otherwise joined on exploded labels and categories where a member has them.
+Members are broadcast when counted below ``MEMBER_LIMIT``. Beyond, they meet listings on equal
+keys: a category, else the first three letters of a wanted label or keyword, which stand in the
+listing's own text; only members who restrict nothing (or by fewer letters) meet every listing.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from ..config import CAP_LADDER, CATEGORIES, DIGEST_BUDGET
 from .filters import active, labels
 
-MEMBER_LIMIT = 100_000
+MEMBER_LIMIT = 1_000
+GRAM = 3
 MATCHED = ("title", "organization", "summary", "vertical")
 
 
@@ -29,13 +31,24 @@ def matches(opps: DataFrame, members: DataFrame, as_of: datetime.date) -> DataFr
     """
     known = F.array(*map(F.lit, CATEGORIES))
     people = members.select("member_id", F.transform(wanted("keywords"), lambda x: F.lower(x)).alias("kw"), F.array_intersect(wanted("categories"), known).alias("cats"), F.transform(wanted("verticals"), lambda x: F.lower(x)).alias("verts"))
-    if members.limit(MEMBER_LIMIT + 1).count() <= MEMBER_LIMIT:
-        people = F.broadcast(people)
     rows = opps.where(active(as_of)).withColumn("_low", F.array(*(F.lower(F.coalesce(F.col(c), F.lit(""))) for c in MATCHED)))
-    word = (F.size("kw") == 0) | F.exists("kw", lambda k: F.exists("_low", lambda t: t.contains(k)))
-    category = (F.size("cats") == 0) | F.array_contains("cats", F.col("category"))
-    label = (F.size("verts") == 0) | F.exists("verts", lambda v: F.lower("verticals").contains(v) | (F.lower("vertical") == v))
-    return rows.join(people, word & category & label).drop("_low", "kw", "cats", "verts")
+    in_text = lambda k: F.exists("_low", lambda t: t.contains(k))
+    in_labels = lambda v: F.lower("verticals").contains(v) | (F.lower("vertical") == v)
+    fits = ((F.size("kw") == 0) | F.exists("kw", in_text)) & ((F.size("cats") == 0) | F.array_contains("cats", F.col("category"))) & ((F.size("verts") == 0) | F.exists("verts", in_labels))
+    if members.limit(MEMBER_LIMIT + 1).count() <= MEMBER_LIMIT:
+        return rows.join(F.broadcast(people), fits).drop("_low", "kw", "cats", "verts")
+    long = lambda column: (F.size(column) > 0) & F.forall(column, lambda x: F.length(x) >= GRAM)
+    start = lambda kind, x: F.concat(F.lit(kind), F.substring(x, 1, GRAM))
+    keys = F.when(F.size("cats") > 0, F.transform("cats", lambda c: F.concat(F.lit("c"), c))).when(long("verts"), F.transform("verts", lambda v: start("v", v)))
+    keys = keys.when(long("kw"), F.transform("kw", lambda k: start("k", k))).otherwise(F.array(F.lit("*")))
+    people = people.select("*", F.explode(F.array_distinct(keys)).alias("_key"))
+    grams = lambda kind, text: F.when(F.length(text) < GRAM, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(text) - GRAM + 1), lambda i: F.concat(F.lit(kind), F.substring(text, i, GRAM))))
+    own = F.concat(F.array(F.lit("*"), F.concat(F.lit("c"), "category")), *(grams("v", F.lower(F.coalesce(F.col(c), F.lit("")))) for c in ("verticals", "vertical")), *(grams("k", F.get("_low", F.lit(i))) for i in range(len(MATCHED))))
+    asked = people.select("_key").distinct()
+    met = rows.withColumn("_key", F.explode(F.array_distinct(own))).join(asked, "_key", "left_semi").join(people, "_key").where(fits)
+    # of several keys that a listing shares with a member the one of the first wanted word counts
+    first = F.when(F.size("cats") > 0, F.col("_key")).when(long("verts"), start("v", F.element_at(F.filter("verts", in_labels), 1))).when(long("kw"), start("k", F.element_at(F.filter("kw", in_text), 1))).otherwise(F.lit("*"))
+    return met.where(F.col("_key") == first).drop("_low", "_key", "kw", "cats", "verts")
 
 
 def unsent(matched: DataFrame, sent: DataFrame) -> DataFrame:

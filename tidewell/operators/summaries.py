@@ -24,36 +24,31 @@ def facets(opps: DataFrame, q: Listing, as_of: datetime.date) -> DataFrame:
     """(facet, values): the values of each field under every predicate but its own; one scan.
 
     A narrowed country or region facet that comes out empty shows all values; what is selected
-    never disappears.
+    never disappears. Values are grouped before they meet, and only the first ``ORGANIZATION_CAP``
+    organisations do.
     """
     tests = predicates(q, as_of)
     flagged = opps.select(*FACETS, *(test.alias(f"_{name}") for name, test in tests.items()))
     names = [f"_{name}" for name in tests]
-
-    def values(facet: str) -> Column:
-        holds = all_of(F.col(n) for n in names if n != f"_{facet}")
-        return F.array_sort(F.collect_set(F.when(holds & present(facet), F.col(facet))))
-
-    cells = [values(x).alias(x) for x in FACETS] + [F.array_sort(F.collect_set(F.when(present(x), F.col(x)))).alias(f"all_{x}") for x in FALLBACK]
-    one = flagged.agg(*cells)
-    parts = []
-    for facet in FACETS:
-        found = F.col(facet)
-        if facet in FALLBACK:
-            found = F.when(F.size(found) == 0, F.col(f"all_{facet}")).otherwise(found)
-        chosen = getattr(q, facet, [])
-        if facet in KEPT_SELECTED and chosen:
-            found = F.array_sort(F.array_union(found, F.array(*map(F.lit, chosen))))
-        if facet == "organization":
-            found = F.slice(found, 1, ORGANIZATION_CAP)
-        if facet == "category":
-            ordered = F.array(*map(F.lit, ENABLED_CATEGORIES))
-            kept = F.array_union(found, F.array(*map(F.lit, chosen))) if chosen else found
-            shown = F.array_intersect(ordered, kept)  # in the order of the first
-            found = F.when(F.size(shown) == 0, ordered).otherwise(shown)
-        parts.append(F.struct(F.lit(facet).alias("facet"), found.alias("values")))
-    parts.append(F.struct(F.lit("verticals").alias("facet"), F.array(*map(F.lit, VERTICALS)).alias("values")))
-    return one.select(F.explode(F.array(*parts)).alias("x")).select("x.facet", "x.values")
+    cells = [F.struct(F.lit(x).alias("facet"), F.when(present(x), F.col(x)).alias("value"), all_of(F.col(n) for n in names if n != f"_{x}").alias("holds")) for x in FACETS]
+    grouped = flagged.select(F.explode(F.array(*cells)).alias("c")).where("c.value IS NOT NULL").groupBy("c.facet", "c.value").agg(F.max("c.holds").alias("holds"))
+    place = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("holds"), "value"))
+    many = grouped.where("facet = 'organization' AND holds").withColumn("place", place).where(F.col("place") <= ORGANIZATION_CAP).select("facet", "value", "holds")
+    few = grouped.where("facet <> 'organization'").where(F.col("holds") | F.col("facet").isin(*FALLBACK))
+    lists = few.union(many).groupBy("facet").agg(F.array_sort(F.collect_list(F.when(F.col("holds"), F.col("value")))).alias("found"), F.array_sort(F.collect_list("value")).alias("whole"))
+    none = F.array().cast("array<string>")
+    own = opps.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, FACETS))).alias("facet")).join(F.broadcast(lists), "facet", "left")  # a row for each facet
+    found = F.coalesce("found", none)
+    found = F.when(F.col("facet").isin(*FALLBACK) & (F.size(found) == 0), F.coalesce("whole", none)).otherwise(found)
+    for facet in KEPT_SELECTED:
+        if chosen := getattr(q, facet, []):
+            found = F.when(F.col("facet") == facet, F.array_sort(F.array_union(found, F.array(*map(F.lit, chosen))))).otherwise(found)
+    ordered = F.array(*map(F.lit, ENABLED_CATEGORIES))
+    kept = F.array_union(found, F.array(*map(F.lit, q.category))) if q.category else found
+    shown = F.array_intersect(ordered, kept)  # in the order of the first
+    found = F.when(F.col("facet") == "category", F.when(F.size(shown) == 0, ordered).otherwise(shown)).otherwise(found)
+    fixed = opps.sparkSession.range(1).select(F.lit("verticals").alias("facet"), F.array(*map(F.lit, VERTICALS)).alias("values"))
+    return own.select("facet", found.alias("values")).union(fixed)
 
 
 def group_counts(rows: DataFrame, column: str, top: int = 12) -> DataFrame:

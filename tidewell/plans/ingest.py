@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import ENABLED_CATEGORIES
 from ..functions import amounts, classify, dates, geo, links, organizations, text
 from ..functions.lexicons import CATEGORY_PATTERNS, VERTICAL_PATTERNS
+from ..functions.places import WORLD
 
 RAW = "title string, organization string, country string, region string, funding_type string, vertical string, category_hint string, deadline_raw string, website string, opportunity_url string, summary string, location string, eligibility string, funding_amount string, source_website string, dayfirst boolean, assume_active boolean"
 
@@ -22,7 +23,7 @@ class Rules:
     as_of: datetime.date
     keep_expired: bool = False
     wanted_verticals: list[str] = field(default_factory=list)
-    places: geo.Places = field(default_factory=geo.Places)
+    places: geo.Places = field(default_factory=lambda: WORLD)
     categories: dict[str, list[str]] = field(default_factory=lambda: CATEGORY_PATTERNS)
     verticals: dict[str, list[str]] = field(default_factory=lambda: VERTICAL_PATTERNS)
     enabled: list[str] = field(default_factory=lambda: ENABLED_CATEGORIES)
@@ -76,6 +77,11 @@ def only_new(rows: DataFrame, table: DataFrame, order: list[str]) -> DataFrame:
     return first.join(table.select("unique_id"), "unique_id", "left_anti")
 
 
+def ingested(raw: DataFrame, table: DataFrame, rules: Rules, order: list[str]) -> DataFrame:
+    """The new rows of a batch, from raw listings to what is inserted: judged, filtered, first seen and not in the table."""
+    return only_new(accepted(judged(raw, rules), rules), table, order)
+
+
 def merged(table: DataFrame, incoming: DataFrame, active_only: bool = False) -> DataFrame:
     """The table with incoming rows of new unique_ids, over the columns that both have."""
     shared = [c for c in table.columns if c in incoming.columns and c != "id"]

@@ -7,59 +7,163 @@ import json
 
 from pyspark.sql import functions as F
 
+from ..config import AS_OF
 from ..fixtures import opportunities, sql
 from ..functions import dates
+from ..operators import exports
 from ..registry import query
 from ..shared import scratch
+from ..sources import html as scraped
 from ..sources import paged, records
 
 
 def _facts(name: str, oracle: str, rows, schema: str):
-    """A query over what a plain function of the source planner returns."""
-    query(name, oracle)(lambda spark, d: spark.createDataFrame(rows(), schema))
+    """A query over what the source planner decides from a table's counts."""
+    query(name, oracle)(lambda spark, d: spark.createDataFrame(rows(spark, d), schema))
 
 
-def _retry():
-    waits, answers = [], iter([(429, ""), (500, ""), (200, "ok")])
-    body = paged.fetch_with_retry(lambda _: next(answers), "u", 3, waits.append)
-    return [(body, ",".join(map(str, waits)))]
+_SITE = "concat('https://', lower(source_website), '.example.org')"
 
 
-_facts("src_04_fetch_with_retry", "SELECT 'ok' AS body, '20,4' AS waits", _retry, "body string, waits string")
-_facts("src_11_generic_paginator", "SELECT 'https://x.example.org/?a=1&page=2' AS url UNION ALL SELECT 'https://x.example.org/p/40'", lambda: [(paged.page_url("https://x.example.org/?a=1", 2, 20),), (paged.page_url("https://x.example.org/p/{offset}", 3, 20),)], "url string")
+@query("src_04_fetch_with_retry", "SELECT page_id, CASE WHEN page_id % 5 = 4 THEN NULL ELSE url END AS body, CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN '20' WHEN 2 THEN '2,40' WHEN 3 THEN '20,4' ELSE '2,4' END AS waits FROM pages")
+def fetch_with_retry(spark, d):
+    """How often each page is asked for, and how long is waited, when a source is busy or broken at first."""
+    answers = {0: [200], 1: [429, 200], 2: [500, 429, 200], 3: [429, 500, 200], 4: [500, 502, 503]}
 
+    def run(batches):
+        import pandas as pd
 
-def _registry():
-    known = paged.Registry()
-    known.register("a", template="t")
-    try:
-        known.get(["a", "b"])
-    except KeyError as e:
-        return [(sorted(known.get())[0], str(e.args[0]))]
+        for frame in batches:
+            out = []
+            for page_id, url in zip(frame["page_id"], frame["url"], strict=True):
+                waits, left = [], list(answers[page_id % 5])
+                body = paged.fetch_with_retry(lambda u: (left.pop(0), u), url, 3, waits.append)  # noqa: B023
+                out.append((page_id, body, ",".join(map(str, waits))))
+            yield pd.DataFrame(out, columns=["page_id", "body", "waits"])
 
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url").mapInPandas(run, "page_id long, body string, waits string")
 
-_facts("src_12_plugin_registry", "SELECT 'a' AS name, 'unknown sources: [''b'']' AS error", _registry, "name string, error string")
-_facts("src_18_axis_validation", "SELECT 'sector' AS axis", lambda: [(a,) for a in paged.useful_axes(lambda a: {None: 90, "sector": 40, "language": 90}[a], ["sector", "language"])], "axis string")
-_facts("src_19_pagination_probe", "SELECT 'pageNr' AS field", lambda: [(paged.paging_field(lambda n, p: [p, -p] if n == "pageNr" else [1, 2], ["page", "pageNr"]),)], "field string")
-_facts("src_20_page_size", "SELECT CAST(200 AS BIGINT) AS size", lambda: [(paged.page_size(lambda n: range(min(n, 200))),)], "size long")
-_facts("src_38_url_config", "SELECT 'health' AS name, 'https://h.example.org' AS url", lambda: [(n, o["template"]) for n, o in paged.Registry.from_json(json.dumps({"_help": "x", "health": "https://h.example.org", "climate": ""})).get().items()], "name string, url string")
-_facts("jsn_01_longest_list", "SELECT CAST(2 AS BIGINT) AS n", lambda: [(len(records.record_list({"a": [{"id": 1}], "b": {"c": [{"id": 2}, {"id": 3}]}, "d": [1, 2, 3]})),)], "n long")
-_facts("jsn_03_path_walk", "SELECT 'x' AS found, '{\"a\": {\"b\": 1, \"c\": 2}}' AS changed", lambda: [(records.walk({"a": [{"b": "x"}]}, "a.0.b"), json.dumps(records.put({"a": {"b": 1}}, "a.c", 2)))], "found string, changed string")
-_facts("dat_13_schedule", "SELECT true AS weekly, false AS manual, true AS monthly", lambda: [(dates.is_due("weekly", datetime.datetime(2026, 8, 9), datetime.datetime(2026, 8, 10)), dates.is_due("manual", None, datetime.datetime(2026, 8, 10)), dates.is_due("monthly", datetime.datetime(2026, 7, 31), datetime.datetime(2026, 8, 1)))], "weekly boolean, manual boolean, monthly boolean")
 
+_CHAIN = "CASE id % 5 WHEN 0 THEN concat({site}, '/rel/', id) WHEN 1 THEN concat({site}, '/calls?page=', id % 7 + 2) WHEN 2 THEN concat({site}, '/older') WHEN 3 THEN concat({site}, '/page/', id % 7 + 2) END"
 
-@query("jsn_05_post_fields", sql("SELECT id, concat('R&D – ', title) AS title FROM opportunities WHERE id % 10 = 4"))
+
+@query("src_11_generic_paginator", sql(f"SELECT id AS page_id, {_CHAIN.format(site=_SITE)} AS next FROM opportunities"))
+def generic_paginator(spark, d):
+    """The way to the next page on sites of five kinds: rel=next, a number, an arrow, the URL's own number, none."""
+    rows, n = opportunities(spark, d), (F.col("id") % 7 + 1).cast("int")
+    kind = F.col("id") % 5
+    number = F.concat(F.lit("<ul class='pagination'><li><a class='page' href='/calls?page="), (n + 1).cast("string"), F.lit("'> "), (n + 1).cast("string"), F.lit(" </a></li></ul><a href='#'>Next</a>"))
+    html = F.when(kind == 0, F.concat(F.lit("<a href='/older'>»</a><a rel='next' href='/rel/"), F.col("id").cast("string"), F.lit("'>more</a>"))).when(kind == 1, number).when(kind == 2, F.lit("<a href='/older'>Older posts</a><a href='/9'>9</a>")).otherwise("<p>end</p>")
+    site = F.concat(F.lit("https://"), F.lower("source_website"), F.lit(".example.org"))
+    url = F.when(kind == 3, F.concat(site, F.lit("/page/"), n.cast("string"))).otherwise(F.concat(site, F.lit("/calls")))
+    return scraped.next_page(rows.select(F.col("id").alias("page_id"), url.alias("url"), html.alias("html"), n.alias("page"), F.lit(5).alias("found")))
+
+
+@query("src_11_paginator_template", sql(f"SELECT id AS page_id, CASE WHEN id % 3 > 0 THEN concat('https://x.example.org/list?os=', (id % 7 + 1) * 10) END AS next FROM opportunities"))
+def paginator_template(spark, d):
+    """A source that counts rows, not pages; a page without items leads nowhere."""
+    rows = opportunities(spark, d).select(F.col("id").alias("page_id"), F.lit("https://x.example.org/list").alias("url"), F.lit("").alias("html"), (F.col("id") % 7 + 1).cast("int").alias("page"), (F.col("id") % 3).alias("found"))
+    return scraped.next_page(rows, "https://x.example.org/list?os={offset}")
+
+
+def _registry(spark, d):
+    known, errors = paged.Registry.from_rows(spark.read.parquet(f"{d}/nation.parquet").select(F.lower("n_name").alias("name"), F.concat(F.lit("https://n"), "n_nationkey").alias("template"))), []
+    for act in (lambda: known.register("nation_3", template="t"), lambda: known.get(["nation_1", "nowhere"])):
+        try:
+            act()
+        except (KeyError, ValueError) as e:
+            errors.append(str(e.args[0]))
+    return [(n, o["template"], "; ".join(errors)) for n, o in known.get().items()]
+
+
+_facts("src_12_plugin_registry", "SELECT lower(n_name) AS name, concat('https://n', n_nationkey) AS template, 'source nation_3 is registered twice; unknown sources: [''nowhere'']' AS errors FROM nation", _registry, "name string, template string, errors string")
+
+
+def _totals(spark, d):
+    """Counts of listings by category and work type: what a source answers when asked with those filters."""
+    counted = opportunities(spark, d).groupBy("category", "work_type").count().collect()
+    return lambda chosen: sum(n for c, w, n in counted if chosen.get("category", c) == c and chosen.get("work_type", w) == w)
+
+
+def _axes(spark, d):
+    total = _totals(spark, d)
+    return [(a,) for a in paged.useful_axes(lambda a: total({a: "Research"} if a == "work_type" else {a: "Grant"} if a == "category" else {}), ["category", "language", "work_type"])]
+
+
+_facts("src_18_axis_validation", sql("SELECT 'category' AS axis WHERE (SELECT count(*) FROM opportunities WHERE category = 'Grant') BETWEEN 1 AND (SELECT count(*) - 1 FROM opportunities) UNION ALL SELECT 'work_type' WHERE (SELECT count(*) FROM opportunities WHERE work_type = 'Research') BETWEEN 1 AND (SELECT count(*) - 1 FROM opportunities)"), _axes, "axis string")
+
+
+def _covered(spark, d):
+    total = _totals(spark, d)
+    axes = {"category": ["Grant", "RFP", "Tender", "Proposal", "Other"], "work_type": ["Research", "Implementation", ""]}
+    found = paged.cover(total, axes, total({}) // 6)
+    return [(c.get("category"), c.get("work_type"), total(c)) for c in found]
+
+
+_facts("src_17_cover_by_axes", sql("SELECT category, CASE WHEN big THEN work_type END AS work_type, count(*) AS n FROM (SELECT category, work_type, count(*) OVER (PARTITION BY category) > (SELECT count(*) // 6 FROM opportunities) AS big FROM opportunities) AS x GROUP BY category, CASE WHEN big THEN work_type END"), _covered, "category string, work_type string, n long")
+
+
+def _pager(spark, d):
+    ids = [r[0] for r in opportunities(spark, d).select("id").orderBy("id").limit(60).collect()]  # two pages of a source
+    return [(paged.paging_field(lambda name, p: ids[(p - 1) * 20 : p * 20] if name == "pageNr" else ids[:20], ["page", "p", "pageNr"]), paged.page_size(lambda n: ids[: min(n, 60)], (100, 60, 20)))]
+
+
+_facts("src_19_pagination_probe", "SELECT 'pageNr' AS field, CAST(60 AS BIGINT) AS size", _pager, "field string, size long")
+
+
+def _sizes(spark, d):
+    n = opportunities(spark, d).groupBy("source_website").count().collect()
+    return [(s, paged.page_size(lambda size, have=have: range(min(size, have)))) for s, have in n]
+
+
+_facts("src_20_page_size", sql("SELECT source_website AS source, CASE WHEN count(*) >= 300 THEN 300 WHEN count(*) >= 200 THEN 200 ELSE 100 END AS size FROM opportunities GROUP BY 1"), _sizes, "source string, size long")
+
+
+def _urls(spark, d):
+    rows = spark.read.parquet(f"{d}/nation.parquet").select("n_name", "n_nationkey").collect()  # a configuration of some dozen lines
+    text = {"_help": "a name and its URL"} | {n.lower(): "" if k % 3 == 0 else f"https://n{k}.example.org" for n, k in rows}
+    return [(n, o["template"]) for n, o in paged.Registry.from_json(json.dumps(text)).get().items()]
+
+
+_facts("src_38_url_config", "SELECT lower(n_name) AS name, concat('https://n', n_nationkey, '.example.org') AS url FROM nation WHERE n_nationkey % 3 <> 0", _urls, "name string, url string")
+
+
+def _answer(items):
+    """An answer with a list of objects without ids, and one with."""
+    one = F.struct(F.lit(1).alias("n"))
+    return F.to_json(F.struct(F.array(one, one, one, one).alias("a"), F.struct(items.alias("c")).alias("b"), F.array(*map(F.lit, (1, 2, 3, 4, 5, 6))).alias("d")))
+
+
+query("jsn_01_longest_list", sql("SELECT id, CAST(id % 4 + 1 AS BIGINT) AS n FROM opportunities"))(
+    lambda spark, d: opportunities(spark, d).select("id", records.longest_list(_answer(F.transform(F.sequence(F.lit(0), (F.col("id") % 4).cast("int")), lambda k: F.struct(k.alias("id"))))).alias("n"))
+)
+
+
+@query("jsn_03_path_walk", sql("SELECT id, title AS found, region AS changed FROM opportunities"))
+def path_walk(spark, d):
+    """A value read by its path, and another one put in its place."""
+    body = F.to_json(F.struct(F.array(F.struct("title")).alias("a"), F.struct(F.struct("country").alias("y")).alias("x")))
+    changed = records.changed_at(body, "x.y.country", F.col("region"))
+    return opportunities(spark, d).select("id", F.get_json_object(body, "$.a[0].title").alias("found"), F.get_json_object(changed, "$.x.y.country").alias("changed"))
+
+
+query("dat_13_schedule", sql("SELECT id, coalesce(CASE id % 5 WHEN 0 THEN date_scraped < TIMESTAMP '1998-08-02 00:00:00' WHEN 1 THEN date_scraped < TIMESTAMP '1998-07-27 00:00:00' WHEN 2 THEN date_scraped < TIMESTAMP '1998-08-01 00:00:00' WHEN 3 THEN date_scraped < TIMESTAMP '1998-01-01 00:00:00' ELSE false END, false) AS due FROM opportunities"))(
+    lambda spark, d: opportunities(spark, d).select("id", dates.due(F.element_at(F.array(*map(F.lit, ("daily", "weekly", "monthly", "yearly", "manual"))), (F.col("id") % 5 + 1).cast("int")), F.col("date_scraped"), F.lit(datetime.datetime.combine(AS_OF, datetime.time(9)))).alias("due"))
+)
+
+
+@query("jsn_05_post_fields", sql("SELECT id, concat('R&D – ', title) AS title FROM opportunities"))
 def post_fields(spark, d):
-    rows = opportunities(spark, d).where("id % 10 = 4")
+    rows = opportunities(spark, d)
     post = F.struct("id", F.struct(F.concat(F.lit("<b>R&amp;D</b> &#8211; "), "title").alias("rendered")).alias("title"))
     answers = rows.select(F.col("id").alias("answer"), F.to_json(F.array(post)).alias("body"))
     return records.wordpress_posts(answers).select("id", "title")
 
 
-@query("src_25_postback_ids", sql("SELECT id, title FROM opportunities WHERE id % 20 = 1"))
+@query("src_25_postback_ids", sql("SELECT id, title FROM opportunities"))
 def postback_ids(spark, d):
     """Ids found again by the first 40 characters of a title, as an equi-join on that prefix."""
-    rows = opportunities(spark, d).where("id % 20 = 1")
+    rows = opportunities(spark, d)
     links_ = rows.select("id", F.substring(F.concat("id", F.lit("# "), "title"), 1, 40).alias("prefix"))
     return rows.select("title", F.substring(F.concat("id", F.lit("# "), "title"), 1, 40).alias("prefix")).join(links_, "prefix").select("id", "title")
 
@@ -76,42 +180,30 @@ def link_pattern(spark, d):
     return opportunities(spark, d).where(F.col("opportunity_url").rlike(r"/calls/\d+$")).select("id")
 
 
-@query("src_35_foreign_scan", sql("SELECT id, title FROM opportunities WHERE id % 2 = 1"))
+@query("src_35_foreign_scan", sql("SELECT id, title FROM opportunities"))
 def foreign_scan(spark, d):
     """A second store, read beside the first."""
     at = scratch(spark, "foreign")
-    opportunities(spark, d).where("id % 2 = 1").select("id", "title").write.parquet(at)
+    opportunities(spark, d).select("id", "title").write.parquet(at)
     return spark.read.parquet(at)
 
 
-@query("snk_02_csv_export", sql("SELECT CAST(id AS VARCHAR) AS id, title, coalesce(strftime(deadline, '%Y-%m-%d'), '') AS deadline FROM opportunities WHERE id % 3 = 0"))
+@query("snk_02_csv_export", sql("SELECT " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in exports.COLUMNS) + " FROM opportunities"))
 def csv_export(spark, d):
-    """Written with a header and read back."""
+    """All columns in export order, written with a header and the mark that spreadsheets look for, and read back."""
     at = scratch(spark, "export")
-    rows = opportunities(spark, d).where("id % 3 = 0").select("id", "title", F.date_format("deadline", "yyyy-MM-dd").alias("deadline"))
-    rows.write.option("header", True).option("emptyValue", "").option("nullValue", "").csv(at)
-    return spark.read.option("header", True).csv(at).na.fill("")
+    exports.write_csv(opportunities(spark, d), at)
+    return exports.read_csv(spark, at)
 
 
-@query("snk_12_snapshot", sql("SELECT count(*) AS n FROM opportunities WHERE id % 4 = 0"))
+@query("snk_12_snapshot", sql("SELECT count(*) AS n, count(*) FILTER (WHERE status = 'Active') AS kept FROM opportunities"))
 def snapshot(spark, d):
     """A versioned copy taken before rows are dropped: the copy still has them."""
     at = scratch(spark, "snapshot")
-    opportunities(spark, d).where("id % 4 = 0").write.parquet(f"{at}/version=1")
-    spark.read.parquet(f"{at}/version=1").where("id % 8 = 0").write.parquet(f"{at}/version=2")
-    return spark.read.parquet(f"{at}/version=1").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("str_06_after_batch", sql("SELECT member_id, count(*) AS n FROM (SELECT id % 5 AS member_id FROM opportunities WHERE id % 50 = 1) AS x GROUP BY member_id"))
-def after_batch(spark, d):
-    """What a hook sends for the rows a batch has added."""
-    new = opportunities(spark, d).where("id % 50 = 1")
-    return new.groupBy((F.col("id") % 5).alias("member_id")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("str_08_progress", "SELECT event_type AS source, count(*) AS rows_in FROM events GROUP BY event_type")
-def progress(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("event_type").alias("source")).agg(F.count(F.lit(1)).alias("rows_in"))
+    opportunities(spark, d).write.parquet(f"{at}/version=1")
+    spark.read.parquet(f"{at}/version=1").where("status = 'Active'").write.parquet(f"{at}/version=2")
+    after = spark.read.parquet(f"{at}/version=2").agg(F.count(F.lit(1)).alias("kept"))
+    return spark.read.parquet(f"{at}/version=1").agg(F.count(F.lit(1)).alias("n")).crossJoin(after)  # one row each
 
 
 @query("jon_07_search_semi_join", sql("SELECT id FROM opportunities WHERE regexp_matches(lower(title), '(^|[^a-z])ring')"))
@@ -122,9 +214,12 @@ def search_semi_join(spark, d):
     return rows.join(postings, "id", "left_semi").select("id")
 
 
-@query("jon_14_source_progress", "SELECT event_type AS source, max(event_id) AS last FROM events GROUP BY event_type")
+@query("jon_14_source_progress", "SELECT r.source, pages, last, found FROM (SELECT DISTINCT event_type AS source FROM events) AS r LEFT JOIN (SELECT event_type AS source, count(DISTINCT date_trunc('hour', ts)) AS pages, max(event_id) AS last, count(*) AS found FROM events WHERE value > 0 GROUP BY 1) AS p ON p.source = r.source")
 def source_progress(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("event_type").alias("source")).agg(F.max("event_id").alias("last"))
+    """Every registered source with what its crawl has done so far, nothing where it has not begun."""
+    events = spark.read.parquet(f"{d}/events.parquet").withColumnRenamed("event_type", "source")
+    done = events.where("value > 0").groupBy("source").agg(F.countDistinct(F.date_trunc("hour", "ts")).alias("pages"), F.max("event_id").alias("last"), F.count(F.lit(1)).alias("found"))
+    return events.select("source").distinct().join(done, "source", "left")
 
 
 @query("srt_05_matching_order", sql("SELECT id, deadline FROM opportunities WHERE category = 'Grant' ORDER BY deadline ASC NULLS FIRST, id LIMIT 100"))

@@ -12,7 +12,9 @@ from ..operators import routing as op
 from ..operators.filters import labels
 from ..operators.summaries import latest_by_key
 from ..plans import ingest, maintenance
+from ..operators import search_index
 from ..registry import query
+from ..shared import scratch
 from .filters import ACTIVE
 
 _ENDS = " OR ".join(f"deadline = DATE '{AS_OF + datetime.timedelta(days=n)}'" for n in REMINDER_DAYS)
@@ -95,9 +97,9 @@ def existing_log_rows(spark, d):
     return opportunities(spark, d).where("category = 'Grant'").select("id").join(log, "id", "left")
 
 
-@query("jon_15_title_prefix", sql("SELECT DISTINCT p_partkey, title FROM part, (SELECT DISTINCT title FROM opportunities WHERE category = 'RFP') AS t WHERE p_partkey < 50 AND starts_with(title, p_name)"))
+@query("jon_15_title_prefix", sql("SELECT DISTINCT p_partkey, title FROM part, (SELECT DISTINCT title FROM opportunities WHERE category = 'RFP') AS t WHERE starts_with(title, p_name)"))
 def title_prefix(spark, d):
-    parts = spark.read.parquet(f"{d}/part.parquet").where("p_partkey < 50").select("p_partkey", "p_name")
+    parts = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name")
     titles = opportunities(spark, d).where("category = 'RFP'").select("title").distinct()
     word = lambda c: F.substring_index(F.col(c), " ", 1)  # noqa: E731  the first word is an equi-key: no nested loop
     return parts.withColumn("w", word("p_name")).join(titles.withColumn("w", word("title")), "w").where(F.col("title").startswith(F.col("p_name"))).select("p_partkey", "title").distinct()
@@ -184,9 +186,26 @@ def approval_update(spark, d):
     return ingest.approve(rows, [1, 2, 3, 4], "ada", datetime.datetime(1998, 8, 2)).select("id", "approved", "approved_by")
 
 
-@query("snk_15_index_check", sql("SELECT (SELECT count(*) FROM opportunities) AS rows_, (SELECT count(*) FROM opportunities WHERE title IS NOT NULL) AS indexed"))
+_FOUND = "regexp_matches(lower(concat_ws(' | ', title, organization, summary, vertical, country, eligibility)), '(^|[^a-z0-9])ring') AND regexp_matches(lower(concat_ws(' | ', title, organization, summary, vertical, country, eligibility)), '(^|[^a-z0-9])ste')"
+
+
+@query("snk_15_index_upkeep", sql(f"SELECT id FROM (SELECT * REPLACE (CASE WHEN id % 5 = 0 THEN concat('Steel ring ', title) ELSE title END AS title) FROM opportunities WHERE id % 7 <> 3) AS x WHERE {_FOUND}"))
+def index_upkeep(spark, d):
+    """A search through the word index after some titles have changed and some listings have gone."""
+    at, rows = scratch(spark, "index"), opportunities(spark, d)
+    search_index.add_batch(at, 1, rows)
+    changed = rows.where("id % 5 = 0 AND id % 7 <> 3").withColumn("title", F.concat(F.lit("Steel ring "), "title"))
+    search_index.add_batch(at, 2, changed, rows.where("id % 7 = 3"))
+    now = rows.where("id % 7 <> 3").withColumn("title", F.when(F.col("id") % 5 == 0, F.concat(F.lit("Steel ring "), "title")).otherwise(F.col("title")))
+    return search_index.searched(now, at, "ring ste").select("id")
+
+
+@query("snk_15_index_check", sql("SELECT id, CASE WHEN id % 11 = 4 THEN 'missing' ELSE 'extra' END AS why FROM opportunities WHERE id % 11 IN (4, 5)"))
 def index_check(spark, d):
-    return opportunities(spark, d).agg(F.count(F.lit(1)).alias("rows_"), F.count("title").alias("indexed"))
+    """What the index lacks, and what it holds of listings that are gone."""
+    at, rows = scratch(spark, "index"), opportunities(spark, d)
+    search_index.add_batch(at, 1, rows.where("id % 11 <> 4"))
+    return search_index.stray(rows.where("id % 11 <> 5"), at)
 
 
 @query("snk_16_member_upsert", sql("SELECT member_id, CASE WHEN member_id = 2 THEN 'Benjamin' ELSE name END AS name FROM members WHERE member_id <> 4 UNION ALL SELECT 6, 'Fay'", MEMBERS_SQL))

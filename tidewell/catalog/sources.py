@@ -6,16 +6,20 @@ import json
 
 from pyspark.sql import functions as F
 
-from ..fixtures import OPP, crawl, opportunities, pages, sql
+from ..config import AS_OF
+from ..fixtures import crawl, opportunities, pages, sql
 from ..functions import amounts, dates, text
+from ..operators import digests, exports
 from ..operators.summaries import first_seen
 from ..registry import query
-from ..sources import html, paged, records
+from ..sources import guards, html, paged, records
 
 
-@query("src_06_url_loop_guard", "SELECT DISTINCT url FROM pages")
+@query("src_06_url_loop_guard", "WITH seen AS (SELECT user_id AS source, event_id, row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY event_id) AS n FROM events), ends AS (SELECT source, min(event_id) AS e FROM seen WHERE n = 2 GROUP BY source) SELECT s.source, s.event_id FROM seen s LEFT JOIN ends x ON x.source = s.source WHERE x.e IS NULL OR s.event_id < x.e")
 def url_loop_guard(spark, d):
-    return pages(spark, d).select("url").dropDuplicates(["url"])
+    """Requests of every source until it sends one again."""
+    requests = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("source"), "event_id", F.concat_ws(" ", "event_type", "props").alias("request"))
+    return guards.until_repeat(requests, "source", F.col("request"), "event_id").select("source", "event_id")
 
 
 _FINGERPRINTS = "WITH crawl AS (SELECT event_type AS source, date_trunc('hour', ts) AS page, event_id FROM events) SELECT source, page, sha256(string_agg(CAST(event_id AS VARCHAR), '|' ORDER BY CAST(event_id AS VARCHAR))) AS fingerprint FROM crawl GROUP BY source, page"
@@ -27,9 +31,12 @@ def repeated_content(spark, d):
     return html.page_fingerprint(items)
 
 
-@query("src_08_empty_page_terminator", "SELECT user_id AS source, min(event_id) AS ends_at FROM events WHERE event_id % 7 = 0 GROUP BY user_id")
+@query("src_08_empty_page_terminator", "WITH p AS (SELECT user_id AS source, date_trunc('hour', ts) AS page, count(*) FILTER (WHERE event_type <> 'error') AS found FROM events GROUP BY 1, 2), ends AS (SELECT source, min(page) AS e FROM p WHERE found = 0 GROUP BY source) SELECT p.source, page, found FROM p LEFT JOIN ends x ON x.source = p.source WHERE x.e IS NULL OR page < x.e")
 def empty_page(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet").where("event_id % 7 = 0").groupBy(F.col("user_id").alias("source")).agg(F.min("event_id").alias("ends_at"))
+    """Pages (a source's hours) before the first that brings nothing but errors."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    found = events.groupBy(F.col("user_id").alias("source"), F.date_trunc("hour", "ts").alias("page")).agg(F.count_if(F.col("event_type") != "error").alias("found"))
+    return guards.until_empty(found)
 
 
 @query("src_09_next_page")
@@ -53,54 +60,59 @@ def title_cleaner(spark, d):
 
 
 def _answers(spark, d):
-    rows = opportunities(spark, d).where("id % 10 = 3")
+    rows = opportunities(spark, d)
     post = F.struct("id", F.col("opportunity_url").alias("link"), F.struct(F.concat("title", F.lit(" ("), "country", F.lit(")")).alias("rendered")).alias("title"), F.struct(F.concat(F.lit("<p>"), "summary", F.lit("</p>")).alias("rendered")).alias("excerpt"))
-    return rows.groupBy((F.col("id") % 16).alias("answer")).agg(F.to_json(F.sort_array(F.collect_list(post))).alias("body"))
+    return rows.groupBy(F.floor(F.col("id") / 50).alias("answer")).agg(F.to_json(F.sort_array(F.collect_list(post))).alias("body"))
 
 
-@query("src_15_wordpress_posts", sql("SELECT id % 16 AS answer, id, concat(title, ' (', country, ')') AS title, opportunity_url AS url, summary, '' AS country FROM opportunities WHERE id % 10 = 3"))
+@query("src_15_wordpress_posts", sql("SELECT id // 50 AS answer, id, concat(title, ' (', country, ')') AS title, opportunity_url AS url, summary, '' AS country FROM opportunities"))
 def wordpress_posts(spark, d):
     return records.wordpress_posts(_answers(spark, d)).withColumn("country", F.when(F.col("country").rlike("[0-9]"), F.col("country")).otherwise(F.lit("")))
 
 
-@query("src_16_discovered_records", sql("SELECT id % 16 AS answer, opportunity_url AS link FROM opportunities WHERE id % 10 = 3"))
+@query("src_16_discovered_records", sql("SELECT id // 50 AS answer, opportunity_url AS link FROM opportunities"))
 def discovered_records(spark, d):
     wrapped = _answers(spark, d).select("answer", F.concat(F.lit('{"meta":{"n":1},"payload":{"rows":'), "body", F.lit("}}")).alias("body"))
     return records.records(wrapped, {"link": ["link"]})
 
 
-@query("src_21_label_value_map", sql("SELECT id, country, category FROM opportunities WHERE id % 5 = 0"))
+@query("src_21_label_value_map", sql("SELECT id, country, category FROM opportunities"))
 def label_value_map(spark, d):
     body = F.concat(F.lit("<dl><dt>Country:</dt><dd> "), "country", F.lit("</dd><dt>Kind</dt><dd><b>"), "category", F.lit("</b></dd></dl>"))
-    fields = opportunities(spark, d).where("id % 5 = 0").select("id", html.fields(body).alias("f"))
+    fields = opportunities(spark, d).select("id", html.fields(body).alias("f"))
     return fields.select("id", F.col("f")["country"].alias("country"), F.col("f")["kind"].alias("category"))
 
 
-query("jsn_04_label_value_map", sql("SELECT id, country AS value FROM opportunities WHERE id % 5 = 1"))(
-    lambda spark, d: opportunities(spark, d).where("id % 5 = 1").select("id", F.try_element_at(html.fields(F.concat(F.lit("<dt>Country</dt><dd>"), "country", F.lit("</dd>"))), F.lit("country")).alias("value"))
+query("jsn_04_label_value_map", sql("SELECT id, country AS value FROM opportunities"))(
+    lambda spark, d: opportunities(spark, d).select("id", F.try_element_at(html.fields(F.concat(F.lit("<dt>Country</dt><dd>"), "country", F.lit("</dd>"))), F.lit("country")).alias("value"))
 )
 query("jsn_02_key_needle", sql("SELECT id, region AS value FROM opportunities"))(
     lambda spark, d: opportunities(spark, d).select("id", records.key_needle(F.create_map(F.lit("regionId"), F.lit("9"), F.lit("mainRegion"), F.col("region")), "region").alias("value"))
 )
-query("jsn_06_settings_merge", "SELECT 'daily' AS schedule, '10,7' AS days")(
-    lambda spark, d: spark.range(1).select(F.map_concat(F.map_filter(F.create_map(F.lit("schedule"), F.lit("weekly"), F.lit("days"), F.lit("10,7")), lambda k, v: k != "schedule"), F.create_map(F.lit("schedule"), F.lit("daily"))).alias("m")).select(F.col("m")["schedule"].alias("schedule"), F.col("m")["days"].alias("days"))
-)
+@query("jsn_06_settings_merge", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'daily' ELSE 'weekly' END AS schedule, '10,7' AS days, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS source FROM customer")
+def settings_merge(spark, d):
+    """Stored settings of every customer with a patch laid over: new keys added, others kept."""
+    old = F.create_map(F.lit("schedule"), F.lit("weekly"), F.lit("days"), F.lit("10,7"))
+    daily = F.when(F.col("c_custkey") % 2 == 0, F.create_map(F.lit("schedule"), F.lit("daily"))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    patch = F.when(F.col("c_custkey") % 3 == 0, F.map_concat(daily, F.create_map(F.lit("source"), F.col("c_mktsegment")))).otherwise(daily)
+    merged = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", records.merged_settings(old, patch).alias("m"))
+    return merged.select("c_custkey", *(F.try_element_at("m", F.lit(k)).alias(k) for k in ("schedule", "days", "source")))
 
 
-@query("src_22_distinct_new", "SELECT source, page, count(*) AS fresh FROM (SELECT event_type AS source, user_id AS item, min(date_trunc('hour', ts)) AS page FROM events GROUP BY 1, 2) AS x GROUP BY source, page")
+@query("src_22_distinct_new", "WITH item AS (SELECT event_type AS source, user_id AS item, date_trunc('hour', ts) AS page FROM events), first AS (SELECT source, item, min(page) AS page FROM item GROUP BY 1, 2), p AS (SELECT source, page, count(*) AS found FROM item GROUP BY 1, 2), s AS (SELECT source, page, count(*) AS saved FROM first GROUP BY 1, 2), j AS (SELECT p.source, p.page, found, coalesce(saved, 0) AS saved, row_number() OVER (PARTITION BY p.source ORDER BY p.page) AS n FROM p LEFT JOIN s ON s.source = p.source AND s.page = p.page), g AS (SELECT *, sum(CASE WHEN saved = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY page) AS grp FROM j), k AS (SELECT *, sum(CASE WHEN saved = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source, grp ORDER BY page) AS streak FROM g), e AS (SELECT source, min(n) AS last FROM k WHERE streak >= 5 GROUP BY source) SELECT k.source, k.page, k.saved AS fresh FROM k LEFT JOIN e ON e.source = k.source WHERE e.last IS NULL OR k.n <= e.last")
 def distinct_new(spark, d):
-    first = crawl(spark, d).groupBy("source", "item").agg(F.min("page").alias("page"))
-    return first.groupBy("source", "page").agg(F.count(F.lit(1)).alias("fresh"))
+    """New items of every page, until five pages in a row bring none."""
+    return guards.fresh_pages(crawl(spark, d), 5).select("source", "page", F.col("saved").alias("fresh"))
 
 
 query("set_05_first_seen_union", "SELECT DISTINCT user_id FROM events WHERE event_type IN ('click', 'view')")(lambda spark, d: first_seen(spark.read.parquet(f"{d}/events.parquet").where("event_type IN ('click', 'view')"), "user_id", ["event_id"]).select("user_id"))
 
 
-@query("src_23_labelled_fields", sql("SELECT id, country, category AS kind FROM opportunities WHERE id % 5 = 2"))
+@query("src_23_labelled_fields", sql("SELECT id, country, category AS kind FROM opportunities"))
 def labelled_fields(spark, d):
     page = F.concat(F.lit("Status: open Country: "), "country", F.lit(" Kind: "), "category", F.lit(" Posted: 3 May 2026"))
     until = ["Status", "Country", "Kind", "Posted"]
-    return opportunities(spark, d).where("id % 5 = 2").select("id", html.field_of(page, "Country", until).alias("country"), html.field_of(page, "Kind", until).alias("kind"))
+    return opportunities(spark, d).select("id", html.field_of(page, "Country", until).alias("country"), html.field_of(page, "Kind", until).alias("kind"))
 
 
 @query("src_24_cards")
@@ -134,10 +146,10 @@ def enrichment_targets(spark, d):
     return gaps.where("r <= 20").select("id", "source_website")
 
 
-@query("src_33_counter_from_page", sql("SELECT id, CAST(id AS BIGINT) AS experts FROM opportunities WHERE id % 9 = 0"))
+@query("src_33_counter_from_page", sql("SELECT id, CAST(id AS BIGINT) AS experts FROM opportunities"))
 def counter_from_page(spark, d):
-    page = F.concat(F.lit("There are "), F.col("id").cast("string"), F.lit(" experts here"))
-    return opportunities(spark, d).where("id % 9 = 0").select("id", F.regexp_extract(page, r"([\d,]+)\s+experts", 1).cast("long").alias("experts"))
+    page = F.concat(F.lit("<p>There are <b>"), F.format_number("id", 0), F.lit("</b> experts here</p>"))
+    return opportunities(spark, d).select("id", F.replace(F.regexp_extract(text.html_text(page), r"([\d,]+)\s+experts", 1), F.lit(","), F.lit("")).cast("long").alias("experts"))
 
 
 @query("src_34_roster_reader", "SELECT c_name AS name, concat(lower(c_name), '@example.org') AS email FROM customer WHERE c_custkey % 10 <> 0")
@@ -147,29 +159,41 @@ def roster_reader(spark, d):
     return lines.select(F.trim(F.split("value", ",")[0]).alias("name"), F.trim(F.split("value", ",")[1]).alias("email"))
 
 
-@query("src_36_result_shape", "SELECT 'results' AS holder")
+@query("src_36_result_shape", sql("SELECT id, CASE id % 3 WHEN 0 THEN 'results' WHEN 1 THEN 'items' END AS holder FROM opportunities"))
 def result_shape(spark, d):
-    body = json.dumps({"n": 3, "items": [{"title": "x"}], "results": [{"title": "a"}, {"title": "b"}, {"name": "c"}]})
-    return spark.createDataFrame([(body,)], "body string").select(records.shape(F.col("body")).alias("holder"))
+    """Where an answer keeps its rows, for answers of three kinds: the last has too few."""
+    row = F.struct("title")
+    few, many = F.array(row), F.array(row, row, row)
+    body = F.when(F.col("id") % 3 == 0, F.to_json(F.struct(few.alias("items"), many.alias("results")))).when(F.col("id") % 3 == 1, F.to_json(F.struct(many.alias("items")))).otherwise(F.to_json(F.struct(few.alias("data"))))
+    return opportunities(spark, d).select("id", records.shape(body).alias("holder"))
 
 
-@query("src_37_source_predicate", "SELECT 'https://example.org/t?sectors=1&sectors=2&status=open&pageNr=3' AS url")
+@query("src_37_source_predicate", sql("SELECT id, concat('https://example.org/t?sectors=', category, CASE WHEN region = '' THEN '' ELSE concat('&region=', replace(region, ' ', '+')) END, CASE WHEN work_type = '' THEN '' ELSE concat('&kind=', work_type) END, '&pageNr=', CAST(id % 7 + 1 AS VARCHAR)) AS url FROM opportunities"))
 def source_predicate(spark, d):
-    url = paged.with_filters("https://example.org/t", {"sectors": ["1", "2"], "status": "open", "language": "", "pageNr": "3"})
-    return spark.createDataFrame([(url,)], "url string")
+    """What a listing's fields ask of a source, as its own query parameters; blanks are left out."""
+    wanted = {"sectors": F.col("category"), "region": F.col("region"), "kind": F.col("work_type"), "pageNr": (F.col("id") % 7 + 1).cast("string")}
+    return opportunities(spark, d).select("id", records.filtered_url("https://example.org/t", wanted).alias("url"))
 
 
-@query("src_10_config_factory", "SELECT 'a' AS name, 'https://a.example.org/?page=2' AS url UNION ALL SELECT 'b', 'https://b.example.org/40'")
+@query("src_10_config_factory", "SELECT lower(c_mktsegment) AS name, page, CASE WHEN c_mktsegment < 'D' THEN concat('https://', lower(c_mktsegment), '.example.org/?page=', page) ELSE concat('https://', lower(c_mktsegment), '.example.org/', (page - 1) * 20) END AS url FROM (SELECT DISTINCT c_mktsegment FROM customer) AS s, (VALUES (1), (2), (3)) AS p(page)")
 def config_factory(spark, d):
-    known = paged.Registry.from_json(json.dumps({"_note": "x", "a": {"template": "https://a.example.org/"}, "b": {"template": "https://b.example.org/{offset}"}, "c": ""}))
-    return spark.createDataFrame([(n, paged.page_url(o["template"], 2 if n == "a" else 3, 20)) for n, o in known.get().items()], "name string, url string")
+    """Sources of a configuration table, each with the URLs of its first pages."""
+    name = F.lower("c_mktsegment")
+    template = F.concat(F.lit("https://"), name, F.when(F.col("c_mktsegment") < "D", F.lit(".example.org/")).otherwise(F.lit(".example.org/{offset}")))
+    config = spark.read.parquet(f"{d}/customer.parquet").select("c_mktsegment").distinct().select(name.alias("name"), template.alias("template"))
+    known = paged.Registry.from_rows(config)
+    pages_ = [(n, p, paged.page_url(o["template"], p, 20)) for n, o in known.get().items() for p in (1, 2, 3)]
+    return spark.createDataFrame(pages_, "name string, page int, url string")
+
+
+_RANGES = "WITH RECURSIVE n AS (SELECT 0.0 AS lo, 1048576.0 AS hi UNION ALL SELECT CASE k WHEN 0 THEN lo ELSE (lo + hi) / 2 END, CASE k WHEN 0 THEN (lo + hi) / 2 ELSE hi END FROM n, (VALUES (0), (1)) AS two(k) WHERE hi - lo > 1024 AND (SELECT count(*) FROM orders WHERE o_totalprice >= lo AND o_totalprice < hi) > (SELECT count(*) / 16 FROM orders))"
 
 
 @query("src_17_adaptive_ranges")
 def adaptive_ranges(spark, d):
-    prices = [r[0] for r in spark.read.parquet(f"{d}/orders.parquet").select("o_totalprice").where("o_orderkey < 1000").collect()]
-    found = paged.split_range(lambda a, b: sum(a <= p < b for p in prices), 0.0, 1_000_000.0, 100)
-    return spark.createDataFrame([(a, b, sum(a <= p < b for p in prices)) for a, b in found], "lo double, hi double, n long")
+    """Price ranges that a source which shows a sixteenth of its rows can page through: counted in one aggregate, split from its counts."""
+    prices = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_totalprice").alias("x"))
+    return paged.adaptive_ranges(prices, "x", 0.0, 1_048_576.0, F.floor(F.count(F.lit(1)) / 16), cells=1024)
 
 
 @query("src_03_paged_crawl")
@@ -181,12 +205,19 @@ def paged_crawl(spark, d):
     return spark.read.format("paged").options(**options).load()
 
 
-query("snk_02_csv_export_rows", sql("SELECT id, coalesce(strftime(deadline, '%Y-%m-%d'), '') AS deadline, title FROM opportunities", OPP))(
-    lambda spark, d: opportunities(spark, d).select("id", F.coalesce(F.date_format("deadline", "yyyy-MM-dd"), F.lit("")).alias("deadline"), "title")
-)
-query("snk_14_digest_rows", sql("SELECT region, count(*) AS n FROM opportunities WHERE status = 'Active' GROUP BY region"))(
-    lambda spark, d: opportunities(spark, d).where("status = 'Active'").groupBy("region").agg(F.count(F.lit(1)).alias("n"))
-)
+@query("snk_02_csv_export_rows", sql("SELECT " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in exports.COLUMNS) + " FROM opportunities"))
+def csv_export_rows(spark, d):
+    return exports.rows(opportunities(spark, d))
+
+
+_DAYS = "(deadline - DATE '1998-08-02')"
+_DIGEST_ROW = f"concat('<tr><td><a href=\"', opportunity_url, '\">', title, '</a></td><td>', organization, '</td><td>', CASE WHEN deadline IS NULL THEN 'Ongoing' ELSE strftime(deadline, '%d %b %Y') END, '</td><td>', CASE WHEN deadline IS NULL THEN 'Ongoing' WHEN {_DAYS} = 0 THEN 'closes today' WHEN {_DAYS} > 0 THEN concat(CAST({_DAYS} AS VARCHAR), ' days left') ELSE 'closed' END, '</td></tr>')"
+
+
+@query("snk_14_digest_mail", sql(f"SELECT region, concat('<h2>', region, '</h2><table>', string_agg({_DIGEST_ROW}, '' ORDER BY deadline ASC NULLS LAST, id), '</table>', CASE WHEN max(hidden) > 0 THEN concat('<p>and ', CAST(max(hidden) AS VARCHAR), ' more</p>') ELSE '' END) AS html FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY deadline ASC NULLS LAST, id) AS place, greatest(count(*) OVER (PARTITION BY region) - 10, 0) AS hidden FROM opportunities WHERE status = 'Active') AS x WHERE place <= 10 GROUP BY region"))
+def digest_mail(spark, d):
+    """A mail section for every region: its ten soonest listings as a table, and how many more there are."""
+    return digests.sections(opportunities(spark, d).where("status = 'Active'"), ["region"], "region", 10, AS_OF)
 query("src_30_open_words", sql("SELECT id, id % 3 = 0 AS open FROM opportunities"))(
     lambda spark, d: opportunities(spark, d).select("id", (F.when(F.col("id") % 3 == 0, F.lit("Now open for applications")).otherwise(F.lit("This fund is closed"))).rlike(r"(?i)\b(open|accepting)\b").alias("open"))
 )

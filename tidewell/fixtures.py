@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import scratch
+
 OPPORTUNITY = {
     "id": "o_orderkey",
     "title": "concat(p_name, CASE o_orderkey % 9 WHEN 0 THEN ' baseline study' WHEN 1 THEN ' request for proposals' WHEN 2 THEN ' tender for supply of equipment' WHEN 3 THEN ' grants programme' WHEN 4 THEN ' impact evaluation' WHEN 5 THEN ' call for proposals' WHEN 6 THEN ' fellowship' WHEN 7 THEN ' implementation and delivery' ELSE ' notice' END)",
@@ -51,7 +53,19 @@ def _read(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def store(spark, sf_dir: str) -> None:
+    """Writes the listings once, as a deployment keeps them; queries of this application read them from then on."""
+    to = scratch(spark, "listings")
+    opportunities(spark, sf_dir).write.parquet(to)
+    _STORED[spark.sparkContext.applicationId, sf_dir] = to
+
+
 def opportunities(spark, sf_dir: str) -> DataFrame:
+    if stored := _STORED.get((spark.sparkContext.applicationId, sf_dir)):
+        return spark.read.parquet(stored)
     orders, customer, nation, region, lineitem, part = (_read(spark, sf_dir, x) for x in ("orders", "customer", "nation", "region", "lineitem", "part"))
     first = lineitem.groupBy("l_orderkey").agg(F.min("l_partkey").alias("partkey"))
     joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))

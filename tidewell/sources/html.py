@@ -27,6 +27,50 @@ def absolute(base: Column, href: Column) -> Column:
     return F.when(href.rlike(r"^[a-z]+://"), href).when(href.startswith("//"), F.concat(F.lit("https:"), href)).when(href.startswith("/"), F.concat(root, href)).otherwise(F.concat(folder, href))
 
 
+BLOCK = r"(?is)<(?:article|li|tr|div)\b[^>]*>((?:(?!<(?:article|li|tr|div)\b).)*?<a\s[^>]*href=[\"'][^\"']+[\"'].*?)</(?:article|li|tr|div)\s*>"
+DEADLINE = r"(?i)\b(?:deadline|closing date|closes(?: on)?|apply by|due(?: date)?|last date)\s*[:\-–]?\s*(\d{1,2}[\s./-]\w{3,9}[\s./-]+\d{2,4}|\w{3,9}\s+\d{1,2},?\s+\d{4}|\d{4}-\d{2}-\d{2}|\d{1,2}[./-]\d{1,2}[./-]\d{2,4})"
+
+
+def blocks(pages: DataFrame) -> DataFrame:
+    """(page_id, place, title, url, deadline_raw, summary, assume_active) of the innermost blocks that hold a link.
+
+    The title is the link's text, or the block's heading where the link says nothing; the deadline
+    and the summary come from the block's text. A listing without a deadline counts as open.
+    """
+    strip = lambda x: text.squeezed(text.unescaped(F.regexp_replace(x, r"(?s)<[^>]*>", " ")))
+    bare = F.regexp_replace("html", r"(?is)<(script|style|nav|header|footer|aside)\b.*?</\1\s*>", " ")
+    found = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all(bare, F.lit(BLOCK), F.lit(1))).alias("place", "block"))
+    href = F.regexp_extract("block", r"(?is)<a\s[^>]*href=[\"']([^\"']+)[\"']", 1)
+    label, heading = strip(F.regexp_extract("block", r"(?is)<a\s[^>]*>(.*?)</a>", 1)), strip(F.regexp_extract("block", r"(?is)<h[1-5][^>]*>(.*?)</h[1-5]>", 1))
+    rows = found.select("page_id", "place", absolute(F.col("url"), href).alias("link"), F.when(text.listing_title(label), label).when(text.listing_title(heading), heading).alias("title"), F.substring(strip(F.col("block")), 1, 1200).alias("block"))
+    deadline = F.regexp_extract("block", DEADLINE, 1)
+    summary = F.when(F.length("block") > F.length("title") + 40, F.substring("block", 1, 1000)).otherwise("")
+    first = rows.where("title IS NOT NULL").groupBy("page_id", "link").agg(F.min_by(F.struct("place", "title", "block"), "place").alias("x")).select("page_id", "link", "x.*")
+    return first.select("page_id", "place", text.cleaned_title(F.col("title")).alias("title"), F.col("link").alias("url"), deadline.alias("deadline_raw"), summary.alias("summary"), (deadline == "").alias("assume_active"))
+
+
+def next_page(pages: DataFrame, template: str | None = None, page_size: int = 10) -> DataFrame:
+    """(page_id, next) of pages (page_id, url, html, page, found): the source's own template, rel=next, the link with the next number, an arrow, or the URL's own number.
+
+    A template, and the number in the URL, only lead on from a page that had items.
+    """
+    n = (F.col("page") + 1).cast("string")
+    anchor = r"(?is)<a\b[^>]*href=[\"']([^\"'#][^\"']*)[\"'][^>]*>\s*(?:{})\s*</a>"
+    rel = F.regexp_extract("html", r"(?is)<(?:a|link)\b(?=[^>]*\brel=[\"']next[\"'])[^>]*href=[\"']([^\"'#][^\"']*)[\"']", 1)
+    links_ = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)(<a\b[^>]*href=[\"'][^\"'#][^\"']*[\"'][^>]*>\s*\d+\s*</a>)"), F.lit(1)), lambda a: F.struct(F.regexp_extract(a, r"href=[\"']([^\"']*)", 1).alias("href"), F.trim(F.regexp_replace(a, r"(?s)<[^>]*>", "")).alias("label"), a.alias("tag")))
+    numbered = F.filter(links_, lambda x: (x["label"] == n) & (F.lower(x["tag"]).rlike(r"class=[\"'][^\"']*pag") | x["href"].rlike(r"(?i)([?&](?:page|p|pg|paged|pagenumber)=|/page/)\d+")))
+    number = F.when(F.size(numbered) > 0, F.get(numbered, F.lit(0))["href"])
+    arrow = F.regexp_extract("html", anchor.format(r"next|next page|next »|»|›|>|&raquo;|&gt;|older|older posts|load more|show more|view more"), 1)
+    own = r"(?i)((?:[?&](?:page|p|pg|paged|pagenumber)=|/page/))(\d+)"
+    bumped = F.when(F.col("url").rlike(own) & (F.col("found") > 0), F.regexp_replace("url", F.lit(own), F.concat(F.lit("$1"), n)))
+    href = F.coalesce(F.nullif(rel, F.lit("")), number, F.nullif(arrow, F.lit("")))
+    guessed = F.when(href.isNotNull(), absolute(F.col("url"), href)).otherwise(bumped)
+    if template:
+        made = F.replace(F.replace(F.lit(template), F.lit("{page}"), n), F.lit("{offset}"), (F.col("page") * page_size).cast("string"))
+        guessed = F.when((F.col("found") > 0) & (made != F.col("url")), made)
+    return pages.select("page_id", guessed.alias("next"))
+
+
 def listings(pages: DataFrame, same_site: bool = True) -> DataFrame:
     """Anchors that look like listings: a fitting title, on the same site, each URL once a page."""
     found = anchors(pages).where(~F.lower("href").rlike(r"^(mailto:|javascript:|tel:|#|data:)")).withColumn("link", absolute(F.col("url"), F.col("href")))

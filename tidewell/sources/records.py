@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,35 @@ from ..functions import text
 HOLDERS = ("items", "data", "results", "records", "rows", "content", "hits")
 
 
+def longest_list(body: Column, need: str = "id") -> Column:
+    """How many objects with a certain key the longest such list of an answer has, in Arrow batches."""
+    @F.pandas_udf("long")
+    def size(bodies: pd.Series) -> pd.Series:
+        return bodies.map(lambda b: len(record_list(json.loads(b), need)) if b else 0)
+
+    return size(body)
+
+
+def changed_at(body: Column, path: str, new: Column) -> Column:
+    """An answer with the value at a dotted path replaced, in Arrow batches; read one back with get_json_object."""
+    @F.pandas_udf("string")
+    def change(bodies: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([json.dumps(put(json.loads(b), path, v), ensure_ascii=False) for b, v in zip(bodies, values, strict=True)])
+
+    return change(body, new)
+
+
+def merged_settings(old: Column, patch: Column) -> Column:
+    """A map with a patch laid over: the patch's keys count, others stay."""
+    return F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(patch, k)), patch)
+
+
+def filtered_url(base: str, filters: dict[str, Column]) -> Column:
+    """A source-side predicate as a URL: filters as query parameters, blanks left out."""
+    parts = [F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{name}="), F.url_encode(v))) for name, v in filters.items()]
+    return F.concat_ws("&" if "?" in base else "?", F.lit(base), F.nullif(F.concat_ws("&", *parts), F.lit("")))
+
+
 def record_list(value, need: str = "id", depth: int = 6) -> list[dict]:
     """The longest list of objects with a certain key, anywhere in a value."""
     best: list[dict] = []
@@ -68,8 +98,6 @@ def records(answers: DataFrame, wanted: dict[str, list[str]], column: str = "bod
     schema = "answer long, " + ", ".join(f"{c} string" for c in wanted)
 
     def run(batches):
-        import pandas as pd
-
         for frame in batches:
             out = []
             for answer, body in zip(frame["answer"], frame[column], strict=True):

@@ -80,6 +80,61 @@ def test_substring_removal(docs, rows):
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in with_text)
 
 
+def test_substring_removal_with_odd_ids(spark):
+    rng = np.random.default_rng(12)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    a, b = word(40), word(50)
+    rows = [(7, f"{word(9)} {a}"), (7, f"{word(3)} {a} {word(30)} {b}"), (7, word(8)), (None, f"{b} x"), (None, f"y {b}"), (9, f"{a} {b}"), (9, f"{a} {b}"), (3, None), (3, word(90)), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    key = {(r.doc_id, r.text): r.k for r in frame.selectExpr("doc_id", "text", "xxhash64(doc_id, doc_id IS NULL, text) AS k").collect()}
+    place = lambda r: (r[0] is not None, r[0] or 0, key[r])
+    first = {}
+    for r in rows:
+        words = (r[1] or "").split()
+        for p in range(len(words) - 19):
+            window = tuple(words[p : p + 20])
+            first[window] = min(first.get(window, (*place(r), p)), (*place(r), p))
+    want = []
+    for r in rows:
+        words = (r[1] or "").split()
+        gone = [False] * len(words)
+        for p in range(len(words) - 19):
+            if first[tuple(words[p : p + 20])] != (*place(r), p):
+                gone[p : p + 20] = [True] * 20
+        kept = " ".join(w for w, g in zip(words, gone, strict=True) if not g)
+        want.append((r[0], len(words), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    got = [tuple(x) for x in substring.remove_repeats(frame).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and sum(x[2] for x in want) > 100
+
+
+def test_near_duplicates_with_odd_ids(spark, docs, rows):
+    text = "one two three four five six seven eight nine ten " * 3
+    odd = [(None, text), (4, text), (2, text + "eleven twelve"), (None, "alone here"), (2, "another text of the same id"), (2, "another text of the same id")]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in odd], "doc_id long, text string, gone_id string, mix_id int")
+    got = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(frame).collect()]
+    fps = [plain_fingerprint(t) for _, t in odd]
+    labels = plain_components(list(range(len(odd))), fps)
+    least = {label: min((i for (i, _), x in zip(odd, labels, strict=True) if x == label and i is not None), default=None) for label in labels}
+    assert sorted(map(repr, got)) == sorted(repr((i, least[x])) for (i, _), x in zip(odd, labels, strict=True))
+    kept = simhash.deduplicated(frame)
+    assert kept.columns == frame.columns and kept.where("doc_id IS NULL").count() == 2 and kept.where("doc_id = 2").count() == 1
+
+
+def test_near_duplicates_link_through_rows_without_ids(spark):
+    base = 0b1111
+    edges = spark.createDataFrame([(0, base), (base, base << 4 | base)], "a long, b long")
+    from tidewell.llm.common import connected_components
+
+    assert {r.label for r in connected_components(edges).collect()} == {0}
+
+
+def test_top_k_with_odd_ids(spark):
+    rows = [(100, [float("nan"), 1.0]), (100, [1.0, 1.0]), (100, [1.0, 1.0]), (100, [2.0, 0.0]), (1, [1.0, 2.0]), (None, [9.0, 9.0]), (2, [float("inf"), 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(frame, frame.where("vec_id % 100 = 0")).collect()]
+    assert sorted(got) == [(100, 1, 1, 3 * 1024 * 1024), (100, 1, 1, 2 * 1024 * 1024)][::-1]
+
+
 def test_decontamination(spark, docs, rows):
     long = next(r for r in rows if r[1] and 60 < len(r[1].split()) < 120)
     words = long[1].split()
@@ -95,6 +150,65 @@ def test_decontamination(spark, docs, rows):
     assert {r.doc_id for r in clean.collect()} == {r[0] for r in rows} - {r.doc_id for r in found}
 
 
+def plain_tiles(doc, item, k=5):
+    """Greedy string tiling by trying every pair of places."""
+    used, free, tiles = [False] * len(doc), [True] * len(item), []
+    while True:
+        best = (0, 0, 0)
+        for d in range(len(doc)):
+            for i in range(len(item)):
+                n = 0
+                while d + n < len(doc) and i + n < len(item) and doc[d + n] == item[i + n] and not used[d + n] and free[i + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, d, i)
+        n, d, i = best
+        if n < min(k, len(item)):
+            return tiles
+        used[d : d + n], free[i : i + n] = [True] * n, [False] * n
+        tiles.append(best)
+
+
+def test_decontamination_against_plain_tiling(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    word = lambda n, v: [f"w{x}" for x in rng.integers(0, v, n)]
+    items = [word(int(n), 6) for n in rng.integers(1, 30, 40)] + [word(int(n), 300) for n in rng.integers(1, 30, 40)] + [["a"] * 12, ["a"]]
+    docs = []
+    for _ in range(60):
+        own, parts = word(int(rng.integers(0, 30)), 6), []
+        for item in rng.choice(len(items), 3):
+            cut = int(rng.integers(0, len(items[item]) + 1))
+            parts += [items[item][cut:], word(int(rng.integers(0, 4)), 300), items[item][:cut]]
+        docs.append(own + [w for p in parts for w in p])
+    docs += [["a"] * 30, []]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)] + [(None, " ".join(docs[0])), (0, " ".join(docs[1]))]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(3, " ".join(items[5])), (None, " ".join(items[0])), (99, None), (98, "!!")], "item_id long, text string")
+    want = []
+    for doc_id, text in rows:
+        for item_id, item in [*enumerate(items), (3, items[5]), (None, items[0])]:
+            tiles = plain_tiles(text.split(), item)
+            covered = sum(n for n, _, _ in tiles)
+            if covered >= 0.8 * len(item):
+                want.append((doc_id, item_id, len(item), covered, len(tiles)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r)[:5] for r in decontaminate.contamination(frame, bench).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(want) > 100
+    pairs = {}
+    for seeds in (50, decontaminate.SEEDS):  # small steps give the same
+        monkeypatch.setattr(decontaminate, "SEEDS", seeds)
+        block = decontaminate.Items(list(range(len(items))), [" ".join(x) for x in items])
+        pairs[seeds] = sorted((r, i, t) for r, i, t in block.contained(pa.array([" ".join(d) for d in docs], pa.large_string()), 0.8))
+    assert len({repr(x) for x in pairs.values()}) == 1
+
+
+def test_short_items_have_to_stand_whole(spark):
+    docs = spark.createDataFrame([(1, "the capital of France is Paris"), (2, "the capital of a France"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "capital of france"), (2, "Paris?")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.tiles, r.coverage) for r in decontaminate.contamination(docs, bench).collect()) == [(1, 1, 1, 1.0), (1, 2, 1, 1.0)]
+
+
 def test_tiling_takes_longest_first_and_never_overlaps():
     assert decontaminate.tile([(6, 0, 0), (6, 20, 5)], 11, 5) == [(6, 0, 0), (5, 21, 6)]
     assert decontaminate.tile([(5, 0, 0), (9, 40, 2)], 11, 5) == [(9, 40, 2)]

@@ -12,12 +12,14 @@ A window of 20 words is an edge of the De Bruijn graph from its first 19 words t
 4. The places go back to their documents, which hold every repeated window against its first
    place: a window is removed unless it starts there.
 
-Every exchange is dealt by a hash behind a partial aggregate or by document, so no frequent
-passage gathers in a task. Grouping is by two independent 64-bit hashes of the words.
-
-Null and empty texts have no words: nothing is removed and the digest is that of the empty
-string. Rows that share a doc_id are kept and count as the same place, so they do not remove
-one another. Extra columns are ignored.
+Every exchange is dealt by a hash behind a partial aggregate or by row, so no frequent passage
+gathers in a task. Grouping is by two independent 64-bit hashes of the words. Texts are shuffled
+once; only those with a repeated window are shuffled again.
+
+Rows are told apart by 96 bits of hash of doc_id and text. Rows that share a doc_id but not a text
+are documents of their own, in the order of that hash; equal rows count as the same place, so they
+do not remove one another. Rows without a doc_id come before all others. Null and empty texts have
+no words: nothing is removed and the digest is that of the empty string. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,14 +35,21 @@ from .common import collect_garbage, documents, gram_hashes, pieces, release, te
 
 WINDOW = 20
 GRAM = 8
-ANCHORS = T.StructType([T.StructField("h", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("pos", T.IntegerType())])
-PATHS = T.StructType(
+#: A row: 64 bits of hash of doc_id and text, and 32 of the text in front of a place.
+ANCHORS = T.StructType([T.StructField("h", T.LongType()), T.StructField("row", T.LongType()), T.StructField("at", T.LongType())])
+#: A path of a row (pos, gram, windows), or what becomes of the row: all of it, or its text and the places of its repeated windows.
+ROWS = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
+        T.StructField("row", T.LongType()),
+        T.StructField("check", T.IntegerType()),
         T.StructField("pos", T.IntegerType()),
         T.StructField("gram", T.LongType()),
         T.StructField("windows", T.ArrayType(T.LongType())),
+        T.StructField("text", T.StringType()),
         T.StructField("places", T.ArrayType(T.IntegerType())),
+        T.StructField("n_words", T.LongType()),
+        T.StructField("kept_sha256", T.StringType()),
     ]
 )
 KEPT = T.StructType(
@@ -86,56 +95,52 @@ def _anchors(window: int, gram: int):
 
         for batch in batches:
             for part, first, _, grams, at, row in _parts(batch, window, gram):
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                keys, checks = (part.column(x).to_numpy(zero_copy_only=False) for x in ("row", "check"))
                 places = np.unique(at[row >= 0])
                 rows = np.searchsorted(first, places, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(grams[places].view(np.int64)), pa.array(ids[rows]), pa.array((places - first[rows]).astype(np.int32))], names=["h", "doc_id", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(grams[places].view(np.int64)), pa.array(keys[rows]), pa.array((checks[rows].astype(np.int64) << 32) | (places - first[rows]))], names=ANCHORS.names)
 
     return run
 
 
-def _paths(window: int, gram: int):
-    """Repeated paths of each document, and a row with the places of all its repeated windows."""
+def _rows(window: int, gram: int, with_text: bool):
+    """Repeated paths of each row, and a row with its text and all its repeated windows, or with its result where it has none."""
 
     def run(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("gram", pa.int64()), ("windows", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
+        kinds = {"doc_id": pa.int64(), "row": pa.int64(), "check": pa.int32(), "pos": pa.int32(), "gram": pa.int64(), "windows": pa.list_(pa.int64()), "text": pa.string(), "places": pa.list_(pa.int32()), "n_words": pa.int64(), "kept_sha256": pa.string()}
+
+        def out(n, part, rows, **columns):
+            columns |= {x: part.column(x).take(pa.array(rows)) for x in ("doc_id", "row", "check")}
+            return pa.RecordBatch.from_arrays([columns[x].cast(t) if x in columns else pa.nulls(n, t) for x, t in kinds.items()], names=list(kinds))
+
         for batch in batches:
             for part, first, hashes, grams, at, row in _parts(batch, window, gram):
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
                 once = np.zeros(len(hashes) + 1, bool)
                 lists = part.column("once")
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
                 sizes = np.array([x or 0 for x in _sizes(lists)], np.int64)
                 once[flat + np.repeat(first[:-1], sizes)] = True
                 keep = np.flatnonzero((row >= 0) & ~once[at]) if len(at) else np.zeros(0, np.int64)
-                if not len(keep):
-                    continue
-                windows = gram_hashes(hashes, window, 0xFF51AFD7ED558CCD)[keep].view(np.int64)
-                rows, mins = row[keep], at[keep]
-                cut = np.concatenate(([0], np.flatnonzero((np.diff(keep) != 1) | (np.diff(mins) != 0) | (np.diff(rows) != 0)) + 1))
-                bounds = np.append(cut, len(keep)).astype(np.int32)
-                own = rows[cut]
-                n = len(cut)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[own]),
-                        pa.array((keep[cut] - first[own]).astype(np.int32)),
-                        pa.array(grams[mins[cut]].view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(bounds), pa.array(windows)),
-                        pa.nulls(n, pa.list_(pa.int32())),
-                    ],
-                    schema=schema,
-                )
-                edge = np.concatenate(([0], np.flatnonzero(np.diff(rows)) + 1))
-                own = rows[edge]
-                bounds = np.append(edge, len(keep)).astype(np.int32)
-                n = len(edge)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[own]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(bounds), pa.array((keep - first[rows]).astype(np.int32)))],
-                    schema=schema,
-                )
+                rows = row[keep] if len(keep) else np.zeros(0, np.int64)
+                some = np.unique(rows)
+                if len(keep):
+                    windows, mins = gram_hashes(hashes, window, 0xFF51AFD7ED558CCD)[keep].view(np.int64), at[keep]
+                    cut = np.concatenate(([0], np.flatnonzero((np.diff(keep) != 1) | (np.diff(mins) != 0) | (np.diff(rows) != 0)) + 1))
+                    own = rows[cut]
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(keep)).astype(np.int32)), pa.array(windows))
+                    yield out(len(cut), part, own, pos=pa.array((keep[cut] - first[own]).astype(np.int32)), gram=pa.array(grams[mins[cut]].view(np.int64)), windows=lists)
+                    edge = np.append(np.searchsorted(rows, some), len(keep)).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(edge), pa.array((keep - first[rows]).astype(np.int32)))
+                    yield out(len(some), part, some, text=part.column("text").take(pa.array(some)), places=lists)
+                rest = np.setdiff1d(np.arange(part.num_rows), some)
+                if len(rest):
+                    texts = part.column("text").take(pa.array(rest))
+                    words = [(x or b"").split() for x in texts.cast(pa.large_binary()).to_pylist()]
+                    kept = [b" ".join(w) for w in words]
+                    extra = {"text": pa.array([k.decode() for k in kept], pa.string())} if with_text else {}
+                    yield out(len(rest), part, rest, n_words=pa.array([len(w) for w in words], pa.int64()), kept_sha256=pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), **extra)
 
     return run
 
@@ -160,16 +165,15 @@ def _kept(window: int, with_text: bool):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole)):
             texts = batch.column("text").cast(pa.large_binary())
             places, firsts = batch.column("places"), batch.column("firsts")
             n_words, n_removed, digest, kept_text = [], [], [], []
             for i in range(batch.num_rows):
                 words = (texts[i].as_py() or b"").split()
                 n_words.append(len(words))
-                if places[i].is_valid:
-                    gone = removed_words(len(words), places[i].values.to_numpy(), firsts[i].values.to_numpy() if firsts[i].is_valid else [], window)
-                    words = [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
+                gone = removed_words(len(words), places[i].values.to_numpy(), firsts[i].values.to_numpy() if firsts[i].is_valid else [], window)
+                words = [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
                 n_removed.append(n_words[-1] - len(words))
                 kept = b" ".join(words)
                 digest.append(hashlib.sha256(kept).hexdigest())
@@ -189,24 +193,29 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.withColumn("row", F.xxhash64("doc_id", F.isnull("doc_id"), "text")).withColumn("check", (F.crc32(F.coalesce("text", F.lit(""))) - (1 << 31)).cast("int"))
     anchors = docs.mapInArrow(_anchors(window, gram), ANCHORS)
-    single = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"), F.min("pos").alias("pos")).where("n = 1")
-    once, once_at = written(single.groupBy("doc_id").agg(F.collect_list("pos").alias("once")), "substring-once")
+    single = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.min("at").alias("at")).where("n = 1")
+    pos = F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    once = single.groupBy("row", F.shiftright("at", 32).cast("int").alias("check")).agg(F.collect_list(pos).alias("once"))
+    once, once_at = written(once, "substring-once")
     collect_garbage(spark)
-    marked = docs.join(once, "doc_id", "left").select("doc_id", "text", "once")
-    found, _ = written(marked.mapInArrow(_paths(window, gram), PATHS), "substring-paths")
+    marked = docs.join(once, ["row", "check"], "left").select("doc_id", "row", "check", "text", "once")
+    found, _ = written(marked.mapInArrow(_rows(window, gram, with_text), ROWS), "substring-rows")
     release(spark, once_at)
     collect_garbage(spark)
-    classes = found.where("pos IS NOT NULL").groupBy("gram", "windows").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
-    edges = classes.select("gram", "at.doc_id", "at.pos", F.posexplode("windows").alias("k", "edge"))
-    firsts = edges.groupBy("gram", "edge").agg(F.min(F.struct("doc_id", (F.col("pos") + F.col("k")).alias("pos"))).alias("at"))
-    firsts = firsts.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list("at.pos").alias("firsts"))
+    place = F.struct("doc_id", "row", "pos", "check")
+    classes = found.where("pos IS NOT NULL").groupBy("gram", "windows").agg(F.min(place).alias("at"))
+    edges = classes.select("gram", "at.doc_id", "at.row", "at.check", "at.pos", F.posexplode("windows").alias("k", "edge"))
+    firsts = edges.groupBy("gram", "edge").agg(F.min(F.struct("doc_id", "row", (F.col("pos") + F.col("k")).alias("pos"), "check")).alias("at"))
+    firsts = firsts.groupBy(F.col("at.row").alias("row"), F.col("at.check").alias("check")).agg(F.collect_list("at.pos").alias("firsts"))
     firsts, _ = written(firsts, "substring-firsts")
     collect_garbage(spark)
-    places = found.where("places IS NOT NULL").select("doc_id", "places").dropDuplicates(["doc_id"])
-    spans = places.join(firsts, "doc_id", "left")
     schema = T.StructType([*KEPT.fields, T.StructField("kept_text", T.StringType())]) if with_text else KEPT
-    return docs.join(spans, "doc_id", "left").select("doc_id", "text", "places", "firsts").mapInArrow(_kept(window, with_text), schema)
+    spans = found.where("places IS NOT NULL").select("doc_id", "row", "check", "text", "places").join(firsts, ["row", "check"], "left")
+    held = spans.select("doc_id", "text", "places", "firsts").mapInArrow(_kept(window, with_text), schema)
+    whole = found.where("n_words IS NOT NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", *([F.col("text").alias("kept_text")] if with_text else []))
+    return whole.union(held)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

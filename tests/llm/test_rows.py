@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.llm import langid, mixing, pii, quality, repair, rollup, tokens
 from tidewell.llm.common import scratch
@@ -150,6 +151,16 @@ def test_mix_places_every_row(docs, no_docs, rows):
     assert mixing.mix(docs, weights={"hot": 1, None: 0}, block_rows=4).where("source <> 'hot' OR source IS NULL").count() == 0
 
 
+def test_written_steps_leave_the_session_as_it_was(spark):
+    from tidewell.llm import common
+
+    before = spark.conf.get(common.CLEANUP, None)
+    rows, at = common.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    assert rows.count() == 7 and common.exists(spark, at) and spark.conf.get(common.CLEANUP, None) == before
+    common.release(spark, at)
+    assert not common.exists(spark, at)
+
+
 def test_schedule_repeats_after_a_period(spark):
     weights, blocks = {"a": 5, "b": 3, "c": 2}, {"a": 400, "b": 70, "c": 300}
     plan = mixing.pfair(weights, blocks)

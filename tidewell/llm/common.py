@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -33,22 +33,34 @@ def release(spark: SparkSession, *paths: str) -> None:
         fs.delete(where, True)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaned_up(spark: SparkSession):
+    """Shuffle files of what runs inside go when it ends: it has been written and won't be asked for again."""
+    old = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, old)
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The rows written to the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    with cleaned_up(spark):
+        df.write.parquet(path)
     schema = df.schema
     del df
     return spark.read.schema(schema).parquet(path), path
 
 
-def collect_garbage(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files of steps that are over."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, pieces, scratch
+from .common import cleaned_up, documents, pieces, scratch
 from .tokens import encoder, tokenizer_path
 
 END_ID = 2
@@ -304,7 +304,8 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int = END_ID,
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(_encode(tokenizer, end_id, shard_tokens), SHARDS).write.option("compression", "zstd").parquet(to)
+    with cleaned_up(spark):
+        dealt.mapInArrow(_encode(tokenizer, end_id, shard_tokens), SHARDS).write.option("compression", "zstd").parquet(to)
 
 
 def read_tokens(spark, at: str) -> DataFrame:

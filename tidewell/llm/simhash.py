@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import collect_garbage, connected_components, release, written
+from .common import connected_components, release, written
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit, width
 LIMIT = 4
@@ -201,7 +201,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, b
     all_fps, _ = written(fingerprints(docs, shingle, seed), "simhash-fps")
     nodes, _ = written(all_fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
     edges, edges_at = written(links(nodes.select("fp"), block).distinct(), "simhash-edges")
-    collect_garbage(spark)
     labels = connected_components(edges, "simhash-cc")
     release(spark, edges_at)
     found = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))

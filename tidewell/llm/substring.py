@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import collect_garbage, documents, gram_hashes, pieces, release, text_buffer, word_hashes, words_of, written
+from .common import documents, gram_hashes, pieces, release, text_buffer, word_hashes, words_of, written
 
 WINDOW = 20
 GRAM = 8
@@ -199,18 +199,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
     pos = F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
     once = single.groupBy("row", F.shiftright("at", 32).cast("int").alias("check")).agg(F.collect_list(pos).alias("once"))
     once, once_at = written(once, "substring-once")
-    collect_garbage(spark)
     marked = docs.join(once, ["row", "check"], "left").select("doc_id", "row", "check", "text", "once")
     found, _ = written(marked.mapInArrow(_rows(window, gram, with_text), ROWS), "substring-rows")
     release(spark, once_at)
-    collect_garbage(spark)
     place = F.struct("doc_id", "row", "pos", "check")
     classes = found.where("pos IS NOT NULL").groupBy("gram", "windows").agg(F.min(place).alias("at"))
     edges = classes.select("gram", "at.doc_id", "at.row", "at.check", "at.pos", F.posexplode("windows").alias("k", "edge"))
     firsts = edges.groupBy("gram", "edge").agg(F.min(F.struct("doc_id", "row", (F.col("pos") + F.col("k")).alias("pos"), "check")).alias("at"))
     firsts = firsts.groupBy(F.col("at.row").alias("row"), F.col("at.check").alias("check")).agg(F.collect_list("at.pos").alias("firsts"))
     firsts, _ = written(firsts, "substring-firsts")
-    collect_garbage(spark)
     schema = T.StructType([*KEPT.fields, T.StructField("kept_text", T.StringType())]) if with_text else KEPT
     spans = found.where("places IS NOT NULL").select("doc_id", "row", "check", "text", "places").join(firsts, ["row", "check"], "left")
     held = spans.select("doc_id", "text", "places", "firsts").mapInArrow(_kept(window, with_text), schema)

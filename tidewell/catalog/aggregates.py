@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import AS_OF, ENABLED_CATEGORIES, VERTICALS
-from ..fixtures import CRAWL_SQL, SENT_SQL, crawl, opportunities, sent_log, sql
+from ..fixtures import CRAWL_SQL, MEMBERS_SQL, OPP, SENT_SQL, crawl, members, opportunities, sent_log, sql
 from ..functions import links
 from ..operators import filters as flt
+from ..operators import search_index
 from ..operators import summaries as op
 from ..operators.filters import Listing
 from ..operators.routing import digest, fitting_cap, region_rank, stale_cut
 from ..registry import query
+from ..shared import scratch
 from .filters import ACTIVE, EVERYTHING, SHOWN
 
 
@@ -81,9 +83,12 @@ def worst_sources(spark, d):
     return rows.groupBy("country").agg(F.count(F.lit(1)).alias("bad")).orderBy(F.desc("bad"), "country").limit(12)
 
 
-@query("agg_12_non_english_per_source", "SELECT source, count(*) AS n FROM documents WHERE regexp_matches(text, '[äöüßéèêçñóí]') GROUP BY source")
+@query("agg_12_non_english_per_source", sql("SELECT source_website, count(*) AS n FROM opportunities WHERE id % 9 < 8 GROUP BY source_website"))
 def non_english_per_source(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").where(F.col("text").rlike("[äöüßéèêçñóí]")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    """Titles that hold a letter of one of eight scripts, which eight of nine have here."""
+    letters = F.array(*map(F.lit, "שلЖकก新の한"))
+    title = F.concat(F.coalesce(F.get(letters, (F.col("id") % 9).cast("int")), F.lit("Ö")), F.lit(" "), "title")
+    return opportunities(spark, d).withColumn("title", title).where(~flt.english()).groupBy("source_website").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("agg_13_run_counters", f"WITH {CRAWL_SQL} SELECT source, count(DISTINCT page) AS pages, count(*) AS found, count(DISTINCT item) AS fresh, round(100 * (1 - count(DISTINCT item) / CAST(count(*) AS DOUBLE)), 2) AS repeat_pct FROM crawl GROUP BY source")
@@ -123,6 +128,22 @@ _audit("agg_18c_classified_split", "SELECT SUM(CASE WHEN verticals <> '' THEN 1
 _audit("agg_18d_label_histogram", "SELECT length(verticals) - length(replace(verticals, ',', '')) + 1 AS labels, count(*) AS n FROM opportunities WHERE verticals <> '' GROUP BY 1")
 _audit("agg_18e_week_ahead", "SELECT id, deadline FROM opportunities WHERE deadline BETWEEN DATE '1998-08-02' AND DATE '1998-08-09'")
 _audit("agg_18f_having_duplicates", "SELECT title, organization, count(*) AS n FROM opportunities GROUP BY title, organization HAVING count(*) > 1")
+query("agg_18h_run_history", "SELECT event_type AS source, count(DISTINCT date_trunc('hour', ts)) AS pages, count(*) AS found, count(DISTINCT user_id) AS saved, count(*) FILTER (WHERE value < 1) AS errors, max(ts) AS finished_at FROM events GROUP BY event_type")(
+    lambda spark, d: spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("event_type").alias("source")).agg(F.countDistinct(F.date_trunc("hour", "ts")).alias("pages"), F.count(F.lit(1)).alias("found"), F.countDistinct("user_id").alias("saved"), F.count_if(F.col("value") < 1).alias("errors"), F.max("ts").alias("finished_at"))
+)
+query("agg_18i_mails_per_member", sql("SELECT m.name, count(s.opportunity_id) AS received FROM members m LEFT JOIN sent_log s ON s.member_id = m.member_id GROUP BY m.name", OPP, MEMBERS_SQL, SENT_SQL))(
+    lambda spark, d: members(spark).select("member_id", "name").join(sent_log(spark, d), "member_id", "left").groupBy("name").agg(F.count("opportunity_id").alias("received"))
+)
+
+
+@query("agg_18j_titles_by_word", sql("SELECT id, title FROM opportunities WHERE regexp_matches(lower(concat_ws(' | ', title, organization, summary, vertical, country, eligibility)), '(^|[^a-z0-9])stu')"))
+def titles_by_word(spark, d):
+    """Titles of the listings that hold a word with a certain beginning, looked up in the word index."""
+    at, rows = scratch(spark, "index"), opportunities(spark, d)
+    search_index.add_batch(at, 1, rows)
+    return search_index.searched(rows, at, "stu").select("id", "title")
+
+
 _audit("agg_18g_work_type_by_category", "SELECT category, work_type, count(*) AS n FROM opportunities GROUP BY category, work_type")
 
 

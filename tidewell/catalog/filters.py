@@ -50,7 +50,13 @@ _listing("flt_11_deadline_range", Listing(deadline_after=datetime.date(1999, 1,
 _STARTS = "regexp_matches(lower({c}), '(^|[^a-z0-9]){w}')"
 _EACH = " AND ".join("(" + " OR ".join(_STARTS.format(c=c, w=w) for c in op.SEARCHED) + ")" for w in ("bol", "stud"))
 _listing("flt_12_prefix_search", Listing(search="Bol stud", english_only=False, classified_only=False), f"{ACTIVE} AND {_EACH}")
-_listing("flt_13_search_fallback", Listing(search='"ring', english_only=False, classified_only=False), f"{ACTIVE} AND (contains(lower(title), '\"ring') OR contains(lower(organization), '\"ring') OR contains(lower(summary), '\"ring') OR contains(lower(vertical), '\"ring'))")
+@query("flt_13_search_fallback", sql("SELECT id FROM opportunities WHERE id % 4 = 0 AND contains(lower(title), 'ring')"))
+def search_fallback(spark, d):
+    """A quoted search is a plain substring: of titles that hold a quotation mark in front of the word, a quarter."""
+    title = F.when(F.col("id") % 4 == 0, F.regexp_replace("title", "(?i)ring", '"ring')).otherwise(F.col("title"))
+    return opportunities(spark, d).withColumn("title", title).where(op.search('"RING')).select("id")
+
+
 _ids("flt_21_linkable_active", lambda: (F.col("opportunity_url") != "") & (F.col("status") == "Active") & (F.col("source_website") == "BUILDING"), "opportunity_url <> '' AND status = 'Active' AND source_website = 'BUILDING'")
 
 
@@ -131,10 +137,10 @@ def union_with_selection(spark, d):
     return values.select(F.explode(F.array_sort(F.array_union("v", F.array(F.lit("Atlantis"))))).alias("value"))
 
 
-@query("set_02_difference", "SELECT DISTINCT user_id FROM events WHERE event_type = 'click' EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase'")
+@query("set_02_difference", "SELECT DISTINCT user_id FROM events WHERE event_type = 'click' EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 150")
 def difference(spark, d):
     events = spark.read.parquet(f"{d}/events.parquet")
-    seen = events.where("event_type = 'purchase'").select("user_id")
+    seen = events.where("event_type = 'purchase' AND value > 150").select("user_id")
     return events.where("event_type = 'click'").select("user_id").distinct().join(seen, "user_id", "left_anti")
 
 

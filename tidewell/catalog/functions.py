@@ -9,7 +9,7 @@ from ..fixtures import opportunities, sql
 from ..functions import amounts, classify, dates, geo, links, organizations, text
 from ..operators import digests
 from ..operators import filters as flt
-from ..functions.lexicons import CATEGORY_PATTERNS, IMPLEMENTATION_PATTERNS, RESEARCH_PATTERNS, VERTICAL_PATTERNS
+from ..functions.lexicons import CATEGORY_PATTERNS, IMPLEMENTATION_PATTERNS, RESEARCH_PATTERNS
 from ..functions.places import WORLD
 from ..registry import query
 
@@ -111,7 +111,7 @@ def geo_lookup(spark, d):
 _cases("txt_16_display_case", [("bosnia and herzegovina", "Bosnia and Herzegovina"), ("u.s. virgin islands", "U.S. Virgin Islands"), ("guinea-bissau {id}", "Guinea-Bissau {id}"), ("ISLE OF MAN", "Isle of Man")], geo.display_case)
 _ORGANIZATIONS = [("The {name} Trust is inviting applications.", "{name} Trust"), ("A scheme funded by the {name} Journalism Network (EJN) in Asia.", "{name} Journalism Network (EJN)"), ("Some prose number {id} without a name.", ""), ("Grant The {name} Foundation is inviting proposals.", "{name} Foundation"), ("The {name} Foundation, that provides grants to many, is inviting proposals.", "{name} Foundation"), ("Deadline: 31-Dec-2026 AI Snippet Summary: The {name} Council, which is new, announces a call.", "{name} Council"), ("The programme by the {name} Institute provides support.", "{name} Institute")]
 _cases("txt_17_extract_organization", _ORGANIZATIONS, lambda c: organizations.extracted(c, F.lit("")))
-_column("txt_18_tidy_organization", lambda: organizations.tidied(F.concat_ws(", ", F.array_repeat("organization", 20))))
+_column("txt_18_tidy_organization", lambda: organizations.tidied(F.concat_ws(", ", F.array_repeat(F.rpad("organization", 18, "x"), 20))), "concat(rtrim(repeat(concat(rpad(organization, 18, 'x'), ', '), 9), ', '), ' +11 more')")
 _column("txt_19_furniture", lambda: text.furniture(F.when(F.col("id") % 5 == 0, F.lit(" Read  More:")).otherwise(F.col("title"))), "id % 5 = 0")
 _column("txt_20_spam", lambda: text.spam(F.when(F.col("id") % 5 == 0, F.lit("Best offer +971 50 123 45 67")).when(F.col("id") % 5 == 1, F.lit("Открытый конкурс на лучшую работу")).when(F.col("id") % 5 == 2, F.lit("Ref 123456789012 review")).otherwise(F.col("title")), F.col("summary")), "id % 5 IN (0, 1)")
 _column("flt_18_spam_reject", lambda: ~text.spam(F.when(F.col("id") % 7 == 0, F.concat(F.lit("Call +44 20 7946 0958 "), "title")).when(F.col("id") % 7 == 1, F.lit("Skip to main content")).otherwise(F.col("title")), F.when(F.col("id") % 7 == 2, F.lit("buy cytotec pills")).otherwise(F.col("summary"))), "id % 7 > 2")
@@ -131,7 +131,13 @@ _cases("txt_31_suffix_country", [("Call number {id} (Kenya)", "Kenya"), ("Call {
 _cases("txt_32_in_rupees", [("USD 10,000", "≈ ₹8.8 L"), ("£10,000 – £150,000", "≈ ₹11 L – ₹1.7 Cr"), ("EUR 1.5 million", "≈ ₹14 Cr"), ("INR {id}", ""), ("no money {id}", ""), ("$ 20k", "≈ ₹18 L")], amounts.in_rupees)
 _DAYS_LEFT = "(deadline - DATE '1998-08-02')"
 _column("txt_35_digest_row", lambda: digests.row(AS_OF), f"concat('<tr><td><a href=\"', opportunity_url, '\">', title, '</a></td><td>', organization, '</td><td>', CASE WHEN deadline IS NULL THEN 'Ongoing' ELSE strftime(deadline, '%d %b %Y') END, '</td><td>', CASE WHEN deadline IS NULL THEN 'Ongoing' WHEN {_DAYS_LEFT} = 0 THEN 'closes today' WHEN {_DAYS_LEFT} > 0 THEN concat(CAST({_DAYS_LEFT} AS VARCHAR), ' days left') ELSE 'closed' END, '</td></tr>')")
-query("txt_34_html_text")(lambda spark, d: spark.read.parquet(f"{d}/pages.parquet").select("page_id", text.html_text(F.col("html")).alias("value")))
+_BARE = "html"
+for _t in ("script", "style", "nav", "header", "footer"):
+    _BARE = f"regexp_replace({_BARE}, '(?is)<{_t}\\b.*?</{_t}\\s*>', ' ', 'g')"
+_BARE = f"regexp_replace(regexp_replace({_BARE}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+for _a, _b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#8217;", "’"), ("&#8211;", "–"), ("&amp;", "&")):
+    _BARE = f"replace({_BARE}, '{_a}', '{_b}')"
+query("txt_34_html_text", f"SELECT page_id, substring(trim(regexp_replace({_BARE}, '\\s+', ' ', 'g')), 1, 20000) AS value FROM pages")(lambda spark, d: spark.read.parquet(f"{d}/pages.parquet").select("page_id", text.html_text(F.col("html")).alias("value")))
 
 def _shown():
     """A listing's deadline as sources write it, in six ways."""

@@ -76,6 +76,14 @@ def ingest_rows(spark, d):
     return ingest.accepted(ingest.judged(_raw(spark, d), rules), rules).select("id", "deadline", "status")
 
 
+@query("pip_01_ingest_insert", sql("SELECT min(id) AS id, title FROM (SELECT *, CASE WHEN deadline > DATE '2001-08-01' THEN NULL ELSE deadline END AS d FROM opportunities) AS x WHERE (deadline IS NULL OR (deadline >= DATE '1998-08-02' AND deadline <= DATE '2001-08-01')) AND NOT EXISTS (SELECT 1 FROM opportunities t WHERE t.category = 'Tender' AND t.title = x.title AND t.organization = x.organization AND t.deadline IS NOT DISTINCT FROM x.d AND t.opportunity_url = x.opportunity_url) GROUP BY title, organization, d, opportunity_url"))
+def ingest_insert(spark, d):
+    """From raw listings, all of them twice, to the rows that are inserted: each once, and none that the table has."""
+    raw, rules = _raw(spark, d), ingest.Rules(AS_OF, places=_places(spark, d))
+    table = opportunities(spark, d).where("category = 'Tender'").select(text.unique_id(F.col("title"), F.col("organization"), F.col("deadline"), F.col("opportunity_url")).alias("unique_id"))
+    return ingest.ingested(raw.union(raw.withColumn("id", F.col("id") + 10_000_000_000)), table, rules, ["id"]).select("id", "title")
+
+
 @query("pip_01_ingest_counters", sql("SELECT source_website, count(*) AS found, count(*) FILTER (WHERE deadline < DATE '1998-08-02' OR deadline > DATE '2001-08-01') AS is_expired FROM opportunities GROUP BY source_website"))
 def ingest_counters(spark, d):
     rules = ingest.Rules(AS_OF, places=_places(spark, d))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import AS_OF
 from ..fixtures import crawl, opportunities, pages, sql
-from ..functions import amounts, dates, text
+from ..functions import dates, text
 from ..operators import digests, exports
 from ..operators.summaries import first_seen
 from ..registry import query
@@ -39,17 +39,54 @@ def empty_page(spark, d):
     return guards.until_empty(found)
 
 
-@query("src_09_next_page")
+_SITE = "concat('https://', lower(source_website), '.example.org')"
+
+
+def _site():
+    return F.concat(F.lit("https://"), F.lower("source_website"), F.lit(".example.org"))
+
+
+@query("src_09_next_page", sql(f"SELECT id AS page_id, CASE id % 4 WHEN 0 THEN concat({_SITE}, '/rel/', id) WHEN 1 THEN concat({_SITE}, '/calls/older-', id) WHEN 2 THEN 'https://else.example.org/x' END AS next FROM opportunities"))
 def next_page(spark, d):
-    return html.next_link(pages(spark, d))
+    """The link marked rel=next, else the one labelled next; relative, rooted and whole URLs."""
+    n = F.col("id").cast("string")
+    body = F.when(F.col("id") % 4 == 0, F.concat(F.lit("<a href='/no'>Next</a><link rel='next' href='/rel/"), n, F.lit("'>"))).when(F.col("id") % 4 == 1, F.concat(F.lit("<a class='x' href='older-"), n, F.lit("'> Next </a>")))
+    body = body.when(F.col("id") % 4 == 2, F.lit("<a href='https://else.example.org/x'>»</a>")).otherwise("<a href='/a'>Home</a>")
+    return html.next_link(opportunities(spark, d).select(F.col("id").alias("page_id"), F.concat(_site(), F.lit("/calls/list")).alias("url"), body.alias("html")))
+
+
+def _listing_pages(spark, d):
+    """A saved page for every listing: furniture, then a block with heading, text, and a link that says little or all."""
+    says = F.when(F.col("id") % 2 == 0, F.lit("Learn more")).otherwise(F.col("title"))
+    closes = F.when(F.col("deadline").isNotNull() & (F.col("id") % 3 > 0), F.concat(F.lit("Deadline: "), F.date_format("deadline", "d MMMM yyyy"), F.lit(". "))).otherwise("")
+    block = F.concat(F.lit("<article class='card'><h3>"), "title", F.lit("</h3><p>"), closes, "summary", F.lit("</p><a href='/calls/"), F.col("id").cast("string"), F.lit("'>"), says, F.lit("</a></article>"))
+    body = F.concat(F.lit("<html><nav><a href='/about'>About our organisation and its history</a></nav><div>"), block, F.lit("<a href='#top'>Back</a></div></html>"))
+    return opportunities(spark, d).select(F.col("id").alias("page_id"), F.concat(_site(), F.lit("/list")).alias("url"), body.alias("html"))
+
+
+_CLOSES = "CASE WHEN deadline IS NOT NULL AND id % 3 > 0 THEN strftime(deadline, '%-d %B %Y') ELSE '' END"
+_BLOCK = f"concat(title, ' ', CASE WHEN {_CLOSES} = '' THEN '' ELSE concat('Deadline: ', {_CLOSES}, '. ') END, summary, ' ', CASE WHEN id % 2 = 0 THEN 'Learn more' ELSE title END)"
 
 
-@query("src_13_html_listings")
+@query("src_13_html_listings", sql(f"SELECT id AS page_id, title, concat({_SITE}, '/calls/', id) AS url, {_CLOSES} AS deadline_raw, CASE WHEN length({_BLOCK}) > length(title) + 40 THEN {_BLOCK} ELSE '' END AS summary, {_CLOSES} = '' AS assume_active FROM opportunities WHERE length(title) BETWEEN 18 AND 300"))
 def html_listings(spark, d):
-    return html.listings(pages(spark, d), same_site=False)
+    """Listings out of blocks: the link's title or the heading's, the deadline and the text around it."""
+    return html.blocks(_listing_pages(spark, d)).drop("place")
 
 
-@query("src_13_anchors")
+@query("src_13_site_anchors", sql(f"SELECT id AS page_id, title, concat({_SITE}, '/calls/', id) AS url FROM opportunities WHERE id % 2 = 1 AND length(title) BETWEEN 18 AND 300 UNION ALL SELECT id, 'About our organisation and its history', concat({_SITE}, '/about') FROM opportunities"))
+def site_anchors(spark, d):
+    """Anchors of the same site whose own text could be a title."""
+    return html.listings(_listing_pages(spark, d)).select("page_id", "title", "url")
+
+
+_TAG = "(?is)<a\\s[^>]*href=[\"''][^\"'']+[\"''][^>]*>.*?</a>"
+_PLAIN = "regexp_replace(tag, '(?s)<[^>]*>', ' ', 'g')"
+for _a, _b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#8217;", "’"), ("&#8211;", "–"), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_a}', '{_b}')"
+
+
+@query("src_13_anchors", f"SELECT page_id, CAST(place AS INTEGER) - 1 AS place, url, regexp_extract(tag, '(?is)href=[\"'']([^\"'']+)[\"'']', 1) AS href, trim(regexp_replace({_PLAIN}, '\\s+', ' ', 'g')) AS label FROM (SELECT page_id, url, unnest(tags) AS tag, generate_subscripts(tags, 1) AS place FROM (SELECT page_id, url, regexp_extract_all(html, '{_TAG}') AS tags FROM pages) AS t) AS x")
 def html_anchors(spark, d):
     return html.anchors(pages(spark, d))
 
@@ -115,9 +152,25 @@ def labelled_fields(spark, d):
     return opportunities(spark, d).select("id", html.field_of(page, "Country", until).alias("country"), html.field_of(page, "Kind", until).alias("kind"))
 
 
-@query("src_24_cards")
+@query("src_24_cards", sql("SELECT id AS page_id, CASE WHEN id % 2 = 0 THEN title ELSE concat('Heading of ', title) END AS title, concat('/t/', id) AS href, CASE WHEN id % 2 = 0 THEN country END AS country, CASE WHEN id % 2 = 0 THEN category END AS kind, CASE id % 3 WHEN 0 THEN '£' || (id % 900 + 100) || 'k' WHEN 1 THEN '£' || (id % 90 + 10) || 'k+' ELSE '' END AS size FROM opportunities"))
 def cards(spark, d):
-    return html.parsed_cards(pages(spark, d), "body").select("page_id", F.map_keys("fields").alias("keys"))
+    """Cards with a definition list, and cards that only have a heading; sizes such as £50k+ anywhere in them."""
+    n = F.col("id")
+    size = F.when(n % 3 == 0, F.concat(F.lit("£"), (n % 900 + 100).cast("string"), F.lit("k"))).when(n % 3 == 1, F.concat(F.lit("£"), (n % 90 + 10).cast("string"), F.lit("k+"))).otherwise("no size")
+    link = F.concat(F.lit("<a href='/t/"), n.cast("string"), F.lit("'>"))
+    listed = F.concat(F.lit("<article><h2>"), link, "title", F.lit("</a></h2><dl><dt>Country:</dt><dd>"), "country", F.lit("</dd><dt>Kind</dt><dd>"), "category", F.lit("</dd></dl><p>"), size, F.lit("</p></article>"))
+    headed = F.concat(F.lit("<h3>"), link, F.lit("Heading of "), "title", F.lit("</a></h3><p>"), size, F.lit("</p><hr>"))
+    rows = opportunities(spark, d).select(n.alias("page_id"), F.when(n % 2 == 0, listed).otherwise(headed).alias("html"))
+    found = html.cards(rows)
+    return found.select("page_id", "title", "href", *(F.try_element_at("fields", F.lit(k)).alias(k) for k in ("country", "kind")), "size")
+
+
+@query("src_24_parsed_cards", sql("SELECT id AS page_id, title, concat('/t/', id) AS href, category AS kind FROM opportunities"))
+def parsed_cards(spark, d):
+    """The same kind of card by the standard library's parser."""
+    body = F.concat(F.lit("<article><h2>"), "title", F.lit("</h2><a href='/t/"), F.col("id").cast("string"), F.lit("'>more</a><span class='kind'>"), "category", F.lit("</span></article>"))
+    found = html.parsed_cards(opportunities(spark, d).select(F.col("id").alias("page_id"), body.alias("html")))
+    return found.select("page_id", F.col("fields")["h2"].alias("title"), F.col("fields")["href"].alias("href"), F.col("fields")["kind"].alias("kind"))
 
 
 @query("src_26_smallest_next_number", sql("SELECT id, CAST(id % 7 + 1 AS INTEGER) AS next_page FROM opportunities"))
@@ -130,12 +183,19 @@ def smallest_next_number(spark, d):
 _GAP = "funding_amount = '' OR deadline IS NULL"
 
 
-@query("src_31_detail_enrichment", sql("SELECT id, CASE WHEN funding_amount = '' THEN concat('up to ', regexp_extract(summary, 'USD [0-9]+')) ELSE funding_amount END AS funding_amount FROM opportunities"))
+_MISSING = "id % 3 = 0"
+
+
+@query("src_31_detail_enrichment", sql(f"SELECT id, CASE WHEN {_MISSING} THEN coalesce(strftime(deadline, '%-d %B %Y'), '') ELSE 'given' END AS deadline_raw, CASE WHEN funding_amount = '' THEN concat('up to ', regexp_extract(summary, 'USD [0-9]+')) ELSE funding_amount END AS funding_amount, CASE WHEN {_MISSING} THEN 'Green Trust' ELSE organization END AS organization, CASE WHEN {_MISSING} THEN concat('The Green Trust is inviting applications. ', summary, CASE WHEN deadline IS NULL THEN '' ELSE concat(' Deadline: ', strftime(deadline, '%-d %B %Y')) END, ' for everyone who reads this page to its very end and then some more of it') ELSE summary END AS summary FROM opportunities"))
 def detail_enrichment(spark, d):
+    """Deadline, amount, organisation and summary from a listing's own page, each where it is missing."""
     rows = opportunities(spark, d)
-    detail = rows.select("id", F.concat(F.lit("<p>"), "summary", F.lit("</p><script>x</script>")).alias("html"))
-    joined = rows.select("id", "funding_amount").join(detail, "id", "left")
-    return joined.select("id", F.coalesce(F.nullif("funding_amount", F.lit("")), amounts.extracted(text.html_text(F.col("html")))).alias("funding_amount"))
+    closes = F.when(F.col("deadline").isNull(), "").otherwise(F.concat(F.lit(" Deadline: "), F.date_format("deadline", "d MMMM yyyy")))
+    page = F.concat(F.lit("<nav>Home</nav><p>The Green Trust is inviting applications.</p><p>"), "summary", F.lit("</p><script>x</script>"), closes, F.lit(" for everyone who reads this page to its very end and then some more of it"))
+    detail = rows.select("id", page.alias("html"))
+    gap = F.expr(_MISSING)
+    known = rows.select("id", "title", F.when(gap, "").otherwise("given").alias("deadline_raw"), "funding_amount", F.when(gap, "").otherwise(F.col("organization")).alias("organization"), F.when(gap, "").otherwise(F.col("summary")).alias("summary"))
+    return html.enriched(known, detail).select("id", "deadline_raw", "funding_amount", "organization", "summary")
 
 
 @query("src_32_enrichment_targets", sql(f"SELECT id, source_website FROM (SELECT id, source_website, row_number() OVER (PARTITION BY source_website ORDER BY id) AS r FROM opportunities WHERE {_GAP}) AS x WHERE r <= 20"))
@@ -186,23 +246,24 @@ def config_factory(spark, d):
     return spark.createDataFrame(pages_, "name string, page int, url string")
 
 
-_RANGES = "WITH RECURSIVE n AS (SELECT 0.0 AS lo, 1048576.0 AS hi UNION ALL SELECT CASE k WHEN 0 THEN lo ELSE (lo + hi) / 2 END, CASE k WHEN 0 THEN (lo + hi) / 2 ELSE hi END FROM n, (VALUES (0), (1)) AS two(k) WHERE hi - lo > 1024 AND (SELECT count(*) FROM orders WHERE o_totalprice >= lo AND o_totalprice < hi) > (SELECT count(*) / 16 FROM orders))"
+_CELLS = "lv AS (SELECT l, CAST(unnest(range(0, CAST(pow(2, l) AS BIGINT))) AS BIGINT) AS k FROM (SELECT unnest(range(0, 11)) AS l) AS t), cnt AS (SELECT l, CAST(floor(o_totalprice / (1048576 / pow(2, l))) AS BIGINT) AS k, count(*) AS n FROM orders, (SELECT unnest(range(0, 11)) AS l) AS t WHERE o_totalprice >= 0 AND o_totalprice < 1048576 GROUP BY 1, 2), node AS (SELECT lv.l, lv.k, coalesce(n, 0) AS n FROM lv LEFT JOIN cnt ON cnt.l = lv.l AND cnt.k = lv.k), most AS (SELECT count(*) // 16 AS m FROM orders WHERE o_totalprice >= 0 AND o_totalprice < 1048576)"
 
 
-@query("src_17_adaptive_ranges")
+@query("src_17_adaptive_ranges", f"WITH {_CELLS} SELECT a.k * (1048576 / pow(2, a.l)) AS lo, (a.k + 1) * (1048576 / pow(2, a.l)) AS hi, a.n FROM node a LEFT JOIN node p ON p.l = a.l - 1 AND p.k = a.k // 2, most WHERE (a.n <= m OR a.l = 10) AND (p.n IS NULL OR p.n > m)")
 def adaptive_ranges(spark, d):
     """Price ranges that a source which shows a sixteenth of its rows can page through: counted in one aggregate, split from its counts."""
     prices = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_totalprice").alias("x"))
     return paged.adaptive_ranges(prices, "x", 0.0, 1_048_576.0, F.floor(F.count(F.lit(1)) / 16), cells=1024)
 
 
-@query("src_03_paged_crawl")
+@query("src_03_paged_crawl", "SELECT 'saved' AS source, CAST(p AS INTEGER) AS page, concat('https://example.org/list?page=', p) AS url, concat('<li>', n_name, '</li>') AS body FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS p FROM nation WHERE n_nationkey < 13) AS x")
 def paged_crawl(spark, d):
-    """The data source over saved pages: a partition for each page range."""
-    bodies = [f"<html><body><a href='/calls/{n}'>Call number {n} for proposals</a></body></html>" for n in range(1, 6)]
+    """The data source over saved pages, a partition for each page range; all of them end where the source does."""
+    names = [r[0] for r in spark.read.parquet(f"{d}/nation.parquet").where("n_nationkey < 13").orderBy("n_nationkey").select("n_name").collect()]
+    bodies = [f"<li>{n}</li>" for n in names] + ["", "<li>after the end</li>", "<li>and after</li>"]
     spark.dataSource.register(paged.PagedSource)
-    options = {"template": "https://example.org/list?page={page}", "pages": "8", "pages_per_partition": "2", "inline": json.dumps(bodies), "source": "saved"}
-    return spark.read.format("paged").options(**options).load()
+    options = {"template": "https://example.org/list?page={page}", "pages": "20", "pages_per_partition": "2", "inline": json.dumps(bodies), "source": "saved", "retries": "1"}
+    return paged.to_the_end(spark.read.format("paged").options(**options).load())
 
 
 @query("snk_02_csv_export_rows", sql("SELECT " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in exports.COLUMNS) + " FROM opportunities"))

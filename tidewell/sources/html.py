@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import links, text
+from ..functions import amounts, links, organizations, text
 
 LISTINGS = "page_id long, title string, url string, context string"
 CARDS = "page_id long, fields map<string,string>"
@@ -111,6 +111,34 @@ def field_of(page_text: Column, label: str, until: list[str]) -> Column:
     return F.trim(F.regexp_extract(page_text, rf"(?is)\b{label}\s*:?\s*(.*?)(?:\s+(?:{stop})\s*:|$)", 1))
 
 
+SIZE = r"(£\d+(?:\.\d+)?[km]?\+?)"
+
+
+def cards(pages: DataFrame) -> DataFrame:
+    """(page_id, place, title, href, fields, size) of articles with a definition list, or of headings with what follows where a page has none."""
+    articles = F.regexp_extract_all("html", F.lit(r"(?is)<article\b[^>]*>(.*?)</article\s*>"), F.lit(1))
+    headed = F.regexp_extract_all("html", F.lit(r"(?is)(<h[2-4]\b[^>]*>.*?</h[2-4]\s*>(?:(?!<h[2-4]\b|<hr).)*)"), F.lit(1))
+    rows = pages.select("page_id", F.posexplode(F.when(F.size(articles) > 0, articles).otherwise(headed)).alias("place", "card"))
+    strip = lambda x: text.squeezed(text.unescaped(F.regexp_replace(x, r"(?s)<[^>]*>", " ")))
+    title = strip(F.regexp_extract("card", r"(?is)<h[2-4]\b[^>]*>(.*?)</h[2-4]\s*>", 1))
+    return rows.select("page_id", "place", title.alias("title"), F.regexp_extract("card", r"(?is)<a\s[^>]*href=[\"']([^\"']+)[\"']", 1).alias("href"), fields(F.col("card")).alias("fields"), F.regexp_extract(strip(F.col("card")), SIZE, 1).alias("size"))
+
+
+def enriched(rows: DataFrame, details: DataFrame) -> DataFrame:
+    """rows (id, title, deadline_raw, funding_amount, organization, summary) with what is blank read from their own pages, details (id, html)."""
+    page = details.select("id", text.html_text(F.col("html")).alias("_text"))
+    given = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))
+    told = F.coalesce("_text", F.lit(""))
+    return (
+        rows.join(page, "id", "left")
+        .withColumn("deadline_raw", F.coalesce(given("deadline_raw"), F.substring(F.regexp_extract(told, DEADLINE, 1), 1, 64)))
+        .withColumn("funding_amount", F.coalesce(given("funding_amount"), amounts.extracted(told)))
+        .withColumn("organization", F.coalesce(given("organization"), organizations.extracted(told, F.col("title"))))
+        .withColumn("summary", F.coalesce(given("summary"), F.when(F.length(told) > 120, F.substring(told, 1, 1000)).otherwise("")))
+        .drop("_text")
+    )
+
+
 def parsed_cards(pages: DataFrame, tag: str = "article") -> DataFrame:
     """Cards as maps of their labelled parts, by the standard library's parser in Arrow batches."""
 

@@ -111,3 +111,61 @@ def test_places_are_never_cut(spark):
     with pytest.raises(ValueError, match="more than 10000 pairs"):
         geo.places_of(rows)
     assert len(geo.places_of(rows.where("id < 10000")).country) == 10_000
+
+
+def test_members_meet_listings_on_equal_keys_as_by_looping(spark, sf_dir, monkeypatch):
+    from tidewell import fixtures
+    from tidewell.config import AS_OF
+    from tidewell.operators import routing
+
+    rows = [(10 + i, "x", "x@example.org", True, True, kw, cats, verts) for i, (kw, cats, verts) in enumerate([("steel, ring", "", ""), ("ri", "", ""), ("", "", "edu"), ("", "Grant, RFP", ""), ("bolt", "Nonsense", "Health, Gender"), ("", "", ""), ("usd", "Tender", "climate"), (",,", "", "he"), ("grants up", "", "")])]
+    people = fixtures.members(spark).union(spark.createDataFrame(rows, fixtures.MEMBER_COLUMNS))
+    opps, found = fixtures.opportunities(spark, sf_dir), []
+    for limit in (1000, 0):
+        monkeypatch.setattr(routing, "MEMBER_LIMIT", limit)
+        met = routing.matches(opps, people, AS_OF)
+        found.append(sorted((r.member_id, r.id) for r in met.select("member_id", "id").collect()))
+        assert "_key" not in met.columns
+    assert found[0] == found[1] and len({m for m, _ in found[0]}) > 8
+
+
+def test_tokens_are_signed_as_the_standard_says(spark):
+    import base64
+    import hashlib
+    import hmac
+
+    from pyspark.sql import functions as F
+    from tidewell.functions import tokens
+
+    for key in ("k", "a key that is longer than one block " * 3):
+        row = spark.createDataFrame([('{"id":1,"exp":100}',), ('{"by":"é"}',)], "p string").select("p", tokens.minted(F.col("p"), key).alias("t"))
+        for r in row.select("p", "t", tokens.payload_of(F.col("t"), key, 99).alias("now"), tokens.payload_of(F.col("t"), key, 100).alias("late"), tokens.payload_of(F.col("t"), "other", 1).alias("forged"), tokens.payload_of(F.lit("x.y"), key, 1).alias("bad")).collect():
+            body, code = r.t.split(".")
+            assert base64.urlsafe_b64decode(body + "=" * (-len(body) % 4)).decode() == r.p == r.now and r.forged is None and r.bad is None
+            assert code == base64.urlsafe_b64encode(hmac.new(key.encode(), body.encode(), hashlib.sha256).digest()).rstrip(b"=").decode()
+            assert r.late == (None if "exp" in r.p else r.p)
+
+
+def test_places_of_the_world():
+    from tidewell.functions.places import WORLD
+
+    assert WORLD.country["uk"] == "United Kingdom" and WORLD.region["kenya"] == "Africa" and WORLD.scope["worldwide"] == "Global"
+    assert all(name.lower() in WORLD.region for name in WORLD.country.values())
+
+
+def test_a_cluster_has_to_name_its_shared_folder(spark):
+    from tidewell import shared
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session())
+    Context.master = "local[4]"
+    assert shared.shared_dir(Session()).startswith("/tmp/")

@@ -168,16 +168,35 @@ def postback_ids(spark, d):
     return rows.select("title", F.substring(F.concat("id", F.lit("# "), "title"), 1, 40).alias("prefix")).join(links_, "prefix").select("id", "title")
 
 
-@query("src_28_small_pages", sql("SELECT id FROM opportunities WHERE id % 5 = 0 AND id % 3 <> 0"))
+def _cards(spark, d, heading, text):
+    """A page for every listing: one card with a heading, a text and a link that says little."""
+    card = F.concat(F.lit("<li><h2>"), heading, F.lit("</h2><p>"), text, F.lit("</p><a href='/calls/"), F.col("id").cast("string"), F.lit("'>Learn more</a></li>"))
+    return opportunities(spark, d).select(F.col("id").alias("page_id"), F.lit("https://funder.example.org/list").alias("url"), card.alias("html"))
+
+
+@query("src_28_small_pages", sql("SELECT id, concat('Call for ideas: ', title) AS title, CASE WHEN deadline < DATE '9999-01-01' THEN deadline END AS deadline FROM opportunities WHERE id % 5 = 0 AND id % 3 <> 0 AND length(title) <= 280"))
 def small_pages(spark, d):
-    """Headings that call for something and are not over."""
-    heading = F.concat(F.when(F.col("id") % 5 == 0, "Call for ideas").otherwise("Our news"), F.when(F.col("id") % 3 == 0, " (deadline passed)").otherwise(""))
-    return opportunities(spark, d).where(heading.rlike(r"(?i)\b(call|proposals?)\b") & ~heading.rlike(r"(?i)\bpassed\b")).select("id")
+    """Headings that call for something and are not over, with month-first dates."""
+    heading = F.concat(F.when(F.col("id") % 5 == 0, "Call for ideas: ").otherwise("News of the year: "), "title", F.when(F.col("id") % 3 == 0, " (deadline passed)").otherwise(""))
+    closes = F.when(F.col("deadline") < "9999-01-01", F.concat(F.lit("Deadline: "), F.date_format("deadline", "M/d/yyyy"))).otherwise("no date")
+    found = scraped.blocks(_cards(spark, d, heading, closes)).where(F.col("title").rlike(r"(?i)\b(call|proposals?)\b") & ~F.col("title").rlike(r"(?i)\bpassed\b"))
+    return found.select(F.col("page_id").alias("id"), "title", dates.plain_date(F.nullif("deadline_raw", F.lit("")), dayfirst=False).alias("deadline"))
 
 
-@query("src_29_link_pattern", sql("SELECT id FROM opportunities WHERE opportunity_url LIKE '%/calls/%'"))
+@query("src_29_link_pattern", sql("SELECT id, concat('https://funder.example.org/calls/', id) AS url, coalesce(strftime(deadline, '%-d %B %Y'), '') AS deadline_raw FROM opportunities WHERE length(concat('Funding for ', title)) BETWEEN 18 AND 300"))
 def link_pattern(spark, d):
-    return opportunities(spark, d).where(F.col("opportunity_url").rlike(r"/calls/\d+$")).select("id")
+    """Links to calls, each with the deadline of the nearest block around it."""
+    closes = F.coalesce(F.date_format("deadline", "'Closing date: 'd MMMM yyyy"), F.lit("none"))
+    found = scraped.blocks(_cards(spark, d, F.concat(F.lit("Funding for "), "title"), closes)).where(F.col("url").rlike(r"/calls/\d+$"))
+    return found.select(F.col("page_id").alias("id"), "url", "deadline_raw")
+
+
+@query("src_30_fund_directory", sql("SELECT id, id % 3 = 0 AS assume_active FROM opportunities WHERE length(concat('Fund of ', title)) BETWEEN 18 AND 300"))
+def fund_directory(spark, d):
+    """Funds whose own words say whether they are open."""
+    says = F.when(F.col("id") % 3 == 0, "Now open for applications from everyone everywhere").when(F.col("id") % 3 == 1, "This fund is closed for the rest of the year").otherwise("Paused until spring comes and accepting none")
+    found = scraped.blocks(_cards(spark, d, F.concat(F.lit("Fund of "), "title"), says))
+    return found.select(F.col("page_id").alias("id"), (F.col("summary").rlike(r"(?i)\b(open|accepting)\b") & ~F.col("summary").rlike(r"(?i)\b(closed|paused)\b")).alias("assume_active"))
 
 
 @query("src_35_foreign_scan", sql("SELECT id, title FROM opportunities"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import AS_OF, ENABLED_CATEGORIES
 from ..fixtures import opportunities, sql
-from ..functions import amounts, classify, dates, geo, links, organizations, text
+from ..functions import amounts, classify, dates, geo, links, organizations, text, tokens
 from ..operators import digests
 from ..operators import filters as flt
 from ..functions.lexicons import CATEGORY_PATTERNS, IMPLEMENTATION_PATTERNS, RESEARCH_PATTERNS
@@ -131,6 +131,23 @@ _cases("txt_31_suffix_country", [("Call number {id} (Kenya)", "Kenya"), ("Call {
 _cases("txt_32_in_rupees", [("USD 10,000", "≈ ₹8.8 L"), ("£10,000 – £150,000", "≈ ₹11 L – ₹1.7 Cr"), ("EUR 1.5 million", "≈ ₹14 Cr"), ("INR {id}", ""), ("no money {id}", ""), ("$ 20k", "≈ ₹18 L")], amounts.in_rupees)
 _DAYS_LEFT = "(deadline - DATE '1998-08-02')"
 _column("txt_35_digest_row", lambda: digests.row(AS_OF), f"concat('<tr><td><a href=\"', opportunity_url, '\">', title, '</a></td><td>', organization, '</td><td>', CASE WHEN deadline IS NULL THEN 'Ongoing' ELSE strftime(deadline, '%d %b %Y') END, '</td><td>', CASE WHEN deadline IS NULL THEN 'Ongoing' WHEN {_DAYS_LEFT} = 0 THEN 'closes today' WHEN {_DAYS_LEFT} > 0 THEN concat(CAST({_DAYS_LEFT} AS VARCHAR), ' days left') ELSE 'closed' END, '</td></tr>')")
+_KEY, _NOW = "a key for the fixture only", 900_000_000
+_INNER, _OUTER = (p.hex() for p in tokens._pads(_KEY))
+_B64 = "rtrim(replace(replace(to_base64({}), '+', '-'), '/', '_'), '=')"
+_JSON = "concat('{\"id\":', id, ',\"by\":\"', source_website, '\",\"exp\":', 899999990 + id % 40, '}')"
+_CODED = _B64.format(f"encode({_JSON})")
+_SIGNED = _B64.format(f"unhex(sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode({_CODED})))))")
+
+
+@query("txt_33_signed_tokens", sql(f"SELECT id, concat({_CODED}, '.', {_SIGNED}) AS token, CASE WHEN id % 3 > 0 AND id % 40 > 10 THEN {_JSON} END AS payload FROM opportunities"))
+def signed_tokens(spark, d):
+    """A token for every listing, and what is read from it: nothing where it was tampered with or has ended."""
+    payload = F.to_json(F.struct("id", F.col("source_website").alias("by"), (899_999_990 + F.col("id") % 40).alias("exp")))
+    rows = opportunities(spark, d).select("id", tokens.minted(payload, _KEY).alias("token"))
+    shown = F.when(F.col("id") % 3 == 0, F.concat(F.lit("e30"), "token")).otherwise(F.col("token"))
+    return rows.select("id", "token", tokens.payload_of(shown, _KEY, _NOW).alias("payload"))
+
+
 _BARE = "html"
 for _t in ("script", "style", "nav", "header", "footer"):
     _BARE = f"regexp_replace({_BARE}, '(?is)<{_t}\\b.*?</{_t}\\s*>', ' ', 'g')"

@@ -279,9 +279,6 @@ _DIGEST_ROW = f"concat('<tr><td><a href=\"', opportunity_url, '\">', title, '</a
 def digest_mail(spark, d):
     """A mail section for every region: its ten soonest listings as a table, and how many more there are."""
     return digests.sections(opportunities(spark, d).where("status = 'Active'"), ["region"], "region", 10, AS_OF)
-query("src_30_open_words", sql("SELECT id, id % 3 = 0 AS open FROM opportunities"))(
-    lambda spark, d: opportunities(spark, d).select("id", (F.when(F.col("id") % 3 == 0, F.lit("Now open for applications")).otherwise(F.lit("This fund is closed"))).rlike(r"(?i)\b(open|accepting)\b").alias("open"))
-)
 query("src_27_month_first_dates", sql("SELECT id, deadline FROM opportunities WHERE deadline < DATE '9999-01-01'"))(
     lambda spark, d: opportunities(spark, d).where("deadline < DATE '9999-01-01'").select("id", dates.plain_date(F.date_format("deadline", "M/d/yyyy"), dayfirst=False).alias("deadline"))
 )

@@ -36,7 +36,7 @@ def known(spark: SparkSession, table: str, before: int) -> DataFrame:
     earlier = [p for p in found if "/batch=" in p and int(p.rpartition("=")[2]) < before]
     if not earlier:
         return spark.createDataFrame([], "unique_id string")
-    return spark.read.option("mergeSchema", "true").parquet(*earlier).select("unique_id")
+    return spark.read.schema("unique_id string").parquet(*earlier)
 
 
 def since(table: DataFrame, column: str, cursor) -> DataFrame:

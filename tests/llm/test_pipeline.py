@@ -32,3 +32,20 @@ def test_every_operator_has_a_query():
 
     names = entry.queries()
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+
+
+def test_stages_on_odd_rows(spark, docs, no_docs, tmp_path):
+    """Nulls in every column, missing and repeated ids, a very long text, clashing names; and no row at all."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+    from tidewell.llm.common import written
+
+    spark.createDataFrame([(1, "some benchmark words that stand nowhere else at all"), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    extra = docs.limit(12).withColumn("doc_id", F.when(F.col("uid") % 2 == 0, F.col("doc_id"))).withColumn("source", F.lit(None).cast("string"))
+    odd = docs.union(extra).select("*", *(F.lit(1).alias(x) for x in ("gone_id", "mix_id", "node", "row", "id", "slot")))
+    for frame in (odd, odd.where("false")):
+        rows = frame
+        for name, stage in corpus_pipeline.STAGES:
+            columns, before = rows.columns, rows.count()
+            rows, _ = written(stage(spark, rows, str(tmp_path)), "test")
+            assert rows.count() <= before and (name == "token_files" or rows.columns == columns), name

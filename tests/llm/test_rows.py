@@ -112,6 +112,29 @@ def test_language_rejects_what_it_has_not_learned(spark, sample):
     assert langid.identify(short, model).where("rejected").count() <= 0.02 * short.count()
 
 
+def test_windows_change_no_count(monkeypatch):
+    from tidewell.llm import common
+
+    rng = np.random.default_rng(9)
+    data = np.frombuffer("The déjà vu, and then 42 more! ".encode() * 40, np.uint8)[rng.integers(0, 9) :]
+    offsets = np.array([0, 0, 10, 700, len(data)])
+    whole = langid.gram_counts(data), quality.statistics(data, offsets), common.word_hashes(data, common.words_of(data, offsets)[0])
+    for window in (1, 7, 64):
+        for module in (langid, quality, common):
+            monkeypatch.setattr(module, "WINDOW", window)
+        part = langid.gram_counts(data), quality.statistics(data, offsets), common.word_hashes(data, common.words_of(data, offsets)[0])
+        assert all((a == b).all() for a, b in zip(whole, part, strict=True))
+
+
+def test_rows_without_ids_are_scored(spark, docs, tmp_path):
+    rows = [(None, "the thing was there and then it went", "en", None), (None, None, None, None), (1, "der die das und nicht ein", "de", "s"), (2, "the thing and it was there", "en", "s"), (3, "", "en", "s")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0), (2, 1), (None, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for found in (quality.op1(spark, str(tmp_path)), langid.op8(spark, str(tmp_path))):
+        assert found.count() == 5 and found.where("held_out IS NULL OR score IS NULL OR score < 0 OR score > 1").count() == 0
+
+
 def test_language_of_odd_rows(spark, no_docs):
     train = spark.createDataFrame([(i, "the thing was there and then it went", "en") for i in range(9)] + [(20 + i, "der die das und nicht ein", "de") for i in range(9)], "doc_id long, text string, lang string")
     model = langid.fit(train)
@@ -440,6 +463,15 @@ def test_surrogates_of_a_crowded_format(spark):
     assert len(made) == known.count() == len({(r.kind, r.made) for r in made}) and all(r.n == 2 for r in made)
 
 
+def test_frequent_entities_come_by_broadcast_like_others(spark, monkeypatch):
+    texts = ["Mrs Maria Lopez, a@b.cd"] * 30 + [f"mail x{i}@example.org, Maria Lopez" for i in range(30)]
+    found = []
+    for share in (1000, 20, 1):
+        monkeypatch.setattr(pii, "HOT_SHARE", share)
+        found.append(told(spark, *texts))
+    assert found[0] == found[1] == found[2] and len(set(found[0])) == 31
+
+
 def test_surrogates_of_odd_rows(spark):
     rows = [(None, "mail a@b.cd", 1, "x"), (None, "mail a@b.cd", 1, "x"), (1, "", 2, None), (1, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, place int, raws string")

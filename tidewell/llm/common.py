@@ -50,12 +50,12 @@ def cleaned_up(spark: SparkSession):
             spark.conf.set(CLEANUP, old)
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """The rows written to the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
     with cleaned_up(spark):
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     schema = df.schema
     del df
     return spark.read.schema(schema).parquet(path), path

@@ -11,7 +11,7 @@ training texts, for every power of two, and is no more than that of the longer t
 The model is fitted on a sample of at most about ``MAX_TRAIN`` labelled rows, an equal share
 for each language, chosen by a hash of doc_id. Null, empty and letterless texts get ``und``
 with score 0 and are rejected. With no training row at all every text is ``und``. Repeated
-rows and ids are scored row by row; extra columns are ignored.
+rows and ids are scored row by row, also those without an id; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, pieces, text_buffer
+from .common import WINDOW, documents, pieces, text_buffer
 
 DIMS = 1 << 13
 CENTROIDS = 4
@@ -47,16 +47,18 @@ def _lowered(part):
 
 
 def gram_counts(data: np.ndarray, dims: int = DIMS) -> np.ndarray:
-    """Counts of hashed byte n-grams of one lower-cased text."""
-    b = _LETTER[data].astype(np.uint32)
-    b = np.concatenate((np.array([32], np.uint32), b, np.array([32], np.uint32)))
-    two = b[:-1] * np.uint32(0x9E3779B1) + b[1:] * np.uint32(0x85EBCA77)
-    three = two[:-1] * np.uint32(0xC2B2AE3D) + b[2:] * np.uint32(0x27D4EB2F) + np.uint32(0x165667B1)
-    shift = np.uint32(32 - (dims.bit_length() - 1))
-    mix = np.uint32(0x9E3779B1)
-    keep2, keep3 = (b[:-1] != 32) | (b[1:] != 32), (b[1:-1] != 32)
-    slots = np.concatenate((((two[keep2] ^ (two[keep2] >> np.uint32(15))) * mix) >> shift, ((three[keep3] ^ (three[keep3] >> np.uint32(15))) * mix) >> shift))
-    return np.bincount(slots.astype(np.int64), minlength=dims)
+    """Counts of hashed byte n-grams of one lower-cased text, window by window."""
+    letters = np.concatenate(([np.uint8(32)], _LETTER[data], [np.uint8(32)]))
+    shift, mix = np.uint32(32 - (dims.bit_length() - 1)), np.uint32(0x9E3779B1)
+    counts = np.zeros(dims, np.int64)
+    for lo in range(0, len(letters) - 1, WINDOW):
+        b = letters[lo : lo + WINDOW + 2].astype(np.uint32)  # with the two bytes that its last grams need
+        two = b[:-1] * np.uint32(0x9E3779B1) + b[1:] * np.uint32(0x85EBCA77)
+        three = two[:-1] * np.uint32(0xC2B2AE3D) + b[2:] * np.uint32(0x27D4EB2F) + np.uint32(0x165667B1)
+        two, keep2, keep3 = two[:WINDOW], ((b[:-1] != 32) | (b[1:] != 32))[:WINDOW], b[1:-1] != 32
+        slots = np.concatenate((((two[keep2] ^ (two[keep2] >> np.uint32(15))) * mix) >> shift, ((three[keep3] ^ (three[keep3] >> np.uint32(15))) * mix) >> shift))
+        counts += np.bincount(slots.astype(np.int64), minlength=dims)
+    return counts
 
 
 def _sparse(batches):
@@ -128,7 +130,7 @@ def fit(train: DataFrame, max_train: int = MAX_TRAIN, centroids: int = CENTROIDS
         part = part | ((F.col("lang") == lang) & (spread < int(min(1.0, share / n) * (1 << 30))))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("slots", T.BinaryType()), T.StructField("counts", T.BinaryType())])
     rows = train.where(part).mapInArrow(_sparse, schema).collect()
-    rows = sorted(rows, key=lambda r: (r["lang"], r["doc_id"]))
+    rows = sorted(rows, key=lambda r: (r["lang"], r["doc_id"] is not None, r["doc_id"] or 0, bytes(r["slots"])))
     x = np.zeros((len(rows), DIMS), np.float32)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r["slots"], "<u2")] = np.log1p(np.frombuffer(r["counts"], "<u4"))
@@ -215,10 +217,11 @@ def accepted(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def held_out(folds: int, fold: int):
-    return F.crc32(F.col("doc_id").cast("string")) % folds == fold
+    """Whether a row is kept out of training; a row without a doc_id isn't, and takes no part in training either."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = fit(docs.where(~held_out(5, 0)))
+    model = fit(docs.where(~held_out(5, 0) & F.col("doc_id").isNotNull()))
     return identify(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "rejected")

@@ -8,7 +8,7 @@ inside generated code.
 The trees and weights are fitted on at most about ``MAX_TRAIN`` labelled rows, chosen by a
 hash of doc_id. Statistics cover whole texts. Null and empty texts have statistics of zero and
 are scored like any other; with no labelled row every score is 0.5. Rows that share a doc_id
-are scored row by row; conflicting labels of one doc_id count as the smaller. Extra columns
+are scored row by row, also those without an id; conflicting labels of one doc_id count as the smaller. Extra columns
 are ignored.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, pieces, text_buffer, word_hashes, words_of, written
+from .common import WINDOW, documents, pieces, text_buffer, word_hashes, words_of, written
 from .langid import held_out
 
 MAX_TRAIN = 20_000
@@ -42,8 +42,12 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n, kinds = len(offsets) - 1, len(CLASSES) + 1
     out = np.zeros((n, len(NAMES)))
     sizes = np.diff(offsets)
-    row = np.repeat(np.arange(n), sizes)
-    shares = np.bincount(row * kinds + _CLASS[data], minlength=n * kinds).reshape(n, kinds)
+    shares = np.zeros(n * kinds, np.int64)
+    for lo in range(0, len(data), WINDOW):
+        inside = np.clip(offsets, lo, lo + WINDOW)
+        row = np.repeat(np.arange(n), np.diff(inside))
+        shares += np.bincount(row * kinds + _CLASS[data[lo : lo + WINDOW]], minlength=n * kinds)
+    shares = shares.reshape(n, kinds)
     out[:, :kinds] = shares / np.maximum(sizes, 1)[:, None]
     starts, ends, first = words_of(data, offsets)
     hashes, lengths = word_hashes(data, starts), ends - starts

@@ -37,7 +37,7 @@ WINDOW = 20
 GRAM = 8
 #: A row: 64 bits of hash of doc_id and text, and 32 of the text in front of a place.
 ANCHORS = T.StructType([T.StructField("h", T.LongType()), T.StructField("row", T.LongType()), T.StructField("at", T.LongType())])
-#: A path of a row (pos, gram, windows), or what becomes of the row: all of it, or its text and the places of its repeated windows.
+#: A path of a row (pos, gram, windows), or what becomes of the row: all of it, or its text and the runs (start, length) of its repeated windows.
 ROWS = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -131,8 +131,10 @@ def _rows(window: int, gram: int, with_text: bool):
                     own = rows[cut]
                     lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(keep)).astype(np.int32)), pa.array(windows))
                     yield out(len(cut), part, own, pos=pa.array((keep[cut] - first[own]).astype(np.int32)), gram=pa.array(grams[mins[cut]].view(np.int64)), windows=lists)
-                    edge = np.append(np.searchsorted(rows, some), len(keep)).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(edge), pa.array((keep - first[rows]).astype(np.int32)))
+                    run = np.concatenate(([0], np.flatnonzero((np.diff(keep) != 1) | (np.diff(rows) != 0)) + 1))
+                    pairs = np.stack([keep[run] - first[rows[run]], np.diff(np.append(run, len(keep)))], 1).astype(np.int32)
+                    edge = (2 * np.append(np.searchsorted(rows[run], some), len(run))).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(pairs.ravel()))
                     yield out(len(some), part, some, text=part.column("text").take(pa.array(some)), places=lists)
                 rest = np.setdiff1d(np.arange(part.num_rows), some)
                 if len(rest):
@@ -152,8 +154,10 @@ def _sizes(lists):
 
 
 def removed_words(n: int, places, firsts, window: int) -> np.ndarray:
-    """Which of n words some repeated window covers that does not start at its first place."""
-    gone = np.setdiff1d(np.asarray(places, np.int64), np.asarray(firsts, np.int64))
+    """Which of n words some repeated window covers that does not start at its first place; places are runs (start, length)."""
+    runs = np.asarray(places, np.int64).reshape(-1, 2)
+    own = np.repeat(runs[:, 0] - (np.cumsum(runs[:, 1]) - runs[:, 1]), runs[:, 1]) + np.arange(int(runs[:, 1].sum()))
+    gone = np.setdiff1d(own, np.asarray(firsts, np.int64))
     gone = gone[gone + window <= n]
     step = np.zeros(n + 1, np.int64)
     np.add.at(step, gone, 1)
@@ -200,7 +204,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
     once = single.groupBy("row", F.shiftright("at", 32).cast("int").alias("check")).agg(F.collect_list(pos).alias("once"))
     once, once_at = written(once, "substring-once")
     marked = docs.join(once, ["row", "check"], "left").select("doc_id", "row", "check", "text", "once")
-    found, _ = written(marked.mapInArrow(_rows(window, gram, with_text), ROWS), "substring-rows")
+    found, _ = written(marked.mapInArrow(_rows(window, gram, with_text), ROWS), "substring-rows", "zstd")
     release(spark, once_at)
     place = F.struct("doc_id", "row", "pos", "check")
     classes = found.where("pos IS NOT NULL").groupBy("gram", "windows").agg(F.min(place).alias("at"))

@@ -177,7 +177,7 @@ def _cards(spark, d, heading, text):
 @query("src_28_small_pages", sql("SELECT id, concat('Call for ideas: ', title) AS title, CASE WHEN deadline < DATE '9999-01-01' THEN deadline END AS deadline FROM opportunities WHERE id % 5 = 0 AND id % 3 <> 0 AND length(title) <= 280"))
 def small_pages(spark, d):
     """Headings that call for something and are not over, with month-first dates."""
-    heading = F.concat(F.when(F.col("id") % 5 == 0, "Call for ideas: ").otherwise("News of the year: "), "title", F.when(F.col("id") % 3 == 0, " (deadline passed)").otherwise(""))
+    heading = F.concat(F.when(F.col("id") % 5 == 0, F.concat(F.lit("Call for ideas: "), "title")).otherwise(F.concat(F.lit("News of the year about "), "organization")), F.when(F.col("id") % 3 == 0, " (deadline passed)").otherwise(""))
     closes = F.when(F.col("deadline") < "9999-01-01", F.concat(F.lit("Deadline: "), F.date_format("deadline", "M/d/yyyy"))).otherwise("no date")
     found = scraped.blocks(_cards(spark, d, heading, closes)).where(F.col("title").rlike(r"(?i)\b(call|proposals?)\b") & ~F.col("title").rlike(r"(?i)\bpassed\b"))
     return found.select(F.col("page_id").alias("id"), "title", dates.plain_date(F.nullif("deadline_raw", F.lit("")), dayfirst=False).alias("deadline"))

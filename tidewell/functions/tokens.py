@@ -36,6 +36,7 @@ def payload_of(token: Column, key: str, now: int) -> Column:
     """The payload of a token that was signed with the key and hasn't ended, else null."""
     body, code = F.substring_index(token, ".", 1), F.substring_index(token, ".", -1)
     padded = F.concat(F.translate(body, "-_", "+/"), F.repeat(F.lit("="), F.pmod(-F.length(body), F.lit(4))))
-    payload = F.decode(F.try_to_binary(padded, F.lit("base64")), "UTF-8")
+    signed = F.when(code == base64url(hmac_sha256(body, key)), padded)  # nothing else is decoded
+    payload = F.when(signed.isNotNull(), F.decode(F.try_to_binary(signed, F.lit("base64")), "UTF-8"))
     ends = F.get_json_object(payload, "$.exp").try_cast("long")
-    return F.when((code == base64url(hmac_sha256(body, key))) & (ends.isNull() | (ends > now)), payload)
+    return F.when(ends.isNull() | (ends > now), payload)

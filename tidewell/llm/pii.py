@@ -1,7 +1,7 @@
 """Surrogates for personal data, in DataFrame and SQL functions alone.
 
-One regular expression finds mail addresses, phone, card, bank and social security numbers,
-IPv4 addresses, secrets (to the end of the value, however long) and names: up to four capital
+One regular expression finds mail addresses, phone, card (where the check digit is right), bank and
+social security numbers, IPv4 addresses, secrets (to the end of the value, however long) and names: up to four capital
 words after an honorific, up to two after a listed given name. Wherever a word of such a name
 stands again in the same document it is replaced too. Each entity has a canonical form (case
 folded, separators dropped), so its spellings are one entity. A keyed SHA-512 of kind and
@@ -225,13 +225,15 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     hits, _ = written(hits.withColumn("first", F.when(F.col("named"), F.col("first"))), "pii-rows")
     # names of the plain pattern count too: a capital word in front may have hidden them from the wider one
     rows = hits.select("uid", F.posexplode("raws").alias("place", "raw")).union(hits.where("named").select("uid", F.lit(-1).alias("place"), F.explode("first").alias("raw")))
-    rows, rows_at = written(_described(rows).where("place >= 0 OR found IN ('called', 'named')"), "pii-raws")
+    digits = "regexp_replace(raw, '[^0-9]', '')"
+    card = F.expr(f"CASE WHEN found = 'card' THEN {_luhn(digits)} % 10 = 0 ELSE true END")  # other runs of figures are no cards
+    rows, rows_at = written(_described(rows).where(card & ((F.col("place") >= 0) | F.col("found").isin("called", "named"))), "pii-raws")
     found = _entities(rows)
     release(docs.sparkSession, rows_at)
     told = _told(found, surrogates(found, key)).select("uid", "place", "nth", F.expr(_laid_out()).alias("new"))
     told = told.groupBy("uid", "place").agg(F.array_join(F.expr("transform(array_sort(collect_list(struct(nth, new))), x -> x.new)"), " ").alias("new"))
     told = told.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("place", "new"))).alias("new"))
-    replaced = hits.join(told, "uid").withColumn("parts", F.when(F.col("named"), F.split("row.text", ANY_OR_WORD, -1)).otherwise(F.split("row.text", ANY, -1)))
+    replaced = hits.join(told, "uid", "left").withColumn("parts", F.when(F.col("named"), F.split("row.text", ANY_OR_WORD, -1)).otherwise(F.split("row.text", ANY, -1)))
     text = F.expr("array_join(transform(parts, (x, i) -> concat(x, coalesce(try_element_at(new, i), get(raws, i), ''))), '')")
     replaced = replaced.withColumn("text", text).select(*(F.col("text").alias(x) if x == "text" else F.col(f"row.`{x}`").alias(x) for x in names))
     clean = inner.where(~has).select(*(F.col(f"row.`{x}`").alias(x) for x in names))

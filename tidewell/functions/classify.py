@@ -23,10 +23,17 @@ def total(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns, F.lit(0))
 
 
+def any_of(patterns: list[str]) -> str:
+    """One pattern for all; what begins a word is tried at the beginnings of words alone."""
+    words = [p[2:] for p in patterns if p.startswith(r"\b")]
+    parts = [f"(?:{p})" for p in patterns if not p.startswith(r"\b")]
+    return "|".join(parts + ([r"\b(?:" + "|".join(f"(?:{p})" for p in words) + ")"] if words else []))
+
+
 def score(title: Column, body: Column, patterns: list[str]) -> Column:
     """Three for each pattern in the title, one for each in the body; a field without any costs one look."""
-    any_of = "|".join(f"(?:{p})" for p in patterns)
-    return total([F.when(hit(text, any_of), total([F.when(hit(text, p), points).otherwise(0) for p in patterns])).otherwise(0) for text, points in ((title, TITLE), (body, BODY))])
+    whole = any_of(patterns)
+    return total([F.when(hit(text, whole), total([F.when(hit(text, p), points).otherwise(0) for p in patterns])).otherwise(0) for text, points in ((title, TITLE), (body, BODY))])
 
 
 def category(title: Column, body: Column, hint: Column | None = None, lexicon: dict[str, list[str]] = CATEGORY_PATTERNS, enabled: list[str] = ENABLED_CATEGORIES) -> Column:
@@ -41,8 +48,15 @@ def category(title: Column, body: Column, hint: Column | None = None, lexicon: d
 
 
 def verticals(title: Column, body: Column, lexicon: dict[str, list[str]] = VERTICAL_PATTERNS, threshold: int = 2) -> Column:
-    """All labels that score the threshold, as an array in the lexicon's order."""
-    return F.filter(F.array(*(F.when(score(title, body, p) >= threshold, label) for label, p in lexicon.items())), lambda x: x.isNotNull())
+    """All labels that score the threshold, as an array in the lexicon's order: a hit in the title is enough, or several in the body."""
+
+    def enough(patterns: list[str]) -> Column:
+        whole, times = any_of(patterns), -(-threshold // BODY)
+        if threshold > TITLE:
+            return score(title, body, patterns) >= threshold
+        return F.when(hit(title, whole), True).when(hit(body, whole), total([F.when(hit(body, p), 1).otherwise(0) for p in patterns]) >= times).otherwise(False)
+
+    return F.filter(F.array(*(F.when(enough(p), label) for label, p in lexicon.items())), lambda x: x.isNotNull())
 
 
 def term_patterns(terms: list[str], least: int = 4) -> list[str]:
@@ -65,8 +79,8 @@ def study_type(title: Column, body: Column, lexicon: dict[str, list[str]] = STUD
     body = F.substring(body, 1, STUDY_BODY)
     kinds = []
     for i, (label, patterns) in enumerate(lexicon.items()):
-        any_of = "|".join(f"(?:{p})" for p in patterns)
-        points = F.when(hit(title, any_of), TITLE).otherwise(0) + F.when(hit(body, any_of), BODY).otherwise(0)
+        whole = any_of(patterns)
+        points = F.when(hit(title, whole), TITLE).otherwise(0) + F.when(hit(body, whole), BODY).otherwise(0)
         kinds.append(F.struct(points.alias("s"), F.lit(specificity.get(label, 0)).alias("p"), F.lit(-i).alias("i"), F.lit(label).alias("x")))
     best = F.array_max(F.array(*kinds))
     return F.when(best["s"] > 0, best["x"]).otherwise("")

@@ -128,11 +128,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and the first word of each row (with a last entry: all words)."""
+def words_of(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and the first word of each row (with a last entry: all words); gaps tells the bytes between words."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    gap = SPACE[data]
+    gap = gaps[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     begins = ~gap

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, pii, quality, repair, rollup, simhash, substring, topk
+from . import decontaminate, langid, mixing, packing, pii, quality, repair, resample, rollup, runs, simhash, substring, topk
 
 QUERIES = {
     "op1_rule_ensemble_quality": quality.op1,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_language_id": langid.op8,
     "op9_token_rollups": rollup.op9,
     "op10_pii_surrogates": pii.op10,
+    "op11_importance_resampling": resample.op11,
+    "op12_periodic_runs": runs.op12,
+    "op13_karmarkar_karp_packing": packing.op13,
 }
-ORACLES: dict[str, str] = {"op6_dual_tree_top_k": topk.ORACLE6}
+ORACLES: dict[str, str] = {"op6_dual_tree_top_k": topk.ORACLE6, "op11_importance_resampling": resample.ORACLE11}

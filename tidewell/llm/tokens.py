@@ -8,7 +8,7 @@ from pathlib import Path
 
 import numpy as np
 
-from .common import mixed, powers, text_buffer
+from .common import mixed, powers, text_buffer, words_of
 
 CACHE = 1_500_000
 _LOADED: dict[tuple[str, int], "Encoder"] = {}
@@ -326,6 +326,91 @@ class Encoder:
         return at, sizes
 
 
+class WordEncoder(Encoder):
+    """Ids of a text by a tokenizer that drops white space: nothing joins across a space or line feed.
+
+    Texts are cut there, and each different piece goes to the library once. Texts that hold an
+    added token go to the library whole, and so does every text when the file is of another kind.
+    """
+
+    def __init__(self, path: str, cache: int = CACHE):
+        super().__init__(path, cache)
+        kind = json.loads(Path(path).read_text())
+        steps = (kind.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        forms = [x["type"] for x in (kind.get("normalizer") or {}).get("normalizers", [])]
+        self.by_word = steps[0].get("behavior") == "Removed" and bool(steps[0].get("invert")) and set(forms) <= {"NFC", "Replace", "Lowercase"} and not len(self._whole(" \n"))
+
+    def _odd(self, column, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        n = len(offsets) - 1
+        if not self.by_word:
+            return np.diff(offsets) > 0
+        odd = np.zeros(n, bool)
+        for token in self.added:
+            odd |= np.array([token in (x or "") for x in column.to_pylist()]) if self._holds(data, token.encode()) else False
+        return odd
+
+    @staticmethod
+    def _holds(data: np.ndarray, token: bytes) -> bool:
+        return token in memoryview(data).tobytes()
+
+    def _long(self, column, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not self.by_word or self._odd(column, data, np.array([0, len(data)]))[0]:
+            ids = self._whole(column[0].as_py())
+            return ids, np.array([len(ids)])
+        cuts, parts, begin = np.flatnonzero(CUTS[data]), [], 0
+        while begin < len(data):
+            k = int(np.searchsorted(cuts, begin + WINDOW))
+            end = int(cuts[k]) if k < len(cuts) else len(data)
+            parts.append(self._even(data[begin:end], np.array([0, end - begin]))[0])
+            begin = end + (k < len(cuts))
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        return ids, np.array([len(ids)])
+
+    def _even(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts, ends, first = words_of(data, offsets, CUTS)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        low, high, tag = _names(data, starts, ends, np.zeros(len(starts), np.int64))
+        found = self._find(low, high, tag)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            one = new[_distinct(low[new], high[new], tag[new])]
+            at, size = self._ask(data, starts[one], ends[one])
+            self._add(low[one], high[one], tag[one], at, size)
+            found[new] = self._find(low[new], high[new], tag[new])
+        size, begin = self.size[found].astype(np.int64), self.at[found]
+        done = np.cumsum(size)
+        ids = self.flat[np.repeat(begin - (done - size), size) + np.arange(int(done[-1]))]
+        if self.n > self.cache:
+            self._forget()
+        return ids, np.append(0, done)[first[1:]]
+
+    def _ask(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of new pieces begin in flat, and how many they are."""
+        texts = [data[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        ids = [x.ids for lo in range(0, len(texts), 20_000) for x in self.library.encode_batch_fast(texts[lo : lo + 20_000], add_special_tokens=False)]
+        size = np.array([len(x) for x in ids], np.int64)
+        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
+        while self.n_flat + len(flat) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros(len(self.flat), np.uint32)))
+        self.flat[self.n_flat : self.n_flat + len(flat)] = flat
+        at = self.n_flat + np.cumsum(size) - size
+        self.n_flat += len(flat)
+        return at, size
+
+
+def word_encoder(path: str, cache: int = CACHE) -> "WordEncoder":
+    """One encoder for each worker process and file."""
+    found = _BY_WORD.get((path, cache))
+    if found is None:
+        found = _BY_WORD[path, cache] = WordEncoder(path, cache)
+    return found
+
+
+_BY_WORD: dict[tuple[str, int], WordEncoder] = {}
+#: Where a WordEncoder cuts: at spaces and line feeds.
+CUTS = np.zeros(256, bool)
+CUTS[[0x20, 0x0A]] = True
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 

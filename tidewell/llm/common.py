@@ -175,17 +175,22 @@ def gram_hashes(h: np.ndarray, n: int, base: int = 0xC2B2AE3D27D4EB4F) -> np.nda
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Label every node of edges (a, b: long) with the smallest node reachable: (node, label).
 
-    Each round maps a node to its smallest neighbour or itself and contracts the edges, so
-    rounds grow with the logarithm of a path. Rounds are written to the shared folder; all
-    aggregates combine before the shuffle, and joins on a hub are left to skew splitting.
+    Each round maps a node to the first of its neighbours and itself, and contracts the edges. The
+    first round goes by number, which settles stars around their smallest node at once; later ones
+    go by a hash that is new every time, which halves a path in expectation, so rounds grow with
+    its logarithm. Rounds are written to the shared folder; all aggregates combine before the
+    shuffle, and joins on a hub are left to skew splitting.
     """
     spark = edges.sparkSession
     edges, at = written(edges.where("a <> b").distinct(), name)
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     labels, labels_at = written(nodes.select("node", F.col("node").alias("label")), name)
+    turn = 0
     while not edges.isEmpty():
+        order = (lambda x: F.col(x)) if not turn else (lambda x, salt=turn: F.xxhash64(x, F.lit(salt)))
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step, step_at = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")), name)
+        first = both.groupBy("a").agg(F.min_by("b", order("b")).alias("b"), F.min(order("b")).alias("least"))
+        step, step_at = written(first.select("a", F.when(F.col("least") < order("a"), F.col("b")).otherwise(F.col("a")).alias("to")), name)
         one = step.select(F.col("a"), F.col("to").alias("x"))
         two = step.select(F.col("a").alias("b"), F.col("to").alias("y"))
         fewer = edges.join(one, "a").join(two, "b").where("x <> y")
@@ -193,6 +198,11 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         relabelled = labels.join(step.select(F.col("a").alias("label"), "to"), "label", "left")
         relabelled, relabelled_at = written(relabelled.select("node", F.coalesce("to", "label").alias("label")), name)
         release(spark, at, step_at, labels_at)
-        edges, at, labels, labels_at = fewer, next_at, relabelled, relabelled_at
+        edges, at, labels, labels_at, turn = fewer, next_at, relabelled, relabelled_at, turn + 1
     release(spark, at)
-    return labels
+    if turn < 2:
+        return labels
+    least = labels.groupBy("label").agg(F.min("node").alias("least"))
+    named, _ = written(labels.join(least, "label").select("node", F.col("least").alias("label")), name)
+    release(spark, labels_at)
+    return named

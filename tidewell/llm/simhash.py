@@ -21,7 +21,7 @@ link like others; a component of such rows alone has no component_id.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -211,25 +211,31 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, b
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """One row of docs for each group of near-duplicates, that of the smallest doc_id, with all columns.
 
-    Of rows that share a doc_id the one whose columns come first in order, written as JSON, stays.
-    Rows without a doc_id are kept: nothing can name them.
+    Of a group's rows that share that doc_id the first in the input stays. Rows without a doc_id
+    are kept: nothing can name them.
     """
     return one_of_each(docs, lambda known: near_duplicates(known, **how))
 
 
 def one_of_each(docs: DataFrame, grouped) -> DataFrame:
-    """One row of docs for each component that grouped(rows) gives as (doc_id, component_id)."""
+    """One row of docs for each component that grouped(rows with doc_id, text) gives as (doc_id, component_id).
+
+    Where doc_ids repeat, rows get numbers of their own and are grouped by those, so texts that
+    only share a doc_id are told apart.
+    """
     known = docs.where("doc_id IS NOT NULL")
-    found, _ = written(grouped(known), "simhash-found")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
-    repeated = found.groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id")
-    rows = known.select(F.col("doc_id").cast("long").alias("id"), F.struct(*(known[f"`{x}`"] for x in known.columns)).alias("row"))
-    kept = rows.join(gone, "id", "left_anti")
-    if not repeated.isEmpty():
-        first = Window.partitionBy("id").orderBy(F.to_json("row"))
-        several = kept.join(repeated, "id", "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1")
-        kept = kept.join(repeated, "id", "left_anti").union(several.select("id", "row"))
-    return kept.select("row.*").unionByName(docs.where("doc_id IS NULL"))
+    nameless = docs.where("doc_id IS NULL")
+    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        found, _ = written(grouped(known), "simhash-found")
+        gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+        rows = known.select(F.col("doc_id").cast("long").alias("id"), F.struct(*(known[f"`{x}`"] for x in known.columns)).alias("row"))
+        return rows.join(gone, "id", "left_anti").select("row.*").unionByName(nameless)
+    rows = known.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("id"), F.struct(*(known[f"`{x}`"] for x in known.columns)).alias("row"))
+    rows, _ = written(rows, "simhash-rows")
+    found = grouped(rows.select(F.col("uid").alias("doc_id"), F.col("row.text").alias("text"))).withColumnRenamed("doc_id", "uid")
+    best = found.join(rows.select("uid", "id"), "uid").groupBy("component_id").agg(F.min(F.struct("id", "uid")).alias("best"))
+    kept, _ = written(best.select("best.uid"), "simhash-kept")
+    return rows.join(kept, "uid", "left_semi").select("row.*").unionByName(nameless)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

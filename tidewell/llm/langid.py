@@ -62,9 +62,16 @@ def gram_counts(data: np.ndarray, dims: int = DIMS) -> np.ndarray:
 
 
 def _sparse(batches):
+    """(doc_id, lang, slots, counts) of rows, of those that share doc_id and lang the first of a task."""
     import pyarrow as pa
 
+    seen = set()
     for batch in batches:
+        new = []
+        for key in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+            new.append(key not in seen)
+            seen.add(key)
+        batch = batch.filter(pa.array(new))
         slots, counts = [], []
         for part in pieces(batch):
             _, (data, offsets) = _lowered(part)
@@ -118,8 +125,12 @@ def _least(x: np.ndarray, rows: list, idf: np.ndarray, centres: np.ndarray) -> n
 
 
 def fit(train: DataFrame, max_train: int = MAX_TRAIN, centroids: int = CENTROIDS) -> dict:
-    """A model from rows of train (doc_id, text, lang) with a language."""
-    train = train.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text", "lang")
+    """A model from rows of train (doc_id, text, lang) with a doc_id and a language.
+
+    At most about max_train rows are drawn, by a hash of doc_id; of rows that share a doc_id and a
+    language one counts.
+    """
+    train = train.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text", "lang")
     counts = dict(train.groupBy("lang").count().collect())
     if not counts:
         return {"langs": [], "centroids": np.zeros((0, DIMS), np.float32), "own": np.zeros(0, np.int64), "idf": np.ones(DIMS, np.float32), "least": np.zeros((0, LENGTHS))}
@@ -129,7 +140,7 @@ def fit(train: DataFrame, max_train: int = MAX_TRAIN, centroids: int = CENTROIDS
     for lang, n in sorted(counts.items()):
         part = part | ((F.col("lang") == lang) & (spread < int(min(1.0, share / n) * (1 << 30))))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("slots", T.BinaryType()), T.StructField("counts", T.BinaryType())])
-    rows = train.where(part).mapInArrow(_sparse, schema).collect()
+    rows = train.where(part).mapInArrow(_sparse, schema).dropDuplicates(["doc_id", "lang"]).collect()
     rows = sorted(rows, key=lambda r: (r["lang"], r["doc_id"] is not None, r["doc_id"] or 0, bytes(r["slots"])))
     x = np.zeros((len(rows), DIMS), np.float32)
     for i, r in enumerate(rows):
@@ -217,11 +228,11 @@ def accepted(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def held_out(folds: int, fold: int):
-    """Whether a row is kept out of training; a row without a doc_id isn't, and takes no part in training either."""
+    """Whether a row is of the fold kept out of training; a row without a doc_id is of no fold, and fit leaves it out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = fit(docs.where(~held_out(5, 0) & F.col("doc_id").isNotNull()))
+    model = fit(docs.where(~held_out(5, 0)))
     return identify(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "rejected")

@@ -18,7 +18,8 @@ Only the rows with entities and the distinct entities are shuffled. The few enti
 up more than a thousandth of all are joined by broadcast (there are at most a thousand), so a
 frequent name gathers in no task. Rows are told apart by an id of their own, so repeated rows and
 repeated or missing doc_ids each come back once. A null text stays null, an empty one empty; other
-columns are kept, also where their names are those used here. Whoever holds the key can make the
+columns are kept, also where their names are those used here. Texts of any length are searched whole; a
+mail domain of more than 126 labels, or a word of more than nine hyphenated parts, ends there. Whoever holds the key can make the
 surrogates again, so there is no default.
 """
 
@@ -45,7 +46,9 @@ GIVEN = {
     "f cyrillic": ["Александра", "Анастасия", "Анна", "Вера", "Виктория", "Галина", "Дарья", "Екатерина", "Елена", "Ирина", "Людмила", "Мария", "Наталья", "Ольга", "Светлана", "Татьяна"],
     "m cyrillic": ["Александр", "Алексей", "Андрей", "Борис", "Виктор", "Владимир", "Дмитрий", "Евгений", "Иван", "Константин", "Михаил", "Николай", "Павел", "Пётр", "Сергей", "Юрий"],
 }
-_WORD = r"\p{Lu}[\p{L}\p{M}]*+(?:[-'’](?!s(?![\p{L}\p{M}]))\p{L}[\p{L}\p{M}]*+)*+"
+#: Groups repeat so many times at most: Java's matcher recurses for each, and a long text must not end an executor.
+PARTS, LABELS = 8, 126
+_WORD = rf"\p{{Lu}}[\p{{L}}\p{{M}}]*+(?:[-'’](?!s(?![\p{{L}}\p{{M}}]))\p{{L}}[\p{{L}}\p{{M}}]*+){{0,{PARTS}}}+"
 _PART = rf"(?:\p{{Lu}}\.|{_WORD})"
 _HON = "|".join(x for names in HONORIFICS.values() for x in names)
 _NAMES = "|".join(x for names in GIVEN.values() for x in names)
@@ -55,7 +58,7 @@ _VALUE = r"(?:[^\s\"']{12,}+|(?=[^\s\"'0-9]*+[0-9])[^\s\"']{4,}+)"  # a short on
 _MAIL = r"A-Za-z0-9._%+\-\u00C0-\u024F\u0400-\u04FF"
 #: Kind -> pattern, in the order in which they are tried.
 PATTERNS = {
-    "email": rf"(?<![{_MAIL}])[{_MAIL}]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{{2,}}+",
+    "email": rf"(?<![{_MAIL}])[{_MAIL}]++@(?:[A-Za-z0-9-]++\.){{1,{LABELS}}}[A-Za-z]{{2,}}+",
     "secret": rf"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{{16}}(?![0-9A-Z])|{_PREFIX}{_VALUE})",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\w-])",
@@ -65,6 +68,8 @@ PATTERNS = {
     "called": rf"(?<![\p{{L}}\p{{N}}])(?:{_HON})\.? {_PART}(?: {_PART}){{0,3}}+",
     "named": rf"(?<![\p{{L}}\p{{N}}])(?:{_NAMES})(?:-{_WORD})?(?: {_PART}){{1,2}}+",
 }
+#: How telephone country codes are told, one digit (zones 1 and 7), two or three.
+COUNTRY_CODE = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}|[0-9]{1,2}(?=[ .(-]))"
 #: What an entity's first character can be, where that rules out most places before anything else is tried.
 _FIRST = {"iban": "[A-Z]", "phone": "[0-9+(]", "ip": "[0-9]", "ssn": "[0-9]", "card": "[0-9]", "called": r"\p{Lu}", "named": r"\p{Lu}", "secret": "[A-Za-z]"}
 ANY = "|".join(f"(?:{f'(?={_FIRST[k]})' if k in _FIRST else ''}(?:{p}))" for k, p in PATTERNS.items())
@@ -90,7 +95,7 @@ def _described(rows: DataFrame) -> DataFrame:
 def _parts(rows: DataFrame) -> DataFrame:
     """Rows (uid, place, raw, found) with the parts that are replaced: nth, part, what stands in front (fixed) and kind; words of names by word."""
     front = F.when(F.col("found") == "secret", F.when(F.col("raw").startswith("AKIA"), "AKIA").otherwise(F.regexp_extract("raw", f"^{_PREFIX}", 0)))
-    front = front.when(F.col("found") == "phone", F.regexp_extract("raw", r"^\+[0-9]{1,3}(?=[ .(-])", 0)).when(F.col("found") == "iban", F.substring("raw", 1, 2))
+    front = front.when(F.col("found") == "phone", F.regexp_extract("raw", COUNTRY_CODE, 0)).when(F.col("found") == "iban", F.substring("raw", 1, 2))
     front = front.when(F.col("found") == "called", F.regexp_extract("raw", rf"^(?:{_HON})\.? ", 0)).otherwise("")
     rows = rows.withColumn("fixed", front).withColumn("rest", F.expr("substring(raw, length(fixed) + 1)"))
     named = F.col("found").isin("called", "named")

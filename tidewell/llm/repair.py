@@ -23,7 +23,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -299,11 +299,13 @@ def _read(batches):
             yield pa.RecordBatch.from_arrays([pa.array([row["partition"]] * n, pa.int32()), pa.array([row["seq"]] * n, pa.int32()), *cols], names=DIGESTS.names)
 
 
-def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> None:
-    """Writes docs (doc_id, text) as shards to a folder, in ascending doc_id order over partitions and within them."""
+def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, order: list[Column] | None = None) -> None:
+    """Writes docs (doc_id, text) as shards to a folder, in a given order over partitions and within them, or else in ascending order of doc_id."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(c.alias(f"at{i}") for i, c in enumerate(order or [])))
+    by = [f"at{i}" for i in range(len(order or []))] or ["doc_id"]
+    dealt = rows.repartitionByRange(n, *by).sortWithinPartitions(*by, *([] if order else ["text"])).select("doc_id", "text")
     with cleaned_up(spark):
         dealt.mapInArrow(_encode(tokenizer, end_id, shard_tokens), SHARDS).write.option("compression", "zstd").parquet(to)
 

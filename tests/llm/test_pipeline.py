@@ -14,6 +14,8 @@ def test_stages(spark, sf_dir):
         columns, before = docs.columns, docs.count()
         docs, _ = written(stage(spark, docs, sf_dir), "test")
         kept[name] = docs.count()
+        if name == "pfair_mixing":
+            mixed = [r.doc_id for r in docs.select("doc_id", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()]
         assert kept[name] <= before
         if name != "token_files":
             assert docs.columns == columns
@@ -22,8 +24,9 @@ def test_stages(spark, sf_dir):
                 grams = set(zip(*[re.findall(r"\w+", r.text.lower())[i:] for i in range(5)], strict=False))
                 assert not any(b and b <= grams for b in bench)
     assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
-    rows = sorted(map(tuple, docs.collect()))
-    assert all(a[1] + a[2] == b[1] for a, b in zip(rows, rows[1:], strict=False)) and rows[0][1] == 0
+    rows = sorted(docs.collect(), key=lambda r: r.start)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False)) and rows[0].start == 0
+    assert [r.doc_id for r in rows] == mixed  # in the order of the mix
     assert kept["language_id"] > 0.95 * 200
 
 

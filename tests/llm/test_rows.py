@@ -500,3 +500,44 @@ def test_pipeline_mix_keeps_every_document_beside_a_small_source(spark):
     docs = spark.createDataFrame([(i, f"text {i}", s) for i, s in enumerate(sources)], "doc_id long, text string, source string")
     kept = corpus_pipeline.mix_sources(spark, docs, "")
     assert sorted(r.doc_id for r in kept.collect()) == list(range(len(sources)))
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """Rows without an id take no part in training, and of those that share one a language gets one."""
+    drawn = []
+    plain = langid._clusters
+    monkeypatch.setattr(langid, "_clusters", lambda x, *a: drawn.append(len(x)) or plain(x, *a))
+    rows = [(None, f"missing number {i}", "en") for i in range(3000)] + [(7, f"repeated number {i}", "en") for i in range(3000)] + [(i, f"plain text {i}", "fr") for i in range(2000)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_train=400)
+    assert model["langs"][-1] == "fr" and sum(drawn) < 400 * 1.3
+    assert langid.fit(spark.createDataFrame(rows[:3000], "doc_id long, text string, lang string"))["langs"] == []
+
+
+LONG = {
+    "email": "x@" + "a." * 20_000,
+    "mails": "a.b@c.de," * 20_000,
+    "hyphens": "Anna " + "A" + "-Ab" * 100_000,
+    "honorifics": "Mr A-b " * 40_000,
+    "initials": "Dr A. " + "B. " * 100_000,
+    "digits": "1 " * 200_000,
+    "card": "4111-" * 100_000,
+    "phone": "+1 " + "555 " * 100_000,
+    "octets": "1." * 200_000,
+    "secret": "password=" + "a1" * 200_000,
+    "iban": "DE44" + " ABCD" * 80_000,
+    "letters": "Ab" * 300_000,
+}
+
+
+def test_surrogates_in_long_texts(spark):
+    frame = spark.createDataFrame([(i, x + " and ann@some.org") for i, x in enumerate(LONG.values())], "doc_id long, text string")
+    out = pii.pseudonymise(frame, "k").collect()
+    assert len(out) == len(LONG) and all("ann@some.org" not in r.text for r in out)
+
+
+def test_spellings_of_a_phone_number_keep_its_country(spark):
+    text = "+49 30 1234567 or +49301234567 or +1 (415) 555-0100 or +14155550100 or +351 21 123 4567"
+    out = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first().text
+    digits = [re.sub(r"\D", "", x) for x in out.split(" or ")]
+    assert digits[0] == digits[1] and digits[2] == digits[3] and len(set(digits)) == 3
+    assert out.startswith("+49 ") and " or +49" in out and "+1 (" in out and digits[4].startswith("351")

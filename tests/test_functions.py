@@ -60,7 +60,27 @@ def test_places_and_organizations(spark):
     places = geo.Places({"kenya": "Kenya", "uk": "United Kingdom"}, {"kenya": "Africa", "united kingdom": "Europe"}, {"africa": "Africa", "worldwide": "Global"})
     pair = geo.normalised(F.col("a"), F.col("b"), places)
     check(spark, F.concat_ws("/", pair["country"], pair["region"]), {("UK and Kenya", ""): "United Kingdom/Europe", ("Africa", ""): "/Africa", ("Round 1", ""): "/", ("Lot 2, Kenya", "Worldwide"): "Kenya/Global", ("", "Worldwide"): "/Global"})
-    check(spark, organizations.extracted(F.col("a"), F.lit("")), {"The Green Trust is inviting applications.": "Green Trust", "prose only": "", None: ""})
+    check(
+        spark,
+        organizations.extracted(F.col("a"), F.lit("")),
+        {
+            "The Green Trust is inviting applications.": "Green Trust",
+            "prose only": "",
+            None: "",
+            "Deadline: 31-Dec-2026 AI Snippet Summary: The Blue Foundation, that gives grants, is inviting applications": "Blue Foundation",
+            "Open call. International Centre for Genetic Engineering and Biotechnology invites proposals.": "International Centre for Genetic Engineering and Biotechnology",
+            "The residency is funded by Pro Lucerna and open to all.": "",
+            "The residency is funded by Pro Lucerna.": "Pro Lucerna",
+            "A scheme funded by the High Peaks Foundation Empowerment Programme.": "High Peaks Foundation",
+            "The Small Makers Accelerator is inviting startups.": "",
+            "It is offered by Earth Story Network (ESN) in many places.": "Earth Story Network (ESN)",
+            "The Rural Arts Trust Bursaries is accepting entries.": "Rural Arts Trust",
+            "The Micro Grants by Green Valley Bank provides loans.": "Green Valley Bank",
+            "World Food Programme Innovation Challenge seeks ideas.": "World Food Programme Innovation",
+            "Grants are provided by the government": "",
+        },
+    )
+    check(spark, organizations.extracted(F.lit(""), F.col("a")), {"Souter Charitable Trust — Funding Opportunity": "Souter Charitable Trust", "Call by the Council": "", "Nothing here": ""})
     check(spark, organizations.tidied(F.col("a"), 40), {"A": "A", ", ".join(["Some Long Name"] * 5): "Some Long Name +4 more"})
 
 

@@ -8,9 +8,9 @@ import json
 from pyspark.sql import functions as F
 
 from ..config import AS_OF
-from ..fixtures import opportunities, sql
+from ..fixtures import index, opportunities, sql
 from ..functions import dates
-from ..operators import exports
+from ..operators import exports, search_index
 from ..registry import query
 from ..shared import scratch
 from ..sources import html as scraped
@@ -225,12 +225,10 @@ def snapshot(spark, d):
     return spark.read.parquet(f"{at}/version=1").agg(F.count(F.lit(1)).alias("n")).crossJoin(after)  # one row each
 
 
-@query("jon_07_search_semi_join", sql("SELECT id FROM opportunities WHERE regexp_matches(lower(title), '(^|[^a-z])ring')"))
+@query("jon_07_search_semi_join", sql("SELECT id FROM opportunities WHERE regexp_matches(lower(concat_ws(' | ', title, organization, summary, vertical, country, eligibility)), '(^|[^a-z0-9])ring')"))
 def search_semi_join(spark, d):
-    """Rows whose postings hold a word that begins with the term."""
-    rows = opportunities(spark, d).select("id", "title")
-    postings = rows.select("id", F.explode(F.split(F.lower("title"), r"[^\p{L}\p{N}]+")).alias("word")).where(F.col("word").startswith("ring"))
-    return rows.join(postings, "id", "left_semi").select("id")
+    """Rows whose postings in the word index hold a word that begins with the term."""
+    return search_index.narrowed(opportunities(spark, d).select("id"), index(spark, d), "ring").select("id")
 
 
 @query("jon_14_source_progress", "SELECT r.source, pages, last, found FROM (SELECT DISTINCT event_type AS source FROM events) AS r LEFT JOIN (SELECT event_type AS source, count(DISTINCT date_trunc('hour', ts)) AS pages, max(event_id) AS last, count(*) AS found FROM events WHERE value > 0 GROUP BY 1) AS p ON p.source = r.source")

@@ -7,8 +7,9 @@ import datetime
 from pyspark.sql import functions as F
 
 from ..config import AS_OF
-from ..fixtures import opportunities, sql
+from ..fixtures import index, opportunities, sql
 from ..operators import filters as op
+from ..operators import search_index
 from ..operators.filters import Listing
 from ..registry import query
 
@@ -49,7 +50,15 @@ _listing("flt_10_fields_in", Listing(region=["ASIA", "EUROPE"], source_website=[
 _listing("flt_11_deadline_range", Listing(deadline_after=datetime.date(1999, 1, 1), deadline_before=datetime.date(1999, 3, 31), english_only=False, classified_only=False), f"{ACTIVE} AND deadline BETWEEN DATE '1999-01-01' AND DATE '1999-03-31'")
 _STARTS = "regexp_matches(lower({c}), '(^|[^a-z0-9]){w}')"
 _EACH = " AND ".join("(" + " OR ".join(_STARTS.format(c=c, w=w) for c in op.SEARCHED) + ")" for w in ("bol", "stud"))
-_listing("flt_12_prefix_search", Listing(search="Bol stud", english_only=False, classified_only=False), f"{ACTIVE} AND {_EACH}")
+_SEARCH = Listing(search="Bol stud", english_only=False, classified_only=False)
+
+
+@query("flt_12_prefix_search", sql(f"SELECT id FROM opportunities WHERE {ACTIVE} AND {_EACH}"))
+def prefix_search(spark, d):
+    """Looked up in the word index; the predicates look at what it finds alone."""
+    return op.filtered(search_index.narrowed(opportunities(spark, d), index(spark, d), _SEARCH.search), _SEARCH, AS_OF).select("id")
+
+
 @query("flt_13_search_fallback", sql("SELECT id FROM opportunities WHERE id % 4 = 0 AND contains(lower(title), 'ring')"))
 def search_fallback(spark, d):
     """A quoted search is a plain substring: of titles that hold a quotation mark in front of the word, a quarter."""

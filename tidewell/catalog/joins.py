@@ -191,11 +191,12 @@ _FOUND = "regexp_matches(lower(concat_ws(' | ', title, organization, summary, ve
 
 @query("snk_15_index_upkeep", sql(f"SELECT id FROM (SELECT * REPLACE (CASE WHEN id % 5 = 0 THEN concat('Steel ring ', title) ELSE title END AS title) FROM opportunities WHERE id % 7 <> 3) AS x WHERE {_FOUND}"))
 def index_upkeep(spark, d):
-    """A search through the word index after some titles have changed and some listings have gone."""
+    """A search through the word index after some titles have changed and some listings have gone, a batch of which comes twice."""
     at, rows = scratch(spark, "index"), opportunities(spark, d)
     search_index.add_batch(at, 1, rows)
     changed = rows.where("id % 5 = 0 AND id % 7 <> 3").withColumn("title", F.concat(F.lit("Steel ring "), "title"))
-    search_index.add_batch(at, 2, changed, rows.where("id % 7 = 3"))
+    for _ in range(2):
+        search_index.add_batch(at, 2, changed, rows.where("id % 7 = 3"))
     now = rows.where("id % 7 <> 3").withColumn("title", F.when(F.col("id") % 5 == 0, F.concat(F.lit("Steel ring "), "title")).otherwise(F.col("title")))
     return search_index.searched(now, at, "ring ste").select("id")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .operators import search_index
 from .shared import scratch
 
 OPPORTUNITY = {
@@ -73,6 +74,19 @@ def opportunities(spark, sf_dir: str) -> DataFrame:
     return joined.select(*(F.expr(e).alias(x) for x, e in OPPORTUNITY.items()))
 
 
+_INDEXED: dict[tuple[str, str], str] = {}
+
+
+def index(spark, sf_dir: str) -> str:
+    """The word index of the listings, built once an application, as a deployment keeps it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXED:
+        at = scratch(spark, "index")
+        search_index.add_batch(at, 1, opportunities(spark, sf_dir))
+        _INDEXED[key] = at
+    return _INDEXED[key]
+
+
 def members(spark, sf_dir: str | None = None) -> DataFrame:
     return spark.createDataFrame(MEMBERS, MEMBER_COLUMNS)
 

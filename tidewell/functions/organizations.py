@@ -2,46 +2,106 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import blank, squeezed
 
-# Words that prove an institution, and names too vague to stand alone.
-MARKERS = r"foundation|trust|council|commission|ministry|minist[eè]re|agency|association|institute|institution|university|college|society|bank|department|authority|corporation|cent(?:er|re)|network|alliance|federation|consortium|organi[sz]ation|office|secretariat|bureau|charity|charitable|endowment|philanthrop\w*|embassy|government|municipal|united\s+nations|european\s+union|development\s+programme|environment\s+programme|fonds|fonden|stiftung|fundaci[oó]n"
+# Words that prove an institution, names too vague to stand alone, and words that begin no name.
+MARKERS = r"foundation|trust|council|commission|ministry|minist[eè]re|agency|association|institute|institution|university|college|society|bank|department|authority|corporation|cent(?:er|re)|network|alliance|federation|consortium|organi[sz]ation|office|secretariat|bureau|charity|charitable|endowment|philanthrop|embassy|government|municipal|united\s+nations|european\s+(?:commission|union)|world\s+(?:bank|food|health)|development\s+programme|environment\s+programme|fonds|fonden|stiftung|fundaci[oó]n"
 VAGUE = ["civil society", "society", "government", "the government", "european union", "united nations", "embassy", "council", "foundation", "trust", "network", "commission", "ministry", "agency", "university", "institute", "bank"]
-# Words that begin no name.
-STOP_FIRST = ["the", "a", "an", "this", "it", "they", "we", "applications", "apply", "grants", "grant", "funding", "fund", "program", "programme", "opportunity", "deadline", "eligible", "interested", "organizations", "proposals", "successful", "selected", "all", "each", "ai", "snippet", "summary"]
-SCANNED, LONGEST = 600, 200
-#: A clause between a name and its verb, and one behind a name.
-APPOSITIVE, CLAUSE = r",\s+(?:that|which|who)\s+[^,]{0,80},\s*", r"(?i),\s+(?:ha[sv]e?|is|are|will|which|who|that|and\s+its)\b.*$"
-
-_NAME = r"[A-Z][\w&.'’()\-]*(?:\s+(?:of|for|and|the|de|du|des|on|in|[A-Z(][\w&.'’()\-]*)){0,12}"
+VAGUE_END = ["civil society", "the government"]
+STOP_FIRST = ["the", "a", "an", "this", "it", "they", "we", "applications", "apply", "grants", "grant", "funding", "fund", "program", "programme", "opportunity", "deadline", "eligible", "interested", "organizations", "proposals", "successful", "selected", "all", "each", "ai", "snippet", "summary"]
+# What stands in front of a summary, a clause between a name and its verb and one behind a name, and words of schemes behind a name.
+LEAD = r"(?i)^(?:\s*deadline\s*:\s*\S+)?\s*(?:ai\s+snippet\s+summary\s*:?\s*)?"
+APPOSITIVE, CLAUSE = r"(?i),\s+(?:that|which|who)\s+[^,]{0,80},\s*", r"(?i),\s+(?:ha[sv]e?|is|are|will|which|who|that|and\s+its)\b.*$"
+SCHEME = r"(?i)(?:\s*\((?:round|cycle|phase)\s*[\w\s]*\))?(?:\s+(?:grants?|programmes?|programs?|funds?|funding|schemes?|fellowships?|scholarships?|awards?|prizes?|competitions?|challenges?|accelerators?|residenc(?:y|ies)|subsid(?:y|ies)|bursar(?:y|ies)|calls?|rounds?|cycles?)){1,40}$"
+# Words that join the parts of a name, and the institutions that a title names outright.
+JOINING = ["for", "of", "on", "in", "de", "du", "des", "della", "del", "the", "aux", "and"]
+IN_TITLE = ["Foundation", "Trust", "Council", "Commission", "Ministry", "Agency", "Association", "Institute", "University", "Society", "Bank", "Department", "Authority", "Network", "Embassy"]
 # Phrasings that name who gives; each with whether it alone proves an institution.
+_CAPITAL = r"[A-Z][\w&.,'’()\-]*"
 PHRASINGS = [
-    (rf"\bby\s+(?:the\s+)?({_NAME})\s+(?:provides|offers|supports|aims|seeks|invites)\b", True),
-    (rf"\b(?:offered|funded|administered|launched|managed|supported|implemented|run|provided|established|created|sponsored)\s+by\s+(?:the\s+)?({_NAME})", True),
-    (rf"(?:^|[.•]\s)\s*(?:The\s+)?({_NAME})\s+(?:is\s+(?:inviting|accepting|seeking|requesting|calling|offering|pleased|now\s+accepting)|invites|announces|announced|has\s+(?:launched|opened|announced)|seeks|offers|provides)\b", False),
+    (rf"\bby\s+(?:the\s+)?({_CAPITAL}(?:\s+[A-Z(][\w&.,'’()\-]*){{0,6}})\s+(?:provides|offers|supports|aims|seeks|invites)\b", True),
+    (rf"\b(?:offered|funded|administered|launched|managed|supported|implemented|run|provided|established|created|sponsored)\s+by\s+(?:the\s+)?({_CAPITAL}(?:\s+[A-Z(a-z][\w&.,'’()\-]*){{0,8}})", True),
+    (rf"(?:^|(?<=[.•]\s))\s*(?:The\s+)?({_CAPITAL}(?:\s+(?:of|for|and|the|de|du|des|on|in)|\s+[A-Z(][\w&.,'’()\-]*){{0,12}})\s+(?:is\s+(?:inviting|accepting|seeking|requesting|calling|offering|pleased|now\s+accepting)|invites|announces|announced|has\s+(?:launched|opened|announced)|seeks|offers|provides)\b", False),
 ]
-# Words of schemes behind a name.
-_SCHEME = r"(?i)(?:\s+(?:grants?|programmes?|programs?|funds?|funding|schemes?|fellowships?|scholarships?|awards?|prizes?|competitions?|challenges?|calls?|rounds?|cycles?))+$"
+SCANNED, LONGEST = 600, 200
+_EDGES = r"^[ ,.;:\-–—]+|[ ,.;:\-–—]+$"
+
+
+def _once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """What use makes of a value that is worked out once, however often use asks."""
+    return F.transform(F.array(x), use)[0]
+
+
+def _name(found: Column) -> Column:
+    """A candidate without words that begin no name; blank where it is too short or long, or mostly lower case, as prose is."""
+    article = r"(?i)^(?:The|A|An)\s+"
+
+    def begun(words: Column) -> Column:
+        first = F.array_position(F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"^[,.]+|[,.]+$", "")).isin(STOP_FIRST)), F.lit(False))
+        return F.when(first > 0, F.array_join(F.slice(words, F.greatest(first, F.lit(1)).cast("int"), F.size(words)), " ")).otherwise("")
+
+    def named(n: Column) -> Column:
+        words = F.split(n, " ")
+        capital = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
+        return F.when(F.length(n).between(3, 120) & (capital >= F.greatest(F.lit(1), F.floor(F.size(words) / 2))), n).otherwise("")
+
+    words = F.split(F.regexp_replace(F.regexp_replace(squeezed(found), _EDGES, ""), article, ""), " ")
+    return _once(F.regexp_replace(_once(words, begun), article, ""), named)
+
+
+def _to_the_institution(name: Column) -> Column:
+    """A name cut behind the first institution word that nothing continues: no bracket, further such word, or joining word before a capital."""
+    marks = lambda w: w.rlike(rf"^(?i:{MARKERS})$")
+
+    def cut(words: Column) -> Column:
+        word = lambda i: F.coalesce(F.get(words, i), F.lit(""))
+
+        def ends(i: Column) -> Column:
+            low = F.lower(F.regexp_replace(word(i + 1), r"^[,.]+|[,.]+$", ""))
+            on = word(i + 1).startswith("(") | marks(low) | (low.isin(JOINING) & word(i + 2).rlike(r"^\p{Lu}"))
+            return marks(F.regexp_replace(word(i), r"^[’'s,.()]+|[’'s,.()]+$", "")) & ((word(i + 1) == "") | ~on)
+
+        at = F.get(F.filter(F.sequence(F.lit(0), F.size(words) - 1), ends), F.lit(0))
+        return F.array_join(F.slice(words, F.lit(1), F.coalesce(at + 1, F.size(words))), " ")
+
+    return F.regexp_replace(_once(F.split(name, " "), cut), r"^[ ,.;:\-]+|[ ,.;:\-]+$", "")
+
+
+def _sure(name: Column) -> Column:
+    """A name that is long enough and not too vague, else blank."""
+    low = F.lower(F.trim(name))
+    vague = low.isin(VAGUE)
+    for end in VAGUE_END:
+        vague = vague | low.endswith(end)
+    return F.when((F.length(name) >= 4) & ~vague, name).otherwise("")
+
+
+def _settled(found: Column, proven: bool) -> Column:
+    """The institution that a candidate names; blank where nothing proves one."""
+    cut_at_marker = lambda x, other: F.when(x.rlike(rf"(?i)\b(?:{MARKERS})\b"), _to_the_institution(x)).otherwise(other)
 
+    def judged(c: Column) -> Column:
+        short = F.regexp_replace(c, r"^(.*?\([A-Z]{2,8}\))\s+\S.*$", "$1")
+        bare = F.regexp_replace(F.regexp_replace(c, SCHEME, ""), _EDGES, "")
+        by_word = _once(F.when(bare == "", c).otherwise(bare), lambda x: cut_at_marker(x, x if proven else F.lit("")))
+        return F.when(c.rlike(r"\([A-Z]{2,8}\)|^[A-Z]{2,8}$"), _once(short, lambda x: cut_at_marker(x, x))).otherwise(by_word)
 
-def _settled(name: Column, proven: bool) -> Column:
-    n = F.regexp_replace(F.regexp_replace(F.regexp_replace(squeezed(name), CLAUSE, ""), rf"^(?i:(?:{'|'.join(STOP_FIRST)})\b[,.]?\s+)+", ""), r"[\s,.;:\-–—]+$", "")
-    n = F.regexp_replace(F.regexp_replace(n, _SCHEME, ""), r"\s+(?:of|for|and|the|de|du|des|on|in)$", "")
-    whole = F.regexp_extract(n, rf"(?i)^(.*?\b(?:{MARKERS})\b(?:\s+(?:of|for|de|du|des|and|on|in)\s+\p{{Lu}}.*|\s+\([A-Z]{{2,8}}\)|(?=\s|$)))", 1)
-    out = F.when(whole != "", F.trim(whole)).when(F.lit(proven) | n.rlike(r"\([A-Z]{2,8}\)"), n).otherwise("")
-    return F.when((F.length(out) < 4) | (F.length(out) > 120) | F.lower(out).isin(VAGUE), "").otherwise(out)
+    c = F.regexp_replace(F.regexp_replace(_name(found), CLAUSE, ""), _EDGES, "")
+    return _once(_once(c, judged), _sure)
 
 
 def extracted(summary: Column, title: Column) -> Column:
     """The organisation a summary, or else a title, names; blank when none is sure."""
-    text = F.substring(squeezed(F.regexp_replace(blank(summary), r"(?i)^\s*(?:deadline\s*:\s*\S+)?\s*(?:ai\s+snippet\s+summary\s*:?\s*)?", "")), 1, SCANNED)
-    text = F.regexp_replace(text, APPOSITIVE, " ")
-    found = [F.nullif(_settled(F.regexp_extract(text, pattern, 1), proven), F.lit("")) for pattern, proven in PHRASINGS]
-    from_title = F.nullif(_settled(F.regexp_extract(blank(title), rf"({_NAME})", 1), False), F.lit(""))
-    return F.coalesce(*found, from_title, F.lit(""))
+    text = F.substring(F.regexp_replace(F.regexp_replace(squeezed(summary), LEAD, ""), APPOSITIVE, " "), 1, SCANNED)
+    found = lambda t: F.coalesce(*(F.nullif(_settled(F.regexp_extract(t, pattern, 1), proven), F.lit("")) for pattern, proven in PHRASINGS))
+    named = F.regexp_extract(blank(title), rf"([A-Z][\w&.'’\-]*(?:\s+[A-Z][\w&.'’\-]*){{0,5}}\s+(?:{'|'.join(IN_TITLE)}))", 1)
+    cut = _once(_to_the_institution(F.trim(named)), lambda x: F.when(F.length(x) <= 120, F.nullif(_sure(x), F.lit(""))))
+    return F.coalesce(_once(text, found), cut, F.lit(""))
 
 
 def tidied(x: Column, limit: int = LONGEST) -> Column:

@@ -1,8 +1,8 @@
 """Who gets what: matching members, ledgers, ranked digests and reminders.
 
-Members are broadcast when counted below ``MEMBER_LIMIT``. Beyond, they meet listings on equal
-keys: a category, else the first three letters of a wanted label or keyword, which stand in the
-listing's own text; only members who restrict nothing (or by fewer letters) meet every listing.
+All keywords and labels that members want are looked for in each listing in one pass; listings meet
+members on the words they hold, or else on categories, by equal keys. Members are broadcast when
+counted below ``MEMBER_LIMIT``; beyond, only ids and keys are shuffled.
 """
 
 from __future__ import annotations
@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CAP_LADDER, CATEGORIES, DIGEST_BUDGET
+from ..functions.automaton import any_terms_held
 from .filters import active, labels
 
 MEMBER_LIMIT = 1_000
-GRAM = 3
+TERM_BLOCK = 50_000
+#: Tasks over which listings are dealt that meet members by category alone.
+SHARES = 16
 MATCHED = ("title", "organization", "summary", "vertical")
 
 
@@ -24,31 +27,34 @@ def wanted(column: str) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(F.col(column), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def matches(opps: DataFrame, members: DataFrame, as_of: datetime.date) -> DataFrame:
+def matches(opps: DataFrame, members: DataFrame, as_of: datetime.date, block: int = TERM_BLOCK) -> DataFrame:
     """(member_id, id, ...) of active listings that meet a member's keywords, categories and labels.
 
     An empty list doesn't restrict; neither do categories that are all unknown.
     """
     known = F.array(*map(F.lit, CATEGORIES))
-    people = members.select("member_id", F.transform(wanted("keywords"), lambda x: F.lower(x)).alias("kw"), F.array_intersect(wanted("categories"), known).alias("cats"), F.transform(wanted("verticals"), lambda x: F.lower(x)).alias("verts"))
-    rows = opps.where(active(as_of)).withColumn("_low", F.array(*(F.lower(F.coalesce(F.col(c), F.lit(""))) for c in MATCHED)))
-    in_text = lambda k: F.exists("_low", lambda t: t.contains(k))
-    in_labels = lambda v: F.lower("verticals").contains(v) | (F.lower("vertical") == v)
-    fits = ((F.size("kw") == 0) | F.exists("kw", in_text)) & ((F.size("cats") == 0) | F.array_contains("cats", F.col("category"))) & ((F.size("verts") == 0) | F.exists("verts", in_labels))
-    if members.limit(MEMBER_LIMIT + 1).count() <= MEMBER_LIMIT:
-        return rows.join(F.broadcast(people), fits).drop("_low", "kw", "cats", "verts")
-    long = lambda column: (F.size(column) > 0) & F.forall(column, lambda x: F.length(x) >= GRAM)
-    start = lambda kind, x: F.concat(F.lit(kind), F.substring(x, 1, GRAM))
-    keys = F.when(F.size("cats") > 0, F.transform("cats", lambda c: F.concat(F.lit("c"), c))).when(long("verts"), F.transform("verts", lambda v: start("v", v)))
-    keys = keys.when(long("kw"), F.transform("kw", lambda k: start("k", k))).otherwise(F.array(F.lit("*")))
-    people = people.select("*", F.explode(F.array_distinct(keys)).alias("_key"))
-    grams = lambda kind, text: F.when(F.length(text) < GRAM, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(text) - GRAM + 1), lambda i: F.concat(F.lit(kind), F.substring(text, i, GRAM))))
-    own = F.concat(F.array(F.lit("*"), F.concat(F.lit("c"), "category")), *(grams("v", F.lower(F.coalesce(F.col(c), F.lit("")))) for c in ("verticals", "vertical")), *(grams("k", F.get("_low", F.lit(i))) for i in range(len(MATCHED))))
-    asked = people.select("_key").distinct()
-    met = rows.withColumn("_key", F.explode(F.array_distinct(own))).join(asked, "_key", "left_semi").join(people, "_key").where(fits)
-    # of several keys that a listing shares with a member the one of the first wanted word counts
-    first = F.when(F.size("cats") > 0, F.col("_key")).when(long("verts"), start("v", F.element_at(F.filter("verts", in_labels), 1))).when(long("kw"), start("k", F.element_at(F.filter("kw", in_text), 1))).otherwise(F.lit("*"))
-    return met.where(F.col("_key") == first).drop("_low", "_key", "kw", "cats", "verts")
+    low = lambda column: F.array_distinct(F.transform(wanted(column), lambda x: F.lower(x)))
+    people = members.select("member_id", low("keywords").alias("kw"), F.array_intersect(wanted("categories"), known).alias("cats"), low("verticals").alias("verts"))
+    rows = opps.where(active(as_of))
+    text = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    asked = lambda column: people.select(F.explode(column).alias("term"))
+    heard = rows.withColumn("_kw", any_terms_held(asked("kw"), *map(text, MATCHED), block=block))
+    heard = heard.withColumn("_verts", F.array_distinct(F.concat(any_terms_held(asked("verts"), text("verticals"), block=block), F.array(text("vertical")))))
+    few = members.limit(MEMBER_LIMIT + 1).count() <= MEMBER_LIMIT
+    marked = lambda mark, x: F.transform(x, lambda k: F.concat(F.lit(mark), k))
+    # a member goes by keywords, else by labels, else by categories, else meets all: the last two are dealt over SHARES
+    shares = lambda x: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SHARES - 1)), lambda i: marked("c", F.transform(x, lambda k: F.concat(i.cast("string"), F.lit(" "), k)))))
+    keys = F.when(F.size("kw") > 0, marked("k", F.col("kw"))).when(F.size("verts") > 0, marked("v", F.col("verts"))).otherwise(shares(F.when(F.size("cats") > 0, F.col("cats")).otherwise(F.array(F.lit("")))))
+    people = people.withColumn("_key", F.explode(keys))
+    share = F.concat(F.pmod(F.xxhash64("id"), F.lit(SHARES)).cast("string"), F.lit(" "))
+    own = F.concat(marked("k", F.col("_kw")), marked("v", F.col("_verts")), F.array_compact(F.array(F.concat(F.lit("c"), share), F.concat(F.lit("c"), share, "category"))))
+    sides = heard if few else heard.select("id", "category", "_kw", "_verts")
+    met = sides.withColumn("_key", F.explode(F.array_distinct(own))).join(F.broadcast(people) if few else people, "_key")
+    fits = ((F.size("kw") == 0) | F.arrays_overlap("kw", "_kw")) & ((F.size("cats") == 0) | F.array_contains("cats", F.col("category"))) & ((F.size("verts") == 0) | F.arrays_overlap("verts", "_verts"))
+    # of several keys that a listing shares with a member the first counts
+    first = F.when(F.size("kw") > 0, F.concat(F.lit("k"), F.get(F.array_intersect("kw", "_kw"), F.lit(0)))).when(F.size("verts") > 0, F.concat(F.lit("v"), F.get(F.array_intersect("verts", "_verts"), F.lit(0)))).otherwise(F.col("_key"))
+    met = met.where(fits & (F.col("_key") == first))
+    return met.drop("_key", "_kw", "_verts", "kw", "cats", "verts") if few else met.select("member_id", "id").join(rows, "id")
 
 
 def unsent(matched: DataFrame, sent: DataFrame) -> DataFrame:

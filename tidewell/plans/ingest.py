@@ -45,9 +45,12 @@ def judged(raw: DataFrame, rules: Rules) -> DataFrame:
     rows = rows.withColumn("status", dates.status(F.col("deadline"), F.col("_ongoing"), rules.as_of))
     rows = rows.withColumn("unique_id", text.unique_id(F.col("title"), F.col("organization"), F.col("deadline"), F.col("opportunity_url")))
     rows = rows.withColumn("_body", text.body(F.col("summary"), F.col("vertical"), F.col("eligibility")))
-    rows = rows.withColumn("category", classify.category(F.col("title"), F.col("_body"), F.col("category_hint"), rules.categories, rules.enabled))
-    rows = rows.withColumn("labels", classify.verticals(F.col("title"), F.col("_body"), rules.verticals))
-    rows = rows.withColumn("work_type", classify.work_type(F.col("title"), F.col("_body"))).withColumn("study_type", classify.study_type(F.col("title"), F.col("_body")))
+    lists = classify.every_list(rules.categories, rules.enabled, rules.verticals)
+    rows = rows.withColumn("_seen", classify.Evidence(lists, F.col("title"), F.col("_body")).column)
+    seen, judge = classify.Evidence(lists, F.col("_seen")), (F.col("title"), F.col("_body"))
+    rows = rows.withColumn("category", classify.category(*judge, F.col("category_hint"), rules.categories, rules.enabled, seen))
+    rows = rows.withColumn("labels", classify.verticals(*judge, rules.verticals, seen=seen))
+    rows = rows.withColumn("work_type", classify.work_type(*judge, seen=seen)).withColumn("study_type", classify.study_type(*judge, seen=seen))
     rows = rows.withColumn("_place", geo.normalised(F.col("country"), F.col("region"), rules.places)).withColumn("country", F.col("_place.country")).withColumn("region", F.col("_place.region"))
     named = organizations.tidied(F.col("organization"))
     rows = rows.withColumn("organization", F.when(text.blank(F.col("organization")) != "", named).otherwise(organizations.extracted(F.col("summary"), F.col("title"))))
@@ -56,7 +59,7 @@ def judged(raw: DataFrame, rules: Rules) -> DataFrame:
     wanted = [x for x in rules.wanted_verticals if x in rules.verticals]
     off = ~F.arrays_overlap("labels", F.array(*map(F.lit, wanted))) if wanted else F.lit(False)
     rows = rows.withColumn("is_expired", F.col("status") == "Expired").withColumn("off_vertical", off).withColumn("is_spam", text.spam(F.col("title"), F.col("summary")))
-    return rows.withColumn("verticals", text.joined(F.col("labels"))).drop("_ongoing", "_body", "_place", "labels")
+    return rows.withColumn("verticals", text.joined(F.col("labels"))).drop("_ongoing", "_body", "_place", "_seen", "labels")
 
 
 def accepted(rows: DataFrame, rules: Rules) -> DataFrame:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import datetime
-import json
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import AS_OF
@@ -14,36 +14,21 @@ from ..operators import exports, search_index
 from ..registry import query
 from ..shared import scratch
 from ..sources import html as scraped
-from ..sources import paged, records
+from ..sources import items, paged, planning, records
+from ..sources.items import pushing
 
 
-def _facts(name: str, oracle: str, rows, schema: str):
-    """A query over what the source planner decides from a table's counts."""
-    query(name, oracle)(lambda spark, d: spark.createDataFrame(rows(spark, d), schema))
-
-
-_SITE = "concat('https://', lower(source_website), '.example.org')"
-
-
-@query("src_04_fetch_with_retry", "SELECT page_id, CASE WHEN page_id % 5 = 4 THEN NULL ELSE url END AS body, CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN '20' WHEN 2 THEN '2,40' WHEN 3 THEN '20,4' ELSE '2,4' END AS waits FROM pages")
+@query("src_04_fetch_with_retry", """WITH t AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 429 ELSE 200 END AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+g AS (SELECT user_id, coalesce(min(n) FILTER (status = 200 AND n <= 3), 9) AS ok, max(status) FILTER (n = 1) AS one, max(status) FILTER (n = 2) AS two FROM t GROUP BY user_id)
+SELECT concat('https://u', g.user_id) AS url, CAST(t.event_id AS VARCHAR) AS body, concat_ws(',', CASE WHEN ok > 1 THEN CASE WHEN one = 429 THEN '20' ELSE '2' END END, CASE WHEN ok > 2 THEN CASE WHEN two = 429 THEN '40' ELSE '4' END END) AS waits FROM g LEFT JOIN t ON t.user_id = g.user_id AND t.n = g.ok AND g.ok <= 3""")
 def fetch_with_retry(spark, d):
-    """How often each page is asked for, and how long is waited, when a source is busy or broken at first."""
-    answers = {0: [200], 1: [429, 200], 2: [500, 429, 200], 3: [429, 500, 200], 4: [500, 502, 503]}
-
-    def run(batches):
-        import pandas as pd
-
-        for frame in batches:
-            out = []
-            for page_id, url in zip(frame["page_id"], frame["url"], strict=True):
-                waits, left = [], list(answers[page_id % 5])
-                body = paged.fetch_with_retry(lambda u: (left.pop(0), u), url, 3, waits.append)  # noqa: B023
-                out.append((page_id, body, ",".join(map(str, waits))))
-            yield pd.DataFrame(out, columns=["page_id", "body", "waits"])
-
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url").mapInPandas(run, "page_id long, body string, waits string")
+    """How often each source is asked, and how long is waited, when it is busy or broken: what it says each time is the log of its events."""
+    status = F.when(F.col("event_type") == "error", 500).when(F.col("event_type") == "signup", 429).otherwise(200)
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return planning.fetched(spark.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("https://u"), F.col("user_id").cast("string")).alias("url"), nth.alias("nth"), status.alias("status"), F.col("event_id").cast("string").alias("body")))
 
 
+_SITE = "concat('https://', lower(source_website), '.example.org')"
 _CHAIN = "CASE id % 5 WHEN 0 THEN concat({site}, '/rel/', id) WHEN 1 THEN concat({site}, '/calls?page=', id % 7 + 2) WHEN 2 THEN concat({site}, '/older') WHEN 3 THEN concat({site}, '/page/', id % 7 + 2) END"
 
 
@@ -66,66 +51,94 @@ def paginator_template(spark, d):
     return scraped.next_page(rows, "https://x.example.org/list?os={offset}")
 
 
-def _registry(spark, d):
-    known, errors = paged.Registry.from_rows(spark.read.parquet(f"{d}/nation.parquet").select(F.lower("n_name").alias("name"), F.concat(F.lit("https://n"), "n_nationkey").alias("template"))), []
-    for act in (lambda: known.register("nation_3", template="t"), lambda: known.get(["nation_1", "nowhere"])):
-        try:
-            act()
-        except (KeyError, ValueError) as e:
-            errors.append(str(e.args[0]))
-    return [(n, o["template"], "; ".join(errors)) for n, o in known.get().items()]
-
-
-_facts("src_12_plugin_registry", "SELECT lower(n_name) AS name, concat('https://n', n_nationkey) AS template, 'source nation_3 is registered twice; unknown sources: [''nowhere'']' AS errors FROM nation", _registry, "name string, template string, errors string")
-
-
-def _totals(spark, d):
-    """Counts of listings by category and work type: what a source answers when asked with those filters."""
-    counted = opportunities(spark, d).groupBy("category", "work_type").count().collect()
-    return lambda chosen: sum(n for c, w, n in counted if chosen.get("category", c) == c and chosen.get("work_type", w) == w)
-
-
-def _axes(spark, d):
-    total = _totals(spark, d)
-    return [(a,) for a in paged.useful_axes(lambda a: total({a: "Research"} if a == "work_type" else {a: "Grant"} if a == "category" else {}), ["category", "language", "work_type"])]
-
-
-_facts("src_18_axis_validation", sql("SELECT 'category' AS axis WHERE (SELECT count(*) FROM opportunities WHERE category = 'Grant') BETWEEN 1 AND (SELECT count(*) - 1 FROM opportunities) UNION ALL SELECT 'work_type' WHERE (SELECT count(*) FROM opportunities WHERE work_type = 'Research') BETWEEN 1 AND (SELECT count(*) - 1 FROM opportunities)"), _axes, "axis string")
-
-
-def _covered(spark, d):
-    total = _totals(spark, d)
-    axes = {"category": ["Grant", "RFP", "Tender", "Proposal", "Other"], "work_type": ["Research", "Implementation", ""]}
-    found = paged.cover(total, axes, total({}) // 6)
-    return [(c.get("category"), c.get("work_type"), total(c)) for c in found]
-
-
-_facts("src_17_cover_by_axes", sql("SELECT category, CASE WHEN big THEN work_type END AS work_type, count(*) AS n FROM (SELECT category, work_type, count(*) OVER (PARTITION BY category) > (SELECT count(*) // 6 FROM opportunities) AS big FROM opportunities) AS x GROUP BY category, CASE WHEN big THEN work_type END"), _covered, "category string, work_type string, n long")
-
-
-def _pager(spark, d):
-    ids = [r[0] for r in opportunities(spark, d).select("id").orderBy("id").limit(60).collect()]  # two pages of a source
-    return [(paged.paging_field(lambda name, p: ids[(p - 1) * 20 : p * 20] if name == "pageNr" else ids[:20], ["page", "p", "pageNr"]), paged.page_size(lambda n: ids[: min(n, 60)], (100, 60, 20)))]
-
-
-_facts("src_19_pagination_probe", "SELECT 'pageNr' AS field, CAST(60 AS BIGINT) AS size", _pager, "field string, size long")
-
-
-def _sizes(spark, d):
-    n = opportunities(spark, d).groupBy("source_website").count().collect()
-    return [(s, paged.page_size(lambda size, have=have: range(min(size, have)))) for s, have in n]
-
-
-_facts("src_20_page_size", sql("SELECT source_website AS source, CASE WHEN count(*) >= 300 THEN 300 WHEN count(*) >= 200 THEN 200 ELSE 100 END AS size FROM opportunities GROUP BY 1"), _sizes, "source string, size long")
-
-
-def _urls(spark, d):
-    rows = spark.read.parquet(f"{d}/nation.parquet").select("n_name", "n_nationkey").collect()  # a configuration of some dozen lines
-    text = {"_help": "a name and its URL"} | {n.lower(): "" if k % 3 == 0 else f"https://n{k}.example.org" for n, k in rows}
-    return [(n, o["template"]) for n, o in paged.Registry.from_json(json.dumps(text)).get().items()]
-
-
-_facts("src_38_url_config", "SELECT lower(n_name) AS name, concat('https://n', n_nationkey, '.example.org') AS url FROM nation WHERE n_nationkey % 3 <> 0", _urls, "name string, url string")
+_CONFIG = "(SELECT concat('source_', s_suppkey % 40) AS name, s_name AS template, s_suppkey FROM supplier) AS c"
+
+
+@query("src_12_plugin_registry", f"SELECT name, arg_min(template, s_suppkey) AS template, count(*) - 1 AS refused FROM {_CONFIG} GROUP BY name UNION ALL SELECT DISTINCT concat('source_', c_custkey % 50), NULL, NULL FROM customer WHERE concat('source_', c_custkey % 50) NOT IN (SELECT name FROM {_CONFIG})")
+def plugin_registry(spark, d):
+    """Sources by name, which only the first to want it gets, and requested names that nobody has."""
+    config = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("source_"), (F.col("s_suppkey") % 40).cast("string")).alias("name"), F.col("s_name").alias("template"), "s_suppkey")
+    requested = spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("source_"), (F.col("c_custkey") % 50).cast("string")).alias("name"))
+    none = planning.unknown(requested, config).select("name", F.lit(None).cast("string").alias("template"), F.lit(None).cast("long").alias("refused"))
+    return planning.registered(config, "s_suppkey").select("name", "template", "refused").unionByName(none)
+
+
+@query("src_18_axis_validation", sql("SELECT axis, n FROM (SELECT 'category' AS axis, count(*) FILTER (category = 'Grant') AS n, count(*) AS whole FROM opportunities UNION ALL SELECT 'work_type', count(*) FILTER (work_type = 'Research'), count(*) FROM opportunities UNION ALL SELECT 'price', count(*) FILTER (funding_amount LIKE 'USD%'), count(*) FROM opportunities) AS x WHERE n > 0 AND n < whole"))
+def axis_validation(spark, d):
+    """The axes by which a search really narrows: one that is ignored leaves all rows, one that is misread none."""
+    tests = {"category": F.col("category") == "Grant", "language": F.col("id").isNotNull(), "work_type": F.col("work_type") == "Research", "theme": F.col("category") == "grant", "price": F.col("funding_amount").startswith("USD")}
+    return planning.useful_axes(opportunities(spark, d), tests)
+
+
+@query("src_17_cover_by_axes", sql("SELECT category, CASE WHEN big THEN work_type END AS work_type, count(*) AS n FROM (SELECT category, work_type, count(*) OVER (PARTITION BY category) > (SELECT count(*) // 6 FROM opportunities) AS big FROM opportunities) AS x GROUP BY category, CASE WHEN big THEN work_type END"))
+def cover_by_axes(spark, d):
+    """Searches by category, and by work type where a category has more than a search shows."""
+    return planning.cover(opportunities(spark, d), ["category", "work_type"], 6)
+
+
+@query("src_19_pagination_probe", sql("SELECT source_website AS source, CASE WHEN source_website < 'C' THEN 'page' WHEN source_website < 'H' THEN 'pageNr' END AS field FROM opportunities WHERE source_website < 'H' GROUP BY 1, 2"))
+def pagination_probe(spark, d):
+    """By which parameter a source turns its pages: all its listings, half of them on each page, under three parameters of which it heeds one or none."""
+    rows = opportunities(spark, d).select(F.col("source_website").alias("source"), "id")
+    heeds = F.when(F.col("source") < "C", "page").when(F.col("source") < "H", "pageNr")
+    asked = rows.select("*", F.posexplode(F.array(*map(F.lit, ("p", "page", "pageNr")))).alias("place", "field"))
+    pages = F.when(F.col("field") == heeds, F.array((F.col("id") % 2 + 1).cast("int"))).otherwise(F.when(F.col("id") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array().cast("array<int>")))
+    return planning.paging_fields(asked.select("source", "field", "place", F.explode(pages).alias("page"), F.col("id").alias("item")))
+
+
+@query("src_20_page_size", sql("SELECT source_website AS source, CASE WHEN count(*) >= 3000 THEN 3000 WHEN count(*) >= 300 THEN 300 WHEN count(*) >= 200 THEN 200 WHEN count(*) >= 100 THEN 100 ELSE 50 END AS size FROM opportunities GROUP BY 1"))
+def page_sizes(spark, d):
+    """The largest page a source gives when asked for ever smaller ones."""
+    have = opportunities(spark, d).groupBy(F.col("source_website").alias("source")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    answers = have.select("source", "n", F.explode(F.array(*map(F.lit, (3000, 300, 200, 100, 50)))).alias("asked"))
+    return planning.page_sizes(answers.withColumn("got", F.least("n", "asked")))
+
+
+@query("src_38_url_config", "SELECT concat('n', s_nationkey) AS config, lower(s_name) AS name, concat('https://s', s_suppkey, '.example.org') AS template FROM supplier WHERE s_suppkey % 3 <> 0")
+def url_config(spark, d):
+    """A JSON map of names and URLs for every nation's sources, with a note and blanks that don't count."""
+    rows = spark.read.parquet(f"{d}/supplier.parquet")
+    url = F.when(F.col("s_suppkey") % 3 == 0, "").otherwise(F.concat(F.lit("https://s"), F.col("s_suppkey").cast("string"), F.lit(".example.org")))
+    entries = F.collect_list(F.struct(F.lower("s_name").alias("key"), url.alias("value")))
+    texts = rows.groupBy(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("config")).agg(F.to_json(F.map_concat(F.create_map(F.lit("_help"), F.lit("a name and its URL")), F.map_from_entries(entries))).alias("body"))
+    return planning.url_config(texts)
+
+
+@query("src_03_paged_crawl", sql("SELECT 'saved' AS source, CAST(id // 500 + 1 AS INTEGER) AS page, id, title FROM opportunities"))
+def paged_crawl(spark, d):
+    """The data source over saved pages of all listings, a partition for each range of pages; they are looked for beyond the end, too."""
+    at = scratch(spark, "pages")
+    page = F.floor(F.col("id") / 500).cast("int") + 1
+    bodies = opportunities(spark, d).groupBy(page.alias("page")).agg(F.to_json(F.collect_list(F.struct("id", "title"))).alias("value"))
+    last = bodies.agg(F.max("page")).first()[0] or 0
+    whole = spark.range(1, last + 1).select(F.col("id").cast("int").alias("page")).join(bodies, "page", "left").select("page", F.coalesce("value", F.lit("[]")).alias("value"))
+    whole.repartition("page").write.partitionBy("page").text(at)
+    spark.dataSource.register(paged.PagedSource)
+    options = {"template": "https://example.org/list?page={page}", "pages": str(last + 20), "pages_per_partition": "8", "tree": at, "source": "saved", "retries": "1"}
+    crawled = paged.to_the_end(spark.read.format("paged").options(**options).load())
+    return crawled.select("source", "page", F.explode(F.from_json("body", "array<struct<id: long, title: string>>")).alias("x")).select("source", "page", "x.id", "x.title")
+
+
+@query("src_37_pushed_filters", sql("SELECT id, title, deadline FROM opportunities WHERE category IN ('Grant', 'RFP') AND deadline >= DATE '1998-01-01' AND title LIKE '%notice%'"))
+def pushed_filters(spark, d):
+    """Listings of a JSON API that is asked for the categories alone; the other tests are Spark's. The API's answers are saved pages, by category and whole."""
+    at, rows = scratch(spark, "api"), opportunities(spark, d).select("id", "title", "category", "deadline")
+    keyed = rows.select("*", F.explode(F.array(F.lit("none"), F.when(F.col("category") == "Grant", "one"), F.when(F.col("category").isin("Grant", "RFP"), "both"))).alias("set")).where("set IS NOT NULL")
+    placed = keyed.withColumn("page", F.floor((F.row_number().over(Window.partitionBy("set").orderBy("id")) - 1) / 250).cast("int") + 1)
+    totals = keyed.groupBy("set").agg(F.count(F.lit(1)).alias("total"))
+    bodies = placed.groupBy("set", "page").agg(F.collect_list(F.struct("id", "title", "category", "deadline")).alias("rows")).join(F.broadcast(totals), "set")
+    bodies = bodies.select("set", "page", F.to_json(F.struct("total", "rows")).alias("value"))
+    folders = {"none": "", "one": "/sectors=Grant", "both": "/sectors=Grant/sectors=RFP"}
+    for name, folder in folders.items():  # a folder for each request the API knows
+        bodies.where(F.col("set") == name).select("page", "value").repartition("page").write.mode("append").partitionBy("page").text(f"{at}/calls{folder}".replace("/calls", "/first=1"))
+    spark.dataSource.register(items.ItemSource)
+    options = {"tree": at, "template": "https://example.org/calls?first=1", "parameters": '{"category": "sectors"}', "total": "total", "page_size": "250", "retries": "1"}
+    with pushing(spark):
+        calls = spark.read.format("items").schema("id long, title string, category string, deadline date").options(**options).load()
+        found = calls.where(F.col("category").isin("Grant", "RFP") & (F.col("deadline") >= "1998-01-01") & F.col("title").contains("notice"))
+        to = scratch(spark, "api-found")
+        found.select("id", "title", "deadline").write.parquet(to)
+    return spark.read.parquet(to)
 
 
 def _answer(items):

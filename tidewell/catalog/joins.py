@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from ..config import AS_OF, REMINDER_DAYS
-from ..fixtures import MEMBERS_SQL, OPP, SENT_SQL, members, opportunities, sent_log, sql
+from ..fixtures import MEMBERS_SQL, OPP, SENT_SQL, SUBSCRIBERS_SQL, members, opportunities, sent_log, sql, subscribers
 from ..operators import routing as op
 from ..operators.filters import labels
 from ..operators.summaries import latest_by_key
@@ -50,6 +50,15 @@ def member_matches(spark, d):
     return op.matches(opportunities(spark, d), members(spark), AS_OF).select("member_id", "id")
 
 
+_BOTH = "list_filter(list_transform(string_split({c}, ','), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@query("jon_03_subscriber_matches", sql(f"SELECT s.member_id, o.id FROM (SELECT member_id, list_transform({_BOTH.format(c='keywords')}, lambda x: lower(x)) AS kw, list_filter({_BOTH.format(c='categories')}, lambda x: x IN ('Grant', 'RFP', 'Tender', 'Proposal', 'Fellowship', 'Award', 'Challenge', 'Other')) AS cats, list_transform({_BOTH.format(c='verticals')}, lambda x: lower(x)) AS verts FROM subscribers) AS s, (SELECT id, category, lower(verticals) AS labels, lower(vertical) AS label, lower(concat_ws(' | ', title, organization, summary, vertical)) AS low FROM opportunities WHERE {ACTIVE}) AS o WHERE (len(cats) = 0 OR list_contains(cats, o.category)) AND len(list_filter(kw, lambda k: contains(o.low, k))) > 0 AND (len(verts) = 0 OR list_contains(verts, o.label) OR len(list_filter(verts, lambda v: contains(o.labels, v))) > 0)", OPP, SUBSCRIBERS_SQL))
+def subscriber_matches(spark, d):
+    """Every customer as a member, however many there are: all their keywords in one pass over each listing."""
+    return op.matches(opportunities(spark, d), subscribers(spark, d), AS_OF).select("member_id", "id")
+
+
 query("flt_14_match_predicate", sql("SELECT id FROM matches WHERE member_id = 5", OPP, _MATCHES))(lambda spark, d: op.matches(opportunities(spark, d), members(spark).where("member_id = 5"), AS_OF).select("id"))
 
 
@@ -111,9 +120,9 @@ def roster_minus_existing(spark, d):
     return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.lower("c_name").alias("email")).join(there, "email", "left_anti")
 
 
-@query("flt_15_digest_recipients", sql("SELECT member_id, email FROM members WHERE active AND auto_send", MEMBERS_SQL))
+@query("flt_15_digest_recipients", sql("SELECT member_id, email FROM subscribers WHERE active AND auto_send", SUBSCRIBERS_SQL))
 def digest_recipients(spark, d):
-    return members(spark).where("active AND auto_send").select("member_id", "email")
+    return subscribers(spark, d).where("active AND auto_send").select("member_id", "email")
 
 
 @query("flt_16_vertical_filter", sql("SELECT id FROM opportunities WHERE contains(verticals, 'Climate') OR contains(verticals, 'Health')"))
@@ -162,11 +171,12 @@ def table_merge(spark, d):
     return ingest.merged(rows.where("id % 2 = 0"), rows.where("id % 3 = 0").drop("approved"), active_only=True).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("snk_09_members_merge", sql("SELECT email FROM members UNION SELECT 'new@example.org'", MEMBERS_SQL))
+@query("snk_09_members_merge", sql("SELECT email, name FROM subscribers UNION ALL SELECT email, name FROM (SELECT concat(replace(replace(lower(s_name), 'supplier', 'customer'), '#', '.'), '@example.org') AS email, s_name AS name FROM supplier) AS s WHERE email NOT IN (SELECT email FROM subscribers)", SUBSCRIBERS_SQL))
 def members_merge(spark, d):
-    new = spark.createDataFrame([("new@example.org",), ("ada@example.org",)], "email string")
-    old = members(spark).select("email")
-    return old.union(new.join(old, "email", "left_anti"))
+    """The members with those of another store whose address they lack: that store calls suppliers what are customers here."""
+    address = F.concat(F.replace(F.replace(F.lower("s_name"), F.lit("supplier"), F.lit("customer")), F.lit("#"), F.lit(".")), F.lit("@example.org"))
+    other = spark.read.parquet(f"{d}/supplier.parquet").select(address.alias("email"), F.col("s_name").alias("name"))
+    return op.members_merged(subscribers(spark, d).select("email", "name"), other)
 
 
 @query("snk_10_newer_wins", sql("SELECT title, max(id) AS id FROM opportunities GROUP BY title"))
@@ -209,8 +219,11 @@ def index_check(spark, d):
     return search_index.stray(rows.where("id % 11 <> 5"), at)
 
 
-@query("snk_16_member_upsert", sql("SELECT member_id, CASE WHEN member_id = 2 THEN 'Benjamin' ELSE name END AS name FROM members WHERE member_id <> 4 UNION ALL SELECT 6, 'Fay'", MEMBERS_SQL))
+@query("snk_16_member_upsert", sql("SELECT member_id, CASE WHEN member_id % 10 = 3 THEN upper(name) ELSE name END AS name, email FROM subscribers WHERE member_id % 10 <> 4 UNION ALL SELECT 1000000 + s_suppkey, s_name, concat(lower(s_name), '@example.net') FROM supplier", SUBSCRIBERS_SQL))
 def member_upsert(spark, d):
-    new = spark.createDataFrame([(2, "Benjamin"), (6, "Fay")], "member_id long, name string")
-    old = members(spark).where("member_id <> 4").select("member_id", "name")
-    return old.join(new, "member_id", "left_anti").unionByName(new)
+    """Members that change their name, leave, or come by their first login: every supplier logs in twice."""
+    old = subscribers(spark, d).select("member_id", "name", "email")
+    changed = old.where("member_id % 10 = 3").withColumn("name", F.upper("name"))
+    left = old.where("member_id % 10 = 4").select("member_id")
+    logins = spark.read.parquet(f"{d}/supplier.parquet").select((F.col("s_suppkey") + 1_000_000).alias("member_id"), F.col("s_name").alias("name"), F.concat(F.lower("s_name"), F.lit("@example.net")).alias("email"))
+    return op.members_upserted(old, changed, left, logins.union(logins))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from ..config import AS_OF
@@ -12,7 +10,7 @@ from ..functions import dates, text
 from ..operators import digests, exports
 from ..operators.summaries import first_seen
 from ..registry import query
-from ..sources import guards, html, paged, records
+from ..sources import guards, html, paged, planning, records
 
 
 @query("src_06_url_loop_guard", "WITH seen AS (SELECT user_id AS source, event_id, row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY event_id) AS n FROM events), ends AS (SELECT source, min(event_id) AS e FROM seen WHERE n = 2 GROUP BY source) SELECT s.source, s.event_id FROM seen s LEFT JOIN ends x ON x.source = s.source WHERE x.e IS NULL OR s.event_id < x.e")
@@ -240,10 +238,7 @@ def config_factory(spark, d):
     """Sources of a configuration table, each with the URLs of its first pages."""
     name = F.lower("c_mktsegment")
     template = F.concat(F.lit("https://"), name, F.when(F.col("c_mktsegment") < "D", F.lit(".example.org/")).otherwise(F.lit(".example.org/{offset}")))
-    config = spark.read.parquet(f"{d}/customer.parquet").select("c_mktsegment").distinct().select(name.alias("name"), template.alias("template"))
-    known = paged.Registry.from_rows(config)
-    pages_ = [(n, p, paged.page_url(o["template"], p, 20)) for n, o in known.get().items() for p in (1, 2, 3)]
-    return spark.createDataFrame(pages_, "name string, page int, url string")
+    return planning.first_pages(spark.read.parquet(f"{d}/customer.parquet").select("c_mktsegment").distinct().select(name.alias("name"), template.alias("template")), 3)
 
 
 _CELLS = "lv AS (SELECT l, CAST(unnest(range(0, CAST(pow(2, l) AS BIGINT))) AS BIGINT) AS k FROM (SELECT unnest(range(0, 11)) AS l) AS t), cnt AS (SELECT l, CAST(floor(o_totalprice / (1048576 / pow(2, l))) AS BIGINT) AS k, count(*) AS n FROM orders, (SELECT unnest(range(0, 11)) AS l) AS t WHERE o_totalprice >= 0 AND o_totalprice < 1048576 GROUP BY 1, 2), node AS (SELECT lv.l, lv.k, coalesce(n, 0) AS n FROM lv LEFT JOIN cnt ON cnt.l = lv.l AND cnt.k = lv.k), most AS (SELECT count(*) // 16 AS m FROM orders WHERE o_totalprice >= 0 AND o_totalprice < 1048576)"
@@ -256,16 +251,6 @@ def adaptive_ranges(spark, d):
     return paged.adaptive_ranges(prices, "x", 0.0, 1_048_576.0, F.floor(F.count(F.lit(1)) / 16), cells=1024)
 
 
-@query("src_03_paged_crawl", "SELECT 'saved' AS source, CAST(p AS INTEGER) AS page, concat('https://example.org/list?page=', p) AS url, concat('<li>', n_name, '</li>') AS body FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS p FROM nation WHERE n_nationkey < 13) AS x")
-def paged_crawl(spark, d):
-    """The data source over saved pages, a partition for each page range; all of them end where the source does."""
-    names = [r[0] for r in spark.read.parquet(f"{d}/nation.parquet").where("n_nationkey < 13").orderBy("n_nationkey").select("n_name").collect()]
-    bodies = [f"<li>{n}</li>" for n in names] + ["", "<li>after the end</li>", "<li>and after</li>"]
-    spark.dataSource.register(paged.PagedSource)
-    options = {"template": "https://example.org/list?page={page}", "pages": "20", "pages_per_partition": "2", "inline": json.dumps(bodies), "source": "saved", "retries": "1"}
-    return paged.to_the_end(spark.read.format("paged").options(**options).load())
-
-
 @query("snk_02_csv_export_rows", sql("SELECT " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in exports.COLUMNS) + " FROM opportunities"))
 def csv_export_rows(spark, d):
     return exports.rows(opportunities(spark, d))

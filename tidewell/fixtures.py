@@ -91,6 +91,23 @@ def members(spark, sf_dir: str | None = None) -> DataFrame:
     return spark.createDataFrame(MEMBERS, MEMBER_COLUMNS)
 
 
+#: Every customer as a subscriber: by name or the name of another, with categories for some and labels for others.
+SUBSCRIBER = {
+    "member_id": "c_custkey",
+    "name": "c_name",
+    "email": "concat(replace(lower(c_name), '#', '.'), CASE WHEN c_custkey % 4 = 0 THEN '@example.com' ELSE '@example.org' END)",
+    "active": "c_custkey % 7 <> 0",
+    "auto_send": "c_acctbal >= 0",
+    "keywords": "CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN concat(upper(c_name), ', ', 'no such word ', c_custkey) ELSE concat('nothing ', c_custkey % 11, ', ', c_name, ' ,,') END",
+    "categories": "CASE WHEN c_custkey % 5 = 0 THEN 'Grant, RFP' WHEN c_custkey % 5 = 1 THEN 'Nonsense' ELSE '' END",
+    "verticals": "CASE WHEN c_custkey % 6 = 0 THEN 'health' WHEN c_custkey % 6 = 1 THEN 'Educ, climate' ELSE '' END",
+}
+
+
+def subscribers(spark, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "customer").select(*(F.expr(e).alias(x) for x, e in SUBSCRIBER.items()))
+
+
 def sent_log(spark, sf_dir: str) -> DataFrame:
     """(member_id, opportunity_id, sent_at): what was sent before, from returned lines."""
     lines = _read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
@@ -110,6 +127,7 @@ def crawl(spark, sf_dir: str) -> DataFrame:
 OPP = f"opportunities AS (SELECT {', '.join(f'{e} AS {x}' for x, e in OPPORTUNITY.items())} FROM {_FROM})"
 _VALUES = ", ".join("(" + ", ".join(repr(x) if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else str(x) for x in row) + ")" for row in MEMBERS)
 MEMBERS_SQL = f"members AS (SELECT * FROM (VALUES {_VALUES}) AS m(member_id, name, email, active, auto_send, keywords, categories, verticals))"
+SUBSCRIBERS_SQL = f"subscribers AS (SELECT {', '.join(f'{e} AS {x}' for x, e in SUBSCRIBER.items())} FROM customer)"
 SENT_SQL = "sent_log AS (SELECT CAST(l_suppkey % 5 + 1 AS BIGINT) AS member_id, l_orderkey AS opportunity_id, max(l_shipdate) AS sent_at FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)"
 CRAWL_SQL = "crawl AS (SELECT event_type AS source, date_trunc('hour', ts) AS page, user_id AS item, event_id FROM events)"
 

@@ -57,6 +57,19 @@ def matches(opps: DataFrame, members: DataFrame, as_of: datetime.date, block: in
     return met.drop("_key", "_kw", "_verts", "kw", "cats", "verts") if few else met.select("member_id", "id").join(rows, "id")
 
 
+def members_merged(members: DataFrame, other: DataFrame) -> DataFrame:
+    """The members with those of another store (email, ...) whose address they lack, each address once."""
+    new = other.dropDuplicates(["email"]).join(members.select("email"), "email", "left_anti")
+    return members.unionByName(new)
+
+
+def members_upserted(members: DataFrame, changed: DataFrame, left: DataFrame, logins: DataFrame) -> DataFrame:
+    """Members (member_id, email, ...) with changed rows in place of theirs, without those who left, and with a row for each first login of an unknown address."""
+    kept = members.join(left.select("member_id"), "member_id", "left_anti")
+    now = kept.join(changed.select("member_id"), "member_id", "left_anti").unionByName(changed.join(kept.select("member_id"), "member_id", "left_semi"))
+    return now.unionByName(logins.dropDuplicates(["email"]).join(now.select("email"), "email", "left_anti"))
+
+
 def unsent(matched: DataFrame, sent: DataFrame) -> DataFrame:
     return matched.join(sent.select("member_id", F.col("opportunity_id").alias("id")), ["member_id", "id"], "left_anti")
 

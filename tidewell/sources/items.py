@@ -16,6 +16,7 @@ from __future__ import annotations
 import datetime
 import decimal
 import json
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import types as T
@@ -96,6 +97,21 @@ class AskingReader(ItemReader):
         return True
 
 
+@contextmanager
+def pushing(spark):
+    """What runs inside may push filters into data sources written in Python."""
+    name = "spark.sql.python.filterPushdown.enabled"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, old)
+
+
 def _text(value) -> str:
     return "" if value is None else str(value)
 

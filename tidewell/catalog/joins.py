@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..config import AS_OF, REMINDER_DAYS
 from ..fixtures import MEMBERS_SQL, OPP, SENT_SQL, SUBSCRIBERS_SQL, members, opportunities, sent_log, sql, subscribers
 from ..operators import routing as op
+from ..operators.key_table import KeyTable
 from ..operators.filters import labels
 from ..operators.summaries import latest_by_key
 from ..plans import ingest, maintenance
@@ -135,17 +136,26 @@ def expired_drop(spark, d):
     return opportunities(spark, d).where("status <> 'Expired'").select("id")
 
 
-@query("snk_01_insert_if_new", sql("SELECT title, min(id) AS id FROM opportunities WHERE id % 3 = 0 AND title NOT IN (SELECT title FROM opportunities WHERE id % 7 = 2) GROUP BY title"))
+@query("snk_01_insert_if_new", sql("SELECT title, coalesce(min(id) FILTER (id % 3 = 0), min(id)) AS id FROM opportunities GROUP BY title"))
 def insert_if_new(spark, d):
-    rows = opportunities(spark, d).withColumn("unique_id", F.sha2("title", 256))
-    return ingest.only_new(rows.where("id % 3 = 0"), rows.where("id % 7 = 2"), ["id"]).select("title", "id")
+    """A stored table that takes in a third of the listings, then all of them: each title stays as it came first."""
+    table = KeyTable(spark, scratch(spark, "keys"), "title string, id long", "title", buckets=8, slots=2)
+    rows = opportunities(spark, d).select("title", "id")
+    for part in (rows.where("id % 3 = 0"), rows):
+        table.insert_new(part, ["id"])
+    return table.rows()
 
 
-@query("snk_04_sent_log_upsert", f"WITH {SENT_SQL}, new AS (SELECT CAST(l_suppkey % 5 + 1 AS BIGINT) AS member_id, l_orderkey AS opportunity_id, max(l_shipdate) AS sent_at FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2) SELECT member_id, opportunity_id, max(sent_at) AS sent_at FROM (SELECT * FROM sent_log UNION ALL SELECT * FROM new) AS x GROUP BY 1, 2")
+@query("snk_04_sent_log_upsert", f"WITH {SENT_SQL}, new AS (SELECT CAST(l_suppkey % 5 + 1 AS BIGINT) AS member_id, l_orderkey AS opportunity_id, max(l_shipdate) AS sent_at FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1, 2) SELECT member_id, opportunity_id, max(sent_at) AS sent_at FROM (SELECT * FROM sent_log UNION ALL SELECT * FROM new) AS x GROUP BY 1, 2")
 def sent_log_upsert(spark, d):
-    lines = spark.read.parquet(f"{d}/lineitem.parquet").where("l_returnflag = 'A'")
+    """The stored ledger after further deliveries: one row for each member and listing, the latest time."""
+    key = F.concat_ws("/", F.col("member_id").cast("string"), F.col("opportunity_id").cast("string"))
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").where("l_returnflag <> 'R'")
     new = lines.groupBy((F.col("l_suppkey") % 5 + 1).cast("long").alias("member_id"), F.col("l_orderkey").alias("opportunity_id")).agg(F.max("l_shipdate").alias("sent_at"))
-    return op.log_sent(sent_log(spark, d), new)
+    ledger = KeyTable(spark, scratch(spark, "keys"), "pair string, member_id long, opportunity_id long, sent_at timestamp", "pair", buckets=8, slots=2)
+    ledger.insert_new(sent_log(spark, d).withColumn("pair", key), ["sent_at"])
+    ledger.upsert(new.withColumn("pair", key), ["sent_at"])
+    return ledger.rows().drop("pair")
 
 
 @query("snk_05_reminder_log_append", sql(f"SELECT member_id, opportunity_id, days_before FROM reminder_log UNION SELECT member_id, id, days_before FROM ({_DUE}) AS x", OPP, MEMBERS_SQL, SENT_SQL, _REMINDED))

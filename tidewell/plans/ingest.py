@@ -74,9 +74,14 @@ def counters(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source_website").agg(F.count(F.lit(1)).alias("found"), *(F.count_if(x).alias(x) for x in ("is_expired", "off_vertical", "is_spam")))
 
 
+def first_of_each(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The first row of each unique_id in order."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("unique_id").orderBy(*order))).where("_n = 1").drop("_n")
+
+
 def only_new(rows: DataFrame, table: DataFrame, order: list[str]) -> DataFrame:
     """The first row of each unique_id in order, unless the table has it."""
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("unique_id").orderBy(*order))).where("_n = 1").drop("_n")
+    first = first_of_each(rows, order)
     return first.join(table.select("unique_id"), "unique_id", "left_anti")
 
 

@@ -1,17 +1,23 @@
 """Incremental ingest: page batches from a stream, new rows appended once, with per-batch hooks.
 
-Each micro-batch is judged like a batch run, held against the table by unique_id and written
-into a folder named by its batch id, so a batch that is run again replaces itself.
+Each micro-batch is judged like a batch run, held against the keys of all earlier batches and
+written into a folder named by its batch id, so a batch that is run again replaces itself. The keys
+are kept beside the rows in a table bucketed by them (``operators.key_table``): a batch meets them
+where they lie, and only the batch is shuffled. A batch's own keys from a run that broke off don't count
+against it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ingest import Rules, accepted, judged, only_new
+from ..operators import key_table
+from ..plans.ingest import Rules, accepted, first_of_each, judged
+
+KEYS = "unique_id string, batch long"
 
 
 def start(stream: DataFrame, table: str, checkpoint: str, rules: Rules, order: list[str], after: Callable[[int, DataFrame], None] | None = None, **trigger):
@@ -19,26 +25,18 @@ def start(stream: DataFrame, table: str, checkpoint: str, rules: Rules, order: l
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
-        new = only_new(accepted(judged(rows, rules), rules), known(spark, table, batch_id), order)
+        keys = key_table.KeyTable(spark, f"{table}_keys", KEYS)
+        first = first_of_each(accepted(judged(rows, rules), rules), order)
         at = f"{table}/batch={batch_id}"
-        new.write.mode("overwrite").parquet(at)
+        keys.unseen(first, F.col("batch") == batch_id).write.mode("overwrite").parquet(at)
+        stored = spark.read.parquet(at)
+        keys.append(keys.unseen(stored.select("unique_id", F.lit(batch_id).cast("long").alias("batch"))))
         if after is not None:
-            after(batch_id, spark.read.parquet(at))
+            after(batch_id, stored)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def known(spark: SparkSession, table: str, before: int) -> DataFrame:
-    """unique_id of the rows of earlier batches."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [x.getPath().toString() for x in fs.listStatus(path)] if fs.exists(path) else []
-    earlier = [p for p in found if "/batch=" in p and int(p.rpartition("=")[2]) < before]
-    if not earlier:
-        return spark.createDataFrame([], "unique_id string")
-    return spark.read.schema("unique_id string").parquet(*earlier)
-
-
 def since(table: DataFrame, column: str, cursor) -> DataFrame:
     """Rows beyond a cursor kept from the last run."""
     return table.where(F.col(column) > F.lit(cursor)) if cursor is not None else table

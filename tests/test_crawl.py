@@ -162,3 +162,34 @@ def test_a_source_without_parameters_leaves_all_to_spark(spark, server):
     calls = spark.read.format("items").schema("id int, category string").options(template=f"{server.at}/all?page={{page}}", pages="9", pages_per_partition="2", retries="1")
     assert sorted(r.id for r in calls.load().where("category = 'B'").collect()) == [r["id"] for r in ROWS if r["category"] == "B"]
     assert len(server.asked) <= 6 + 2  # each partition beyond the end asks once
+
+
+def test_pages_are_turned_by_posting_the_form(spark, server):
+    """A board whose every page comes by the hidden fields of the one before."""
+
+    def answer(path, query, sent, *_):
+        page = 1 if sent is None else int(sent["__EVENTARGUMENT"].removeprefix("Page$"))
+        if sent is not None and (sent["__VIEWSTATE"] != f"state {page - 1} & so on" or sent["__EVENTTARGET"] != "grid"):
+            return None
+        later = "".join(f"<a href=\"javascript:__doPostBack('grid','Page${n}')\">{n}</a>" for n in range(1, 5) if n != page)
+        return f"<form><input type='hidden' name='__VIEWSTATE' value='state {page} &amp; so on' /><input type=\"hidden\" name=\"kept\" value=\"\"></form><h2>page {page}</h2>{later}"
+
+    server.answer = answer
+    spark.dataSource.register(paged.PagedSource)
+    rows = spark.read.format("paged").options(template=f"{server.at}/board", pages="9", form="true", retries="1", source="board").load().collect()
+    assert [(r.page, f"<h2>page {r.page}</h2>" in r.body) for r in rows] == [(n, True) for n in range(1, 5)]
+    assert len(server.asked) == 4
+    assert paged.form_fields(rows[0].body) == {"__VIEWSTATE": "state 1 & so on", "kept": ""} and paged.posted("u", rows[0].body, 9) is None
+
+
+def test_a_foreign_scan_makes_our_tests(spark, tmp_path):
+    from tidewell.sources import foreign
+
+    spark.range(100).selectExpr("id AS no", "concat('k', id % 3) AS kind", "'01/02/2026' AS closes").write.parquet(str(tmp_path / "f"))
+    ours = foreign.mapped(spark.read.parquet(str(tmp_path / "f")), {"id": "no", "category": "kind", "deadline": F.to_date("closes", "dd/MM/yyyy")}, ["id", "title", "category", "deadline"])
+    found = ours.where("category = 'k1' AND id > 50 AND deadline = DATE '2026-02-01'")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(kind,k1)" in plan and "GreaterThan(no,50)" in plan
+    assert [tuple(r) for r in found.orderBy("id").limit(1).collect()] == [(52, None, "k1", datetime.date(2026, 2, 1))]
+    with pytest.raises(ValueError):
+        foreign.mapped(ours, {"nope": "id"}, ["id"])

@@ -14,7 +14,7 @@ from ..operators import exports, search_index
 from ..registry import query
 from ..shared import scratch
 from ..sources import html as scraped
-from ..sources import items, paged, planning, records
+from ..sources import foreign, items, paged, planning, records
 from ..sources.items import pushing
 
 
@@ -212,12 +212,14 @@ def fund_directory(spark, d):
     return found.select(F.col("page_id").alias("id"), (F.col("summary").rlike(r"(?i)\b(open|accepting)\b") & ~F.col("summary").rlike(r"(?i)\b(closed|paused)\b")).alias("assume_active"))
 
 
-@query("src_35_foreign_scan", sql("SELECT id, title FROM opportunities"))
+@query("src_35_foreign_scan", sql("SELECT id, title, category, deadline, source_website FROM opportunities WHERE category = 'Grant' AND id < 20000 AND (deadline IS NULL OR deadline < DATE '1999-01-01')"))
 def foreign_scan(spark, d):
-    """A second store, read beside the first."""
+    """Listings of a second store with a schema of its own, in ours; the tests that its columns allow are made in its scan."""
     at = scratch(spark, "foreign")
-    opportunities(spark, d).select("id", "title").write.parquet(at)
-    return spark.read.parquet(at)
+    theirs = opportunities(spark, d).select(F.col("id").alias("call_no"), F.col("title").alias("heading"), F.col("category").alias("kind"), F.date_format("deadline", "dd/MM/yyyy").alias("closes_on"), F.upper("source_website").alias("site"))
+    theirs.write.parquet(at)
+    ours = foreign.mapped(spark.read.parquet(at), {"id": "call_no", "title": "heading", "category": "kind", "deadline": F.to_date("closes_on", "dd/MM/yyyy"), "source_website": "site"})
+    return ours.where("category = 'Grant' AND id < 20000 AND (deadline IS NULL OR deadline < DATE '1999-01-01')").select("id", "title", "category", "deadline", "source_website")
 
 
 @query("snk_02_csv_export", sql("SELECT " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in exports.COLUMNS) + " FROM opportunities"))

@@ -12,6 +12,7 @@ from ..operators import filters as op
 from ..operators import search_index
 from ..operators.filters import Listing
 from ..registry import query
+from ..sources import planning
 
 ACTIVE = "status = 'Active' AND (deadline >= DATE '1998-08-02' OR deadline IS NULL)"
 SHOWN = f"{ACTIVE} AND verticals <> ''"
@@ -158,10 +159,12 @@ def intersection(spark, d):
     return opportunities(spark, d).select("id", F.size(F.array_intersect(op.labels(), F.array(F.lit("Education"), F.lit("Gender")))).alias("shared"))
 
 
-@query("set_04_unknown_names", "SELECT 'nowhere' AS name")
+@query("set_04_unknown_names", "SELECT DISTINCT lower(p_brand) AS name FROM part WHERE lower(p_brand) NOT IN (SELECT concat('brand#', s_nationkey) FROM supplier)")
 def unknown_names(spark, d):
-    known = opportunities(spark, d).agg(F.collect_set("source_website").alias("known"))
-    return known.select(F.explode(F.array_except(F.array(F.lit("BUILDING"), F.lit("nowhere")), F.col("known"))).alias("name"))
+    """Requested names that are not registered: brands that no supplier's number stands for."""
+    requested = spark.read.parquet(f"{d}/part.parquet").select(F.lower("p_brand").alias("name"))
+    known = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("brand#"), F.col("s_nationkey").cast("string")).alias("name"))
+    return planning.unknown(requested, known)
 
 
 @query("set_06_disjoint_pages", "SELECT CAST(count(DISTINCT user_id) = count(*) AS BOOLEAN) AS disjoint FROM events WHERE event_type = 'click'")

@@ -36,8 +36,9 @@ def test_counts_as_by_single_patterns(spark):
     got = {r.id: r.n for r in frame.select("id", automaton.counted([*LISTS, []], F.col("a"), F.col("b")).alias("n")).collect()}
     for i, a, b in rows:
         assert got[i] == [[sum(bool(re.search(p, t or "", re.IGNORECASE)) for p in own) if t else 0 for own in [*LISTS, []]] for t in (a, b)]
-    held = frame.select("id", automaton.any_terms_held(spark.createDataFrame([("for",), ("fo",), ("bid",), ("",), ("for",)], "t string"), F.lower("a"), F.lower("b"), block=2).alias("n"))
-    assert {r.id: set(r.n) for r in held.collect()} == {i: {t for t in ("for", "fo", "bid") if t in (a or "").lower() or t in (b or "").lower()} for i, a, b in rows}
+    for few in (0, 24):
+        held = frame.select("id", automaton.any_terms_held(spark.createDataFrame([("for",), ("fo",), ("bid",), ("",), ("for",)], "t string"), F.lower("a"), F.lower("b"), block=2, few=few).alias("n"))
+        assert {r.id: set(r.n or []) for r in held.collect()} == {i: {t for t in ("for", "fo", "bid") if t in (a or "").lower() or t in (b or "").lower()} for i, a, b in rows}
 
 
 def test_a_lexicon_from_a_table(spark):

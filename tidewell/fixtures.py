@@ -58,9 +58,9 @@ _STORED: dict[tuple[str, str], str] = {}
 
 
 def store(spark, sf_dir: str) -> None:
-    """Writes the listings once, as a deployment keeps them; queries of this application read them from then on."""
+    """Writes the listings once, as a deployment keeps them, in a file for each core at least; queries of this application read them from then on."""
     to = scratch(spark, "listings")
-    opportunities(spark, sf_dir).write.parquet(to)
+    opportunities(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "id").write.parquet(to)
     _STORED[spark.sparkContext.applicationId, sf_dir] = to
 
 

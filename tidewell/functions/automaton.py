@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import re
 import uuid
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -146,8 +147,8 @@ def counted(groups: list[list[str]], *texts: Column) -> Column:
     return run(*texts)
 
 
-#: Automata of terms that a worker keeps.
-KEPT = 16
+#: Automata of terms that a worker keeps, and how many terms need none.
+KEPT, FEW = 16, 24
 _TERMS: dict[str, Terms] = {}
 
 
@@ -169,18 +170,26 @@ def terms_held(broadcast, *texts: Column) -> Column:
     return run(*texts)
 
 
-def any_terms_held(terms: DataFrame, *texts: Column, block: int = 50_000) -> Column:
+def any_terms_held(terms: DataFrame, *texts: Column, block: int = 50_000, few: int = FEW) -> Column:
     """The terms (one column of string) that stand in one of the texts: an array of string.
 
-    Terms go out in blocks of about ``block``; a worker walks each text once for each block and
-    keeps ``KEPT`` automata, so more than KEPT blocks are right but slow.
+    A few terms are looked for one by one, in generated code. More go out in blocks of about
+    ``block``, as automata; a worker walks each text once for each block and keeps ``KEPT`` of them, so
+    more than KEPT blocks are right but slow.
     """
     spark = terms.sparkSession
     (column,) = terms.columns
     terms = terms.where(F.col(column) != "").distinct()
-    blocks = max(1, -(-terms.count() // block))
-    found = []
+    found = sorted(r[0] for r in terms.limit(block + 1).collect())
+    if len(found) <= few:
+        own = F.array(*map(F.lit, found)).cast("array<string>")
+        held = lambda row: F.filter(own, lambda k: reduce(lambda a, b: a | b, [F.contains(row[i], k) for i in range(len(texts))]))
+        return F.transform(F.array(F.array(*texts)), held)[0]
+    if len(found) <= block:
+        return terms_held(spark.sparkContext.broadcast(found), *texts)
+    blocks = -(-terms.count() // block)
+    parts = []
     for i in range(blocks):
-        own = terms if blocks == 1 else terms.where(F.pmod(F.xxhash64(column), F.lit(blocks)) == i)
-        found.append(terms_held(spark.sparkContext.broadcast(sorted(r[0] for r in own.collect())), *texts))
-    return found[0] if blocks == 1 else F.concat(*found)
+        own = terms.where(F.pmod(F.xxhash64(column), F.lit(blocks)) == i).collect()
+        parts.append(terms_held(spark.sparkContext.broadcast(sorted(r[0] for r in own)), *texts))
+    return F.concat(*parts)

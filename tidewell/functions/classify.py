@@ -19,6 +19,8 @@ from .automaton import counted
 from .lexicons import CATEGORY_PATTERNS, IMPLEMENTATION_PATTERNS, RESEARCH_PATTERNS, STUDY_PATTERNS, STUDY_SPECIFICITY, VERTICAL_PATTERNS
 
 TITLE, BODY, HINT = 3, 1, 2
+#: How points, specificity and place share a number: at most so many labels, and specificities below STEP / LABELS.
+LABELS, STEP = 1_000, 1_000_000
 STUDY_BODY = 2000
 
 
@@ -92,10 +94,10 @@ def study_type(title: Column, body: Column, lexicon: dict[str, list[str]] = STUD
         return judged_once(Evidence(list(lexicon.values()), title, body), lambda e: study_type(title, body, lexicon, specificity, e))
     kinds = []
     for i, (label, patterns) in enumerate(lexicon.items()):
-        points = F.when(seen.title(patterns) > 0, TITLE).otherwise(0) + F.when(seen.beginning(patterns) > 0, BODY).otherwise(0)
-        kinds.append(F.struct(points.alias("s"), F.lit(specificity.get(label, 0)).alias("p"), F.lit(-i).alias("i"), F.lit(label).alias("x")))
-    best = F.array_max(F.array(*kinds))
-    return F.when(best["s"] > 0, best["x"]).otherwise("")
+        points = TITLE * (seen.title(patterns) > 0).cast("int") + BODY * (seen.beginning(patterns) > 0).cast("int")
+        kinds.append(points * STEP + (specificity.get(label, 0) * LABELS + LABELS - 1 - i))  # in the order of points, specificity and place
+    best = F.greatest(*kinds)
+    return F.when(best >= STEP, F.get(F.array(*map(F.lit, lexicon)), F.lit(LABELS - 1) - best % LABELS)).otherwise("")
 
 
 def every_list(categories: dict[str, list[str]] = CATEGORY_PATTERNS, enabled: list[str] = ENABLED_CATEGORIES, labels: dict[str, list[str]] = VERTICAL_PATTERNS) -> list[list[str]]:

@@ -42,7 +42,7 @@ def _name(found: Column) -> Column:
     article = r"(?i)^(?:The|A|An)\s+"
 
     def begun(words: Column) -> Column:
-        first = F.array_position(F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"^[,.]+|[,.]+$", "")).isin(STOP_FIRST)), F.lit(False))
+        first = F.array_position(F.transform(words, lambda w: w.rlike(rf"^[,.]*(?i:{'|'.join(STOP_FIRST)})[,.]*$")), F.lit(False))
         return F.when(first > 0, F.array_join(F.slice(words, F.greatest(first, F.lit(1)).cast("int"), F.size(words)), " ")).otherwise("")
 
     def named(n: Column) -> Column:
@@ -56,15 +56,13 @@ def _name(found: Column) -> Column:
 
 def _to_the_institution(name: Column) -> Column:
     """A name cut behind the first institution word that nothing continues: no bracket, further such word, or joining word before a capital."""
-    marks = lambda w: w.rlike(rf"^(?i:{MARKERS})$")
 
     def cut(words: Column) -> Column:
         word = lambda i: F.coalesce(F.get(words, i), F.lit(""))
 
         def ends(i: Column) -> Column:
-            low = F.lower(F.regexp_replace(word(i + 1), r"^[,.]+|[,.]+$", ""))
-            on = word(i + 1).startswith("(") | marks(low) | (low.isin(JOINING) & word(i + 2).rlike(r"^\p{Lu}"))
-            return marks(F.regexp_replace(word(i), r"^[’'s,.()]+|[’'s,.()]+$", "")) & ((word(i + 1) == "") | ~on)
+            goes_on = word(i + 1).rlike(rf"^\(|^[,.]*(?i:{MARKERS})[,.]*$") | (word(i + 1).rlike(rf"^[,.]*(?i:{'|'.join(JOINING)})[,.]*$") & word(i + 2).rlike(r"^\p{Lu}"))
+            return word(i).rlike(rf"^[’'s,.()]*(?i:{MARKERS})[’'s,.()]*$") & ~goes_on
 
         at = F.get(F.filter(F.sequence(F.lit(0), F.size(words) - 1), ends), F.lit(0))
         return F.array_join(F.slice(words, F.lit(1), F.coalesce(at + 1, F.size(words))), " ")
@@ -74,11 +72,8 @@ def _to_the_institution(name: Column) -> Column:
 
 def _sure(name: Column) -> Column:
     """A name that is long enough and not too vague, else blank."""
-    low = F.lower(F.trim(name))
-    vague = low.isin(VAGUE)
-    for end in VAGUE_END:
-        vague = vague | low.endswith(end)
-    return F.when((F.length(name) >= 4) & ~vague, name).otherwise("")
+    vague = rf"(?i)^\s*(?:{'|'.join(VAGUE)})\s*$|(?:{'|'.join(VAGUE_END)})\s*$"
+    return F.when((F.length(name) >= 4) & ~name.rlike(vague), name).otherwise("")
 
 
 def _settled(found: Column, proven: bool) -> Column:

@@ -66,7 +66,8 @@ def accepted(rows: DataFrame, rules: Rules) -> DataFrame:
     keep = ~F.col("off_vertical") & ~F.col("is_spam")
     if not rules.keep_expired:
         keep = keep & ~F.col("is_expired")
-    return rows.where(keep).drop("is_expired", "off_vertical", "is_spam")
+    # a column that is not the same twice keeps the tests above what they test: pushed below, they would work out each deadline again
+    return rows.withColumn("_at", F.monotonically_increasing_id()).where(keep & (F.col("_at") >= 0)).drop("is_expired", "off_vertical", "is_spam", "_at")
 
 
 def counters(rows: DataFrame) -> DataFrame:

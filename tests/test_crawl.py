@@ -193,3 +193,33 @@ def test_a_foreign_scan_makes_our_tests(spark, tmp_path):
     assert [tuple(r) for r in found.orderBy("id").limit(1).collect()] == [(52, None, "k1", datetime.date(2026, 2, 1))]
     with pytest.raises(ValueError):
         foreign.mapped(ours, {"nope": "id"}, ["id"])
+
+
+def test_ranges_hold_no_more_than_a_source_shows(spark):
+    """A skewed axis with a value that many share, and one of a single value."""
+    skewed = spark.range(20_000).selectExpr("CASE WHEN id % 4 = 0 THEN 7.0D WHEN id % 4 = 1 THEN pow(10, id % 50 - 20) ELSE rand(5) * 1e-3 END AS x").union(spark.sql("SELECT CAST(NULL AS DOUBLE) UNION ALL SELECT CAST('NaN' AS DOUBLE)"))
+    values = sorted(r.x for r in skewed.where("x IS NOT NULL AND NOT isnan(x)").collect())
+    for reach in (20_000, 700, 90):
+        found = [tuple(r) for r in paged.adaptive_ranges(skewed, "x", reach).collect()]
+        assert sum(n for _, _, n in found) == len(values)
+        assert all(n <= reach or lo == hi for lo, hi, n in found)
+        assert all(a[1] < b[0] for a, b in zip(sorted(found), sorted(found)[1:], strict=False))
+        assert all(n == sum(lo <= v <= hi for v in values) for lo, hi, n in found[:20])
+        assert len(found) <= 40 + 6 * len(values) // reach
+    assert [tuple(r) for r in paged.adaptive_ranges(spark.range(5).selectExpr("3 AS x"), "x", 2).collect()] == [(3.0, 3.0, 5)]
+    assert paged.adaptive_ranges(skewed.where("false"), "x", 2).count() == 0
+
+
+def test_sketches_merge(spark, tmp_path):
+    from tidewell.operators import sketches
+
+    crawled = spark.range(40_000).selectExpr("concat('s', id % 2) AS source", "id div 400 AS page", "concat('item ', pmod(id * 7919, IF(id % 2 = 0, 3000, 20000))) AS item")
+    sketches.page_sketches(crawled).write.parquet(str(tmp_path / "sketches"))
+    stored = spark.read.parquet(str(tmp_path / "sketches"))
+    exact = {r.source: r.n for r in crawled.groupBy("source").agg(F.countDistinct("item").alias("n")).collect()}
+    for r in sketches.repeats(stored).collect():
+        assert r.found == 20_000 and r.pages == 100 and abs(r.fresh - exact[r.source]) < 0.08 * exact[r.source]
+    halves = sketches.merged(stored.where("page < 50"), "source").collect()
+    assert all(r.fresh < exact[r.source] * 1.08 and r.found == 10_000 for r in halves)
+    covered = sketches.coverage(stored, spark.createDataFrame([("s0", 6000)], "source string, total long")).collect()
+    assert len(covered) == 1 and 20 < covered[0].coverage_pct < 56

@@ -8,7 +8,7 @@ from ..config import AS_OF, ENABLED_CATEGORIES, VERTICALS
 from ..fixtures import CRAWL_SQL, MEMBERS_SQL, OPP, SENT_SQL, crawl, members, opportunities, sent_log, sql
 from ..functions import links
 from ..operators import filters as flt
-from ..operators import search_index
+from ..operators import search_index, sketches
 from ..operators import summaries as op
 from ..operators.filters import Listing
 from ..operators.routing import digest, fitting_cap, region_rank, stale_cut
@@ -96,10 +96,15 @@ def run_counters(spark, d):
     return op.run_counters(crawl(spark, d))
 
 
-@query("agg_14_progress", "SELECT user_id, CAST(round((n / (n / 60.0)) * (100 - pct) / greatest(pct, 1)) AS BIGINT) AS eta FROM (SELECT user_id, CAST(count(*) AS DOUBLE) AS n, CAST(user_id % 101 AS DOUBLE) AS pct FROM events GROUP BY user_id) AS x")
-def progress(spark, d):
-    rows = spark.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    return rows.select("user_id", op.eta(F.col("n"), F.lit(60.0), (F.col("user_id") % 101).cast("double")).alias("eta"))
+@query("agg_13_repeats_by_sketch", f"WITH {CRAWL_SQL} SELECT source, count(DISTINCT page) AS pages, count(*) AS found, count(DISTINCT item) AS exact, true AS close FROM crawl GROUP BY source")
+def repeats_by_sketch(spark, d):
+    """Repeats of each source from sketches that were stored page by page, beside the exact count: within five standard errors."""
+    at, items = scratch(spark, "sketches"), crawl(spark, d)
+    sketches.page_sketches(items).write.parquet(at)
+    exact = items.groupBy("source").agg(F.countDistinct("item").alias("exact"))
+    about = sketches.repeats(spark.read.parquet(at)).join(exact, "source")
+    close = F.abs(F.col("fresh") - F.col("exact")) <= 1 + 5 * F.col("exact") * 1.04 / 2 ** (sketches.BITS / 2)
+    return about.select("source", "pages", "found", "exact", close.alias("close"))
 
 
 @query("agg_15_dispatch_totals", f"WITH {SENT_SQL} SELECT count(DISTINCT member_id) AS members, count(*) AS items FROM sent_log")

@@ -241,14 +241,13 @@ def config_factory(spark, d):
     return planning.first_pages(spark.read.parquet(f"{d}/customer.parquet").select("c_mktsegment").distinct().select(name.alias("name"), template.alias("template")), 3)
 
 
-_CELLS = "lv AS (SELECT l, CAST(unnest(range(0, CAST(pow(2, l) AS BIGINT))) AS BIGINT) AS k FROM (SELECT unnest(range(0, 11)) AS l) AS t), cnt AS (SELECT l, CAST(floor(o_totalprice / (1048576 / pow(2, l))) AS BIGINT) AS k, count(*) AS n FROM orders, (SELECT unnest(range(0, 11)) AS l) AS t WHERE o_totalprice >= 0 AND o_totalprice < 1048576 GROUP BY 1, 2), node AS (SELECT lv.l, lv.k, coalesce(n, 0) AS n FROM lv LEFT JOIN cnt ON cnt.l = lv.l AND cnt.k = lv.k), most AS (SELECT count(*) // 16 AS m FROM orders WHERE o_totalprice >= 0 AND o_totalprice < 1048576)"
-
-
-@query("src_17_adaptive_ranges", f"WITH {_CELLS} SELECT a.k * (1048576 / pow(2, a.l)) AS lo, (a.k + 1) * (1048576 / pow(2, a.l)) AS hi, a.n FROM node a LEFT JOIN node p ON p.l = a.l - 1 AND p.k = a.k // 2, most WHERE (a.n <= m OR a.l = 10) AND (p.n IS NULL OR p.n > m)")
+@query("src_17_adaptive_ranges", "SELECT count(*) AS n, CAST(sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 2 END) AS BIGINT) AS weight, true AS fits FROM orders")
 def adaptive_ranges(spark, d):
-    """Price ranges that a source which shows a sixteenth of its rows can page through: counted in one aggregate, split from its counts."""
+    """Price ranges that a source which shows a sixteenth of its rows can page through: they hold every order once, none too many."""
     prices = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_totalprice").alias("x"))
-    return paged.adaptive_ranges(prices, "x", 0.0, 1_048_576.0, F.floor(F.count(F.lit(1)) / 16), cells=1024)
+    found = paged.adaptive_ranges(prices, "x", F.floor(F.count(F.lit(1)) / 16))
+    met = prices.join(F.broadcast(found), F.col("x").between(F.col("lo"), F.col("hi")))  # some dozen ranges; where two overlapped an order would come twice
+    return met.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("x") > 100_000, 1).otherwise(2)).alias("weight"), (F.max("n") * 16 <= F.count(F.lit(1))).alias("fits"))
 
 
 @query("snk_02_csv_export_rows", sql("SELECT " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in exports.COLUMNS) + " FROM opportunities"))

@@ -165,18 +165,19 @@ def _shown():
 _column("dat_01_parse_plain", lambda: dates.plain_date(_shown()), "CASE WHEN id % 6 < 5 AND deadline < DATE '9999-01-01' THEN deadline WHEN id % 6 < 5 THEN deadline END")
 
 
-@query("dat_01_parse_fuzzy", sql("SELECT id, CASE WHEN id % 4 < 2 THEN deadline END AS deadline FROM opportunities WHERE deadline < DATE '9999-01-01'"))
+@query("dat_01_parse_fuzzy", sql("SELECT id, CASE WHEN id % 4 < 2 AND deadline < DATE '9999-01-01' THEN deadline END AS deadline FROM opportunities"))
 def parse_fuzzy(spark, d):
     """Dates in the middle of a sentence, and sentences without one."""
     raw = F.when(F.col("id") % 4 == 0, F.date_format("deadline", "'closes on 'd' of 'MMMM, yyyy' at noon'")).when(F.col("id") % 4 == 1, F.date_format("deadline", "'Proposals are due by 'MMMM d, yyyy"))
     raw = raw.when(F.col("id") % 4 == 2, F.lit("")).otherwise(F.lit("rolling"))
-    rows = opportunities(spark, d).where("deadline < DATE '9999-01-01'").select("id", raw.alias("raw"))
+    rows = opportunities(spark, d).select("id", F.when(F.col("deadline") < "9999-01-01", raw).otherwise(F.lit("to be announced")).alias("raw"))
     return dates.with_deadline(rows, "raw", AS_OF).select("id", "deadline")
 
 
-@query("dat_01_parse_column", sql("SELECT id, deadline FROM opportunities WHERE deadline < DATE '9999-01-01'"))
+@query("dat_01_parse_column", sql("SELECT id, CASE WHEN deadline < DATE '9999-01-01' THEN deadline END AS deadline FROM opportunities"))
 def parse_column(spark, d):
-    rows = opportunities(spark, d).where("deadline < DATE '9999-01-01'").select("id", F.concat(F.lit("Deadline: "), F.date_format("deadline", "d MMMM yyyy")).alias("raw"))
+    known = F.when(F.col("deadline") < "9999-01-01", F.col("deadline"))
+    rows = opportunities(spark, d).withColumn("deadline", known).select("id", F.concat(F.lit("Deadline: "), F.date_format("deadline", "d MMMM yyyy")).alias("raw"))
     return dates.with_deadline(rows, "raw", AS_OF).select("id", "deadline")
 
 

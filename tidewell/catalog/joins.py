@@ -68,10 +68,10 @@ def not_yet_reminded(spark, d):
     return op.due_reminders(opportunities(spark, d), members(spark), sent_log(spark, d), AS_OF, list(REMINDER_DAYS), _reminded(spark, d))
 
 
-@query("jon_05_dedup_lookup", sql("SELECT count(*) AS n FROM (SELECT DISTINCT title FROM opportunities WHERE id % 2 = 0 AND title NOT IN (SELECT title FROM opportunities WHERE id % 5 = 1)) AS x"))
+@query("jon_05_dedup_lookup", sql("SELECT count(*) AS n FROM (SELECT DISTINCT title FROM opportunities WHERE title NOT IN (SELECT title FROM opportunities WHERE id % 5 = 1)) AS x"))
 def dedup_lookup(spark, d):
     rows = opportunities(spark, d).withColumn("unique_id", F.sha2("title", 256))
-    return ingest.only_new(rows.where("id % 2 = 0"), rows.where("id % 5 = 1"), ["id"]).agg(F.count(F.lit(1)).alias("n"))
+    return ingest.only_new(rows, rows.where("id % 5 = 1"), ["id"]).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("jon_06_semi_by_ids", sql("SELECT id, title FROM opportunities WHERE id IN (SELECT opportunity_id FROM sent_log WHERE member_id = 1)", OPP, SENT_SQL))
@@ -107,12 +107,13 @@ def existing_log_rows(spark, d):
     return opportunities(spark, d).where("category = 'Grant'").select("id").join(log, "id", "left")
 
 
-@query("jon_15_title_prefix", sql("SELECT DISTINCT p_partkey, title FROM part, (SELECT DISTINCT title FROM opportunities WHERE category = 'RFP') AS t WHERE starts_with(title, p_name)"))
+@query("jon_15_title_prefix", sql("SELECT DISTINCT p_partkey, title FROM part, (SELECT DISTINCT title FROM opportunities) AS t WHERE starts_with(title, p_name)"))
 def title_prefix(spark, d):
-    parts = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name")
-    titles = opportunities(spark, d).where("category = 'RFP'").select("title").distinct()
-    word = lambda c: F.substring_index(F.col(c), " ", 1)  # noqa: E731  the first word is an equi-key: no nested loop
-    return parts.withColumn("w", word("p_name")).join(titles.withColumn("w", word("title")), "w").where(F.col("title").startswith(F.col("p_name"))).select("p_partkey", "title").distinct()
+    """Names that titles begin with; all words of a name but its last are an equi-key, so no name meets every title."""
+    parts = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name").withColumn("key", F.expr("array_join(slice(split(p_name, ' '), 1, size(split(p_name, ' ')) - 1), ' ')"))
+    titles = opportunities(spark, d).select("title").distinct()
+    keys = F.expr("transform(sequence(0, least(size(split(title, ' ')), 8)), n -> array_join(slice(split(title, ' '), 1, n), ' '))")
+    return parts.join(titles.withColumn("key", F.explode(F.array_distinct(keys))), "key").where(F.col("title").startswith(F.col("p_name"))).select("p_partkey", "title").distinct()
 
 
 @query("jon_16_roster_minus_existing", "SELECT c_custkey, lower(c_name) AS email FROM customer WHERE lower(c_name) NOT IN (SELECT replace(lower(s_name), 'supplier', 'customer') FROM supplier)")
@@ -175,10 +176,10 @@ def latest(spark, d):
     return latest_by_key(rows, ["user_id"], "at").select("user_id", "event_id")
 
 
-@query("snk_08_table_merge", sql("SELECT count(*) AS n FROM (SELECT id FROM opportunities WHERE id % 2 = 0 UNION ALL SELECT min(id) FROM opportunities WHERE id % 3 = 0 AND status = 'Active' AND title NOT IN (SELECT title FROM opportunities WHERE id % 2 = 0) GROUP BY title) AS x"))
+@query("snk_08_table_merge", sql("SELECT count(*) AS n FROM (SELECT id FROM opportunities WHERE id % 2 = 0 UNION ALL SELECT min(id) FROM opportunities WHERE status = 'Active' AND title NOT IN (SELECT title FROM opportunities WHERE id % 2 = 0) GROUP BY title) AS x"))
 def table_merge(spark, d):
     rows = opportunities(spark, d).withColumn("unique_id", F.sha2("title", 256))
-    return ingest.merged(rows.where("id % 2 = 0"), rows.where("id % 3 = 0").drop("approved"), active_only=True).agg(F.count(F.lit(1)).alias("n"))
+    return ingest.merged(rows.where("id % 2 = 0"), rows.drop("approved"), active_only=True).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("snk_09_members_merge", sql("SELECT email, name FROM subscribers UNION ALL SELECT email, name FROM (SELECT concat(replace(replace(lower(s_name), 'supplier', 'customer'), '#', '.'), '@example.org') AS email, s_name AS name FROM supplier) AS s WHERE email NOT IN (SELECT email FROM subscribers)", SUBSCRIBERS_SQL))

@@ -263,6 +263,6 @@ _DIGEST_ROW = f"concat('<tr><td><a href=\"', opportunity_url, '\">', title, '</a
 def digest_mail(spark, d):
     """A mail section for every region: its ten soonest listings as a table, and how many more there are."""
     return digests.sections(opportunities(spark, d).where("status = 'Active'"), ["region"], "region", 10, AS_OF)
-query("src_27_month_first_dates", sql("SELECT id, deadline FROM opportunities WHERE deadline < DATE '9999-01-01'"))(
-    lambda spark, d: opportunities(spark, d).where("deadline < DATE '9999-01-01'").select("id", dates.plain_date(F.date_format("deadline", "M/d/yyyy"), dayfirst=False).alias("deadline"))
+query("src_27_month_first_dates", sql("SELECT id, CASE WHEN deadline < DATE '9999-01-01' THEN deadline END AS deadline FROM opportunities"))(
+    lambda spark, d: opportunities(spark, d).select("id", dates.plain_date(F.when(F.col("deadline") < "9999-01-01", F.date_format("deadline", "M/d/yyyy")), dayfirst=False).alias("deadline"))
 )

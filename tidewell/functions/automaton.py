@@ -14,7 +14,7 @@ import uuid
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Letters that a pattern without regard to case takes for another, beyond case folding.
@@ -170,17 +170,22 @@ def terms_held(broadcast, *texts: Column) -> Column:
     return run(*texts)
 
 
-def any_terms_held(terms: DataFrame, *texts: Column, block: int = 50_000, few: int = FEW) -> Column:
-    """The terms (one column of string) that stand in one of the texts: an array of string.
+def any_terms_held(terms: DataFrame | list[str], *texts: Column, block: int = 50_000, few: int = FEW) -> Column:
+    """The terms (a list, or one column of string) that stand in one of the texts: an array of string.
 
     A few terms are looked for one by one, in generated code. More go out in blocks of about
     ``block``, as automata; a worker walks each text once for each block and keeps ``KEPT`` of them, so
     more than KEPT blocks are right but slow.
     """
-    spark = terms.sparkSession
-    (column,) = terms.columns
-    terms = terms.where(F.col(column) != "").distinct()
-    found = sorted(r[0] for r in terms.limit(block + 1).collect())
+    spark = SparkSession.active()
+    if isinstance(terms, list):
+        found = sorted({x for x in terms if x})
+        terms = spark.createDataFrame([(x,) for x in found], "term string") if len(found) > block else None
+        column = "term"
+    else:
+        (column,) = terms.columns
+        terms = terms.where(F.col(column) != "").distinct()
+        found = sorted(r[0] for r in terms.limit(block + 1).collect())
     if len(found) <= few:
         own = F.array(*map(F.lit, found)).cast("array<string>")
         held = lambda row: F.filter(own, lambda k: reduce(lambda a, b: a | b, [F.contains(row[i], k) for i in range(len(texts))]))

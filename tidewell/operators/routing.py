@@ -37,10 +37,11 @@ def matches(opps: DataFrame, members: DataFrame, as_of: datetime.date, block: in
     people = members.select("member_id", low("keywords").alias("kw"), F.array_intersect(wanted("categories"), known).alias("cats"), low("verticals").alias("verts"))
     rows = opps.where(active(as_of))
     text = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
-    asked = lambda column: people.select(F.explode(column).alias("term"))
+    head = people.select("kw", "verts").limit(MEMBER_LIMIT + 1).collect()
+    few = len(head) <= MEMBER_LIMIT
+    asked = lambda column: [x for r in head for x in r[column]] if few else people.select(F.explode(column).alias("term"))
     heard = rows.withColumn("_kw", any_terms_held(asked("kw"), *map(text, MATCHED), block=block))
     heard = heard.withColumn("_verts", F.array_distinct(F.concat(any_terms_held(asked("verts"), text("verticals"), block=block), F.array(text("vertical")))))
-    few = members.limit(MEMBER_LIMIT + 1).count() <= MEMBER_LIMIT
     marked = lambda mark, x: F.transform(x, lambda k: F.concat(F.lit(mark), k))
     # a member goes by keywords, else by labels, else by categories, else meets all: the last two are dealt over SHARES
     shares = lambda x: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SHARES - 1)), lambda i: marked("c", F.transform(x, lambda k: F.concat(i.cast("string"), F.lit(" "), k)))))

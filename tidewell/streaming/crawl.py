@@ -27,11 +27,11 @@ def fingerprint(text: str) -> str:
 class Guard(StatefulProcessor):
     """Per source: fingerprints of requests, contents and items, the streak of pages without anything new, and the last page."""
 
-    def __init__(self, limit: int, marks: str | None):
-        self.limit, self.marks = limit, marks
+    def __init__(self, limit: int, marks: str | None, ttl_ms: int | None = None):
+        self.limit, self.marks, self.ttl_ms = limit, marks, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "mark string", "page int")
+        self.seen = handle.getMapState("seen", "mark string", "page int", self.ttl_ms)
         self.state = handle.getValueState("state", "streak int, page int, ended boolean")
 
     def _new(self, kind: str, text: str, page: int) -> bool:
@@ -67,9 +67,10 @@ class Guard(StatefulProcessor):
         pass
 
 
-def guarded(pages: DataFrame, limit: int = 0, marks: str | None = None) -> DataFrame:
+def guarded(pages: DataFrame, limit: int = 0, marks: str | None = None, ttl_ms: int | None = None) -> DataFrame:
     """(source, page, item, is_new, ends) of a stream of (source, page, url, items: array of string), up to where each source ends.
 
-    A page that ends its source without counting comes as one row without an item.
+    A page that ends its source without counting comes as one row without an item. With ttl_ms a
+    fingerprint is forgotten so long after it was seen, so state doesn't grow for ever.
     """
-    return pages.select("source", "page", "url", "items").groupBy("source").transformWithStateInPandas(Guard(limit, marks), OUT, "Append", "None")
+    return pages.select("source", "page", "url", "items").groupBy("source").transformWithStateInPandas(Guard(limit, marks, ttl_ms), OUT, "Append", "ProcessingTime" if ttl_ms else "None")

@@ -12,11 +12,11 @@ OUT = "source string, page long, streak int, stopped boolean"
 class StalePages(StatefulProcessor):
     """Per source: the streak so far and whether the source has been stopped."""
 
-    def __init__(self, limit: int):
-        self.limit = limit
+    def __init__(self, limit: int, ttl_ms: int | None = None):
+        self.limit, self.ttl_ms = limit, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("streak", "streak int, stopped boolean")
+        self.state = handle.getValueState("streak", "streak int, stopped boolean", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timer_values):
         streak, stopped = self.state.get() if self.state.exists() else (0, False)
@@ -35,9 +35,10 @@ class StalePages(StatefulProcessor):
         pass
 
 
-def stop_stale(pages: DataFrame, limit: int) -> DataFrame:
+def stop_stale(pages: DataFrame, limit: int, ttl_ms: int | None = None) -> DataFrame:
     """(source, page, streak, stopped) of a stream of (source, page, found, saved), up to where each source stops.
 
+    With ttl_ms what is known of a source is forgotten so long after its last page: it may begin anew.
     Needs the RocksDB state store.
     """
-    return pages.groupBy("source").transformWithStateInPandas(StalePages(limit), OUT, "Append", "None")
+    return pages.groupBy("source").transformWithStateInPandas(StalePages(limit, ttl_ms), OUT, "Append", "ProcessingTime" if ttl_ms else "None")

@@ -7,6 +7,7 @@ import math
 import duckdb
 import pytest
 
+from tidewell import fixtures
 from tidewell.catalog import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -23,7 +24,8 @@ def plain(value):
 
 
 @pytest.fixture(scope="module")
-def duck(sf_dir):
+def duck(spark, sf_dir):
+    fixtures.store(spark, sf_dir)  # the listings are joined once, not for each query
     connection = duckdb.connect()
     for name in TABLES:
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")

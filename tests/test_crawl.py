@@ -223,22 +223,3 @@ def test_sketches_merge(spark, tmp_path):
     assert all(r.fresh < exact[r.source] * 1.08 and r.found == 10_000 for r in halves)
     covered = sketches.coverage(stored, spark.createDataFrame([("s0", 6000)], "source string, total long")).collect()
     assert len(covered) == 1 and 20 < covered[0].coverage_pct < 56
-
-
-def test_state_that_expires(spark, server, tmp_path):
-    """With a time to live an item that comes again later is new again."""
-    server.answer = lambda path, query, *_: json.dumps(["same", f"page {query['page']}"])
-    spark.dataSource.register(paged.PagedSource)
-    old, found = spark.conf.get("spark.sql.streaming.stateStore.providerClass"), {}
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        for ttl in (None, 1):
-            base = tmp_path / str(ttl)
-            pages = spark.readStream.format("paged").options(template=f"{server.at}/a?page={{page}}", source="a", pages="3", pages_per_batch="1", checkpoint=f"{base}/checkpoint", retries="1").load()
-            query = crawl.guarded(pages.withColumn("items", F.from_json("body", "array<string>")), ttl_ms=ttl).writeStream.format("json").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(processingTime="0 seconds").start()
-            query.processAllAvailable()
-            query.stop()
-            found[ttl] = spark.read.schema(crawl.OUT).json(f"{base}/out").where("item = 'same' AND is_new").count()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
-    assert found == {None: 1, 1: 3}

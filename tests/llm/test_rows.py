@@ -1,5 +1,6 @@
 """Quality, language, mixing, token files, rollups and surrogates."""
 
+import random
 import re
 import zlib
 
@@ -541,3 +542,18 @@ def test_spellings_of_a_phone_number_keep_its_country(spark):
     digits = [re.sub(r"\D", "", x) for x in out.split(" or ")]
     assert digits[0] == digits[1] and digits[2] == digits[3] and len(set(digits)) == 3
     assert out.startswith("+49 ") and " or +49" in out and "+1 (" in out and digits[4].startswith("351")
+
+
+def test_fit_holds_one_language_at_a_time(spark):
+    """The driver's peak stays below the size of all training vectors."""
+    import tracemalloc
+
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choice("abcdefgh" if i % 4 < 2 else "stuvwxyz") for _ in range(rng.randrange(2, 8))) for _ in range(30)), "pqrs"[i % 4]) for i in range(1200)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tracemalloc.start()
+    model = langid.fit(train)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model["langs"] == list("pqrs") and len(model["least"]) == 4
+    assert peak < len(rows) * langid.DIMS * 4, peak

@@ -83,6 +83,18 @@ def _sparse(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(slots, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "lang", "slots", "counts"])
 
 
+def _vectors(rows: list, idf: np.ndarray) -> np.ndarray:
+    """A normalised vector for each row, with no copy of all of them on the way."""
+    x = np.zeros((len(rows), DIMS), np.float32)
+    for i, r in enumerate(rows):
+        x[i, np.frombuffer(r["slots"], "<u2")] = np.log1p(np.frombuffer(r["counts"], "<u4"))
+        x[i] *= idf
+    for lo in range(0, len(x), 256):
+        part = x[lo : lo + 256]
+        part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
+    return x
+
+
 def _clusters(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Spherical k-means, first centres chosen farthest first."""
     centres = [x.mean(axis=0)]
@@ -142,16 +154,19 @@ def fit(train: DataFrame, max_train: int = MAX_TRAIN, centroids: int = CENTROIDS
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("slots", T.BinaryType()), T.StructField("counts", T.BinaryType())])
     rows = train.where(part).mapInArrow(_sparse, schema).dropDuplicates(["doc_id", "lang"]).collect()
     rows = sorted(rows, key=lambda r: (r["lang"], r["doc_id"] is not None, r["doc_id"] or 0, bytes(r["slots"])))
-    x = np.zeros((len(rows), DIMS), np.float32)
-    for i, r in enumerate(rows):
-        x[i, np.frombuffer(r["slots"], "<u2")] = np.log1p(np.frombuffer(r["counts"], "<u4"))
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    seen = np.zeros(DIMS, np.int64)
+    for r in rows:
+        seen[np.frombuffer(r["slots"], "<u2")] += 1
+    idf = np.log((1 + len(rows)) / (1 + seen)).astype(np.float32) + np.float32(0.1)
     langs = sorted({r["lang"] for r in rows})
-    label = np.array([langs.index(r["lang"]) for r in rows])
-    groups = [_clusters(x[label == i], centroids) for i in range(len(langs))]
-    least = np.array([_least(x[label == i], [rows[j] for j in np.flatnonzero(label == i)], idf, g) for i, g in enumerate(groups)])
+    groups, least = [], []
+    for lang in langs:  # one language's vectors at a time: the driver never holds all of them
+        own = [r for r in rows if r["lang"] == lang]
+        x = _vectors(own, idf)
+        groups.append(_clusters(x, centroids))
+        least.append(_least(x, own, idf, groups[-1]))
+        del x
+    least = np.array(least)
     own = np.repeat(np.arange(len(langs)), [len(g) for g in groups])
     return {"langs": langs, "centroids": np.concatenate(groups).astype(np.float32), "own": own, "idf": idf, "least": least}
 

@@ -1,6 +1,7 @@
 """Near-duplicates, substring removal, decontamination and top-k against plain versions."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -326,3 +327,32 @@ def test_shingles_of_a_slice_are_its_own():
     whole = [x.tolist() for x in similar.shingle_sets(texts)]
     assert [len(x) for x in whole] == [2, 0, 1, 0, 3]
     assert [x.tolist() for x in similar.shingle_sets(texts.slice(2))] == whole[2:]
+
+
+def test_pigeonring_of_the_stage_finds_all_within_its_limit(spark, monkeypatch):
+    """Components of all pairs within NEAR of 128 bits, in whole and in cut buckets; the stage takes its classes from them."""
+    from tidewell.llm import similar
+    from tidewell.llm.common import connected_components
+
+    rng = random.Random(4)
+    fps = [rng.getrandbits(128) for _ in range(150)]
+    for k, fp in enumerate(fps[:90]):
+        for flips in (k % 14, similar.NEAR, similar.NEAR + 1):
+            fps.append(fp ^ sum(1 << i for i in rng.sample(range(128), flips)))
+    fps += [fps[0] ^ (1 << i) for i in range(60)] + [0, 1]
+    fps = list(dict.fromkeys(fps))
+    near = [[j for j, y in enumerate(fps) if (x ^ y).bit_count() <= similar.NEAR] for x in fps]
+    want = list(range(len(fps)))
+    while (new := [min(want[j] for j in n) for n in near]) != want:
+        want = new
+    signed = lambda v: (v & (1 << 64) - 1) - ((v & (1 << 63)) << 1)
+    frame = spark.createDataFrame([(i, signed(x), signed(x >> 64)) for i, x in enumerate(fps)], "node long, f long, g long")
+    for bucket in (16, 50_000):
+        found = dict(map(tuple, connected_components(similar.ring_links(frame, bucket)).collect()))
+        assert [found.get(i, i) for i in range(len(fps))] == want
+    links = []
+    monkeypatch.setattr(similar, "ring_links", lambda *a, plain=similar.ring_links: links.append(plain(*a)) or links[-1])
+    text = " ".join(f"v{x}" for x in range(300))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "another text of a few words")], "doc_id long, text string")
+    assert sorted(map(tuple, similar.components(docs).collect())) == [(1, 1), (2, 1), (3, 3)]
+    assert [x.distinct().count() for x in links] == [1]

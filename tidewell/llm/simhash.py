@@ -77,13 +77,25 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints(shingle, seed), FINGERPRINTS)
 
 
-def _index(fps: DataFrame) -> DataFrame:
-    """(key, fp): 64 keys a fingerprint, one for each segment with each of its bits masked out."""
+def ring(words: tuple[str, ...] = ("fp",)) -> list[tuple[str, int, int, int]]:
+    """(column, first bit in it, width, first bit on the ring) of each segment of fingerprints of one 64-bit column or more."""
+    return [(word, lo, width, 64 * k + lo) for k, word in enumerate(words) for lo, width in SEGMENTS]
+
+
+def _masks(width: int, parts: int | None) -> list[tuple[int, int]]:
+    """(first bit, mask of the bits) of each of so many parts of a segment; by default a bit is a part."""
+    parts = parts or width
+    cuts = [width * k // parts for k in range(parts + 1)]
+    return [(lo, ((1 << hi) - 1) & ~((1 << lo) - 1)) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+
+
+def _index(fps: DataFrame, words: tuple[str, ...] = ("fp",), parts: int | None = None) -> DataFrame:
+    """(key, columns of fps): a key for each part of each segment, which is masked out; by default 64 keys a column of words."""
     keys = []
-    for lo, width in SEGMENTS:
-        part = F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-        keys += [(F.lit((lo + j) << 22).bitwiseOR(part.bitwiseAND(F.lit(~(1 << j)).cast("long")))).cast("int") for j in range(width)]
-    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    for word, lo, width, first in ring(words):
+        own = F.shiftrightunsigned(word, lo).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+        keys += [(F.lit((first + j) << 22).bitwiseOR(own.bitwiseAND(F.lit(~gone).cast("long")))).cast("int") for j, gone in _masks(width, parts)]
+    return fps.select(F.explode(F.array(*keys)).alias("key"), *fps.columns)
 
 
 def _hot(fps: DataFrame, block: int) -> DataFrame:

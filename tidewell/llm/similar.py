@@ -1,14 +1,18 @@
-"""Near copies by shingle similarity: SimHash finds candidates, the shingles themselves decide.
+"""Near copies by shingle similarity: SimHash with pigeonring finds candidates, the shingles themselves decide.
 
 Two texts are near copies when the sets of their runs of five words (lower case; of all words in a
 shorter text) have a Jaccard similarity of 0.8 or more. Components of that relation are exact but
 for the wide fingerprint test named in step 2:
 
-1. Texts with equal sets are one node. In a fixed order of all shingles, two sets of similarity t
-   share one of the first n - ceil(t * n) + 1 of each, so nodes meet at these (prefix filter, no loss).
-   The pigeonring of op2 can't serve here: 0.8 means some 20 of 128 bits, which leaves no segment
-   long enough to index.
-2. Of nodes that meet, those of like size and within ``BITS`` of 128 fingerprint bits are linked.
+1. Texts with equal sets are one node with a SimHash of 128 bits. Pigeonring: the bits form a ring of
+   six segments, and of two fingerprints within ``NEAR`` = 11 bits some segment starts chains whose
+   differences over l segments never exceed l * 11 / 6. Its first segment differs in one bit at most,
+   so it is found in an index of segments with one of ``PARTS`` parts masked out (30 keys, where op2's
+   one bit would need 128); longer chains and then all bits are tested. What it links is a class.
+2. Pairs beyond 11 bits: 0.8 means some 20 of 128 bits, which leaves no segment long enough to index,
+   so the pigeonring alone would lose them. In a fixed order of all shingles, two sets of similarity t
+   share one of the first n - ceil(t * n) + 1 of each (prefix filter, no loss). Nodes of different
+   classes that meet at these are linked if they are of like size and within ``BITS`` of 128 bits.
    At similarity 0.8 about 19 bits differ, with a deviation of 4; unrelated texts differ in 64.
    Links leave a bucket as trees, never all pairs, which keeps the components of the links.
 3. Near copies lie in one such component, so each component's texts meet once, and an index of
@@ -26,10 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, gram_hashes, mixed, pieces, text_buffer, word_hashes, words_of, written
+from . import simhash
+from .common import connected_components, gram_hashes, mixed, pieces, release, text_buffer, word_hashes, words_of, written
 
 SHINGLE = 5
 LEAST = (4, 5)  # similarity as a fraction
+NEAR = 11  # bits: 2 * 6 segments - 1, the most that one masked part finds
+PARTS = 5
 BITS = 40
 SMALL_BUCKET = 24
 BUCKET_ROWS = 50_000
@@ -116,39 +123,103 @@ def _bounds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero((np.diff(a) != 0) | (np.diff(b) != 0)) + 1, [len(a)]))
 
 
-def _met(batches):
-    """Connecting links of each bucket (key, block, node, n, f, g)."""
+def _chains() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bits of both words (length, index position) of the chains from the segment of each of the 128 positions, and how many of them may differ."""
+    parts = simhash.ring(("f", "g"))
+    f, g = np.zeros((2, len(parts), 128), np.uint64)
+    for i, (_, _, width, first) in enumerate(parts):
+        for long in range(len(parts)):
+            for word, lo, w, _ in (parts[(i + k) % len(parts)] for k in range(long + 1)):
+                (f if word == "f" else g)[long, first : first + width] |= np.uint64(((1 << w) - 1) << lo)
+    return f, g, NEAR * np.arange(1, len(parts) + 1) // len(parts)
+
+
+def _ringed(f, g, p, q, start, chains) -> np.ndarray:
+    """Whether every chain from the segment of an index position (one, or one a pair) is within its bounds; the last is the whole ring."""
+    x, y = f ^ p, g ^ q
+    at = np.arange(len(x))
+    for one, two, most in zip(*chains, strict=True):
+        begins = start if np.ndim(start) == 0 else start[at]
+        at = at[np.bitwise_count(x[at] & one[begins]).astype(np.int64) + np.bitwise_count(y[at] & two[begins]) <= most]
+    ok = np.zeros(len(x), bool)
+    ok[at] = True
+    return ok
+
+
+def _edges(a: list, b: list):
+    """A batch of the distinct links of a bucket's lists; None if there are none."""
     import pyarrow as pa
 
-    for key, block, node, n, f, g in _grouped(batches, 6):
-        n, f, g = n.astype(np.int64), f.view(np.uint64), g.view(np.uint64)  # bits of negative numbers are counted without sign
+    if not a:
+        return None
+    a, b = np.concatenate(a), np.concatenate(b)
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    both = both[both[:, 0] != both[:, 1]]
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"]) if len(both) else None
+
+
+def _rings(batches):
+    """Connecting links within NEAR bits of each bucket (key, block, node, f, g) of the pigeonring's index."""
+    chains = _chains()
+    for key, block, node, f, g in _grouped(batches, 5):
+        f, g = f.view(np.uint64), g.view(np.uint64)
         bounds = _bounds(key, block)
         sizes = np.diff(bounds)
         group = np.repeat(np.arange(len(sizes)), sizes)
         small = np.repeat(sizes <= SMALL_BUCKET, sizes)
+        start = key >> 22
         a, b = [], []
         for d in range(1, min(SMALL_BUCKET, int(sizes.max()))):
             at = np.flatnonzero((group[d:] == group[:-d]) & small[d:])
-            at = at[_like(n[at], f[at], g[at], n[at + d], f[at + d], g[at + d])]
+            at = at[_ringed(f[at], g[at], f[at + d], g[at + d], start[at], chains)]
             a.append(node[at])
             b.append(node[at + d])
         for k in np.flatnonzero(sizes > SMALL_BUCKET):
             left = np.arange(bounds[k], bounds[k + 1])
             while len(left) > 1:
-                frontier, left = [left[0]], left[1:]
+                root, frontier, left = left[0], [left[0]], left[1:]
                 while frontier and len(left):
                     one = frontier.pop()
-                    ok = _like(n[left], f[left], g[left], n[one], f[one], g[one])
-                    a.append(np.full(int(ok.sum()), node[one]))
+                    ok = _ringed(f[left], g[left], f[one], g[one], start[one], chains)
+                    a.append(np.full(int(ok.sum()), node[root]))  # a star: this says connected, not within the limit
                     b.append(node[left[ok]])
                     frontier.extend(left[ok].tolist())
                     left = left[~ok]
-        if a:
-            a, b = np.concatenate(a), np.concatenate(b)
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            both = both[both[:, 0] != both[:, 1]]
-            if len(both):
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        if (found := _edges(a, b)) is not None:
+            yield found
+
+
+def _met(batches):
+    """Connecting links between the classes of each bucket (key, block, class, n, f, g)."""
+    for key, block, own, n, f, g in _grouped(batches, 6):
+        n, f, g = n.astype(np.int64), f.view(np.uint64), g.view(np.uint64)  # bits of negative numbers are counted without sign
+        bounds = _bounds(key, block)
+        sizes = np.diff(bounds)
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        small = np.repeat(sizes <= SMALL_BUCKET, sizes)
+        a, b = [], []
+        for d in range(1, min(SMALL_BUCKET, int(sizes.max()))):
+            at = np.flatnonzero((group[d:] == group[:-d]) & small[d:] & (own[d:] != own[:-d]))
+            at = at[_like(n[at], f[at], g[at], n[at + d], f[at + d], g[at + d])]
+            a.append(own[at])
+            b.append(own[at + d])
+        for k in np.flatnonzero(sizes > SMALL_BUCKET):
+            left = np.arange(bounds[k], bounds[k + 1])
+            while len(left) > 1:
+                peers = own[left] == own[left[0]]  # members of a class need no link
+                frontier, left = left[peers].tolist(), left[~peers]
+                while frontier and len(left):
+                    one = frontier.pop()
+                    ok = _like(n[left], f[left], g[left], n[one], f[one], g[one])
+                    if ok.any():
+                        met = np.unique(own[left[ok]])
+                        a.append(np.full(len(met), own[one]))
+                        b.append(met)
+                        ok = np.isin(own[left], met)
+                        frontier.extend(left[ok].tolist())
+                        left = left[~ok]
+        if (found := _edges(a, b)) is not None:
+            yield found
 
 
 def exact_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -208,18 +279,54 @@ def _in_blocks(rows: DataFrame, blocks, by) -> DataFrame:
     return rows.withColumn("block", F.explode(pairs.cast("array<int>")))
 
 
-def _met_links(nodes: DataFrame, bucket: int) -> DataFrame:
-    spark = nodes.sparkSession
-    rows = nodes.select(F.explode("keys").alias("key"), "node", "n", "f", "g")
-    # keys shared by many nodes, from every 16th node: only how work is dealt depends on it
-    hot = nodes.where("pmod(node, 16) = 0").select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") * 16 > bucket)
-    hot, _ = written(hot.select("key", F.ceil(F.col("count") * 16 / bucket).cast("int").alias("blocks")), "similar-hot")
+def _dealt(rows: DataFrame, hot: DataFrame, name: str) -> DataFrame:
+    """Rows (key, node, ..) by key and block: keys of hot (key, blocks) are cut into pairs of blocks."""
+    hot, _ = written(hot, name)
     if hot.isEmpty():
         rows = rows.withColumn("block", F.lit(0))
     else:
         rows = _in_blocks(rows.join(hot, "key", "left"), F.coalesce("blocks", F.lit(1)), "node")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("key", "block", "node", "n", "f", "g").repartition(n, "key", "block").sortWithinPartitions("key", "block").mapInArrow(_met, EDGES)
+    return rows
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "key", "block").sortWithinPartitions("key", "block")
+
+
+def ring_links(fps: DataFrame, bucket: int = BUCKET_ROWS) -> DataFrame:
+    """Edges (a, b) that connect nodes fps (node, f, g) just as the pairs within NEAR bits do, by the pigeonring."""
+    rows = simhash._index(fps, ("f", "g"), PARTS)
+    hot = rows.groupBy("key").count().where(F.col("count") > bucket).select("key", F.ceil(F.col("count") / bucket).cast("int").alias("blocks"))
+    return _sorted(_dealt(rows, hot, "similar-ring-hot").select("key", "block", "node", "f", "g")).mapInArrow(_rings, EDGES)
+
+
+def _met_links(nodes: DataFrame, bucket: int) -> DataFrame:
+    """Edges between classes of nodes (node, class, n, f, g, keys) that meet at keys."""
+    rows = nodes.select(F.explode("keys").alias("key"), "node", "class", "n", "f", "g")
+    # keys shared by many nodes, from every 16th node: only how work is dealt depends on it
+    hot = nodes.where("pmod(node, 16) = 0").select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") * 16 > bucket)
+    rows = _dealt(rows, hot.select("key", F.ceil(F.col("count") * 16 / bucket).cast("int").alias("blocks")), "similar-hot")
+    return _sorted(rows.select("key", "block", "class", "n", "f", "g")).mapInArrow(_met, EDGES)
+
+
+def candidates(rows: DataFrame, reps: DataFrame, bucket: int) -> DataFrame:
+    """(node, label) of nodes that have a candidate: classes of the pigeonring, joined where their members meet at keys.
+
+    rows: (doc_id, node, n, f, g, keys); reps: (node, rep), the doc_id whose row stands for a node.
+    """
+    spark = rows.sparkSession
+    fps, _ = written(rows.drop("keys").join(reps, "node").where("doc_id = rep").select("node", "f", "g").dropDuplicates(["node"]), "similar-fps")
+    links, links_at = written(ring_links(fps, bucket), "similar-ring")
+    classes = connected_components(links, "similar-classes").withColumnRenamed("label", "class")
+    release(spark, links_at)
+    own = reps.join(classes, "node", "left").select(F.col("node").alias("id"), "rep", F.coalesce("class", "node").alias("class"))
+    nodes = rows.join(own, (rows["node"] == own["id"]) & (rows["doc_id"] == own["rep"])).select("node", "class", "n", "f", "g", "keys")
+    links, links_at = written(_met_links(nodes, bucket), "similar-links")
+    joined = connected_components(links, "similar-candidates").withColumnRenamed("node", "class")
+    release(spark, links_at)
+    alone = joined.join(classes.select(F.col("node").alias("class")), "class", "left_anti").select(F.col("class").alias("node"), "label")
+    return classes.join(joined, "class", "left").select("node", F.coalesce("label", "class").alias("label")).union(alone)
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET_ROWS, group: int = GROUP_ROWS) -> DataFrame:
@@ -229,9 +336,7 @@ def components(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET_ROW
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows, _ = written(texts.mapInArrow(_nodes(shingle), NODES), "similar-rows")
     reps, _ = written(rows.groupBy("node").agg(F.min("doc_id").alias("rep")), "similar-reps")
-    one = rows.join(reps, (rows["node"] == reps["node"]) & (rows["doc_id"] == reps["rep"])).select(rows["node"], "n", "f", "g", "keys")
-    links, _ = written(_met_links(one, bucket), "similar-links")
-    labels = connected_components(links, "similar-candidates")
+    labels, _ = written(candidates(rows, reps, bucket), "similar-labels")
     sizes = labels.groupBy("label").count().select("label", F.ceil(F.col("count") / group).cast("int").alias("blocks"))
     members = labels.join(sizes, "label").join(reps, "node").select("label", "node", "rep", "blocks")
     members, _ = written(members, "similar-members")

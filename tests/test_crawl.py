@@ -223,3 +223,23 @@ def test_sketches_merge(spark, tmp_path):
     assert all(r.fresh < exact[r.source] * 1.08 and r.found == 10_000 for r in halves)
     covered = sketches.coverage(stored, spark.createDataFrame([("s0", 6000)], "source string, total long")).collect()
     assert len(covered) == 1 and 20 < covered[0].coverage_pct < 56
+
+
+def test_halved_ranges_are_those_of_the_sql(spark, tmp_path):
+    """A price that many share, prices that differ by cents, beyond the axis, negative, null and not finite; few orders and none."""
+    import duckdb
+    from tidewell.catalog import ORACLES, QUERIES
+
+    name = "src_17_adaptive_ranges"
+    usual = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 1024.5D WHEN id % 3 = 1 THEN 5000 + id * 0.01D ELSE id * 171.13D END AS o_totalprice")
+    odd = spark.sql("SELECT CAST(x AS DOUBLE) AS o_totalprice FROM (SELECT explode(array('NaN', 'Infinity', NULL, '-0.5', '-3000000', '1e-12', '4194304', '2097152')) AS x)")
+    for k, frame in enumerate((usual, usual.union(odd), usual.limit(5), odd, usual.where("false"))):
+        frame.write.parquet(f"{tmp_path}/{k}/orders.parquet")
+        values = [r[0] for r in frame.collect() if r[0] is not None and abs(r[0]) < float("inf")]
+        got = sorted(map(tuple, QUERIES[name](spark, f"{tmp_path}/{k}").collect()))
+        connection = duckdb.connect()
+        connection.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/{k}/orders.parquet/*.parquet'")
+        assert got == sorted(connection.execute(ORACLES[name]).fetchall())
+        assert [n for lo, hi, n in got] == [sum(lo <= v < hi for v in values) for lo, hi, n in got] and sum(n for _, _, n in got) == len(values)
+        assert all(a[1] == b[0] for a, b in zip(got, got[1:], strict=False))
+        assert all(n <= len(values) // 16 or len({v for v in values if lo <= v < hi}) == 1 for lo, hi, n in got)

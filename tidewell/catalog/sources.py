@@ -241,9 +241,24 @@ def config_factory(spark, d):
     return planning.first_pages(spark.read.parquet(f"{d}/customer.parquet").select("c_mktsegment").distinct().select(name.alias("name"), template.alias("template")), 3)
 
 
-@query("src_17_adaptive_ranges", "SELECT count(*) AS n, CAST(sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 2 END) AS BIGINT) AS weight, true AS fits FROM orders")
+_HALVED = (
+    "WITH RECURSIVE v AS (SELECT CAST(o_totalprice AS DOUBLE) AS x FROM orders WHERE isfinite(CAST(o_totalprice AS DOUBLE))), "
+    "s AS (SELECT count(*) // 16 AS reach, greatest(1048576.0::DOUBLE, coalesce(pow(2::DOUBLE, floor(log2(nullif(max(abs(x)), 0))) + 1), 0)) AS span, coalesce(min(x) < 0, false) AS below FROM v), "
+    "r AS (SELECT CASE WHEN below THEN -span ELSE 0 END AS lo, span AS hi, count(x) AS n, min(x) AS a, max(x) AS b FROM s LEFT JOIN v ON true GROUP BY ALL "
+    "UNION ALL SELECT h.lo, h.hi, count(v.x), min(v.x), max(v.x) FROM (SELECT CASE k WHEN 0 THEN lo ELSE (lo + hi) / 2 END AS lo, CASE k WHEN 0 THEN (lo + hi) / 2 ELSE hi END AS hi FROM r, s, (VALUES (0), (1)) AS two(k) WHERE n > reach AND a < b) AS h LEFT JOIN v ON v.x >= h.lo AND v.x < h.hi GROUP BY h.lo, h.hi) "
+    "SELECT lo, hi, n FROM r, s WHERE n <= reach OR a = b"
+)
+
+
+@query("src_17_adaptive_ranges", _HALVED)
 def adaptive_ranges(spark, d):
-    """Price ranges that a source which shows a sixteenth of its rows can page through: they hold every order once, none too many."""
+    """Price ranges that a source which shows a sixteenth of its rows can page through: halved where they hold more, all orders in them."""
+    return paged.halved_ranges(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_totalprice").alias("x")), "x", 16)
+
+
+@query("src_17_quantile_ranges", "SELECT count(*) AS n, CAST(sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 2 END) AS BIGINT) AS weight, true AS fits FROM orders")
+def quantile_ranges(spark, d):
+    """Ranges between quantiles that a source which shows a sixteenth of its rows can page through: they hold every order once, none too many."""
     prices = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_totalprice").alias("x"))
     found = paged.adaptive_ranges(prices, "x", F.floor(F.count(F.lit(1)) / 16))
     met = prices.join(F.broadcast(found), F.col("x").between(F.col("lo"), F.col("hi")))  # some dozen ranges; where two overlapped an order would come twice

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm import decontaminate, langid, mixing, repair, similar, simhash
-from tidewell.llm.common import scratch, written
+from tidewell.llm.common import scratch, small_batches, written
 from tidewell.llm.tokens import tokenizer_path
 
 #: Weights of the mix: this power of a source's number of documents.
@@ -19,7 +19,9 @@ MIX_POWER = 0.9
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is identified."""
-    return langid.accepted(docs, langid.fit(docs.where(~langid.held_out(5, 0))))
+    with small_batches(spark):
+        model = langid.fit(docs.where(~langid.held_out(5, 0)))
+    return langid.accepted(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,8 @@ def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         order = [docs["_metadata.file_name"], docs["_metadata.row_index"]]
     except AnalysisException:  # rows that were not read from files have no order but that of doc_id
         order = None
-    repair.write_tokens(docs, to, tokenizer_path(), order=order)
+    with small_batches(spark):
+        repair.write_tokens(docs, to, tokenizer_path(), order=order)
     return repair.read_tokens(spark, to)
 
 

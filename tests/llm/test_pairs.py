@@ -329,6 +329,38 @@ def test_shingles_of_a_slice_are_its_own():
     assert [x.tolist() for x in similar.shingle_sets(texts.slice(2))] == whole[2:]
 
 
+def test_memory_of_the_stage_does_not_follow_the_batch(spark):
+    """Texts are hashed a small piece at a time, and batches are bounded by bytes while the stage runs."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tidewell.llm import similar
+    from tidewell.llm.common import BATCH_SETTING, small_batches
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 700)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    assert batch.nbytes > 7 << 20
+    tracemalloc.start()
+    try:
+        assert sum(out.num_rows for out in similar._nodes(5)(iter([batch]))) == len(texts)
+        assert tracemalloc.get_traced_memory()[1] < 48 << 20
+    finally:
+        tracemalloc.stop()
+
+    def sizes(batches):
+        for x in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([x.nbytes])], names=["n"])
+
+    frame = spark.range(0, 300, 1, 1).selectExpr("repeat(cast(id as string), 50000) AS text").mapInArrow(sizes, "n long")
+    before = spark.conf.get(BATCH_SETTING)
+    with small_batches(spark, 1 << 20):
+        within = [r.n for r in frame.select("n").collect()]
+    assert len(within) > 20 and max(within) < 3 << 20
+    assert spark.conf.get(BATCH_SETTING) == before
+
+
 def test_pigeonring_of_the_stage_finds_all_within_its_limit(spark, monkeypatch):
     """Components of all pairs within NEAR of 128 bits, in whole and in cut buckets; the stage takes its classes from them."""
     from tidewell.llm import similar

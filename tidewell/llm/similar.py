@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import connected_components, gram_hashes, mixed, pieces, release, text_buffer, word_hashes, words_of, written
+from .common import connected_components, gram_hashes, mixed, pieces, release, small_batches, text_buffer, word_hashes, words_of, written
 
 SHINGLE = 5
 LEAST = (4, 5)  # similarity as a fraction
@@ -41,6 +41,7 @@ BITS = 40
 SMALL_BUCKET = 24
 BUCKET_ROWS = 50_000
 GROUP_ROWS = 10_000
+PIECE_BYTES = 1 << 20  # of text hashed at once, which takes about forty times that
 NODES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("f", T.LongType()), T.StructField("g", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 _SECOND = np.uint64(0xA0761D6478BD642F)
@@ -80,7 +81,7 @@ def _nodes(shingle: int):
         import pyarrow as pa
 
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, PIECE_BYTES):
                 ids, n, f, g, keys = [], [], [], [], []
                 for own in shingle_sets(part.column("text"), shingle):
                     ids.append(set_id(own))
@@ -331,6 +332,11 @@ def candidates(rows: DataFrame, reps: DataFrame, bucket: int) -> DataFrame:
 
 def components(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET_ROWS, group: int = GROUP_ROWS) -> DataFrame:
     """(doc_id, component_id) of every row of docs (doc_id, text); component_id is the smallest doc_id reachable."""
+    with small_batches(docs.sparkSession):
+        return _components(docs, shingle, bucket, group)
+
+
+def _components(docs: DataFrame, shingle: int, bucket: int, group: int) -> DataFrame:
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

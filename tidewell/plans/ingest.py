@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -30,8 +31,8 @@ class Rules:
     sentinel_is_ongoing: bool = False
 
 
-def judged(raw: DataFrame, rules: Rules) -> DataFrame:
-    """Raw rows with all derived columns and a flag for each reason to drop a row.
+def dated(raw: DataFrame, rules: Rules) -> DataFrame:
+    """Raw rows with deadline, status and unique_id, and the flags of rules that need no classification.
 
     A sentinel deadline becomes null, yet the row is only ongoing if its text or source says so
     (or the rules do). unique_id is over what the source wrote, before columns are cleaned.
@@ -44,6 +45,11 @@ def judged(raw: DataFrame, rules: Rules) -> DataFrame:
     rows = rows.withColumn("_ongoing", F.when(odd | F.col("deadline").isNull(), open_end).otherwise(False)).withColumn("deadline", F.when(~odd, F.col("deadline")))
     rows = rows.withColumn("status", dates.status(F.col("deadline"), F.col("_ongoing"), rules.as_of))
     rows = rows.withColumn("unique_id", text.unique_id(F.col("title"), F.col("organization"), F.col("deadline"), F.col("opportunity_url")))
+    return rows.withColumn("is_expired", F.col("status") == "Expired").withColumn("is_spam", text.spam(F.col("title"), F.col("summary"))).drop("_ongoing")
+
+
+def described(rows: DataFrame, rules: Rules) -> DataFrame:
+    """Dated rows with what their texts tell (category, labels, kinds of work, place, organisation, amount), and whether their labels are wanted."""
     rows = rows.withColumn("_body", text.body(F.col("summary"), F.col("vertical"), F.col("eligibility")))
     lists = classify.every_list(rules.categories, rules.enabled, rules.verticals)
     rows = rows.withColumn("_seen", classify.Evidence(lists, F.col("title"), F.col("_body")).column)
@@ -56,10 +62,18 @@ def judged(raw: DataFrame, rules: Rules) -> DataFrame:
     rows = rows.withColumn("organization", F.when(text.blank(F.col("organization")) != "", named).otherwise(organizations.extracted(F.col("summary"), F.col("title"))))
     rows = rows.withColumn("funding_amount", F.coalesce(F.nullif(amounts.cleaned(F.col("funding_amount")), F.lit("")), amounts.extracted(F.col("summary"), F.col("title"))))
     rows = rows.withColumn("opportunity_url", links.canonical(F.col("opportunity_url")))
-    wanted = [x for x in rules.wanted_verticals if x in rules.verticals]
+    wanted = _wanted(rules)
     off = ~F.arrays_overlap("labels", F.array(*map(F.lit, wanted))) if wanted else F.lit(False)
-    rows = rows.withColumn("is_expired", F.col("status") == "Expired").withColumn("off_vertical", off).withColumn("is_spam", text.spam(F.col("title"), F.col("summary")))
-    return rows.withColumn("verticals", text.joined(F.col("labels"))).drop("_ongoing", "_body", "_place", "_seen", "labels")
+    return rows.withColumn("off_vertical", off).withColumn("verticals", text.joined(F.col("labels"))).drop("_body", "_place", "_seen", "labels")
+
+
+def _wanted(rules: Rules) -> list[str]:
+    return [x for x in rules.wanted_verticals if x in rules.verticals]
+
+
+def judged(raw: DataFrame, rules: Rules) -> DataFrame:
+    """Raw rows with all derived columns and a flag for each reason to drop a row."""
+    return described(dated(raw, rules), rules)
 
 
 def accepted(rows: DataFrame, rules: Rules) -> DataFrame:
@@ -91,6 +105,18 @@ def ingested(raw: DataFrame, table: DataFrame, rules: Rules, order: list[str]) -
     return only_new(accepted(judged(raw, rules), rules), table, order)
 
 
+def fresh(raw: DataFrame, rules: Rules, order: list[str], unseen: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The first row of each unique_id in order among the accepted ones, judged, where unseen leaves it.
+
+    Unless labels decide what is accepted, texts are only classified of rows that are left: not of
+    what is over, comes twice or is known.
+    """
+    if _wanted(rules):
+        return unseen(first_of_each(accepted(judged(raw, rules), rules), order))
+    left = accepted(dated(raw, rules).withColumn("off_vertical", F.lit(False)), rules)
+    return described(unseen(first_of_each(left, order)), rules).drop("off_vertical")
+
+
 def merged(table: DataFrame, incoming: DataFrame, active_only: bool = False) -> DataFrame:
     """The table with incoming rows of new unique_ids, over the columns that both have."""
     shared = [c for c in table.columns if c in incoming.columns and c != "id"]

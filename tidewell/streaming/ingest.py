@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import key_table
-from ..plans.ingest import Rules, accepted, first_of_each, judged
+from ..plans.ingest import Rules, fresh
 
 KEYS = "unique_id string, batch long"
 
@@ -26,9 +26,8 @@ def start(stream: DataFrame, table: str, checkpoint: str, rules: Rules, order: l
     def batch(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
         keys = key_table.KeyTable(spark, f"{table}_keys", KEYS)
-        first = first_of_each(accepted(judged(rows, rules), rules), order)
         at = f"{table}/batch={batch_id}"
-        keys.unseen(first, F.col("batch") == batch_id).write.mode("overwrite").parquet(at)
+        fresh(dealt(rows), rules, order, lambda first: keys.unseen(first, F.col("batch") == batch_id)).write.mode("overwrite").parquet(at)
         stored = spark.read.parquet(at)
         keys.append(keys.unseen(stored.select("unique_id", F.lit(batch_id).cast("long").alias("batch"))))
         if after is not None:
@@ -37,6 +36,12 @@ def start(stream: DataFrame, table: str, checkpoint: str, rules: Rules, order: l
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """A batch over all cores, however few files or pages it came in."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= 2 * cores else rows.repartition(2 * cores, F.xxhash64(*rows.columns))
+
+
 def since(table: DataFrame, column: str, cursor) -> DataFrame:
     """Rows beyond a cursor kept from the last run."""
     return table.where(F.col(column) > F.lit(cursor)) if cursor is not None else table

@@ -34,7 +34,7 @@ def answer(at: str, name: str) -> list[tuple]:
     return sorted(connection.execute(ORACLES[name]).fetchall())
 
 
-@pytest.mark.parametrize("name", ["str_01_page_batches"])
+@pytest.mark.parametrize("name", ["str_01_page_batches", "str_06_after_batch"])
 def test_the_first_of_alike_listings_counts_whatever_batch_comes_first(spark, alike, name):
     assert sorted(map(tuple, QUERIES[name](spark, alike).collect())) == answer(alike, name)
 
@@ -63,3 +63,31 @@ def test_only_what_is_new_is_classified(spark):
     classified = [n for n, line in enumerate(lines) if "EvalPython" in line and "array<array<int>>" in line or "EvalPython" in line and "run(" in line]
     joined = next(n for n, line in enumerate(lines) if "Join LeftAnti" in line)
     assert classified and min(classified) < joined  # above the join: only what it leaves
+
+
+def test_saved_pages_are_found_again(spark, tmp_path):
+    """Each page as one file where the crawl looks for it, read once from its rows; a page that is written again is replaced."""
+    from tidewell.sources import paged
+
+    bodies = spark.range(30).selectExpr("concat('s', id % 3) AS source", "CAST(id div 3 + 1 AS INT) AS page", "concat('[', id, ' é]') AS body")
+    for _ in range(2):
+        assert paged.save(bodies, f"file://{tmp_path}/saved").count() == 30
+    fetch = paged.tree(f"file://{tmp_path}/saved")
+    assert [fetch(f"https://example.org/list?source=s{i % 3}&page={i // 3 + 1}") for i in range(30)] == [(200, f"[{i} é]") for i in range(30)]
+    assert fetch("https://example.org/list?source=s0&page=11")[0] == 404
+
+
+def test_figures_of_batches_are_all_stored_and_logs_are_put_in_place_plainly(spark, tmp_path):
+    from tidewell.shared import MANAGER, PLAIN, plain_log
+    from tidewell.streaming import watch
+
+    seen = []
+    with watch.recorded(spark, f"{tmp_path}/figures"), plain_log(spark, str(tmp_path)):
+        assert spark.conf.get(MANAGER) == PLAIN
+        query = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 3).load().writeStream.foreachBatch(lambda rows, batch_id: seen.append(rows.count())).option("checkpointLocation", f"{tmp_path}/log").trigger(processingTime="0 seconds").start()
+        while len(seen) < 40 and query.isActive:
+            query.awaitTermination(0.1)
+        query.stop()
+    assert spark.conf.get(MANAGER, None) is None
+    told = {r.batch: r.rows for r in watch.batches(spark, f"{tmp_path}/figures").collect()}
+    assert len(told) >= 39 and set(told) >= set(range(39)) and set(told.values()) == {3}

@@ -91,3 +91,13 @@ def test_figures_of_batches_are_all_stored_and_logs_are_put_in_place_plainly(spa
     assert spark.conf.get(MANAGER, None) is None
     told = {r.batch: r.rows for r in watch.batches(spark, f"{tmp_path}/figures").collect()}
     assert len(told) >= 39 and set(told) >= set(range(39)) and set(told.values()) == {3}
+
+
+def test_a_bounded_batch_costs_one_job_and_no_file(spark, sf_dir, tmp_path, monkeypatch):
+    from tidewell.catalog import streams
+
+    folders = iter(range(9))
+    monkeypatch.setattr(streams, "_folder", lambda spark: f"{tmp_path}/{next(folders)}")
+    found = streams.bounded_batches(spark, sf_dir).first()
+    assert found.bounded and found.several and found.rows_in == spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey").distinct().count()
+    assert not list(tmp_path.rglob("*.parquet")) and len(list(tmp_path.glob("*/checkpoint/commits/[0-9]*"))) == 3  # 20 pages

@@ -101,3 +101,13 @@ def test_a_bounded_batch_costs_one_job_and_no_file(spark, sf_dir, tmp_path, monk
     found = streams.bounded_batches(spark, sf_dir).first()
     assert found.bounded and found.several and found.rows_in == spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey").distinct().count()
     assert not list(tmp_path.rglob("*.parquet")) and len(list(tmp_path.glob("*/checkpoint/commits/[0-9]*"))) == 3  # 20 pages
+
+
+def test_a_crawl_that_is_paused_goes_on_and_keeps_no_marks(spark, sf_dir, tmp_path, monkeypatch):
+    from tidewell.catalog import streams
+
+    folders = iter(range(9))
+    monkeypatch.setattr(streams, "_folder", lambda spark: f"{tmp_path}/{next(folders)}")
+    rows = {r.source: r.n for r in streams.pause_and_resume(spark, sf_dir).collect()}
+    assert len(rows) == 4 and "BUILDING" not in rows
+    assert list(tmp_path.glob("*/out/batch=*/*.parquet")) and not list(tmp_path.glob("*/out/batch=*/_SUCCESS"))

@@ -111,3 +111,13 @@ def test_a_crawl_that_is_paused_goes_on_and_keeps_no_marks(spark, sf_dir, tmp_pa
     rows = {r.source: r.n for r in streams.pause_and_resume(spark, sf_dir).collect()}
     assert len(rows) == 4 and "BUILDING" not in rows
     assert list(tmp_path.glob("*/out/batch=*/*.parquet")) and not list(tmp_path.glob("*/out/batch=*/_SUCCESS"))
+
+
+def test_progress_notes_every_batch_once(spark, sf_dir, tmp_path, monkeypatch):
+    from tidewell.catalog import streams
+
+    folders = iter(range(9))
+    monkeypatch.setattr(streams, "_folder", lambda spark: f"{tmp_path}/{next(folders)}")
+    found = streams.progress(spark, sf_dir).first()
+    assert found.bounded and found.pages == len(list(tmp_path.glob("*/saved/source=*/page=*/body")))
+    assert len(list(tmp_path.glob("*/progress/*/*.json"))) >= len(list(tmp_path.glob("*/out/batch=*"))) > 1 and not list(tmp_path.glob("*/out/batch=*/_SUCCESS"))

@@ -243,3 +243,12 @@ def test_halved_ranges_are_those_of_the_sql(spark, tmp_path):
         assert [n for lo, hi, n in got] == [sum(lo <= v < hi for v in values) for lo, hi, n in got] and sum(n for _, _, n in got) == len(values)
         assert all(a[1] == b[0] for a, b in zip(got, got[1:], strict=False))
         assert all(n <= len(values) // 16 or len({v for v in values if lo <= v < hi}) == 1 for lo, hi, n in got)
+
+
+def test_boards_are_walked_in_one_pass(spark, sf_dir):
+    """The listings are read once, however many pages a board has."""
+    from tidewell.catalog import connectors
+
+    frame = connectors.posted_pages(spark, sf_dir)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line and "o_orderkey" in line for line in plan.splitlines()) <= 1

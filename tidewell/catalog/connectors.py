@@ -184,17 +184,19 @@ def postback_ids(spark, d):
 @query("src_25_posted_pages", sql("SELECT id, page, CASE WHEN page < id % 3 + 1 THEN concat('__VIEWSTATE=v', id, '+%26+', page, '&kept=&__EVENTTARGET=grid&__EVENTARGUMENT=Page%24', page + 1) END AS body FROM opportunities, (SELECT unnest(range(1, 4)) AS page) AS p WHERE page <= id % 3 + 1"))
 def posted_pages(spark, d):
     """Every board walked to its end, page by page, by what its form posts: the state of a page is of that page alone."""
-    page, last = F.col("page"), (F.col("id") % 3 + 1)
-    links_ = F.concat(*(F.when((page != n) & (last >= n), F.concat(F.lit(f"<a href=\"javascript:__doPostBack('grid','Page${n}')\"> {n} </a>"))).otherwise("") for n in (1, 2, 3)))
-    html = F.concat(F.lit("<form><input type='hidden' name='__VIEWSTATE' value='v"), F.col("id").cast("string"), F.lit(" &amp; "), page.cast("string"), F.lit("'/><input name='kept' value='' type='hidden'><input type='text' name='q' value='x'>"), links_, F.lit("</form>"))
-    rows = opportunities(spark, d).select("id", F.lit(1).alias("page"))
-    found = None
-    for n in (1, 2, 3):  # a page is only there for those that were led to it
-        pages_ = rows.select(F.col("id").alias("page_id"), html.alias("html"), "page")
-        asked = scraped.form_request(pages_).withColumnRenamed("page_id", "id").withColumn("page", F.lit(n))
-        found = asked if found is None else found.unionByName(asked)
-        rows = asked.where("body IS NOT NULL").select("id", F.regexp_extract("body", r"Page%24(\d+)$", 1).cast("int").alias("page"))
-    return found
+    last = F.col("id") % 3 + 1
+
+    def html(page):
+        links_ = F.concat(*(F.when((page != n) & (last >= n), F.concat(F.lit(f"<a href=\"javascript:__doPostBack('grid','Page${n}')\"> {n} </a>"))).otherwise("") for n in (1, 2, 3)))
+        return F.concat(F.lit("<form><input type='hidden' name='__VIEWSTATE' value='v"), F.col("id").cast("string"), F.lit(" &amp; "), page.cast("string"), F.lit("'/><input name='kept' value='' type='hidden'><input type='text' name='q' value='x'>"), links_, F.lit("</form>"))
+
+    rows, page, found = opportunities(spark, d).select("id"), F.lit(1), []
+    for n in (1, 2, 3):  # a page is only there for those that were led to it; each form is read once, on the way
+        rows = rows.withColumn(f"page{n}", page).withColumn(f"html{n}", F.when(F.col(f"page{n}").isNotNull(), html(F.col(f"page{n}"))))
+        rows = rows.withColumn(f"body{n}", scraped.form_body(F.col(f"html{n}"), F.col(f"page{n}"))).drop(f"html{n}")
+        found.append(F.when(F.col(f"page{n}").isNotNull(), F.struct(F.lit(n).alias("page"), F.col(f"body{n}").alias("body"))))
+        page = F.when(F.col(f"body{n}").isNotNull(), F.regexp_extract(f"body{n}", r"Page%24(\d+)$", 1).cast("int"))
+    return rows.select("id", F.inline(F.array_compact(F.array(*found))))
 
 
 def _cards(spark, d, heading, text):

@@ -73,14 +73,19 @@ def next_page(pages: DataFrame, template: str | None = None, page_size: int = 10
 
 def form_request(pages: DataFrame) -> DataFrame:
     """(page_id, body) of pages (page_id, html, page): what is posted to come to the next page, by the form's hidden fields and the target of the link to that number; null where there is none."""
-    hidden = F.regexp_extract_all("html", F.lit(r"(?is)(<input\b(?=[^>]*\btype=[\"']hidden[\"'])[^>]*>)"), F.lit(1))
+    return pages.select("page_id", form_body(F.col("html"), F.col("page")).alias("body"))
+
+
+def form_body(html: Column, page: Column) -> Column:
+    """What a page's form posts to come to the next number; null where there is no link to that, or no page."""
+    hidden = F.regexp_extract_all(html, F.lit(r"(?is)(<input\b(?=[^>]*\btype=[\"']hidden[\"'])[^>]*>)"), F.lit(1))
     part = lambda tag, name: text.unescaped(F.regexp_extract(tag, rf"(?is)\b{name}=[\"']([^\"']*)[\"']", 1))
     fields = F.transform(F.filter(hidden, lambda tag: part(tag, "name") != ""), lambda tag: F.concat(F.url_encode(part(tag, "name")), F.lit("="), F.url_encode(part(tag, "value"))))
     link = r"(?is)__doPostBack\(\s*'([^']*)'\s*,\s*'([^']*)'\s*\)[^>]*>\s*(\d+)\s*<"
-    targets, arguments, numbers = (F.regexp_extract_all("html", F.lit(link), F.lit(i)) for i in (1, 2, 3))
-    at = F.array_position(numbers, (F.col("page") + 1).cast("string")).cast("int")
+    targets, arguments, numbers = (F.regexp_extract_all(html, F.lit(link), F.lit(i)) for i in (1, 2, 3))
+    at = F.array_position(numbers, (page + 1).cast("string")).cast("int")
     told = F.array(F.concat(F.lit("__EVENTTARGET="), F.url_encode(F.get(targets, at - 1))), F.concat(F.lit("__EVENTARGUMENT="), F.url_encode(F.get(arguments, at - 1))))
-    return pages.select("page_id", F.when(at > 0, F.array_join(F.concat(fields, told), "&")).alias("body"))
+    return F.when(at > 0, F.array_join(F.concat(fields, told), "&"))
 
 
 def listings(pages: DataFrame, same_site: bool = True) -> DataFrame:

@@ -1,7 +1,8 @@
 """Who gets what: matching members, ledgers, ranked digests and reminders.
 
 All keywords and labels that members want are looked for in each listing in one pass; listings meet
-members on the words they hold, or else on categories, by equal keys. Members are broadcast when
+members on the words they hold, or else on categories, by equal keys. More terms than TERM_BLOCK
+are held against listings by a join (``functions.grams``). Members are broadcast when
 counted below ``MEMBER_LIMIT``; beyond, only ids and keys are shuffled.
 """
 
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CAP_LADDER, CATEGORIES, DIGEST_BUDGET
-from ..functions.automaton import any_terms_held
+from ..functions.grams import with_terms
 from .filters import active, labels
 
 MEMBER_LIMIT = 1_000
@@ -40,8 +41,8 @@ def matches(opps: DataFrame, members: DataFrame, as_of: datetime.date, block: in
     head = people.select("kw", "verts").limit(MEMBER_LIMIT + 1).collect()
     few = len(head) <= MEMBER_LIMIT
     asked = lambda column: [x for r in head for x in r[column]] if few else people.select(F.explode(column).alias("term"))
-    heard = rows.withColumn("_kw", any_terms_held(asked("kw"), *map(text, MATCHED), block=block))
-    heard = heard.withColumn("_verts", F.array_distinct(F.concat(any_terms_held(asked("verts"), text("verticals"), block=block), F.array(text("vertical")))))
+    heard = with_terms(rows if few else rows.select("id", "category", "verticals", *MATCHED), "_kw", asked("kw"), *map(text, MATCHED), block=block)
+    heard = with_terms(heard, "_verts", asked("verts"), text("verticals"), block=block).withColumn("_verts", F.array_distinct(F.concat("_verts", F.array(text("vertical")))))
     marked = lambda mark, x: F.transform(x, lambda k: F.concat(F.lit(mark), k))
     # a member goes by keywords, else by labels, else by categories, else meets all: the last two are dealt over SHARES
     shares = lambda x: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SHARES - 1)), lambda i: marked("c", F.transform(x, lambda k: F.concat(i.cast("string"), F.lit(" "), k)))))
